@@ -1,0 +1,6 @@
+"""Streaming.
+
+The reference has no streaming source, watermark, window state or late-data
+handling: its only input is one uploaded file.  Nothing is built here; every
+operator of this package is a batch DataFrame operator.
+"""
