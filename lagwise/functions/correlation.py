@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.halo import lag_col, over_halo
+from ..operators.halo import lag_sql, over_halo, q
 from ..operators.index import ROW_IDX
 from ..sources.io import numeric_columns
 from .rank import average_rank
@@ -25,6 +25,10 @@ def _clean(c):
     return F.when(~F.isnan(c), c)
 
 
+def _lit(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _features(df: DataFrame, target: str, features, keys, idx) -> list[str]:
     if features is None:
         features = [c for c in numeric_columns(df, exclude=[idx, *keys]) if c != target]
@@ -38,16 +42,16 @@ def lag_pairs(df: DataFrame, target: str, max_lags: int, features: Sequence[str]
     lags = list(range(int(max_lags)))
 
     def build(fr, w):
-        return fr.select("_hb", "_hh", F.col(target).cast("double").alias("y"),
-                         *[lag_col(f, k, w, keys).cast("double").alias(f"_x{i}_{k}")
-                           for i, f in enumerate(feats) for k in lags])
+        return fr.selectExpr("_hb", "_hh", f"CAST({q(target)} AS DOUBLE) AS y",
+                             *[f"CAST({lag_sql(f, k, keys, idx)} AS DOUBLE) AS _x{i}_{k}"
+                               for i, f in enumerate(feats) for k in lags])
 
     out = over_halo(df, build, before=max(lags, default=0), idx=idx, bucket_rows=bucket_rows)
-    items = [F.struct(F.lit(f).alias("variable"), F.lit(k).alias("lag"), F.col(f"_x{i}_{k}").alias("x"))
-             for i, f in enumerate(feats) for k in lags]
-    return (out.select("y", F.explode(F.array(*items)).alias("_p"))
-            .select("_p.variable", "_p.lag", "_p.x", "y")
-            .filter(F.col("x").isNotNull() & F.col("y").isNotNull()))
+    items = ", ".join(f"named_struct('variable', {_lit(f)}, 'lag', {k}, 'x', _x{i}_{k})"
+                      for i, f in enumerate(feats) for k in lags)
+    return (out.selectExpr("y", f"explode(array({items})) AS _p")
+            .selectExpr("_p.variable", "_p.lag", "_p.x", "y")
+            .filter("x IS NOT NULL AND y IS NOT NULL"))
 
 
 def pearson_long(pairs: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -75,23 +79,8 @@ def lag_correlation(df: DataFrame, target: str, max_lags: int = 24, method: str
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
     feats = _features(df, target, features, keys, idx)
-    if method == "pearson":
-        lags = list(range(int(max_lags)))
-
-        def build(fr, w):
-            return fr.select("_hb", "_hh", F.col(target).cast("double").alias("_y"),
-                             *[lag_col(f, k, w, keys).cast("double").alias(f"_x{i}_{k}")
-                               for i, f in enumerate(feats) for k in lags])
-
-        lagged = over_halo(df, build, before=max(lags, default=0), idx=idx, bucket_rows=bucket_rows)
-        one = lagged.agg(*[F.corr(f"_x{i}_{k}", "_y").alias(f"c{i}_{k}")
-                           for i, _ in enumerate(feats) for k in lags])
-        items = [F.struct(F.lit(f).alias("variable"), F.lit(k).alias("lag"),
-                          _clean(F.col(f"c{i}_{k}")).alias("corr"))
-                 for i, f in enumerate(feats) for k in lags]
-        return one.select(F.explode(F.array(*items)).alias("_r")).select("_r.*")
     pairs = lag_pairs(df, target, max_lags, feats, keys, idx, bucket_rows)
-    fn = spearman_long if method == "spearman" else kendall_long
+    fn = {"pearson": pearson_long, "spearman": spearman_long, "kendall": kendall_long}[method]
     res = fn(pairs, ["variable", "lag"])
     # (variable, lag) with no valid pair still gets a row, with NULL corr
     grid = df.sparkSession.createDataFrame([(f, k) for f in feats for k in range(int(max_lags))],

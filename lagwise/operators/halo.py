@@ -61,6 +61,29 @@ def over_halo(df: DataFrame, build: Callable[[DataFrame, "Window"], DataFrame],
     return keep_rows(df, out)
 
 
+def q(name: str) -> str:
+    """Back-quote a column name for SQL text (names may hold spaces)."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def win_sql(idx: str = ROW_IDX, frame: str = "") -> str:
+    """The halo window as SQL text; building expressions as text keeps wide selects to one call."""
+    return f"OVER (PARTITION BY {_BUCKET} ORDER BY {q(idx)}{(' ' + frame) if frame else ''})"
+
+
+def lag_sql(c: str, k: int, keys: Sequence[str] = (), idx: str = ROW_IDX) -> str:
+    """SQL text of ``lag_col``: value ``k`` rows earlier (negative k: later), NULL across a key change."""
+    if k == 0:
+        return q(c)
+    fn = f"lag({q(c)}, {k})" if k > 0 else f"lead({q(c)}, {-k})"
+    v = f"{fn} {win_sql(idx)}"
+    if not keys:
+        return v
+    ks = "struct(" + ", ".join(q(x) for x in keys) + ")"
+    other = (f"lag({ks}, {k})" if k > 0 else f"lead({ks}, {-k})") + " " + win_sql(idx)
+    return f"CASE WHEN {other} <=> {ks} THEN {v} END"
+
+
 def key_struct(keys: Sequence[str]) -> Column:
     return F.struct(*[F.col(k) for k in keys])
 

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from .halo import lag_col, over_halo
+from .halo import lag_sql, over_halo, q
 from .index import ROW_IDX
 
 
@@ -52,11 +52,11 @@ def lag_table(df: DataFrame, lag: int, target: str, drop: Sequence[str] = (), ta
     span = max(lag, int(target_lags))
 
     def build(fr, w):
-        exprs = [lag_col(c, lag, w, keys).alias(f"{c}_lag{lag}") for c in preds]
-        exprs.append(F.col(target))
-        for i in range(1, int(target_lags) + 1):
-            exprs.append(lag_col(target, i, w, keys).alias(f"{target}_lag{i}"))
-        return fr.select(idx, "_hb", "_hh", *exprs)
+        exprs = [f"{lag_sql(c, lag, keys, idx)} AS {q(c + '_lag' + str(lag))}" for c in preds]
+        exprs.append(q(target))
+        exprs += [f"{lag_sql(target, i, keys, idx)} AS {q(target + '_lag' + str(i))}"
+                  for i in range(1, int(target_lags) + 1)]
+        return fr.selectExpr(q(idx), "_hb", "_hh", *exprs)
 
     out = over_halo(df, build, before=span, idx=idx, bucket_rows=bucket_rows)
     names = [f"{c}_lag{lag}" for c in preds] + [target] + [f"{target}_lag{i}" for i in range(1, int(target_lags) + 1)]
@@ -77,12 +77,12 @@ def multi_lag_table(df: DataFrame, predictors: Sequence[str], targets: Sequence[
     span = max(int(input_lags), int(target_lags), 0)
 
     def build(fr, w):
-        exprs = [F.col(t) for t in targets] + [F.col(p) for p in predictors]
+        exprs = [q(t) for t in targets] + [q(p) for p in predictors]
         for i in range(1, int(input_lags) + 1):
-            exprs += [lag_col(p, i, w, keys).alias(f"{p}_lag{i}") for p in predictors]
+            exprs += [f"{lag_sql(p, i, keys, idx)} AS {q(p + '_lag' + str(i))}" for p in predictors]
         for i in range(1, int(target_lags) + 1):
-            exprs += [lag_col(t, i, w, keys).alias(f"{t}_lag{i}") for t in targets]
-        return fr.select(idx, "_hb", "_hh", *exprs)
+            exprs += [f"{lag_sql(t, i, keys, idx)} AS {q(t + '_lag' + str(i))}" for t in targets]
+        return fr.selectExpr(q(idx), "_hb", "_hh", *exprs)
 
     out = over_halo(df, build, before=span, idx=idx, bucket_rows=bucket_rows)
     names = (targets + predictors
@@ -100,9 +100,9 @@ def lag_table_multi_target(df: DataFrame, lag: int, predictors: Sequence[str], t
         return df.select(idx, *predictors, *targets)
 
     def build(fr, w):
-        return fr.select(idx, "_hb", "_hh",
-                         *[lag_col(p, lag, w, keys).alias(f"{p}_lag{lag}") for p in predictors],
-                         *[F.col(t) for t in targets])
+        return fr.selectExpr(q(idx), "_hb", "_hh",
+                             *[f"{lag_sql(p, lag, keys, idx)} AS {q(p + '_lag' + str(lag))}" for p in predictors],
+                             *[q(t) for t in targets])
 
     out = over_halo(df, build, before=int(lag), idx=idx, bucket_rows=bucket_rows)
     return _finish(out, [f"{p}_lag{lag}" for p in predictors] + targets, idx)
@@ -118,8 +118,8 @@ def best_lag_table(df: DataFrame, target: str, best_lags: Mapping[str, int | Non
     span = max([k for _, k in chosen], default=0)
 
     def build(fr, w):
-        return fr.select(idx, "_hb", "_hh", F.col(target),
-                         *[lag_col(v, k, w, keys).alias(f"{v}_lag{k}") for v, k in chosen])
+        return fr.selectExpr(q(idx), "_hb", "_hh", q(target),
+                             *[f"{lag_sql(v, k, keys, idx)} AS {q(v + '_lag' + str(k))}" for v, k in chosen])
 
     out = over_halo(df, build, before=span, idx=idx, bucket_rows=bucket_rows)
     return _finish(out, [target] + [f"{v}_lag{k}" for v, k in chosen], idx)
@@ -138,13 +138,12 @@ def single_lag_tables(df: DataFrame, target: str, lags: Sequence[int], predictor
     predictors = list(predictors)
 
     def build(fr, w):
-        return fr.select(idx, "_hb", "_hh", F.col(target),
-                         *[lag_col(p, k, w, keys).alias(f"_l{k}_{j}")
-                           for k in lags for j, p in enumerate(predictors)])
+        return fr.selectExpr(q(idx), "_hb", "_hh", q(target),
+                             *[f"{lag_sql(p, k, keys, idx)} AS _l{k}_{j}" for k in lags for j, p in enumerate(predictors)])
 
     out = over_halo(df, build, before=max(lags, default=0), idx=idx, bucket_rows=bucket_rows)
-    per_lag = [F.struct(F.lit(k).alias("lag"), *[F.col(f"_l{k}_{j}").alias(p) for j, p in enumerate(predictors)])
-               for k in lags]
-    out = (out.select(idx, target, F.explode(F.array(*per_lag)).alias("_s"))
-           .select("_s.lag", idx, target, *[F.col(f"_s.`{p}`").alias(p) for p in predictors]))
+    per_lag = ", ".join("named_struct('lag', " + str(k) + ", "
+                        + ", ".join(f"'_v{j}', _l{k}_{j}" for j in range(len(predictors))) + ")" for k in lags)
+    out = (out.selectExpr(q(idx), q(target), f"explode(array({per_lag})) AS _s")
+           .selectExpr("_s.lag", q(idx), q(target), *[f"_s._v{j} AS {q(p)}" for j, p in enumerate(predictors)]))
     return out.dropna(how="any", subset=[target] + predictors)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import correlation as corr
 from ..operators import lag as lagops
-from ..operators.index import with_row_index
+from ..operators.index import keep_rows, with_row_index
 from ..sources import panels
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,7 +42,8 @@ def _session(spark: SparkSession) -> None:
 def p1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indexed daily panel without the timestamp column."""
     _session(spark)
-    return with_row_index(panels.daily_panel(spark, sf_dir), "day").drop("day")
+    ix = with_row_index(panels.daily_panel(spark, sf_dir), "day")
+    return keep_rows(ix, ix.drop("day"))
 
 
 def p2(spark: SparkSession, sf_dir: str, keyed: bool = False) -> DataFrame:
