@@ -30,8 +30,9 @@ EVK = """evk AS (SELECT row_number() OVER (ORDER BY user_id, event_id) - 1 AS ro
                   CAST(hour(ts) AS DOUBLE) AS hour FROM events)"""
 
 
-def r(expr: str, alias: str, d: int = D) -> str:
-    return f"round({expr}, {d}) AS {alias}"
+def r(expr: str, alias: str) -> str:
+    """Pass-through values are bit-identical in both engines: no rounding."""
+    return f"{expr} AS {alias}"
 
 
 def lag(col: str, k: int, over: str = "ORDER BY row_idx") -> str:
@@ -105,9 +106,9 @@ ORACLE["lag_table_multi_target"] = _multi_target_sql()
 ORACLE["lag_table_keyed"] = _with(EVK) + """
 SELECT * FROM (
   SELECT row_idx,
-         round(lag(hour, 2) OVER (PARTITION BY user_id ORDER BY event_id), 6) AS hour_lag2,
-         round(value, 6) AS value,
-         round(lag(value, 1) OVER (PARTITION BY user_id ORDER BY event_id), 6) AS value_lag1
+         lag(hour, 2) OVER (PARTITION BY user_id ORDER BY event_id) AS hour_lag2,
+         value,
+         lag(value, 1) OVER (PARTITION BY user_id ORDER BY event_id) AS value_lag1
   FROM evk)
 WHERE hour_lag2 IS NOT NULL AND value IS NOT NULL AND value_lag1 IS NOT NULL"""
 
@@ -152,7 +153,7 @@ SELECT variable, best_lag, round(corr, 6) AS corr FROM best"""
 
 ORACLE["best_lag_table"] = _with(P1, P1_LONG, LAGCORR_PAIRS, BEST) + """,
 mx AS (SELECT max(best_lag) AS m FROM best)
-SELECT c.row_idx, b.variable, b.best_lag AS lag, round(l.x, 6) AS value, round(c.revenue, 6) AS revenue
+SELECT c.row_idx, b.variable, b.best_lag AS lag, l.x AS value, c.revenue
 FROM i1 c JOIN best b ON TRUE JOIN l1 l ON l.variable = b.variable AND l.row_idx = c.row_idx - b.best_lag
 WHERE c.row_idx >= (SELECT m FROM mx)"""
 
@@ -180,3 +181,148 @@ def _corr_matrix_spearman_sql() -> str:
 
 
 ORACLE["correlation_matrix_spearman"] = _corr_matrix_spearman_sql()
+
+# ---------------------------------------------------------------- D7-D10
+
+ORACLE["rolling_stats"] = _with(EV) + """
+SELECT row_idx, round(value, 6) AS value,
+       CASE WHEN count(value) OVER w = 20 THEN round(avg(value) OVER w, 6) END AS roll_mean,
+       CASE WHEN count(value) OVER w = 20 THEN round(stddev_samp(value) OVER w, 6) END AS roll_std
+FROM ev WINDOW w AS (ORDER BY row_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"""
+
+ORACLE["rolling_stats_keyed"] = _with(EVK) + """
+SELECT row_idx, user_id, round(value, 6) AS value,
+       CASE WHEN count(value) OVER w = 5 THEN round(avg(value) OVER w, 6) END AS roll_mean,
+       CASE WHEN count(value) OVER w = 5 THEN round(stddev_samp(value) OVER w, 6) END AS roll_std
+FROM evk WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"""
+
+SEQ = """nn AS (SELECT count(*) AS n FROM i1),
+lx AS (SELECT row_idx, 0 AS feature, qty AS value FROM i1 UNION ALL SELECT row_idx, 1, disc FROM i1
+       UNION ALL SELECT row_idx, 2, tax FROM i1),
+ly AS (SELECT row_idx, 0 AS feature, revenue AS value FROM i1),
+smp AS (SELECT row_idx FROM i1 WHERE row_idx <= (SELECT n FROM nn) - 6)"""
+
+ORACLE["sequence_windows"] = _with(P1, SEQ) + """
+SELECT s.row_idx, 'x' AS part, CAST(g.step AS INTEGER) AS step, CAST(l.feature AS INTEGER) AS feature,
+       l.value AS value
+FROM smp s JOIN (SELECT range AS step FROM range(0, 4)) g ON TRUE JOIN lx l ON l.row_idx = s.row_idx + g.step
+UNION ALL
+SELECT s.row_idx, 'y', CAST(g.step AS INTEGER), CAST(l.feature AS INTEGER), l.value
+FROM smp s JOIN (SELECT range AS step FROM range(0, 2)) g ON TRUE JOIN ly l ON l.row_idx = s.row_idx + 4 + g.step"""
+
+ORACLE["decoder_inputs"] = _with(P1, SEQ) + """
+SELECT s.row_idx, 'decoder_in' AS part, CAST(0 AS INTEGER) AS step, CAST(0 AS INTEGER) AS feature,
+       CAST(0 AS DOUBLE) AS value FROM smp s
+UNION ALL
+SELECT s.row_idx, 'decoder_in', CAST(g.step + 1 AS INTEGER), CAST(l.feature AS INTEGER), l.value
+FROM smp s JOIN (SELECT range AS step FROM range(0, 1)) g ON TRUE JOIN ly l ON l.row_idx = s.row_idx + 4 + g.step"""
+
+ORACLE["hankel_snapshots"] = _with(P1, """nn AS (SELECT count(*) AS n FROM i1),
+lm AS (SELECT row_idx, 0 AS f, revenue AS value FROM i1 UNION ALL SELECT row_idx, 1, qty FROM i1),
+hs AS (SELECT row_idx FROM i1 WHERE row_idx < (SELECT n FROM nn) - 3)""") + """
+SELECT h.row_idx, 'x' AS part, CAST(g.t * 2 + l.f AS INTEGER) AS pos, l.value AS value
+FROM hs h JOIN (SELECT range AS t FROM range(0, 3)) g ON TRUE JOIN lm l ON l.row_idx = h.row_idx + g.t
+UNION ALL
+SELECT h.row_idx, 'x_next', CAST(g.t * 2 + l.f AS INTEGER), l.value
+FROM hs h JOIN (SELECT range AS t FROM range(0, 3)) g ON TRUE JOIN lm l ON l.row_idx = h.row_idx + 1 + g.t
+UNION ALL
+SELECT h.row_idx, 'u', CAST(0 AS INTEGER), c.disc FROM hs h JOIN i1 c ON c.row_idx = h.row_idx + 2"""
+
+# ---------------------------------------------------------------- F1, F2, F9, F18-F23
+
+ORACLE["table_info"] = _with(P1) + """
+SELECT CAST(t.position AS INTEGER) AS position, t.variable, t.dtype, (SELECT count(*) FROM i1) AS non_null,
+       (SELECT count(*) FROM i1) AS rows
+FROM (VALUES (0, 'row_idx', 'bigint'), (1, 'qty', 'double'), (2, 'price', 'double'), (3, 'disc', 'double'),
+             (4, 'tax', 'double'), (5, 'n', 'double'), (6, 'revenue', 'double')) t(position, variable, dtype)"""
+
+
+def _describe_sql() -> str:
+    parts = [f"""SELECT '{c}' AS variable, count({c}) AS count, round(avg({c}), 6) AS mean,
+       round(stddev_samp({c}), 6) AS std, round(min({c}), 6) AS min, round(quantile_cont({c}, 0.25), 6) AS p25,
+       round(quantile_cont({c}, 0.5), 6) AS p50, round(quantile_cont({c}, 0.75), 6) AS p75,
+       round(max({c}), 6) AS max FROM i1""" for c in FEATS + ["revenue"]]
+    return _with(P1) + "\nUNION ALL\n".join(parts)
+
+
+ORACLE["describe"] = _describe_sql()
+
+ORACLE["zscore"] = _with(EV) + """
+SELECT row_idx, round(value, 6) AS value,
+       round((value - (SELECT avg(value) FROM ev)) / (SELECT stddev_pop(value) FROM ev), 6) AS z FROM ev"""
+
+ORACLE["histogram"] = _with(EV, """w AS (SELECT min(value) AS lo, max(value) AS hi, (max(value) - min(value)) / 20 AS width
+       FROM ev),
+b AS (SELECT CAST(least(floor((value - lo) / width), 19) AS INTEGER) AS bin, count(*) AS cnt
+      FROM ev JOIN w ON TRUE GROUP BY 1)""") + """
+SELECT CAST(g.bin AS INTEGER) AS bin, round(w.lo + g.bin * w.width, 6) AS lo,
+       round(CASE WHEN g.bin < 19 THEN w.lo + (g.bin + 1) * w.width ELSE w.hi END, 6) AS hi,
+       coalesce(b.cnt, 0) AS count
+FROM (SELECT range AS bin FROM range(0, 20)) g JOIN w ON TRUE LEFT JOIN b ON b.bin = g.bin"""
+
+ORACLE["kde"] = _with(EV, """ps AS (SELECT count(value) AS n, stddev_samp(value) AS sd, min(value) AS lo, max(value) AS hi
+       FROM ev),
+pr AS (SELECT n, sd * pow(n, -0.2) AS h, lo, hi FROM ps),
+gp AS (SELECT range AS point, (lo - 3 * h) + range * (((hi + 3 * h) - (lo - 3 * h)) / 49) AS x, h, n
+       FROM pr JOIN range(0, 50) ON TRUE)""") + """
+SELECT CAST(point AS INTEGER) AS point, round(x, 6) AS x,
+       round(sum(exp(-pow(x - e.value, 2) / (2 * h * h))) / (n * h * sqrt(2 * pi())), 6) AS density
+FROM gp JOIN ev e ON TRUE GROUP BY point, x, h, n"""
+
+ORACLE["trend"] = _with(EV, """wd AS (SELECT CAST(ceil(count(*) / 100.0) AS BIGINT) AS w FROM ev),
+lt AS (SELECT row_idx, variable, v FROM ev UNPIVOT (v FOR variable IN (value, hour)))""") + """
+SELECT variable, CAST(floor(row_idx / w) AS BIGINT) AS point, CAST(floor(row_idx / w) * w AS BIGINT) AS start_idx,
+       round(min(v), 6) AS min, round(avg(v), 6) AS mean, round(max(v), 6) AS max
+FROM lt JOIN wd ON TRUE GROUP BY variable, point, start_idx"""
+
+HASH_U = ("((((((row_idx % 2147483648) * 1103515245 + 12345 + 42) % 2147483648) * 1103515245 + 12345)"
+          " % 2147483648) / 2147483648.0)")
+
+ORACLE["scatter_sample"] = _with(EV) + f"""
+SELECT row_idx, value, hour, user_id FROM ev
+WHERE {HASH_U} < least(1.0, 1000.0 / (SELECT count(*) FROM ev))"""
+
+ORACLE["minmax"] = _with(P1) + """
+SELECT least(min(price), min(revenue)) AS lo, greatest(max(price), max(revenue)) AS hi FROM i1"""
+
+# ---------------------------------------------------------------- G1-G13
+
+
+def _scale_sql(kind: str, d: int = D) -> str:
+    cols = FEATS + ["revenue"]
+    if kind == "minmax":
+        ex = [f"round(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()), {d}) AS {c}" for c in cols]
+    else:
+        ex = [f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), {d}) AS {c}" for c in cols]
+    return _with(P1) + f"SELECT row_idx, {', '.join(ex)} FROM i1"
+
+
+ORACLE["min_max_scale"] = _scale_sql("minmax")
+ORACLE["standard_scale"] = _scale_sql("standard")
+ORACLE["inverse_scale"] = _with(P1) + """
+SELECT row_idx, round(qty, 4) AS qty, round(revenue, 4) AS revenue FROM i1"""
+
+ORACLE["process_features"] = _with(P1, """raw AS (
+  SELECT row_idx, disc * qty AS PT, qty / (tax + 1) AS dT, qty / (n + 1) AS dT2, revenue / (price + 1) AS RR,
+         ln(1 + (1 + qty)) AS Log_top_T, ln(1 + revenue / (price + 1)) * tax AS reflux_times_Ttray6,
+         (qty + tax + n + price) / 4 AS T_all_avg
+  FROM i1)""") + """
+SELECT row_idx,
+""" + ",\n".join(
+    f"  round(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()), 6) AS {a}"
+    for c, a in [("PT", "PT"), ("dT", "dT"), ("dT2", "dT2"), ("RR", "Refux_Ratio"), ("Log_top_T", "Log_top_T"),
+                 ("reflux_times_Ttray6", "reflux_times_Ttray6"), ("T_all_avg", "T_all_avg")]) + "\nFROM raw"
+
+# ---------------------------------------------------------------- H5, G5, G6, B11
+
+ORACLE["split"] = _with(P1) + f"SELECT row_idx, {HASH_U} < CAST(0.3 AS DOUBLE) AS is_test FROM i1"
+
+ORACLE["split_stratified"] = f"""
+WITH e AS (SELECT vec_id, label, {HASH_U.replace('row_idx', 'vec_id')} AS u FROM embeddings)
+SELECT vec_id, label,
+       row_number() OVER (PARTITION BY label ORDER BY u, vec_id) - 1
+         < round(count(*) OVER (PARTITION BY label) * CAST(0.3 AS DOUBLE)) AS is_test
+FROM e"""
+
+ORACLE["chrono_split"] = _with(P1) + """
+SELECT row_idx, row_idx >= floor((SELECT count(*) FROM i1) * CAST(0.7 AS DOUBLE)) AS is_test FROM i1"""

@@ -29,9 +29,16 @@ def register(name: str):
     return deco
 
 
+def round_half_away(c, digits: int = DIGITS):
+    """round(x * 10^d) / 10^d on the binary value: the rounding the SQL oracle applies, so equal
+    doubles round equally in both engines (rounding the decimal text of a double can differ at .5)."""
+    m = float(10 ** digits)
+    return F.round(c * F.lit(m), 0) / F.lit(m)
+
+
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    return df.select(*[F.round(F.col(f.name), digits).alias(f.name)
-                       if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
+    return df.select(*[round_half_away(F.col(f"`{f.name}`"), digits).alias(f.name)
+                       if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`")
                        for f in df.schema.fields])
 
 
@@ -65,33 +72,33 @@ def q_row_index(spark, sf_dir):
 
 @register("lag_table")
 def q_lag_table(spark, sf_dir):
-    return rounded(lagops.lag_table(p1(spark, sf_dir), 3, P1_TARGET, target_lags=2))
+    return lagops.lag_table(p1(spark, sf_dir), 3, P1_TARGET, target_lags=2)
 
 
 @register("lag_table_notebook")
 def q_lag_table_notebook(spark, sf_dir):
-    return rounded(lagops.lag_table(p1(spark, sf_dir), 13, P1_TARGET, mode="notebook"))
+    return lagops.lag_table(p1(spark, sf_dir), 13, P1_TARGET, mode="notebook")
 
 
 @register("multi_lag_table")
 def q_multi_lag_table(spark, sf_dir):
-    return rounded(lagops.multi_lag_table(p1(spark, sf_dir), ["qty", "disc", "tax"], ["revenue", "n"], 2, 1))
+    return lagops.multi_lag_table(p1(spark, sf_dir), ["qty", "disc", "tax"], ["revenue", "n"], 2, 1)
 
 
 @register("lag_table_multi_target")
 def q_lag_table_multi_target(spark, sf_dir):
-    return rounded(lagops.lag_table_multi_target(p1(spark, sf_dir), 2, ["qty", "disc", "tax"], ["revenue", "price"]))
+    return lagops.lag_table_multi_target(p1(spark, sf_dir), 2, ["qty", "disc", "tax"], ["revenue", "price"])
 
 
 @register("lag_table_keyed")
 def q_lag_table_keyed(spark, sf_dir):
     ev = p2(spark, sf_dir, keyed=True).select("row_idx", "user_id", "value", "hour")
-    return rounded(lagops.lag_table(ev, 2, "value", keys=["user_id"], target_lags=1))
+    return lagops.lag_table(ev, 2, "value", keys=["user_id"], target_lags=1)
 
 
 @register("single_lag_tables")
 def q_single_lag_tables(spark, sf_dir):
-    return rounded(lagops.single_lag_tables(p1(spark, sf_dir), P1_TARGET, [0, 5, 13]))
+    return lagops.single_lag_tables(p1(spark, sf_dir), P1_TARGET, [0, 5, 13])
 
 
 # ---------------------------------------------------------------- F3-F8
@@ -119,8 +126,8 @@ def q_best_lag_table(spark, sf_dir):
     wide = lagops.best_lag_table(df, P1_TARGET, best)
     items = [F.struct(F.lit(v).alias("variable"), F.lit(int(k)).alias("lag"), F.col(f"{v}_lag{k}").alias("value"))
              for v, k in best.items() if k is not None]
-    return rounded(wide.select("row_idx", P1_TARGET, F.explode(F.array(*items)).alias("_s"))
-                   .select("row_idx", "_s.variable", "_s.lag", "_s.value", P1_TARGET))
+    return (wide.select("row_idx", P1_TARGET, F.explode(F.array(*items)).alias("_s"))
+            .select("row_idx", "_s.variable", "_s.lag", "_s.value", P1_TARGET))
 
 
 @register("correlation_matrix")
@@ -131,3 +138,149 @@ def q_correlation_matrix(spark, sf_dir):
 @register("correlation_matrix_spearman")
 def q_correlation_matrix_spearman(spark, sf_dir):
     return rounded(corr.correlation_matrix(p1(spark, sf_dir), method="spearman"))
+
+
+# ---------------------------------------------------------------- D7-D10
+
+from ..functions import scale as scl  # noqa: E402
+from ..functions import split as spl  # noqa: E402
+from ..functions import stats as st  # noqa: E402
+from ..operators import rolling as roll  # noqa: E402
+
+
+def _seq(spark, sf_dir):
+    return roll.sequence_windows(p1(spark, sf_dir), ["qty", "disc", "tax"], ["revenue"], 4, 2)
+
+
+def _long_nested(df: DataFrame, col: str, part: str) -> DataFrame:
+    return (df.select("row_idx", F.posexplode(col).alias("step", "_row"))
+            .select("row_idx", F.lit(part).alias("part"), "step", F.posexplode("_row").alias("feature", "value")))
+
+
+@register("rolling_stats")
+def q_rolling_stats(spark, sf_dir):
+    ev = p2(spark, sf_dir).select("row_idx", "value")
+    return rounded(roll.rolling_stats(ev, "value", 20))
+
+
+@register("rolling_stats_keyed")
+def q_rolling_stats_keyed(spark, sf_dir):
+    ev = p2(spark, sf_dir, keyed=True).select("row_idx", "user_id", "value")
+    return rounded(roll.rolling_stats(ev, "value", 5, keys=["user_id"]))
+
+
+@register("sequence_windows")
+def q_sequence_windows(spark, sf_dir):
+    s = _seq(spark, sf_dir)
+    return _long_nested(s, "x", "x").unionByName(_long_nested(s, "y", "y"))
+
+
+@register("decoder_inputs")
+def q_decoder_inputs(spark, sf_dir):
+    s = roll.decoder_inputs(_seq(spark, sf_dir))
+    return _long_nested(s, "decoder_in", "decoder_in")
+
+
+@register("hankel_snapshots")
+def q_hankel_snapshots(spark, sf_dir):
+    h = roll.hankel_snapshots(p1(spark, sf_dir), ["revenue", "qty"], ["disc"], 3)
+    parts = [h.select("row_idx", F.lit(name).alias("part"), F.posexplode(name).alias("pos", "value"))
+             for name in ("x", "x_next", "u")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+# ---------------------------------------------------------------- F1, F2, F9, F18-F23
+
+@register("table_info")
+def q_table_info(spark, sf_dir):
+    return st.table_info(p1(spark, sf_dir))
+
+
+@register("describe")
+def q_describe(spark, sf_dir):
+    return rounded(st.describe(p1(spark, sf_dir)))
+
+
+@register("zscore")
+def q_zscore(spark, sf_dir):
+    return rounded(st.zscore(p2(spark, sf_dir).select("row_idx", "value"), "value"))
+
+
+@register("histogram")
+def q_histogram(spark, sf_dir):
+    return rounded(st.histogram(p2(spark, sf_dir), "value", 20))
+
+
+@register("kde")
+def q_kde(spark, sf_dir):
+    return rounded(st.kde(p2(spark, sf_dir), "value", grid=50))
+
+
+@register("trend")
+def q_trend(spark, sf_dir):
+    return rounded(st.trend(p2(spark, sf_dir), ["value", "hour"], points=100))
+
+
+@register("scatter_sample")
+def q_scatter_sample(spark, sf_dir):
+    ev = p2(spark, sf_dir)
+    return st.scatter_sample(ev, ["value", "hour"], max_points=1000, color="user_id", n=ev.count())
+
+
+@register("minmax")
+def q_minmax(spark, sf_dir):
+    return st.minmax(p1(spark, sf_dir), ["price", "revenue"])
+
+
+# ---------------------------------------------------------------- G1-G13
+
+@register("min_max_scale")
+def q_min_max_scale(spark, sf_dir):
+    return rounded(scl.min_max_scale(p1(spark, sf_dir), P1_FEATURES + [P1_TARGET])[0])
+
+
+@register("standard_scale")
+def q_standard_scale(spark, sf_dir):
+    return rounded(scl.standard_scale(p1(spark, sf_dir), P1_FEATURES + [P1_TARGET])[0])
+
+
+@register("inverse_scale")
+def q_inverse_scale(spark, sf_dir):
+    df = p1(spark, sf_dir)
+    scaled, params = scl.min_max_scale(df, ["revenue", "qty"])
+    return rounded(scl.inverse_scale(scaled, ["revenue", "qty"], params).select("row_idx", "revenue", "qty"), 4)
+
+
+PROCESS_MAP = {"top Temperature": "qty", "top Pressure": "disc", "6th tray Temperature": "tax",
+               "bottom Temperature 1": "n", "bottom Temperature 2": "price", "reflux flow": "revenue",
+               "flow to next process": "price"}
+
+
+@register("process_features")
+def q_process_features(spark, sf_dir):
+    df = p1(spark, sf_dir)
+    named = df.select("row_idx", *[F.col(src).alias(dst) for dst, src in PROCESS_MAP.items()])
+    out, cols = scl.process_features(named)
+    return rounded(out.select("row_idx", *[F.col(f"`{c}`").alias(c.replace(" ", "_")) for c in cols]))
+
+
+# ---------------------------------------------------------------- H5, G5, G6, B11
+
+@register("split")
+def q_split(spark, sf_dir):
+    return spl.split(p1(spark, sf_dir), 0.3, 42).select("row_idx", "is_test")
+
+
+@register("split_stratified")
+def q_split_stratified(spark, sf_dir):
+    _session(spark)
+    e = panels.labelled_vectors(spark, sf_dir).select("vec_id", "label")
+    return spl.split(e, 0.3, 42, stratify="label", key="vec_id").select("vec_id", "label", "is_test")
+
+
+@register("chrono_split")
+def q_chrono_split(spark, sf_dir):
+    df = p1(spark, sf_dir)
+    train, test = spl.chrono_split(df, 0.7)
+    return (train.select("row_idx", F.lit(False).alias("is_test"))
+            .unionByName(test.select("row_idx", F.lit(True).alias("is_test"))))
