@@ -326,3 +326,49 @@ FROM e"""
 
 ORACLE["chrono_split"] = _with(P1) + """
 SELECT row_idx, row_idx >= floor((SELECT count(*) FROM i1) * CAST(0.7 AS DOUBLE)) AS is_test FROM i1"""
+
+# ---------------------------------------------------------------- H-1..H-11
+
+EVL = """lt AS (SELECT * FROM (SELECT row_idx, lag(hour, 1) OVER (ORDER BY row_idx) AS hour_lag1, value FROM ev)
+       WHERE hour_lag1 IS NOT NULL AND value IS NOT NULL)"""
+ZS = """zs AS (SELECT row_idx, CAST(coalesce(abs((value - (SELECT avg(value) FROM lt)) / (SELECT stddev_pop(value) FROM lt))
+                 > 3.0, FALSE) AS INTEGER) AS Zscore FROM lt)"""
+RS = """rs AS (SELECT row_idx, CAST(coalesce(CASE WHEN count(value) OVER w = 20 THEN
+                 value > avg(value) OVER w + 3.0 * stddev_samp(value) OVER w
+                 OR value < avg(value) OVER w - 3.0 * stddev_samp(value) OVER w END, FALSE) AS INTEGER) AS RollingStats
+       FROM lt WINDOW w AS (ORDER BY row_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))"""
+VOTES = """vt AS (SELECT zs.row_idx, Zscore, RollingStats, CAST(Zscore + RollingStats AS INTEGER) AS votes
+       FROM zs JOIN rs ON zs.row_idx = rs.row_idx)"""
+
+ORACLE["anomaly_zscore"] = _with(EV, EVL, ZS) + "SELECT * FROM zs"
+ORACLE["anomaly_rolling"] = _with(EV, EVL, RS) + "SELECT * FROM rs"
+ORACLE["anomaly_votes"] = _with(EV, EVL, ZS, RS, VOTES) + "SELECT * FROM vt"
+ORACLE["flagged"] = _with(EV, EVL, ZS, RS, VOTES) + "SELECT * FROM vt WHERE votes >= 1"
+ORACLE["cleaned"] = _with(EV, EVL, ZS, RS, VOTES) + """
+SELECT row_idx, value, hour FROM ev WHERE row_idx NOT IN (SELECT row_idx FROM vt WHERE votes >= 1)"""
+ORACLE["flagged_points"] = _with(EV, EVL, ZS, RS, VOTES) + """,
+lg AS (SELECT row_idx, 'Zscore' AS method FROM vt WHERE Zscore = 1
+       UNION ALL SELECT row_idx, 'RollingStats' FROM vt WHERE RollingStats = 1
+       UNION ALL SELECT row_idx, 'Combined' FROM vt WHERE votes >= 1)
+SELECT lg.row_idx, lg.method, ev.value FROM lg JOIN ev ON ev.row_idx = lg.row_idx"""
+
+ORACLE["anomaly_linreg"] = _with(P1, """lt AS (SELECT * FROM (SELECT row_idx, lag(price, 1) OVER (ORDER BY row_idx) AS x,
+       revenue AS y FROM i1) WHERE x IS NOT NULL AND y IS NOT NULL),
+cf AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM lt),
+res AS (SELECT row_idx, abs(y - (a + b * x)) AS r FROM lt JOIN cf ON TRUE)""") + """
+SELECT row_idx, CAST(r > (SELECT quantile_cont(r, 0.99) FROM res) AS INTEGER) AS LinReg_Residual FROM res"""
+
+ORACLE["anomaly_lof"] = """
+WITH pts AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_idx, CAST(c_nationkey AS DOUBLE) AS x1,
+                    c_acctbal AS x2 FROM customer),
+d AS (SELECT a.row_idx AS p, b.row_idx AS o, sqrt(pow(a.x1 - b.x1, 2) + pow(a.x2 - b.x2, 2)) AS dist
+      FROM pts a JOIN pts b ON a.row_idx <> b.row_idx),
+nb AS (SELECT p, o, dist FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY dist, o) AS rn FROM d)
+       WHERE rn <= 20),
+kd AS (SELECT p, max(dist) AS kdist FROM nb GROUP BY p),
+rd AS (SELECT nb.p, greatest(nb.dist, kd.kdist) AS reach FROM nb JOIN kd ON kd.p = nb.o),
+lrd AS (SELECT p, 1 / (avg(reach) + 1e-10) AS lrd FROM rd GROUP BY p),
+lof AS (SELECT nb.p, avg(l2.lrd) / l1.lrd AS lof FROM nb JOIN lrd l2 ON l2.p = nb.o JOIN lrd l1 ON l1.p = nb.p
+        GROUP BY nb.p, l1.lrd),
+thr AS (SELECT quantile_cont(-lof, 0.01) AS t FROM lof)
+SELECT p AS row_idx, round(lof, 6) AS lof_score, CAST(-lof < t AS INTEGER) AS LOF FROM lof JOIN thr ON TRUE"""

@@ -284,3 +284,93 @@ def q_chrono_split(spark, sf_dir):
     train, test = spl.chrono_split(df, 0.7)
     return (train.select("row_idx", F.lit(False).alias("is_test"))
             .unionByName(test.select("row_idx", F.lit(True).alias("is_test"))))
+
+
+# ---------------------------------------------------------------- H-1..H-11
+
+from ..operators import anomaly as an  # noqa: E402
+
+
+def _ev_frame(spark, sf_dir):
+    return p2(spark, sf_dir).select("row_idx", "value", "hour")
+
+
+def _ev_lag(spark, sf_dir):
+    return an.anomaly_lag_table(_ev_frame(spark, sf_dir), "value", 1)
+
+
+def _p5(spark, sf_dir):
+    _session(spark)
+    return with_row_index(panels.customer_points(spark, sf_dir), "c_custkey").drop("c_custkey")
+
+
+@register("anomaly_zscore")
+def q_anomaly_zscore(spark, sf_dir):
+    return an.detect_zscore(_ev_lag(spark, sf_dir), "value", 3.0)
+
+
+@register("anomaly_rolling")
+def q_anomaly_rolling(spark, sf_dir):
+    return an.detect_rolling(_ev_lag(spark, sf_dir), "value", 20, 3.0)
+
+
+@register("anomaly_linreg")
+def q_anomaly_linreg(spark, sf_dir):
+    lt = an.anomaly_lag_table(p1(spark, sf_dir).select("row_idx", "price", "revenue"), "revenue", 1)
+    return an.detect_linreg(lt, ["price_lag1"], "revenue", 99)
+
+
+@register("anomaly_lof")
+def q_anomaly_lof(spark, sf_dir):
+    lt = an.anomaly_lag_table(_p5(spark, sf_dir), "c_acctbal", 0)
+    cols = ["c_nationkey_lag0", "c_acctbal"]
+    scores = an.lof_scores(lt, cols, 20)
+    flags = an.detect_lof(lt, cols, 20, 0.01)
+    return rounded(scores.join(flags, "row_idx"))
+
+
+@register("anomaly_pca")
+def q_anomaly_pca(spark, sf_dir):
+    lt = an.anomaly_lag_table(p1(spark, sf_dir), P1_TARGET, 1)
+    return an.detect_pca(lt, [c for c in lt.columns if c != "row_idx"], 0.95, 99)
+
+
+@register("anomaly_pls")
+def q_anomaly_pls(spark, sf_dir):
+    lt = an.anomaly_lag_table(p1(spark, sf_dir), P1_TARGET, 1)
+    return an.detect_pls(lt, [c for c in lt.columns if c not in ("row_idx", P1_TARGET)], P1_TARGET, 99)
+
+
+@register("anomaly_iforest")
+def q_anomaly_iforest(spark, sf_dir):
+    lt = an.anomaly_lag_table(p1(spark, sf_dir), P1_TARGET, 1)
+    return an.detect_iforest(lt, [c for c in lt.columns if c != "row_idx"], 0.01)
+
+
+def _votes(spark, sf_dir):
+    return an.detect_anomalies(_ev_frame(spark, sf_dir), "value", 1, ["zscore", "rolling"])
+
+
+@register("anomaly_votes")
+def q_anomaly_votes(spark, sf_dir):
+    return _votes(spark, sf_dir)
+
+
+@register("flagged")
+def q_flagged(spark, sf_dir):
+    return an.flagged(_votes(spark, sf_dir), 1)
+
+
+@register("cleaned")
+def q_cleaned(spark, sf_dir):
+    return an.drop_anomalies(_ev_frame(spark, sf_dir), _votes(spark, sf_dir), 1)
+
+
+@register("flagged_points")
+def q_flagged_points(spark, sf_dir):
+    return an.flagged_points(_ev_frame(spark, sf_dir), _votes(spark, sf_dir), "value", 1)
+
+
+@register("anomaly_all_methods")
+def q_anomaly_all_methods(spark, sf_dir):
+    return an.detect_anomalies(p1(spark, sf_dir), P1_TARGET, 1, list(an.METHOD_FLAGS))
