@@ -23,23 +23,32 @@ _MAX_COLLECT = 50_000
 
 
 def _order_stats(df: DataFrame, col: str, ranks: Sequence[int], n: int) -> dict[int, float]:
-    """Values at 0-based ranks of the non-NULL values of ``col`` (n of them)."""
+    """Values at 0-based ranks of the non-NULL values of ``col`` (n of them).
+
+    Each rank keeps an open value interval (lo, hi) known to contain it, its
+    rank inside and the rows / distinct values inside.  An interval is
+    resolved on the driver once it holds few distinct values; otherwise
+    ``percentile_approx`` proposes [a, b], rows equal to a or b are counted
+    (the answer may be a or b itself, so a value repeated by a third of all
+    rows is settled at once) and the new interval is (a, b).
+    """
     v = F.col(col).cast("double")
     base = df.select(v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    state = {r: [None, None, r, n] for r in ranks}  # lo, hi (inclusive value bounds), local rank, local n
+    state = {r: [None, None, r, n, n] for r in ranks}
     out: dict[int, float] = {}
-    for _ in range(12):
+
+    def inside(lo, hi):
+        return (F.col("_v") > lo) & (F.col("_v") < hi) if lo is not None else F.lit(True)
+
+    for _ in range(64):
         todo = [r for r in state if r not in out]
         if not todo:
             break
-        small = [r for r in todo if state[r][3] <= _MAX_COLLECT]
+        small = [r for r in todo if min(state[r][3], state[r][4]) <= _MAX_COLLECT]
         wide = [r for r in todo if r not in small]
         for r in small:
-            lo, hi, k, _n = state[r]
-            cond = F.lit(True)
-            if lo is not None:
-                cond = cond & (F.col("_v") >= lo) & (F.col("_v") <= hi)
-            vals = base.filter(cond).groupBy("_v").count().orderBy("_v").collect()
+            lo, hi, k, _m, _d = state[r]
+            vals = base.filter(inside(lo, hi)).groupBy("_v").count().orderBy("_v").collect()
             run = 0
             for row in vals:
                 run += row["count"]
@@ -50,28 +59,44 @@ def _order_stats(df: DataFrame, col: str, ranks: Sequence[int], n: int) -> dict[
             continue
         aggs = []
         for j, r in enumerate(wide):
-            lo, hi, k, m = state[r]
+            lo, hi, k, m, _d = state[r]
             e = math.ceil(m / _ACCURACY) + 1
-            inside = (F.col("_v") >= lo) & (F.col("_v") <= hi) if lo is not None else F.lit(True)
             pl, ph = max(0.0, (k - e) / max(m - 1, 1)), min(1.0, (k + e) / max(m - 1, 1))
-            aggs.append(F.percentile_approx(F.when(inside, F.col("_v")), F.array(F.lit(pl), F.lit(ph)),
+            aggs.append(F.percentile_approx(F.when(inside(lo, hi), F.col("_v")), F.array(F.lit(pl), F.lit(ph)),
                                             _ACCURACY).alias(f"b{j}"))
         bounds = base.agg(*aggs).collect()[0]
         cnts = []
         for j, r in enumerate(wide):
             a, b = bounds[f"b{j}"]
-            lo, hi, _, _ = state[r]
-            inside = (F.col("_v") >= lo) & (F.col("_v") <= hi) if lo is not None else F.lit(True)
-            cnts += [F.count_if(inside & (F.col("_v") < a)).alias(f"lt{j}"),
-                     F.count_if((F.col("_v") >= a) & (F.col("_v") <= b)).alias(f"in{j}")]
+            lo, hi, _, _, _ = state[r]
+            ins = inside(lo, hi)
+            strictly = (F.col("_v") > a) & (F.col("_v") < b)
+            cnts += [F.count_if(ins & (F.col("_v") < a)).alias(f"lt{j}"),
+                     F.count_if(ins & (F.col("_v") == a)).alias(f"ea{j}"),
+                     F.count_if(ins & (F.col("_v") == b)).alias(f"eb{j}"),
+                     F.count_if(strictly).alias(f"in{j}"),
+                     F.approx_count_distinct(F.when(strictly, F.col("_v"))).alias(f"nd{j}")]
         c = base.agg(*cnts).collect()[0]
         for j, r in enumerate(wide):
             a, b = bounds[f"b{j}"]
-            _, _, k, _ = state[r]
-            if a == b:
+            k = state[r][2] - c[f"lt{j}"]
+            ea, eb, inner = c[f"ea{j}"], c[f"eb{j}"], c[f"in{j}"]
+            lo, hi, k0, m0, d0 = state[r]
+            if k < 0:  # below the proposed bracket (sketch error beyond its bound): search (lo, a)
+                state[r] = [lo, a, k0, c[f"lt{j}"], c[f"lt{j}"]]
+            elif k >= ea + inner + eb:  # above it: search (b, hi)
+                rest = m0 - c[f"lt{j}"] - ea - inner - eb
+                state[r] = [b, hi, k - ea - inner - eb, rest, rest]
+            elif k < ea:
                 out[r] = a
-                continue
-            state[r] = [a, b, k - c[f"lt{j}"], c[f"in{j}"]]
+            elif k >= ea + inner:
+                out[r] = b
+            else:
+                # the estimate may be a few per cent low; keep a margin before collecting
+                state[r] = [a, b, k - ea, inner, int(c[f"nd{j}"] * 1.1) + 2]
+    missing = [r for r in state if r not in out]
+    if missing:
+        raise RuntimeError(f"order statistics did not converge for ranks {missing}")
     return out
 
 

@@ -372,3 +372,31 @@ lof AS (SELECT nb.p, avg(l2.lrd) / l1.lrd AS lof FROM nb JOIN lrd l2 ON l2.p = n
         GROUP BY nb.p, l1.lrd),
 thr AS (SELECT quantile_cont(-lof, 0.01) AS t FROM lof)
 SELECT p AS row_idx, round(lof, 6) AS lof_score, CAST(-lof < t AS INTEGER) AS LOF FROM lof JOIN thr ON TRUE"""
+
+KENDALL_PAIRS = """kp AS (
+  SELECT l.variable, g.lag, c.row_idx AS rid, l.x, c.revenue AS y
+  FROM i1 c JOIN (SELECT range AS lag FROM range(0, 3)) g ON TRUE
+  JOIN l1 l ON l.row_idx = c.row_idx - g.lag
+  WHERE l.x IS NOT NULL AND c.revenue IS NOT NULL)"""
+
+ORACLE["lag_corr_kendall"] = _with(P1, P1_LONG, KENDALL_PAIRS) + """
+SELECT a.variable, CAST(a.lag AS INTEGER) AS lag,
+       round(sum(sign(a.x - b.x) * sign(a.y - b.y))
+             / sqrt(CAST(count(*) FILTER (WHERE a.x <> b.x) AS DOUBLE) * count(*) FILTER (WHERE a.y <> b.y)), 6) AS corr
+FROM kp a JOIN kp b ON a.variable = b.variable AND a.lag = b.lag AND a.rid < b.rid
+GROUP BY a.variable, a.lag"""
+
+
+def _kendall_matrix_sql() -> str:
+    cols = ["qty", "disc", "n", "revenue"]
+    parts = []
+    for a in cols:
+        for b in cols:
+            parts.append(f"""SELECT '{a}' AS var1, '{b}' AS var2,
+  round(sum(sign(p.{a} - q.{a}) * sign(p.{b} - q.{b}))
+        / sqrt(CAST(count(*) FILTER (WHERE p.{a} <> q.{a}) AS DOUBLE) * count(*) FILTER (WHERE p.{b} <> q.{b})), 6) AS corr
+FROM i1 p JOIN i1 q ON p.row_idx < q.row_idx""")
+    return _with(P1) + "\nUNION ALL\n".join(parts)
+
+
+ORACLE["correlation_matrix_kendall"] = _kendall_matrix_sql()

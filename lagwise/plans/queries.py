@@ -374,3 +374,13 @@ def q_flagged_points(spark, sf_dir):
 @register("anomaly_all_methods")
 def q_anomaly_all_methods(spark, sf_dir):
     return an.detect_anomalies(p1(spark, sf_dir), P1_TARGET, 1, list(an.METHOD_FLAGS))
+
+
+@register("lag_corr_kendall")
+def q_lag_corr_kendall(spark, sf_dir):
+    return rounded(corr.lag_correlation(p1(spark, sf_dir), P1_TARGET, 3, "kendall"))
+
+
+@register("correlation_matrix_kendall")
+def q_correlation_matrix_kendall(spark, sf_dir):
+    return rounded(corr.correlation_matrix(p1(spark, sf_dir), ["qty", "disc", "n", "revenue"], method="kendall"))
