@@ -38,7 +38,12 @@ def _order_stats(df: DataFrame, col: str, ranks: Sequence[int], n: int) -> dict[
     out: dict[int, float] = {}
 
     def inside(lo, hi):
-        return (F.col("_v") > lo) & (F.col("_v") < hi) if lo is not None else F.lit(True)
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (F.col("_v") > lo)
+        if hi is not None:
+            cond = cond & (F.col("_v") < hi)
+        return cond
 
     for _ in range(64):
         todo = [r for r in state if r not in out]
