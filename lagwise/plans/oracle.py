@@ -400,3 +400,64 @@ FROM i1 p JOIN i1 q ON p.row_idx < q.row_idx""")
 
 
 ORACLE["correlation_matrix_kendall"] = _kendall_matrix_sql()
+
+# ---------------------------------------------------------------- F13-F17, I1-I20
+
+ORACLE["regression_metrics"] = _with(P1) + """
+SELECT round(1 - sum(pow(revenue - price * 0.95, 2)) / (count(revenue) * var_pop(revenue)), 6) AS r2,
+       round(sqrt(avg(pow(revenue - price * 0.95, 2))), 6) AS rmse, count(*) AS n FROM i1"""
+
+ORACLE["residuals"] = _with(P1) + "SELECT row_idx, round(revenue - price * 0.95, 6) AS residual FROM i1"
+
+ORACLE["classification_metrics"] = """
+WITH e AS (SELECT CAST(label AS DOUBLE) AS y,
+                  CAST(CASE WHEN vec_id % 4 = 0 THEN (label + 1) % 10 ELSE label END AS DOUBLE) AS p FROM embeddings),
+cls AS (SELECT y AS c FROM e UNION SELECT p FROM e),
+per AS (SELECT c, (SELECT count(*) FROM e WHERE y = c) AS support, (SELECT count(*) FROM e WHERE p = c) AS npred,
+               (SELECT count(*) FROM e WHERE y = c AND p = c) AS tp FROM cls),
+m AS (SELECT *, CASE WHEN npred > 0 THEN tp / npred ELSE 0 END AS pr,
+             CASE WHEN support > 0 THEN tp / support ELSE 0 END AS rc FROM per),
+f AS (SELECT *, CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0 END AS f1 FROM m)
+SELECT round(sum(tp) / sum(support), 6) AS accuracy, round(sum(pr * support) / sum(support), 6) AS precision,
+       round(sum(rc * support) / sum(support), 6) AS recall, round(sum(f1 * support) / sum(support), 6) AS f1 FROM f"""
+
+
+def _sweep_linear_sql(max_lag: int = 5) -> str:
+    parts = []
+    for k in range(max_lag + 1):
+        x = f"lag(price, {k}) OVER (ORDER BY row_idx)" if k else "price"
+        parts.append(f"""SELECT {k} AS lag, is_test, x, y FROM (
+  SELECT row_idx, {x} AS x, revenue AS y, {HASH_U} < CAST(0.3 AS DOUBLE) AS is_test FROM i1)
+  WHERE x IS NOT NULL AND y IS NOT NULL""")
+    body = "\nUNION ALL\n".join(parts)
+    return _with(P1, f"t AS ({body})", """cf AS (SELECT lag, regr_slope(y, x) AS b, regr_intercept(y, x) AS a
+       FROM t WHERE NOT is_test GROUP BY lag),
+pr AS (SELECT t.lag, t.is_test, t.y, cf.a + cf.b * t.x AS p FROM t JOIN cf ON cf.lag = t.lag),
+mm AS (SELECT lag, is_test, 1 - sum(pow(y - p, 2)) / (count(y) * var_pop(y)) AS r2, sqrt(avg(pow(y - p, 2))) AS rmse
+       FROM pr GROUP BY lag, is_test)""") + """
+SELECT CAST(a.lag AS INTEGER) AS lag, CAST(NULL AS VARCHAR) AS params, round(a.r2, 6) AS train_r2,
+       round(b.r2, 6) AS test_r2, round(a.rmse, 6) AS train_rmse, round(b.rmse, 6) AS test_rmse
+FROM mm a JOIN mm b ON a.lag = b.lag AND NOT a.is_test AND b.is_test"""
+
+
+ORACLE["lag_sweep_linear"] = _sweep_linear_sql(5)
+
+ORACLE["lag_metric_curves"] = _sweep_linear_sql(5).replace(
+    "SELECT CAST(a.lag AS INTEGER) AS lag, CAST(NULL AS VARCHAR) AS params, round(a.r2, 6) AS train_r2,",
+    ", sw AS (SELECT CAST(a.lag AS INTEGER) AS lag, CAST(NULL AS VARCHAR) AS params, a.r2 AS train_r2,").replace(
+    """       round(b.r2, 6) AS test_r2, round(a.rmse, 6) AS train_rmse, round(b.rmse, 6) AS test_rmse
+FROM mm a JOIN mm b ON a.lag = b.lag AND NOT a.is_test AND b.is_test""",
+    """       b.r2 AS test_r2, a.rmse AS train_rmse, b.rmse AS test_rmse
+FROM mm a JOIN mm b ON a.lag = b.lag AND NOT a.is_test AND b.is_test)
+SELECT lag, lag = (SELECT arg_max(lag, test_r2) FROM sw) AS best_r2,
+       lag = (SELECT arg_min(lag, test_rmse) FROM sw) AS best_rmse FROM sw""")
+
+ORACLE["ols_coefficients"] = _with(P1, """s AS (SELECT regr_slope(revenue, price) AS b, regr_intercept(revenue, price) AS a,
+              count(*) AS cnt, avg(price) AS mx, var_pop(price) * count(*) AS sxx FROM i1),
+e AS (SELECT sum(pow(i1.revenue - (s.a + s.b * i1.price), 2)) / (s.cnt - 2) AS s2 FROM i1 JOIN s ON TRUE
+      GROUP BY s.cnt)""") + """
+SELECT 'price' AS variable, round(b, 6) AS coefficient, round(sqrt(s2 / sxx), 6) AS std_err,
+       round(b / sqrt(s2 / sxx), 6) AS t_value FROM s JOIN e ON TRUE
+UNION ALL
+SELECT 'const', round(a, 6), round(sqrt(s2 * (1.0 / cnt + mx * mx / sxx)), 6),
+       round(a / sqrt(s2 * (1.0 / cnt + mx * mx / sxx)), 6) FROM s JOIN e ON TRUE"""

@@ -384,3 +384,147 @@ def q_lag_corr_kendall(spark, sf_dir):
 @register("correlation_matrix_kendall")
 def q_correlation_matrix_kendall(spark, sf_dir):
     return rounded(corr.correlation_matrix(p1(spark, sf_dir), ["qty", "disc", "n", "revenue"], method="kendall"))
+
+
+# ---------------------------------------------------------------- F13-F17, I1-I20
+
+from ..functions import metrics as mt  # noqa: E402
+from ..operators import regression as rg  # noqa: E402
+
+MODEL_FEATURES = ["qty", "disc", "tax", "n"]  # price nearly determines revenue (FIXTURES.md)
+
+
+def _p1_model(spark, sf_dir):
+    return p1(spark, sf_dir).select("row_idx", *MODEL_FEATURES, P1_TARGET)
+
+
+@register("regression_metrics")
+def q_regression_metrics(spark, sf_dir):
+    df = p1(spark, sf_dir).withColumn("prediction", F.col("price") * F.lit(0.95))
+    return rounded(mt.regression_metrics(df, P1_TARGET, "prediction"))
+
+
+@register("residuals")
+def q_residuals(spark, sf_dir):
+    df = p1(spark, sf_dir).withColumn("prediction", F.col("price") * F.lit(0.95))
+    return rounded(mt.residuals(df, P1_TARGET, "prediction").select("row_idx", "residual"))
+
+
+@register("classification_metrics")
+def q_classification_metrics(spark, sf_dir):
+    e = panels.labelled_vectors(spark, sf_dir)
+    pred = F.when(F.col("vec_id") % 4 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return rounded(mt.classification_metrics(e.withColumn("prediction", pred), "label", "prediction"))
+
+
+def _sweep(spark, sf_dir, builder, max_lag=3, grid=None, target_lags=0):
+    res = rg.lag_sweep(_p1_model(spark, sf_dir), P1_TARGET, builder, max_lag=max_lag, grid=grid,
+                       target_lags=target_lags)
+    return rounded(res.results)
+
+
+@register("lag_sweep_linear")
+def q_lag_sweep_linear(spark, sf_dir):
+    df = p1(spark, sf_dir).select("row_idx", "price", P1_TARGET)
+    return rounded(rg.lag_sweep(df, P1_TARGET, rg.builders.linear, max_lag=5).results)
+
+
+@register("lag_sweep_rf")
+def q_lag_sweep_rf(spark, sf_dir):
+    return _sweep(spark, sf_dir, lambda: rg.builders.random_forest(n_estimators=50))
+
+
+@register("lag_sweep_gbt")
+def q_lag_sweep_gbt(spark, sf_dir):
+    return _sweep(spark, sf_dir, lambda: rg.builders.gbt(n_estimators=50))
+
+
+@register("lag_sweep_boosted")
+def q_lag_sweep_boosted(spark, sf_dir):
+    return _sweep(spark, sf_dir, lambda: rg.builders.boosted_sampled(n_estimators=50, subsample=0.8,
+                                                                   colsample_bytree=0.8))
+
+
+@register("lag_sweep_pcr")
+def q_lag_sweep_pcr(spark, sf_dir):
+    return _sweep(spark, sf_dir, lambda: rg.builders.pcr(n_components=0.95), target_lags=1)
+
+
+@register("lag_sweep_rff")
+def q_lag_sweep_rff(spark, sf_dir):
+    return _sweep(spark, sf_dir, rg.builders.rff)
+
+
+@register("lag_sweep_hidden")
+def q_lag_sweep_hidden(spark, sf_dir):
+    return _sweep(spark, sf_dir, rg.builders.random_hidden)
+
+
+@register("grid_search")
+def q_grid_search(spark, sf_dir):
+    return _sweep(spark, sf_dir, rg.builders.gbt, max_lag=1,
+                  grid={"n_estimators": [10, 20], "learning_rate": [0.05, 0.1], "max_depth": [2, 3]})
+
+
+@register("lag_sweep_classifier")
+def q_lag_sweep_classifier(spark, sf_dir):
+    """Classifier branch (I2) on the labelled vectors ordered by vec_id."""
+    _session(spark)
+    e = panels.labelled_vectors(spark, sf_dir)
+    wide = e.select("vec_id", "label", *[F.col("embedding")[i].alias(f"e{i}") for i in range(8)])
+    ix = with_row_index(wide, "vec_id")
+    res = rg.lag_sweep(keep_rows(ix, ix.drop("vec_id")), "label", lambda: rg.builders.random_forest_classifier(
+        n_estimators=20, max_depth=6), max_lag=1)
+    return rounded(res.results)
+
+
+@register("lag_metric_curves")
+def q_lag_metric_curves(spark, sf_dir):
+    df = p1(spark, sf_dir).select("row_idx", "price", P1_TARGET)
+    return rg.lag_metric_curves(rg.lag_sweep(df, P1_TARGET, rg.builders.linear, max_lag=5).results) \
+        .select("lag", "best_r2", "best_rmse")
+
+
+@register("ols_coefficients")
+def q_ols_coefficients(spark, sf_dir):
+    df = p1(spark, sf_dir)
+    return rounded(rg.ols_summary(df, P1_TARGET, ["price"]).select("variable", "coefficient", "std_err", "t_value"))
+
+
+@register("ols_summary")
+def q_ols_summary(spark, sf_dir):
+    return rounded(rg.ols_summary(_p1_model(spark, sf_dir), P1_TARGET, MODEL_FEATURES))
+
+
+@register("tree_importance")
+def q_tree_importance(spark, sf_dir):
+    res = rg.lag_sweep(_p1_model(spark, sf_dir), P1_TARGET, lambda: rg.builders.random_forest(n_estimators=30),
+                       max_lag=1)
+    return rounded(rg.importance(res.best_model, spark))
+
+
+@register("evaluate_regression")
+def q_evaluate_regression(spark, sf_dir):
+    res = rg.lag_sweep(_p1_model(spark, sf_dir), P1_TARGET, rg.builders.linear, max_lag=2)
+    t = lagops.lag_table(_p1_model(spark, sf_dir), res.best_lag, P1_TARGET)
+    out = rg.evaluate_regression(res.best_model, t, P1_TARGET)
+    return rounded(out["histogram"])
+
+
+@register("multi_target_metrics")
+def q_multi_target_metrics(spark, sf_dir):
+    res, _, _, _ = rg.fit_multi_target(p1(spark, sf_dir), ["qty", "disc", "tax"], ["revenue", "n"],
+                                       rg.builders.linear, 1, 1)
+    return rounded(res)
+
+
+@register("multi_lag_sweep")
+def q_multi_lag_sweep(spark, sf_dir):
+    return rounded(rg.multi_lag_sweep(p1(spark, sf_dir), ["qty", "disc", "tax"], ["revenue", "n"],
+                                      rg.builders.linear, max_lag=3))
+
+
+@register("forecast_horizon")
+def q_forecast_horizon(spark, sf_dir):
+    metrics, _ = rg.forecast_horizon(p1(spark, sf_dir), ["qty", "disc", "tax", "revenue"], "revenue", 24, 12)
+    return rounded(metrics)
