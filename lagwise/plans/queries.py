@@ -528,3 +528,29 @@ def q_multi_lag_sweep(spark, sf_dir):
 def q_forecast_horizon(spark, sf_dir):
     metrics, _ = rg.forecast_horizon(p1(spark, sf_dir), ["qty", "disc", "tax", "revenue"], "revenue", 24, 12)
     return rounded(metrics)
+
+
+# ---------------------------------------------------------------- I21-I24
+
+from ..operators import dmdc as dm  # noqa: E402
+
+
+def _dmdc(spark, sf_dir):
+    return dm.fit_dmdc(p1(spark, sf_dir), ["revenue", "qty", "n"], ["disc", "tax"], "revenue",
+                       window=10, rank=8, train_ratio=0.7)
+
+
+@register("dmdc_one_step")
+def q_dmdc_one_step(spark, sf_dir):
+    return rounded(_dmdc(spark, sf_dir).one_step())
+
+
+@register("dmdc_simulate")
+def q_dmdc_simulate(spark, sf_dir):
+    return rounded(_dmdc(spark, sf_dir).simulate(100))
+
+
+@register("dmdc_metrics")
+def q_dmdc_metrics(spark, sf_dir):
+    model = _dmdc(spark, sf_dir)
+    return rounded(model.metrics(model.simulate(100)))
