@@ -461,3 +461,86 @@ SELECT 'price' AS variable, round(b, 6) AS coefficient, round(sqrt(s2 / sxx), 6)
 UNION ALL
 SELECT 'const', round(a, 6), round(sqrt(s2 * (1.0 / cnt + mx * mx / sxx)), 6),
        round(a / sqrt(s2 * (1.0 / cnt + mx * mx / sxx)), 6) FROM s JOIN e ON TRUE"""
+
+# ---------------------------------------------------------------- J1-J12
+
+
+def _cand_u(j: int) -> str:
+    key = f"(((row_idx % 2147483648) * 1000003 + cand * 7919 + {j * 104729 + 42}) % 2147483648)"
+    return f"(((((({key}) * 1103515245 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648) / 2147483648.0)"
+
+
+def _bounds(v: str) -> str:
+    lo = f"greatest(0.0, {v} * CAST(0.95 AS DOUBLE))"
+    hi = f"least(1.0, {v} * CAST(1.05 AS DOUBLE))"
+    return (f"CASE WHEN {lo} >= {hi} THEN greatest(0.0, {v} - CAST(0.05 AS DOUBLE)) ELSE {lo} END AS lo_{v}, "
+            f"CASE WHEN {lo} >= {hi} THEN least(1.0, {v} + CAST(0.05 AS DOUBLE)) ELSE {hi} END AS hi_{v}")
+
+
+def _scaled_p1() -> str:
+    cols = FEATS + ["revenue"]
+    return ("sc AS (SELECT row_idx, " + ", ".join(
+        f"({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) AS {c}" for c in cols) + " FROM i1)")
+
+
+OPT_LT = """lt AS (SELECT * FROM (
+  SELECT row_idx, revenue, n, qty, disc, tax,
+         lag(qty, 1) OVER w AS qty_lag1, lag(disc, 1) OVER w AS disc_lag1, lag(tax, 1) OVER w AS tax_lag1,
+         lag(revenue, 1) OVER w AS revenue_lag1, lag(n, 1) OVER w AS n_lag1
+  FROM sc WINDOW w AS (ORDER BY row_idx)) WHERE qty_lag1 IS NOT NULL)"""
+
+PRED_REV = "((((((0.1 + {q} * 0.6) + {d} * -0.4) + tax * 0.2) + qty_lag1 * 0.1) + revenue_lag1 * 0.3))"
+PRED_N = "((((0.05 + {q} * 0.5) + {d} * 0.25) + n_lag1 * 0.2))"
+
+OPT_BEST = f"""bd AS (SELECT *, {_bounds('qty')}, {_bounds('disc')} FROM lt),
+cd AS (SELECT bd.*, g.cand,
+              CASE WHEN g.cand = 0 THEN qty ELSE lo_qty + {_cand_u(0).replace('cand', 'g.cand')} * (hi_qty - lo_qty) END AS cq,
+              CASE WHEN g.cand = 0 THEN disc ELSE lo_disc + {_cand_u(1).replace('cand', 'g.cand')} * (hi_disc - lo_disc) END AS cdd
+       FROM bd JOIN (SELECT range AS cand FROM range(0, 200)) g ON TRUE),
+ps AS (SELECT row_idx, cand, cq, cdd, {PRED_REV.format(q='cq', d='cdd')} AS pr, {PRED_N.format(q='cq', d='cdd')} AS pn
+       FROM cd),
+best AS (SELECT row_idx, arg_min(cq, (-1.0 * pr, cand)) AS opt_qty, arg_min(cdd, (-1.0 * pr, cand)) AS opt_disc,
+                arg_min(pr, (-1.0 * pr, cand)) AS opt_pred_revenue, arg_min(pn, (-1.0 * pr, cand)) AS opt_pred_n
+         FROM ps GROUP BY row_idx),
+res AS (SELECT lt.row_idx, lt.qty AS init_qty, lt.disc AS init_disc, best.opt_qty, best.opt_disc,
+               {PRED_REV.format(q='lt.qty', d='lt.disc')} AS init_pred_revenue,
+               {PRED_N.format(q='lt.qty', d='lt.disc')} AS init_pred_n, best.opt_pred_revenue, best.opt_pred_n,
+               lt.revenue AS actual_revenue, lt.n AS actual_n
+        FROM lt JOIN best ON best.row_idx = lt.row_idx)"""
+
+_OPT = _with(P1, _scaled_p1(), OPT_LT, OPT_BEST)
+
+ORACLE["optimize_rows"] = _OPT + """
+SELECT row_idx, round(init_qty, 6) AS init_qty, round(init_disc, 6) AS init_disc, round(opt_qty, 6) AS opt_qty,
+       round(opt_disc, 6) AS opt_disc, round(init_pred_revenue, 6) AS init_pred_revenue,
+       round(init_pred_n, 6) AS init_pred_n, round(opt_pred_revenue, 6) AS opt_pred_revenue,
+       round(opt_pred_n, 6) AS opt_pred_n FROM res"""
+
+IMP = """imp AS (SELECT row_idx, init_pred_revenue AS initial, opt_pred_revenue AS optimized,
+              opt_pred_revenue - init_pred_revenue AS improvement,
+              CASE WHEN init_pred_revenue <> 0 THEN (opt_pred_revenue - init_pred_revenue) / init_pred_revenue * 100
+                   ELSE 0 END AS improvement_pct FROM res)"""
+
+ORACLE["improvement_summary"] = _OPT + ",\n" + IMP + """
+SELECT row_idx, round(initial, 6) AS initial, round(optimized, 6) AS optimized, round(improvement, 6) AS improvement,
+       round(improvement_pct, 6) AS improvement_pct FROM imp"""
+
+ORACLE["input_changes"] = _OPT + """
+SELECT 'qty' AS variable, round(avg(CASE WHEN init_qty <> 0 THEN (opt_qty - init_qty) / init_qty * 100 END), 6)
+       AS avg_change_pct FROM res
+UNION ALL
+SELECT 'disc', round(avg(CASE WHEN init_disc <> 0 THEN (opt_disc - init_disc) / init_disc * 100 END), 6) FROM res"""
+
+ORACLE["success_rate"] = _OPT + ",\n" + IMP + """
+SELECT CAST(sum(CAST(improvement > 0 AS INTEGER)) AS BIGINT) AS successful, count(*) AS total,
+       round(avg(CAST(improvement > 0 AS DOUBLE)) * 100, 6) AS success_rate FROM imp"""
+
+ORACLE["state_table"] = _OPT + """
+SELECT row_idx, 'Initial' AS state, round(init_pred_revenue, 6) AS revenue, round(init_pred_n, 6) AS n,
+       round(init_qty, 6) AS qty, round(init_disc, 6) AS disc FROM res
+UNION ALL
+SELECT row_idx, 'Optimized', round(opt_pred_revenue, 6), round(opt_pred_n, 6), round(opt_qty, 6), round(opt_disc, 6)
+FROM res
+UNION ALL
+SELECT row_idx, 'Actual', round(actual_revenue, 6), round(actual_n, 6), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)
+FROM res"""

@@ -554,3 +554,68 @@ def q_dmdc_simulate(spark, sf_dir):
 def q_dmdc_metrics(spark, sf_dir):
     model = _dmdc(spark, sf_dir)
     return rounded(model.metrics(model.simulate(100)))
+
+
+# ---------------------------------------------------------------- J1-J12
+
+from ..operators import optimize as op  # noqa: E402
+
+OPT_PREDICTORS = ["qty", "disc", "tax"]
+OPT_TARGETS = ["revenue", "n"]
+OPT_FREE = ["qty", "disc"]
+# a fixed stand-in scorer per target, so the whole search can be replayed in SQL
+FIXED_SCORER = {
+    "revenue": op.ExprModel(0.1, {"qty": 0.6, "disc": -0.4, "tax": 0.2, "qty_lag1": 0.1, "revenue_lag1": 0.3}),
+    "n": op.ExprModel(0.05, {"qty": 0.5, "disc": 0.25, "n_lag1": 0.2}),
+}
+
+
+def _opt_table(spark, sf_dir):
+    """P1 scaled to [0, 1] (the optimiser's box assumes it), then the D3 table with one lag of each."""
+    df = p1(spark, sf_dir)
+    scaled, _ = scl.min_max_scale(df, P1_FEATURES + [P1_TARGET])
+    return lagops.multi_lag_table(keep_rows(df, scaled), OPT_PREDICTORS, OPT_TARGETS, 1, 1)
+
+
+def _opt_fixed(spark, sf_dir):
+    t = _opt_table(spark, sf_dir)
+    preds = [c for c in t.columns if c not in ("row_idx", *OPT_TARGETS)]
+    res = op.optimize_rows(FIXED_SCORER, t, preds, OPT_TARGETS, "revenue", "Maximize", 0.05, OPT_FREE, budget=200)
+    return op.with_actuals(res, t, OPT_TARGETS)
+
+
+@register("optimize_rows")
+def q_optimize_rows(spark, sf_dir):
+    return rounded(_opt_fixed(spark, sf_dir).drop("actual_revenue", "actual_n"))
+
+
+@register("improvement_summary")
+def q_improvement_summary(spark, sf_dir):
+    return rounded(op.improvement(_opt_fixed(spark, sf_dir), "revenue", "Maximize"))
+
+
+@register("input_changes")
+def q_input_changes(spark, sf_dir):
+    return rounded(op.input_changes(_opt_fixed(spark, sf_dir), OPT_FREE))
+
+
+@register("success_rate")
+def q_success_rate(spark, sf_dir):
+    return rounded(op.success_rate(op.improvement(_opt_fixed(spark, sf_dir), "revenue", "Maximize")))
+
+
+@register("state_table")
+def q_state_table(spark, sf_dir):
+    return rounded(op.state_table(_opt_fixed(spark, sf_dir), OPT_TARGETS, OPT_FREE))
+
+
+@register("optimize_rows_model")
+def q_optimize_rows_model(spark, sf_dir):
+    """J4/J5 with fitted multi-target linear models, two generations."""
+    df = p1(spark, sf_dir)
+    scaled, _ = scl.min_max_scale(df, P1_FEATURES + [P1_TARGET])
+    _, models, feats, t = rg.fit_multi_target(keep_rows(df, scaled), OPT_PREDICTORS, OPT_TARGETS,
+                                              rg.builders.linear, 1, 1)
+    res = op.optimize_rows(models, t, feats, OPT_TARGETS, "revenue", "Minimize", 0.05, OPT_FREE, budget=100,
+                           generations=2, constraints=[{"name": "n", "min": 0.2, "max": 0.9, "weight": 2.0}])
+    return rounded(op.with_actuals(res, t, OPT_TARGETS))
