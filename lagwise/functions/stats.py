@@ -11,7 +11,7 @@ narrowed again inside their own range.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -22,23 +22,27 @@ _ACCURACY = 10_000
 _MAX_COLLECT = 50_000
 
 
-def _order_stats(df: DataFrame, col: str, ranks: Sequence[int], n: int) -> dict[int, float]:
-    """Values at 0-based ranks of the non-NULL values of ``col`` (n of them).
+def _order_stats(df: DataFrame, wanted: Mapping[str, Sequence[int]], counts: Mapping[str, int]):
+    """Values at 0-based ranks of the non-NULL values of several columns: {(col, rank): value}.
 
-    Each rank keeps an open value interval (lo, hi) known to contain it, its
-    rank inside and the rows / distinct values inside.  An interval is
+    Each (column, rank) keeps an open value interval (lo, hi) known to contain
+    it, its rank inside and the rows / distinct values inside.  An interval is
     resolved on the driver once it holds few distinct values; otherwise
     ``percentile_approx`` proposes [a, b], rows equal to a or b are counted
     (the answer may be a or b itself, so a value repeated by a third of all
-    rows is settled at once) and the new interval is (a, b).
+    rows is settled at once) and the new interval is (a, b).  All columns
+    share each pass over a long (variable, value) view.
     """
-    v = F.col(col).cast("double")
-    base = df.select(v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    state = {r: [None, None, r, n, n] for r in ranks}
-    out: dict[int, float] = {}
-
-    def inside(lo, hi):
-        cond = F.lit(True)
+    cols = list(wanted)
+    items = [F.struct(F.lit(i).alias("_c"), F.col(f"`{c}`").cast("double").alias("_v")) for i, c in enumerate(cols)]
+    base = (df.select(F.explode(F.array(*items)).alias("_s")).select("_s._c", "_s._v")
+            .filter(F.col("_v").isNotNull() & ~F.isnan("_v")))
+    cid = {c: i for i, c in enumerate(cols)}
+    state = {(c, r): [None, None, r, counts[c], counts[c]] for c in cols for r in wanted[c]}
+    out: dict = {}
+
+    def inside(c, lo, hi):
+        cond = F.col("_c") == F.lit(cid[c])
         if lo is not None:
             cond = cond & (F.col("_v") > lo)
         if hi is not None:
@@ -46,84 +50,109 @@ def _order_stats(df: DataFrame, col: str, ranks: Sequence[int], n: int) -> dict[
         return cond
 
     for _ in range(64):
-        todo = [r for r in state if r not in out]
+        todo = [key for key in state if key not in out]
         if not todo:
             break
-        small = [r for r in todo if min(state[r][3], state[r][4]) <= _MAX_COLLECT]
-        wide = [r for r in todo if r not in small]
-        for r in small:
-            lo, hi, k, _m, _d = state[r]
-            vals = base.filter(inside(lo, hi)).groupBy("_v").count().orderBy("_v").collect()
-            run = 0
-            for row in vals:
-                run += row["count"]
-                if run > k:
-                    out[r] = row["_v"]
-                    break
+        small = [key for key in todo if min(state[key][3], state[key][4]) <= _MAX_COLLECT]
+        wide = [key for key in todo if key not in small]
+        if small:
+            cond = F.lit(False)
+            for (c, r) in small:
+                cond = cond | inside(c, state[(c, r)][0], state[(c, r)][1])
+            vals = base.filter(cond).groupBy("_c", "_v").count().collect()
+            for (c, r) in small:
+                lo, hi, k, _m, _d = state[(c, r)]
+                mine = sorted((row["_v"], row["count"]) for row in vals if row["_c"] == cid[c]
+                              and (lo is None or row["_v"] > lo) and (hi is None or row["_v"] < hi))
+                run = 0
+                for v, cnt in mine:
+                    run += cnt
+                    if run > k:
+                        out[(c, r)] = v
+                        break
         if not wide:
             continue
         aggs = []
-        for j, r in enumerate(wide):
-            lo, hi, k, m, _d = state[r]
+        for j, (c, r) in enumerate(wide):
+            lo, hi, k, m, _d = state[(c, r)]
             e = math.ceil(m / _ACCURACY) + 1
             pl, ph = max(0.0, (k - e) / max(m - 1, 1)), min(1.0, (k + e) / max(m - 1, 1))
-            aggs.append(F.percentile_approx(F.when(inside(lo, hi), F.col("_v")), F.array(F.lit(pl), F.lit(ph)),
-                                            _ACCURACY).alias(f"b{j}"))
+            aggs.append(F.percentile_approx(F.when(inside(c, lo, hi), F.col("_v")),
+                                            F.array(F.lit(pl), F.lit(ph)), _ACCURACY).alias(f"b{j}"))
         bounds = base.agg(*aggs).collect()[0]
         cnts = []
-        for j, r in enumerate(wide):
+        for j, (c, r) in enumerate(wide):
             a, b = bounds[f"b{j}"]
-            lo, hi, _, _, _ = state[r]
-            ins = inside(lo, hi)
-            strictly = (F.col("_v") > a) & (F.col("_v") < b)
+            lo, hi = state[(c, r)][0], state[(c, r)][1]
+            ins = inside(c, lo, hi)
+            strictly = inside(c, a, b)
             cnts += [F.count_if(ins & (F.col("_v") < a)).alias(f"lt{j}"),
                      F.count_if(ins & (F.col("_v") == a)).alias(f"ea{j}"),
                      F.count_if(ins & (F.col("_v") == b)).alias(f"eb{j}"),
                      F.count_if(strictly).alias(f"in{j}"),
                      F.approx_count_distinct(F.when(strictly, F.col("_v"))).alias(f"nd{j}")]
-        c = base.agg(*cnts).collect()[0]
-        for j, r in enumerate(wide):
+        cc = base.agg(*cnts).collect()[0]
+        for j, key in enumerate(wide):
             a, b = bounds[f"b{j}"]
-            k = state[r][2] - c[f"lt{j}"]
-            ea, eb, inner = c[f"ea{j}"], c[f"eb{j}"], c[f"in{j}"]
-            lo, hi, k0, m0, d0 = state[r]
+            lo, hi, k0, m0, _d = state[key]
+            k = k0 - cc[f"lt{j}"]
+            ea, eb, inner = cc[f"ea{j}"], cc[f"eb{j}"], cc[f"in{j}"]
             if k < 0:  # below the proposed bracket (sketch error beyond its bound): search (lo, a)
-                state[r] = [lo, a, k0, c[f"lt{j}"], c[f"lt{j}"]]
+                state[key] = [lo, a, k0, cc[f"lt{j}"], cc[f"lt{j}"]]
             elif k >= ea + inner + eb:  # above it: search (b, hi)
-                rest = m0 - c[f"lt{j}"] - ea - inner - eb
-                state[r] = [b, hi, k - ea - inner - eb, rest, rest]
+                rest = m0 - cc[f"lt{j}"] - ea - inner - eb
+                state[key] = [b, hi, k - ea - inner - eb, rest, rest]
             elif k < ea:
-                out[r] = a
+                out[key] = a
             elif k >= ea + inner:
-                out[r] = b
+                out[key] = b
             else:
-                # the estimate may be a few per cent low; keep a margin before collecting
-                state[r] = [a, b, k - ea, inner, int(c[f"nd{j}"] * 1.1) + 2]
-    missing = [r for r in state if r not in out]
+                # the distinct estimate may be a few per cent low; keep a margin before collecting
+                state[key] = [a, b, k - ea, inner, int(cc[f"nd{j}"] * 1.1) + 2]
+    missing = [key for key in state if key not in out]
     if missing:
-        raise RuntimeError(f"order statistics did not converge for ranks {missing}")
+        raise RuntimeError(f"order statistics did not converge for {missing}")
     return out
 
 
-def exact_percentiles(df: DataFrame, col: str, probs: Sequence[float], n: int | None = None) -> list[float | None]:
-    """Percentiles with linear interpolation (numpy's default), computed distributively."""
-    if n is None:
-        n = df.filter(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))).count()
-    if n == 0:
-        return [None for _ in probs]
-    need = set()
-    for p in probs:
-        h = (n - 1) * float(p)
-        need |= {math.floor(h), math.ceil(h)}
-    vals = _order_stats(df, col, sorted(need), n)
-    res = []
-    for p in probs:
-        h = (n - 1) * float(p)
-        lo, hi = math.floor(h), math.ceil(h)
-        res.append(vals[lo] + (h - lo) * (vals[hi] - vals[lo]))
+def exact_percentiles_many(df: DataFrame, probs: Mapping[str, Sequence[float]],
+                           counts: Mapping[str, int] | None = None) -> dict[str, list[float | None]]:
+    """Percentiles with linear interpolation (numpy's default) of several columns, computed distributively."""
+    cols = list(probs)
+    if counts is None:
+        one = df.agg(*[F.count(F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.lit(1))).alias(f"n{i}")
+                       for i, c in enumerate(cols)]).collect()[0]
+        counts = {c: int(one[f"n{i}"]) for i, c in enumerate(cols)}
+    wanted = {}
+    for c in cols:
+        n = counts[c]
+        need = set()
+        for p in probs[c]:
+            h = (n - 1) * float(p)
+            need |= {math.floor(h), math.ceil(h)}
+        if n > 0:
+            wanted[c] = sorted(need)
+    vals = _order_stats(df, wanted, counts) if wanted else {}
+    res = {}
+    for c in cols:
+        n = counts[c]
+        row = []
+        for p in probs[c]:
+            if n == 0:
+                row.append(None)
+                continue
+            h = (n - 1) * float(p)
+            lo, hi = math.floor(h), math.ceil(h)
+            row.append(vals[(c, lo)] + (h - lo) * (vals[(c, hi)] - vals[(c, lo)]))
+        res[c] = row
     return res
 
 
+def exact_percentiles(df: DataFrame, col: str, probs: Sequence[float], n: int | None = None) -> list[float | None]:
+    """Percentiles of one column (see ``exact_percentiles_many``)."""
+    return exact_percentiles_many(df, {col: probs}, None if n is None else {col: n})[col]
+
+
 def table_info(df: DataFrame) -> DataFrame:
     """(position, variable, dtype, non_null, rows) in one aggregate."""
     cols = df.columns
@@ -145,12 +174,13 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, exclude: Sequence
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
     one = df.agg(*aggs).collect()[0]
+    counts = {c: int(one[f"n{i}"]) for i, c in enumerate(cols)}
+    qs = exact_percentiles_many(df, {c: [0.25, 0.5, 0.75] for c in cols}, counts)
     rows = []
     for i, c in enumerate(cols):
-        n = int(one[f"n{i}"])
-        q = exact_percentiles(df, c, [0.25, 0.5, 0.75], n=n) if n else [None, None, None]
         s = one[f"s{i}"]
-        rows.append((c, n, one[f"m{i}"], None if s is None or (isinstance(s, float) and math.isnan(s)) else s,
+        q = qs[c]
+        rows.append((c, counts[c], one[f"m{i}"], None if s is None or (isinstance(s, float) and math.isnan(s)) else s,
                      one[f"lo{i}"], q[0], q[1], q[2], one[f"hi{i}"]))
     schema = ("variable string, count long, mean double, std double, min double, p25 double, p50 double, "
               "p75 double, max double")

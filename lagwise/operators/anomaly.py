@@ -311,14 +311,33 @@ def detect_iforest(lt: DataFrame, cols: Sequence[str], contamination: float = 0.
 # ---------------------------------------------------------------- H-4 local outlier factor
 
 def _topk(dist: np.ndarray, keys: np.ndarray, k: int):
-    """Per row of ``dist`` the k smallest (distance, key) pairs, ties by key."""
-    order = np.lexsort((np.broadcast_to(keys, dist.shape), dist), axis=1)[:, :k]
-    return np.take_along_axis(dist, order, axis=1), keys[order]
+    """Per row of ``dist`` the k smallest (distance, key) pairs, ties by key.
+
+    Partition to the k-th distance, then sort only the candidates at or below it.
+    """
+    n, h = dist.shape
+    if h <= k:
+        order = np.lexsort((np.broadcast_to(keys, dist.shape), dist), axis=1)
+        return np.take_along_axis(dist, order, axis=1), keys[order]
+    kth = np.partition(dist, k - 1, axis=1)[:, k - 1:k]
+    r, c = np.nonzero(dist <= kth)
+    d, kk = dist[r, c], keys[c]
+    o = np.lexsort((kk, d, r))
+    r, d, kk = r[o], d[o], kk[o]
+    pos = np.arange(len(r)) - np.searchsorted(r, np.arange(n))[r]
+    sel = pos < k
+    return d[sel].reshape(n, k), kk[sel].reshape(n, k)
 
 
 def knn_exact(lt: DataFrame, cols: Sequence[str], k: int, key: str = ROW_IDX, slab_rows: int = 2048) -> DataFrame:
     """Exact k nearest neighbours (Euclidean, self excluded, ties by key): (key, nbr, dist)."""
     cols = list(cols)
+    # slabs are cut along the widest coordinate: distances do not depend on column order, and a
+    # wide axis keeps each row's k-distance bound inside few slabs
+    var = lt.agg(*[F.var_pop(F.coalesce(F.col(_q(c)).cast("double"), F.lit(0.0))).alias(f"v{i}")
+                   for i, c in enumerate(cols)]).collect()[0]
+    lead = max(range(len(cols)), key=lambda i: var[f"v{i}"] or 0.0)
+    cols = [cols[lead]] + [c for i, c in enumerate(cols) if i != lead]
     vec = F.array(*[F.coalesce(F.col(_q(c)).cast("double"), F.lit(0.0)) for c in cols])
     pts = lt.select(F.col(key).alias("_k"), vec.alias("v")).withColumn("_x0", F.col("v")[0])
     ix = with_row_index(pts, ["_x0", "_k"], name="_si")
@@ -378,10 +397,14 @@ def knn_exact(lt: DataFrame, cols: Sequence[str], k: int, key: str = ROW_IDX, sl
         hx = np.stack(home["v"].to_numpy())
         vk = vis["_k"].to_numpy()
         vx = np.stack(vis["v"].to_numpy())
-        dist = np.sqrt(((vx[:, None, :] - hx[None, :, :]) ** 2).sum(axis=2))
         kk = min(k, len(hk))
-        dd, nn = _topk(dist, hk, kk)
-        return pd.DataFrame({"_k": np.repeat(vk, kk), "nbr": nn.ravel(), "dist": dd.ravel()})
+        outs = []
+        step = max(1, 4_000_000 // max(len(hk), 1))  # bound the distance block held in memory
+        for s0 in range(0, len(vk), step):
+            dist = np.sqrt(((vx[s0:s0 + step, None, :] - hx[None, :, :]) ** 2).sum(axis=2))
+            dd, nn = _topk(dist, hk, kk)
+            outs.append(pd.DataFrame({"_k": np.repeat(vk[s0:s0 + step], kk), "nbr": nn.ravel(), "dist": dd.ravel()}))
+        return pd.concat(outs, ignore_index=True)
 
     far = homes.unionByName(visitors).groupBy("slab").applyInPandas(remote, nb_schema)
     allnb = own.unionByName(far)
@@ -404,11 +427,11 @@ def lof_scores(lt: DataFrame, cols: Sequence[str], k: int = 20, key: str = ROW_I
 
 
 def detect_lof(lt: DataFrame, cols: Sequence[str], k: int = 20, contamination: float = 0.01,
-               idx: str = ROW_IDX) -> DataFrame:
-    """H-4: rows whose -LOF is below the ``contamination`` percentile of -LOF."""
+               idx: str = ROW_IDX, with_score: bool = False) -> DataFrame:
+    """H-4: rows whose -LOF is below the ``contamination`` percentile of -LOF (optionally with the score)."""
     s = durable(lof_scores(lt, cols, k, idx).withColumn("_neg", -F.col("lof_score")))
     thr = _threshold(s, "_neg", 100.0 * float(contamination))
-    return s.select(idx, _flag(F.col("_neg") < F.lit(thr), "LOF"))
+    return s.select(idx, *(["lof_score"] if with_score else []), _flag(F.col("_neg") < F.lit(thr), "LOF"))
 
 
 # ---------------------------------------------------------------- H-8..H-11

@@ -544,3 +544,8 @@ FROM res
 UNION ALL
 SELECT row_idx, 'Actual', round(actual_revenue, 6), round(actual_n, 6), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)
 FROM res"""
+
+ORACLE["csv_roundtrip"] = _with(P1) + """
+SELECT t.variable, t.dtype, (SELECT count(*) FROM p1) AS non_null, (SELECT count(*) FROM p1) AS rows
+FROM (VALUES ('day', 'timestamp'), ('qty', 'double'), ('price', 'double'), ('disc', 'double'), ('tax', 'double'),
+             ('n', 'double'), ('revenue', 'double')) t(variable, dtype)"""

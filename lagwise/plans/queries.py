@@ -324,9 +324,7 @@ def q_anomaly_linreg(spark, sf_dir):
 def q_anomaly_lof(spark, sf_dir):
     lt = an.anomaly_lag_table(_p5(spark, sf_dir), "c_acctbal", 0)
     cols = ["c_nationkey_lag0", "c_acctbal"]
-    scores = an.lof_scores(lt, cols, 20)
-    flags = an.detect_lof(lt, cols, 20, 0.01)
-    return rounded(scores.join(flags, "row_idx"))
+    return rounded(an.detect_lof(lt, cols, 20, 0.01, with_score=True))
 
 
 @register("anomaly_pca")
@@ -619,3 +617,23 @@ def q_optimize_rows_model(spark, sf_dir):
     res = op.optimize_rows(models, t, feats, OPT_TARGETS, "revenue", "Minimize", 0.05, OPT_FREE, budget=100,
                            generations=2, constraints=[{"name": "n", "min": 0.2, "max": 0.9, "weight": 2.0}])
     return rounded(op.with_actuals(res, t, OPT_TARGETS))
+
+
+# ---------------------------------------------------------------- A1-A6
+
+import uuid  # noqa: E402
+
+from ..session import checkpoint_dir  # noqa: E402
+from ..sources import io as sio  # noqa: E402
+
+
+@register("csv_roundtrip")
+def q_csv_roundtrip(spark, sf_dir):
+    """A3 + A1/A2: write the daily panel as CSV to the shared folder, read it back with type inference and
+    datetime coercion; report the columns as read."""
+    _session(spark)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/lagwise-csv-{uuid.uuid4().hex}"
+    daily = panels.daily_panel(spark, sf_dir).withColumn("day", F.date_format("day", "yyyy-MM-dd HH:mm:ss"))
+    sio.write_panel(daily, path)
+    back = sio.read_panel(spark, path, "csv")
+    return st.table_info(back).drop("position")

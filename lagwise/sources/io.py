@@ -58,7 +58,8 @@ def _infer_csv_types(df: DataFrame) -> DataFrame:
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c)
-        aggs += [F.count_if(x.isNotNull() & F.expr(f"try_cast(`{c}` AS BIGINT)").isNull()).alias(f"l{i}"),
+        integral = x.rlike(r"^\s*[+-]?[0-9]+\s*$") & F.expr(f"try_cast(trim(`{c}`) AS BIGINT)").isNotNull()
+        aggs += [F.count_if(x.isNotNull() & ~integral).alias(f"l{i}"),
                  F.count_if(x.isNotNull() & F.expr(f"try_cast(`{c}` AS DOUBLE)").isNull()).alias(f"d{i}"),
                  F.count_if(x.isNotNull() & ~x.isin(BOOL_TOKENS)).alias(f"b{i}"),
                  F.count_if(x.isNull()).alias(f"n{i}")]
@@ -67,7 +68,7 @@ def _infer_csv_types(df: DataFrame) -> DataFrame:
     for i, c in enumerate(cols):
         x = F.col(c)
         if s[f"n{i}"] == 0 and s[f"l{i}"] == 0:
-            out.append(F.expr(f"try_cast(`{c}` AS BIGINT)").alias(c))
+            out.append(F.expr(f"try_cast(trim(`{c}`) AS BIGINT)").alias(c))
         elif s[f"d{i}"] == 0:
             out.append(F.expr(f"try_cast(`{c}` AS DOUBLE)").alias(c))
         elif s[f"n{i}"] == 0 and s[f"b{i}"] == 0:
