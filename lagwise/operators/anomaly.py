@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from ..functions.linalg import linear_expr, moments
 from ..functions.stats import exact_percentiles
 from ..session import durable
-from .index import ROW_IDX, with_row_index
+from .index import ROW_IDX, row_count, with_row_index
 from .lag import lag_table
 from .rolling import rolling_stats
 
@@ -69,14 +69,19 @@ def _numeric(df: DataFrame, exclude: Sequence[str]) -> list[str]:
 
 # ---------------------------------------------------------------- H-1, H-2
 
-def detect_zscore(lt: DataFrame, target: str, threshold: float = 3.0, idx: str = ROW_IDX) -> DataFrame:
-    """H-1: |z| > threshold on the target (population std); a constant target flags nothing."""
+def zscore_flag(lt: DataFrame, target: str, threshold: float = 3.0):
+    """H-1 as a column: |z| > threshold on the target (population std); a constant target flags nothing."""
     y = F.coalesce(F.col(_q(target)).cast("double"), F.lit(0.0))
     m = lt.agg(F.avg(y).alias("mu"), F.stddev_pop(y).alias("sd")).collect()[0]
     if not m["sd"]:
-        return lt.select(idx, F.lit(0).alias("Zscore"))
+        return F.lit(0).alias("Zscore")
     z = (y - F.lit(m["mu"])) / F.lit(m["sd"])
-    return lt.select(idx, _flag(F.abs(z) > F.lit(float(threshold)), "Zscore"))
+    return _flag(F.abs(z) > F.lit(float(threshold)), "Zscore")
+
+
+def detect_zscore(lt: DataFrame, target: str, threshold: float = 3.0, idx: str = ROW_IDX) -> DataFrame:
+    """H-1: (row_idx, Zscore)."""
+    return lt.select(idx, zscore_flag(lt, target, threshold))
 
 
 def detect_rolling(lt: DataFrame, target: str, window: int = 20, threshold: float = 3.0,
@@ -124,25 +129,37 @@ def pca_model(lt: DataFrame, cols: Sequence[str], n_components: float | int = 0.
     return m.mean, std, evecs[:, :k], evals
 
 
-def pca_reconstruction_error(lt: DataFrame, cols: Sequence[str], n_components: float | int = 0.95,
-                             idx: str = ROW_IDX, out: str = "recon_error") -> DataFrame:
+def pca_error_sql(lt: DataFrame, cols: Sequence[str], n_components: float | int = 0.95) -> str:
+    """SQL text of the mean squared reconstruction error of a standardised row (repeated parts are
+    shared by Spark's subexpression elimination)."""
     mean, std, v, _ = pca_model(lt, cols, n_components)
     xs = _scaled_sql(cols, mean, std)
     k = v.shape[1]
-    z = [" + ".join(f"({xs[i]}) * ({float(v[i, j])!r}D)" for i in range(len(cols))) for j in range(k)]
-    proj = lt.selectExpr(_q(idx), *[f"{x} AS _s{i}" for i, x in enumerate(xs)],
-                         *[f"{zj} AS _z{j}" for j, zj in enumerate(z)])
-    rec = [" + ".join(f"_z{j} * ({float(v[i, j])!r}D)" for j in range(k)) for i in range(len(cols))]
-    err = " + ".join(f"pow(_s{i} - ({rec[i]}), 2)" for i in range(len(cols)))
-    return proj.selectExpr(_q(idx), f"({err}) / {len(cols)}D AS {_q(out)}")
+    z = ["(" + " + ".join(f"({xs[i]}) * ({float(v[i, j])!r}D)" for i in range(len(cols))) + ")" for j in range(k)]
+    rec = [" + ".join(f"{z[j]} * ({float(v[i, j])!r}D)" for j in range(k)) for i in range(len(cols))]
+    err = " + ".join(f"pow({xs[i]} - ({rec[i]}), 2)" for i in range(len(cols)))
+    return f"(({err}) / {len(cols)}D)"
+
+
+def pca_reconstruction_error(lt: DataFrame, cols: Sequence[str], n_components: float | int = 0.95,
+                             idx: str = ROW_IDX, out: str = "recon_error") -> DataFrame:
+    return lt.selectExpr(_q(idx), f"{pca_error_sql(lt, cols, n_components)} AS {_q(out)}")
+
+
+def _thresholded(lt: DataFrame, expr, pct: float, name: str):
+    """Flag column ``expr > percentile(expr)`` (the percentile over the rows of ``lt``)."""
+    thr = _threshold(lt.select(expr.alias("_e")), "_e", pct)
+    return _flag(expr > F.lit(thr), name)
+
+
+def pca_flag(lt: DataFrame, cols: Sequence[str], n_components: float | int = 0.95, percentile: float = 99):
+    return _thresholded(lt, F.expr(pca_error_sql(lt, cols, n_components)), percentile, "PCA_Recon")
 
 
 def detect_pca(lt: DataFrame, cols: Sequence[str], n_components: float | int = 0.95, percentile: float = 99,
                idx: str = ROW_IDX) -> DataFrame:
     """H-5: mean squared reconstruction error of standardised rows above the percentile."""
-    err = pca_reconstruction_error(lt, cols, n_components, idx)
-    thr = _threshold(err, "recon_error", percentile)
-    return err.select(idx, _flag(F.col("recon_error") > F.lit(thr), "PCA_Recon"))
+    return lt.select(idx, pca_flag(lt, cols, n_components, percentile))
 
 
 def pls1_coefficients(lt: DataFrame, xcols: Sequence[str], target: str, n_components: int | None = None):
@@ -180,14 +197,19 @@ def pls1_coefficients(lt: DataFrame, xcols: Sequence[str], target: str, n_compon
     return intercept, coef
 
 
+def _residual(lt: DataFrame, xcols, target, b0, b):
+    return F.abs(F.coalesce(F.col(_q(target)).cast("double"), F.lit(0.0)) - linear_expr(xcols, b, b0, fill_null=0.0))
+
+
+def pls_flag(lt: DataFrame, xcols: Sequence[str], target: str, percentile: float = 99):
+    b0, b = pls1_coefficients(lt, xcols, target)
+    return _thresholded(lt, _residual(lt, xcols, target, b0, b), percentile, "PLS_Residual")
+
+
 def detect_pls(lt: DataFrame, xcols: Sequence[str], target: str, percentile: float = 99,
                idx: str = ROW_IDX) -> DataFrame:
     """H-6: |y - PLS1 prediction| above the percentile, min(5, d) components."""
-    b0, b = pls1_coefficients(lt, xcols, target)
-    res = lt.select(idx, F.abs(F.coalesce(F.col(_q(target)).cast("double"), F.lit(0.0))
-                               - linear_expr(xcols, b, b0, fill_null=0.0)).alias("_r"))
-    thr = _threshold(res, "_r", percentile)
-    return res.select(idx, _flag(F.col("_r") > F.lit(thr), "PLS_Residual"))
+    return lt.select(idx, pls_flag(lt, xcols, target, percentile))
 
 
 def ols_coefficients(lt: DataFrame, xcols: Sequence[str], target: str):
@@ -197,14 +219,15 @@ def ols_coefficients(lt: DataFrame, xcols: Sequence[str], target: str):
     return ols_from_moments(m, list(range(d)), d)
 
 
+def linreg_flag(lt: DataFrame, xcols: Sequence[str], target: str, percentile: float = 99):
+    b0, b = ols_coefficients(lt, xcols, target)
+    return _thresholded(lt, _residual(lt, xcols, target, b0, b), percentile, "LinReg_Residual")
+
+
 def detect_linreg(lt: DataFrame, xcols: Sequence[str], target: str, percentile: float = 99,
                   idx: str = ROW_IDX) -> DataFrame:
     """H-7: |y - OLS prediction| above the percentile."""
-    b0, b = ols_coefficients(lt, xcols, target)
-    res = lt.select(idx, F.abs(F.coalesce(F.col(_q(target)).cast("double"), F.lit(0.0))
-                               - linear_expr(xcols, b, b0, fill_null=0.0)).alias("_r"))
-    thr = _threshold(res, "_r", percentile)
-    return res.select(idx, _flag(F.col("_r") > F.lit(thr), "LinReg_Residual"))
+    return lt.select(idx, linreg_flag(lt, xcols, target, percentile))
 
 
 # ---------------------------------------------------------------- H-3 isolation forest
@@ -252,13 +275,19 @@ def isolation_forest_scores(lt: DataFrame, cols: Sequence[str], n_trees: int = 1
     psi = int(min(max_samples, n))
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
     p = min(1.0, 3.0 * psi / max(n, 1))
+    pre = min(1.0, p * n_trees)
     vec = F.array(*[F.coalesce(F.col(_q(c)).cast("double"), F.lit(0.0)) for c in cols])
-    # each row joins tree t when its hash for t is small; per tree the psi smallest hashes are kept
-    cand = (lt.select(idx, vec.alias("v"))
+
+    def unit(*cols_):
+        return F.pmod(F.xxhash64(*cols_), F.lit(1 << 30)).cast("double") / F.lit(float(1 << 30))
+
+    # a row joins tree t with probability p: one hash pre-selects rows with probability min(1, p * trees),
+    # a second hash per tree keeps them with probability p / pre; per tree the psi smallest hashes are kept
+    cand = (lt.filter(unit(F.col(idx), F.lit(seed), F.lit(-1)) < F.lit(pre))
+            .select(idx, vec.alias("v"))
             .select(idx, "v", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
-            .withColumn("_u", F.pmod(F.xxhash64(F.col(idx), F.col("tree"), F.lit(seed)), F.lit(1 << 30))
-                        .cast("double") / F.lit(float(1 << 30)))
-            .filter(F.col("_u") < F.lit(p)))
+            .withColumn("_u", unit(F.col(idx), F.col("tree"), F.lit(seed)))
+            .filter(F.col("_u") < F.lit(p / pre)))
     d = len(cols)
     schema = "tree int, node int, feat int, thr double, left int, right int, size long"
 
@@ -341,7 +370,8 @@ def knn_exact(lt: DataFrame, cols: Sequence[str], k: int, key: str = ROW_IDX, sl
     vec = F.array(*[F.coalesce(F.col(_q(c)).cast("double"), F.lit(0.0)) for c in cols])
     pts = lt.select(F.col(key).alias("_k"), vec.alias("v")).withColumn("_x0", F.col("v")[0])
     ix = with_row_index(pts, ["_x0", "_k"], name="_si")
-    S = max(int(slab_rows), 4 * k)
+    # slab rows grow with n so the slab-bounds table stays small (<= 200k slabs)
+    S = max(int(slab_rows), 4 * k, -(-row_count(ix, "_si") // 200_000))
     slabbed = ix.withColumn("slab", F.floor(F.col("_si") / F.lit(S)).cast("long")).drop("_si")
     bounds = slabbed.groupBy("slab").agg(F.min("_x0").alias("lo"), F.max("_x0").alias("hi")).orderBy("slab").collect()
     b_slab = np.array([r["slab"] for r in bounds])
@@ -352,13 +382,19 @@ def knn_exact(lt: DataFrame, cols: Sequence[str], k: int, key: str = ROW_IDX, sl
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = pdf["_k"].to_numpy()
         x = np.stack(pdf["v"].to_numpy())
-        dist = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
-        np.fill_diagonal(dist, np.inf)
         kk = min(k, len(keys) - 1)
         if kk <= 0:
             return pd.DataFrame({"_k": [], "nbr": [], "dist": []})
-        dd, nn = _topk(dist, keys, kk)
-        return pd.DataFrame({"_k": np.repeat(keys, kk), "nbr": nn.ravel(), "dist": dd.ravel()})
+        outs = []
+        step = max(1, 4_000_000 // max(len(keys), 1))  # bound the distance block held in memory
+        for s0 in range(0, len(keys), step):
+            dist = np.sqrt(((x[s0:s0 + step, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+            rows_ = np.arange(dist.shape[0])
+            dist[rows_, s0 + rows_] = np.inf  # not its own neighbour
+            dd, nn = _topk(dist, keys, kk)
+            outs.append(pd.DataFrame({"_k": np.repeat(keys[s0:s0 + step], kk), "nbr": nn.ravel(),
+                                      "dist": dd.ravel()}))
+        return pd.concat(outs, ignore_index=True)
 
     own = durable(slabbed.groupBy("slab").applyInPandas(local, nb_schema))
     # bound on the k-distance of each row from its own slab (infinite when the slab is too small)
@@ -459,18 +495,23 @@ def detect_anomalies(df: DataFrame, target: str, lag: int = 0, methods: Sequence
     allc = [c for c in lt.columns if c not in (idx, *keys)]
     xcols = [c for c in allc if c != target]
     pct = prm["recon_error_percentile"]
-    parts = {
-        "zscore": lambda: detect_zscore(lt, target, prm["z_threshold"], idx),
+    # detectors that are row expressions become columns of one projection (no join) ...
+    columns = {
+        "zscore": lambda: zscore_flag(lt, target, prm["z_threshold"]),
+        "pca": lambda: pca_flag(lt, allc, prm["pca_components"], pct),
+        "pls": lambda: pls_flag(lt, xcols, target, pct),
+        "lin_reg": lambda: linreg_flag(lt, xcols, target, pct),
+    }
+    # ... the window / model / neighbour detectors are joined on the index
+    joined = {
         "rolling": lambda: detect_rolling(lt, target, int(prm["rolling_window"]), prm["z_threshold"], idx),
         "iso_forest": lambda: detect_iforest(lt, allc, prm["iso_contamination"], idx=idx),
         "lof": lambda: detect_lof(lt, allc, int(prm["lof_neighbors"]), prm["lof_contamination"], idx),
-        "pca": lambda: detect_pca(lt, allc, prm["pca_components"], pct, idx),
-        "pls": lambda: detect_pls(lt, xcols, target, pct, idx),
-        "lin_reg": lambda: detect_linreg(lt, xcols, target, pct, idx),
     }
-    out = lt.select(idx)
+    out = lt.select(idx, *[columns[m]() for m in methods if m in columns])
     for m in methods:
-        out = out.join(parts[m](), idx, "left")
+        if m in joined:
+            out = out.join(joined[m](), idx, "left")
     flags = [METHOD_FLAGS[m] for m in methods]
     out = out.select(idx, *[F.coalesce(F.col(f), F.lit(0)).alias(f) for f in flags])
     votes = F.lit(0)
