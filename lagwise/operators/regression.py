@@ -61,6 +61,11 @@ class Fitted:
     kind: str = "regressor"
 
     def transform(self, df: DataFrame) -> DataFrame:
+        if self.model is None:  # a linear model solved from moments: one column expression
+            e = F.lit(float(self.intercept or 0.0))
+            for c in self.features:
+                e = e + F.col(q(c)).cast("double") * F.lit(float(self.coefficients[c]))
+            return df.withColumn("prediction", e)
         src = df
         inputs = self.features
         if self.expr_features is not None:
@@ -325,6 +330,57 @@ def all_lags_frame(df: DataFrame, target: str, max_lag: int, drop: Sequence[str]
     return keep_rows(df, durable(out.select(*dict.fromkeys(out.columns)))), preds
 
 
+def _linear_sweep(wide: DataFrame, colsets: Mapping[int, list[str]], target: str, test_size: float, seed: int,
+                  idx: str):
+    """OLS for every lag from three passes over a long (lag, x, y) view (H4): train means per lag, centred
+    cross-products per lag, then train/test metrics per lag.  Returns ({lag: Fitted}, {lag: metrics})."""
+    lags = sorted(colsets)
+    d = len(colsets[lags[0]])
+    items = [F.struct(F.lit(k).alias("lag"), F.array(*[F.col(q(c)).cast("double") for c in colsets[k]]).alias("x"))
+             for k in lags]
+    long = (wide.select(F.col(q(target)).cast("double").alias("y"),
+                        (hash_uniform(idx, seed) < F.lit(float(test_size))).alias("is_test"),
+                        F.explode(F.array(*items)).alias("_s"))
+            .select("_s.lag", "_s.x", "y", "is_test")
+            .filter(F.col("y").isNotNull() & ~F.exists("x", lambda v: v.isNull())))
+    train = long.filter(~F.col("is_test"))
+    first = train.groupBy("lag").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("my"),
+                                     *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(d)]).collect()
+    mu = {r["lag"]: ([r[f"m{i}"] for i in range(d)], r["my"], r["n"]) for r in first}
+    mx = F.element_at(F.array(*[F.array(*[F.lit(float(v)) for v in mu.get(k, ([0.0] * d, 0, 0))[0]])
+                                for k in lags]), F.col("lag") + 1)
+    my = F.element_at(F.array(*[F.lit(float(mu.get(k, (None, 0.0, 0))[1] or 0.0)) for k in lags]), F.col("lag") + 1)
+    z = [F.col("x")[i] - F.element_at(mx, i + 1) for i in range(d)]
+    zy = F.col("y") - my
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    second = train.groupBy("lag").agg(*[F.sum(z[i] * z[j]).alias(f"c{i}_{j}") for i, j in pairs],
+                                      *[F.sum(z[i] * zy).alias(f"y{i}") for i in range(d)]).collect()
+    fitted = {}
+    for r in second:
+        k = r["lag"]
+        sxx = np.zeros((d, d))
+        for i, j in pairs:
+            sxx[i, j] = sxx[j, i] = r[f"c{i}_{j}"]
+        sxy = np.array([r[f"y{i}"] for i in range(d)])
+        beta = np.linalg.lstsq(sxx, sxy, rcond=None)[0]
+        b0 = float(mu[k][1] - np.array(mu[k][0]) @ beta)
+        fitted[k] = Fitted(list(colsets[k]), None, coefficients=dict(zip(colsets[k], beta.tolist())), intercept=b0)
+    coef = F.element_at(F.array(*[F.array(*[F.lit(float(fitted[k].coefficients[c])) for c in colsets[k]])
+                                  if k in fitted else F.array(*[F.lit(0.0)] * d) for k in lags]), F.col("lag") + 1)
+    icpt = F.element_at(F.array(*[F.lit(float(fitted[k].intercept if k in fitted else 0.0)) for k in lags]),
+                        F.col("lag") + 1)
+    pred = icpt
+    for i in range(d):
+        pred = pred + F.col("x")[i] * F.element_at(coef, i + 1)
+    scored = long.withColumn("prediction", pred)
+    metrics = {}
+    for r in scored.groupBy("lag", "is_test").agg(r2_expr("y").alias("r2"), rmse_expr("y").alias("rmse")).collect():
+        part = "test" if r["is_test"] else "train"
+        metrics.setdefault(r["lag"], {})[f"{part}_r2"] = r["r2"]
+        metrics[r["lag"]][f"{part}_rmse"] = r["rmse"]
+    return fitted, metrics
+
+
 def lag_sweep(df: DataFrame, target: str, builder: Callable[[], ModelSpec], max_lag: int = 23,
               test_size: float = 0.3, grid: Mapping | None = None, drop: Sequence[str] = (), target_lags: int = 0,
               seed: int = 42, folds: int = 3, keys: Sequence[str] = (), idx: str = ROW_IDX,
@@ -333,8 +389,17 @@ def lag_sweep(df: DataFrame, target: str, builder: Callable[[], ModelSpec], max_
     wide, preds = all_lags_frame(df, target, max_lag, drop, target_lags, keys, idx)
     spark = df.sparkSession
     rows, models = [], {}
-    kind = builder().kind
-    for lag in range(int(max_lag) + 1):
+    spec0 = builder()
+    kind = spec0.kind
+    colsets = {lag: list(dict.fromkeys([f"{c}_lag{lag}" for c in preds]
+                                       + [f"{target}_lag{i}" for i in range(1, int(target_lags) + 1)]))
+               for lag in range(int(max_lag) + 1)}
+    if isinstance(spec0, SparkMLSpec) and spec0.name == "linear" and not grid:
+        # linear case: every lag from the same three aggregate passes
+        models, met = _linear_sweep(wide, colsets, target, test_size, seed, idx)
+        rows = [(lag, None, met[lag].get("train_r2"), met[lag].get("test_r2"), met[lag].get("train_rmse"),
+                 met[lag].get("test_rmse")) for lag in sorted(models)]
+    for lag in ([] if rows else range(int(max_lag) + 1)):
         cols = list(dict.fromkeys([f"{c}_lag{lag}" for c in preds]
                                   + [f"{target}_lag{i}" for i in range(1, int(target_lags) + 1)]))
         t = wide.select(idx, *[q(c) for c in cols], q(target)).dropna()
