@@ -549,3 +549,41 @@ ORACLE["csv_roundtrip"] = _with(P1) + """
 SELECT t.variable, t.dtype, (SELECT count(*) FROM p1) AS non_null, (SELECT count(*) FROM p1) AS rows
 FROM (VALUES ('day', 'timestamp'), ('qty', 'double'), ('price', 'double'), ('disc', 'double'), ('tax', 'double'),
              ('n', 'double'), ('revenue', 'double')) t(variable, dtype)"""
+
+ORACLE["improvement_histogram"] = _OPT + ",\n" + IMP + """,
+w AS (SELECT min(improvement) AS lo, max(improvement) AS hi, least(10, count(*)) AS nb FROM imp),
+w2 AS (SELECT CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS lo, CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS hi, nb
+       FROM w),
+w3 AS (SELECT lo, hi, nb, (hi - lo) / nb AS width FROM w2),
+b AS (SELECT CAST(least(floor((improvement - lo) / width), nb - 1) AS INTEGER) AS bin, count(*) AS cnt
+      FROM imp JOIN w3 ON TRUE GROUP BY 1)
+SELECT CAST(g.bin AS INTEGER) AS bin, round(w3.lo + g.bin * w3.width, 6) AS lo,
+       round(CASE WHEN g.bin < w3.nb - 1 THEN w3.lo + (g.bin + 1) * w3.width ELSE w3.hi END, 6) AS hi,
+       coalesce(b.cnt, 0) AS count
+FROM w3 JOIN (SELECT range AS bin FROM range(0, 10)) g ON g.bin < w3.nb LEFT JOIN b ON b.bin = g.bin"""
+
+ORACLE["skipped_rows"] = _with(P1) + "SELECT row_idx FROM i1 WHERE row_idx < 1"
+
+
+def _pair_hist_sql() -> str:
+    parts = []
+    for c in FEATS + ["revenue"]:
+        parts.append(f"""SELECT '{c}' AS variable, CAST(g.bin AS INTEGER) AS bin, round(w.lo + g.bin * w.width, 6) AS lo,
+       round(CASE WHEN g.bin < 19 THEN w.lo + (g.bin + 1) * w.width ELSE w.hi END, 6) AS hi,
+       coalesce(b.cnt, 0) AS count
+FROM (SELECT min({c}) AS lo, max({c}) AS hi, (max({c}) - min({c})) / 20 AS width FROM i1) w
+JOIN (SELECT range AS bin FROM range(0, 20)) g ON TRUE
+LEFT JOIN (SELECT CAST(least(floor(({c} - w0.lo) / w0.width), 19) AS INTEGER) AS bin, count(*) AS cnt
+           FROM i1 JOIN (SELECT min({c}) AS lo, (max({c}) - min({c})) / 20 AS width FROM i1) w0 ON TRUE
+           GROUP BY 1) b ON b.bin = g.bin""")
+    return _with(P1) + "\nUNION ALL\n".join(parts)
+
+
+ORACLE["pair_plot_hist"] = _pair_hist_sql()
+
+ORACLE["scatter_3d"] = _with(P1) + f"""
+SELECT row_idx, qty, disc, tax, revenue FROM i1 WHERE {HASH_U} < least(1.0, 1000.0 / (SELECT count(*) FROM i1))"""
+
+ORACLE["preview"] = _with(P1) + """
+SELECT * FROM (SELECT row_idx, """ + ", ".join(f"{lag(f, 3)} AS {f}_lag3" for f in FEATS) + """, revenue FROM i1)
+WHERE qty_lag3 IS NOT NULL ORDER BY row_idx LIMIT 5"""

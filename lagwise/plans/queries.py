@@ -637,3 +637,36 @@ def q_csv_roundtrip(spark, sf_dir):
     sio.write_panel(daily, path)
     back = sio.read_panel(spark, path, "csv")
     return st.table_info(back).drop("position")
+
+
+@register("improvement_histogram")
+def q_improvement_histogram(spark, sf_dir):
+    """Histogram of the optimised target's improvements, min(10, rows) bins."""
+    return rounded(op.improvement_histogram(op.improvement(_opt_fixed(spark, sf_dir), "revenue", "Maximize")))
+
+
+@register("skipped_rows")
+def q_skipped_rows(spark, sf_dir):
+    """Rows asked for (every panel row) that have no lag data, so the optimiser skips them."""
+    df = p1(spark, sf_dir)
+    return op.skipped_rows(df.select("row_idx"), _opt_table(spark, sf_dir))
+
+
+@register("pair_plot_hist")
+def q_pair_plot_hist(spark, sf_dir):
+    """per-variable histograms of the pair-plot data (numeric columns <= 15)."""
+    _, hists = st.pair_plot_data(p1(spark, sf_dir), P1_FEATURES + [P1_TARGET], bins=20)
+    return rounded(hists)
+
+
+@register("scatter_3d")
+def q_scatter_3d(spark, sf_dir):
+    """three axes and a colour column, bounded hash sample."""
+    df = p1(spark, sf_dir)
+    return st.scatter_sample(df, ["qty", "disc", "tax"], max_points=1000, color="revenue", n=df.count())
+
+
+@register("preview")
+def q_preview(spark, sf_dir):
+    """The first five rows of the lag table in index order (the limit is the feature)."""
+    return sio.preview(lagops.lag_table(p1(spark, sf_dir), 3, P1_TARGET), 5)
