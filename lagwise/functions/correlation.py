@@ -61,8 +61,12 @@ def pearson_long(pairs: DataFrame, group: Sequence[str]) -> DataFrame:
 def spearman_long(pairs: DataFrame, group: Sequence[str]) -> DataFrame:
     """Pearson on average ranks, ranks taken inside each group."""
     group = list(group)
-    rx = average_rank(pairs, "x", group, out="rx")
-    ry = average_rank(pairs, "y", group, out="ry")
+    # both sides ranked in one pass over a stacked (group, side, value) frame
+    sides = (pairs.select(*group, F.lit(0).alias("_side"), F.col("x").alias("_v"))
+             .unionByName(pairs.select(*group, F.lit(1).alias("_side"), F.col("y").alias("_v"))))
+    ranks = average_rank(sides, "_v", [*group, "_side"], out="_r")
+    rx = ranks.filter(F.col("_side") == 0).select(*group, F.col("_v").alias("x"), F.col("_r").alias("rx"))
+    ry = ranks.filter(F.col("_side") == 1).select(*group, F.col("_v").alias("y"), F.col("_r").alias("ry"))
     ranked = pairs.join(rx, [*group, "x"]).join(ry, [*group, "y"])
     return ranked.groupBy(*group).agg(_clean(F.corr("rx", "ry")).alias("corr"))
 
