@@ -316,3 +316,10 @@ def pair_plot_data(df: DataFrame, cols: Sequence[str] | None = None, max_points:
 def to_double(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast(T.DoubleType()).alias(c) if c in cols else F.col(f"`{c}`")
                        for c in df.columns])
+
+
+def last_row(df: DataFrame, idx: str = ROW_IDX) -> DataFrame:
+    """The row with the largest index (one aggregate, no sort)."""
+    cols = [c for c in df.columns if c != idx]
+    rec = F.max_by(F.struct(*[F.col(f"`{c}`") for c in cols]), F.col(idx)).alias("_r")
+    return df.agg(F.max(idx).alias(idx), rec).select(idx, *[F.col(f"_r.`{c}`").alias(c) for c in cols])

@@ -587,3 +587,17 @@ SELECT row_idx, qty, disc, tax, revenue FROM i1 WHERE {HASH_U} < least(1.0, 1000
 ORACLE["preview"] = _with(P1) + """
 SELECT * FROM (SELECT row_idx, """ + ", ".join(f"{lag(f, 3)} AS {f}_lag3" for f in FEATS) + """, revenue FROM i1)
 WHERE qty_lag3 IS NOT NULL ORDER BY row_idx LIMIT 5"""
+
+ORACLE["lag_optimised_corr"] = _with(P1, P1_LONG, LAGCORR_PAIRS, BEST) + """,
+mx AS (SELECT max(best_lag) AS m FROM best),
+lo AS (SELECT c.row_idx, b.variable || '_lag' || CAST(b.best_lag AS VARCHAR) AS v, l.x AS value
+       FROM i1 c JOIN best b ON TRUE JOIN l1 l ON l.variable = b.variable AND l.row_idx = c.row_idx - b.best_lag
+       WHERE c.row_idx >= (SELECT m FROM mx)
+       UNION ALL
+       SELECT row_idx, 'revenue', revenue FROM i1 WHERE row_idx >= (SELECT m FROM mx))
+SELECT a.v AS var1, b.v AS var2, round(corr(a.value, b.value), 6) AS corr
+FROM lo a JOIN lo b ON a.row_idx = b.row_idx GROUP BY a.v, b.v"""
+
+ORACLE["last_row"] = _with(P1) + """
+SELECT * FROM (SELECT row_idx, """ + ", ".join(f"{lag(f, 1)} AS {f}_lag1" for f in FEATS) + """, revenue FROM i1)
+ORDER BY row_idx DESC LIMIT 1"""

@@ -670,3 +670,17 @@ def q_scatter_3d(spark, sf_dir):
 def q_preview(spark, sf_dir):
     """The first five rows of the lag table in index order (the limit is the feature)."""
     return sio.preview(lagops.lag_table(p1(spark, sf_dir), 3, P1_TARGET), 5)
+
+
+@register("lag_optimised_corr")
+def q_lag_optimised_corr(spark, sf_dir):
+    """D5 + F7: Pearson correlation matrix of the table where each variable has its own best lag."""
+    df = p1(spark, sf_dir)
+    best = corr.best_lags_dict(corr.lag_correlation(df, P1_TARGET, 24, "pearson"))
+    return rounded(corr.correlation_matrix(lagops.best_lag_table(df, P1_TARGET, best)))
+
+
+@register("last_row")
+def q_last_row(spark, sf_dir):
+    """The last row of the lag table (the optimiser's default initial point)."""
+    return st.last_row(lagops.lag_table(p1(spark, sf_dir), 1, P1_TARGET))
