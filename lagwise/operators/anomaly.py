@@ -85,15 +85,15 @@ def detect_zscore(lt: DataFrame, target: str, threshold: float = 3.0, idx: str =
 
 
 def detect_rolling(lt: DataFrame, target: str, window: int = 20, threshold: float = 3.0,
-                   idx: str = ROW_IDX) -> DataFrame:
+                   idx: str = ROW_IDX, keys: Sequence[str] = ()) -> DataFrame:
     """H-2: target outside mean +- threshold * std of its rolling window (incomplete window -> 0).
 
     The window runs over the rows of the lag table in order, so the table is
     re-indexed densely first (rows dropped for NULLs leave no gaps).
     """
     y = F.coalesce(F.col(_q(target)).cast("double"), F.lit(0.0))
-    base = with_row_index(lt.select(idx, y.alias("_y")), idx, name="_pos")
-    r = rolling_stats(base, "_y", int(window), idx="_pos")
+    base = with_row_index(lt.select(idx, *keys, y.alias("_y")), idx, name="_pos")
+    r = rolling_stats(base, "_y", int(window), keys=keys, idx="_pos")
     t = F.lit(float(threshold))
     cond = (F.col("_y") > F.col("roll_mean") + t * F.col("roll_std")) | \
            (F.col("_y") < F.col("roll_mean") - t * F.col("roll_std"))
@@ -504,7 +504,7 @@ def detect_anomalies(df: DataFrame, target: str, lag: int = 0, methods: Sequence
     }
     # ... the window / model / neighbour detectors are joined on the index
     joined = {
-        "rolling": lambda: detect_rolling(lt, target, int(prm["rolling_window"]), prm["z_threshold"], idx),
+        "rolling": lambda: detect_rolling(lt, target, int(prm["rolling_window"]), prm["z_threshold"], idx, keys),
         "iso_forest": lambda: detect_iforest(lt, allc, prm["iso_contamination"], idx=idx),
         "lof": lambda: detect_lof(lt, allc, int(prm["lof_neighbors"]), prm["lof_contamination"], idx),
     }

@@ -21,8 +21,9 @@ def _value_cols(df: DataFrame, drop: Sequence[str], keys: Sequence[str], idx: st
     return [c for c in df.columns if c not in skip]
 
 
-def _finish(df: DataFrame, cols: list[str], idx: str, dropna: bool = True) -> DataFrame:
-    out = df.select(idx, *cols)
+def _finish(df: DataFrame, cols: list[str], idx: str, keys: Sequence[str] = (), dropna: bool = True) -> DataFrame:
+    """Index, series keys, then the lag columns; rows with a NULL lag column dropped."""
+    out = df.selectExpr(q(idx), *[q(k) for k in keys], *[q(c) for c in cols])
     return out.dropna(how="any", subset=cols) if dropna else out
 
 
@@ -56,7 +57,7 @@ def lag_table(df: DataFrame, lag: int, target: str, drop: Sequence[str] = (), ta
         exprs.append(q(target))
         exprs += [f"{lag_sql(target, i, keys, idx)} AS {q(target + '_lag' + str(i))}"
                   for i in range(1, int(target_lags) + 1)]
-        return fr.selectExpr(q(idx), "_hb", "_hh", *exprs)
+        return fr.selectExpr(q(idx), *[q(k) for k in keys], "_hb", "_hh", *exprs)
 
     out = over_halo(df, build, before=span, idx=idx, bucket_rows=bucket_rows)
     names = [f"{c}_lag{lag}" for c in preds] + [target] + [f"{target}_lag{i}" for i in range(1, int(target_lags) + 1)]
@@ -66,7 +67,7 @@ def lag_table(df: DataFrame, lag: int, target: str, drop: Sequence[str] = (), ta
         if n not in seen:
             seen.add(n)
             uniq.append(n)
-    return _finish(out, uniq, idx)
+    return _finish(out, uniq, idx, keys)
 
 
 def multi_lag_table(df: DataFrame, predictors: Sequence[str], targets: Sequence[str], input_lags: int = 0,
@@ -82,13 +83,13 @@ def multi_lag_table(df: DataFrame, predictors: Sequence[str], targets: Sequence[
             exprs += [f"{lag_sql(p, i, keys, idx)} AS {q(p + '_lag' + str(i))}" for p in predictors]
         for i in range(1, int(target_lags) + 1):
             exprs += [f"{lag_sql(t, i, keys, idx)} AS {q(t + '_lag' + str(i))}" for t in targets]
-        return fr.selectExpr(q(idx), "_hb", "_hh", *exprs)
+        return fr.selectExpr(q(idx), *[q(k) for k in keys], "_hb", "_hh", *exprs)
 
     out = over_halo(df, build, before=span, idx=idx, bucket_rows=bucket_rows)
     names = (targets + predictors
              + [f"{p}_lag{i}" for i in range(1, int(input_lags) + 1) for p in predictors]
              + [f"{t}_lag{i}" for i in range(1, int(target_lags) + 1) for t in targets])
-    return _finish(out, names, idx)
+    return _finish(out, names, idx, keys)
 
 
 def lag_table_multi_target(df: DataFrame, lag: int, predictors: Sequence[str], targets: Sequence[str],
@@ -97,15 +98,15 @@ def lag_table_multi_target(df: DataFrame, lag: int, predictors: Sequence[str], t
     """Lag 0 -> projection (no NULL drop); else predictors shifted by ``lag`` plus current targets."""
     predictors, targets = list(predictors), list(targets)
     if int(lag) == 0:
-        return df.select(idx, *predictors, *targets)
+        return df.selectExpr(q(idx), *[q(k) for k in keys], *[q(c) for c in predictors + targets])
 
     def build(fr, w):
-        return fr.selectExpr(q(idx), "_hb", "_hh",
+        return fr.selectExpr(q(idx), *[q(k) for k in keys], "_hb", "_hh",
                              *[f"{lag_sql(p, lag, keys, idx)} AS {q(p + '_lag' + str(lag))}" for p in predictors],
                              *[q(t) for t in targets])
 
     out = over_halo(df, build, before=int(lag), idx=idx, bucket_rows=bucket_rows)
-    return _finish(out, [f"{p}_lag{lag}" for p in predictors] + targets, idx)
+    return _finish(out, [f"{p}_lag{lag}" for p in predictors] + targets, idx, keys)
 
 
 def best_lag_table(df: DataFrame, target: str, best_lags: Mapping[str, int | None], keys: Sequence[str] = (),
@@ -118,11 +119,11 @@ def best_lag_table(df: DataFrame, target: str, best_lags: Mapping[str, int | Non
     span = max([k for _, k in chosen], default=0)
 
     def build(fr, w):
-        return fr.selectExpr(q(idx), "_hb", "_hh", q(target),
+        return fr.selectExpr(q(idx), *[q(k) for k in keys], "_hb", "_hh", q(target),
                              *[f"{lag_sql(v, k, keys, idx)} AS {q(v + '_lag' + str(k))}" for v, k in chosen])
 
     out = over_halo(df, build, before=span, idx=idx, bucket_rows=bucket_rows)
-    return _finish(out, [target] + [f"{v}_lag{k}" for v, k in chosen], idx)
+    return _finish(out, [target] + [f"{v}_lag{k}" for v, k in chosen], idx, keys)
 
 
 def single_lag_tables(df: DataFrame, target: str, lags: Sequence[int], predictors: Sequence[str] | None = None,
@@ -138,12 +139,13 @@ def single_lag_tables(df: DataFrame, target: str, lags: Sequence[int], predictor
     predictors = list(predictors)
 
     def build(fr, w):
-        return fr.selectExpr(q(idx), "_hb", "_hh", q(target),
+        return fr.selectExpr(q(idx), *[q(k) for k in keys], "_hb", "_hh", q(target),
                              *[f"{lag_sql(p, k, keys, idx)} AS _l{k}_{j}" for k in lags for j, p in enumerate(predictors)])
 
     out = over_halo(df, build, before=max(lags, default=0), idx=idx, bucket_rows=bucket_rows)
     per_lag = ", ".join("named_struct('lag', " + str(k) + ", "
                         + ", ".join(f"'_v{j}', _l{k}_{j}" for j in range(len(predictors))) + ")" for k in lags)
-    out = (out.selectExpr(q(idx), q(target), f"explode(array({per_lag})) AS _s")
-           .selectExpr("_s.lag", q(idx), q(target), *[f"_s._v{j} AS {q(p)}" for j, p in enumerate(predictors)]))
+    out = (out.selectExpr(q(idx), *[q(k) for k in keys], q(target), f"explode(array({per_lag})) AS _s")
+           .selectExpr("_s.lag", q(idx), *[q(k) for k in keys], q(target),
+                       *[f"_s._v{j} AS {q(p)}" for j, p in enumerate(predictors)]))
     return out.dropna(how="any", subset=[target] + predictors)

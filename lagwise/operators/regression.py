@@ -452,7 +452,7 @@ def fit_multi_target(df: DataFrame, predictors: Sequence[str], targets: Sequence
     Returns (metrics DataFrame, {target: Fitted}, feature columns, the split lag table).
     """
     t = multi_lag_table(df, predictors, targets, input_lags, target_lags, keys, idx)
-    feats = [c for c in t.columns if c not in (idx, *targets)]
+    feats = [c for c in t.columns if c not in (idx, *keys, *targets)]
     t = durable(split(t, test_size, seed, key=idx))
     train = t.filter(~F.col("is_test"))
     models, rows = {}, []
@@ -475,7 +475,7 @@ def multi_lag_sweep(df: DataFrame, predictors: Sequence[str], targets: Sequence[
     rows = []
     for lag in range(int(max_lag) + 1):
         t = lag_table_multi_target(df, lag, predictors, targets, keys, idx).dropna()
-        feats = [c for c in t.columns if c not in (idx, *targets)]
+        feats = [c for c in t.columns if c not in (idx, *keys, *targets)]
         t = split(t, test_size, seed, key=idx)
         train = t.filter(~F.col("is_test"))
         per = []

@@ -105,7 +105,7 @@ ORACLE["lag_table_multi_target"] = _multi_target_sql()
 
 ORACLE["lag_table_keyed"] = _with(EVK) + """
 SELECT * FROM (
-  SELECT row_idx,
+  SELECT row_idx, user_id,
          lag(hour, 2) OVER (PARTITION BY user_id ORDER BY event_id) AS hour_lag2,
          value,
          lag(value, 1) OVER (PARTITION BY user_id ORDER BY event_id) AS value_lag1

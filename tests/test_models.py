@@ -109,3 +109,17 @@ def test_votes_cleaned_and_flagged_partition(spark):
     cleaned = an.drop_anomalies(df, votes, 2)
     assert cleaned.count() + len(flagged) == n
     assert an.detect_anomalies(df, "v", 0, []) is None
+
+
+def test_keyed_anomalies_stay_inside_keys(spark):
+    """A rolling window never mixes two series: the first window-1 rows of each key get no rolling flag."""
+    rng = np.random.default_rng(9)
+    rows = [(k, t, float(rng.normal()) + (50.0 if (k == 1 and t == 30) else 0.0)) for k in range(3) for t in range(40)]
+    pdf = pd.DataFrame(rows, columns=["k", "t", "v"])
+    df = with_row_index(spark.createDataFrame(pdf), "t", partition_by="k").drop("t")
+    votes = an.detect_anomalies(df, "v", 0, ["zscore", "rolling"], {"rolling_window": 10}, keys=["k"])
+    got = votes.toPandas().sort_values("row_idx")
+    assert len(got) == 120
+    first = got[got["row_idx"] % 40 < 9]
+    assert (first["RollingStats"] == 0).all()
+    assert got.loc[got["row_idx"] == 70, "Zscore"].item() == 1
