@@ -601,3 +601,11 @@ FROM lo a JOIN lo b ON a.row_idx = b.row_idx GROUP BY a.v, b.v"""
 ORACLE["last_row"] = _with(P1) + """
 SELECT * FROM (SELECT row_idx, """ + ", ".join(f"{lag(f, 1)} AS {f}_lag1" for f in FEATS) + """, revenue FROM i1)
 ORDER BY row_idx DESC LIMIT 1"""
+
+ORACLE["lag_corr_keyed"] = _with(EVK) + """,
+kp AS (SELECT 'hour' AS variable, g.lag,
+              lag(e.hour, CAST(g.lag AS INTEGER)) OVER (PARTITION BY g.lag, e.user_id ORDER BY e.event_id) AS x,
+              e.value AS y
+       FROM evk e JOIN (SELECT range AS lag FROM range(0, 5)) g ON TRUE)
+SELECT variable, CAST(lag AS INTEGER) AS lag, round(corr(x, y), 6) AS corr
+FROM kp WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY variable, lag"""

@@ -684,3 +684,10 @@ def q_lag_optimised_corr(spark, sf_dir):
 def q_last_row(spark, sf_dir):
     """The last row of the lag table (the optimiser's default initial point)."""
     return st.last_row(lagops.lag_table(p1(spark, sf_dir), 1, P1_TARGET))
+
+
+@register("lag_corr_keyed")
+def q_lag_corr_keyed(spark, sf_dir):
+    """F4 on the keyed event series: lags never cross from one user's events to another's."""
+    ev = p2(spark, sf_dir, keyed=True).select("row_idx", "user_id", "value", "hour")
+    return rounded(corr.lag_correlation(ev, "value", 5, "pearson", features=["hour"], keys=["user_id"]))
