@@ -3,7 +3,6 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from lagwise.functions import kendall as K
 from lagwise.functions.correlation import correlation_matrix, lag_correlation, best_lags
