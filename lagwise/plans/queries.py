@@ -691,3 +691,11 @@ def q_lag_corr_keyed(spark, sf_dir):
     """F4 on the keyed event series: lags never cross from one user's events to another's."""
     ev = p2(spark, sf_dir, keyed=True).select("row_idx", "user_id", "value", "hour")
     return rounded(corr.lag_correlation(ev, "value", 5, "pearson", features=["hour"], keys=["user_id"]))
+
+
+@register("dmdc_rolling_origin")
+def q_dmdc_rolling_origin(spark, sf_dir):
+    """I22 as a rolling-origin job: ten origins 50 snapshots apart, 50 steps each, metrics per origin."""
+    sim = _dmdc(spark, sf_dir).simulate(50, origins=10, every=50)
+    return rounded(sim.groupBy("origin").agg(mt.r2_expr("actual").alias("r2"), mt.rmse_expr("actual").alias("rmse"),
+                                             F.count(F.lit(1)).alias("steps")))
