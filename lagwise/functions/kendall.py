@@ -70,7 +70,11 @@ def kendall_tau_b(pairs: DataFrame, group: Sequence[str]) -> DataFrame:
     """(group..., corr) from valid pairs (group..., x, y)."""
     group = list(group)
     spark = pairs.sparkSession
-    wts = durable(pairs.groupBy(*group, "x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")))
+    # distinct (x, y) with their weight, indexed over (group, x, y); the index step checkpoints it once and
+    # every later step (tie sums, y-buckets, blocks) reads that
+    counted = pairs.groupBy(*group, "x", "y").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    ix = with_row_index(counted, [*group, "x", "y"], name="_pos")
+    wts = ix
 
     # tie terms: n0, n1 (x ties), n2 (y ties), n3 (joint ties)
     def c2(c):
@@ -83,7 +87,6 @@ def kendall_tau_b(pairs: DataFrame, group: Sequence[str]) -> DataFrame:
     # blocks over the (group, x, y) order
     gsize = wts.groupBy(*group).count().agg(F.max("count").alias("m")).collect()[0]["m"] or 1
     S = max(_MIN_BLOCK, math.ceil(gsize / _MAX_BLOCKS))
-    ix = with_row_index(wts, [*group, "x", "y"], name="_pos")
     blk = ix.withColumn("block", F.floor(F.col("_pos") / F.lit(S)).cast("long"))
 
     # y buckets: weighted rank of distinct y inside its group, cut into _Q ranges
