@@ -131,3 +131,26 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, method:
     mirror = res.filter(F.col("var1") != F.col("var2")).select(
         F.col("var2").alias("var1"), F.col("var1").alias("var2"), "corr")
     return res.unionByName(mirror)
+
+
+def lag_optimised_tables(df: DataFrame, target: str, max_lags: int = 24, methods: Sequence[str] = METHODS,
+                         keys: Sequence[str] = (), idx: str = ROW_IDX) -> dict[str, DataFrame]:
+    """D5 per correlation method: each variable shifted by its own best lag under that method."""
+    from ..operators.lag import best_lag_table
+    out = {}
+    for m in methods:
+        best = best_lags_dict(lag_correlation(df, target, max_lags, m, keys=keys, idx=idx))
+        out[m] = best_lag_table(df, target, best, keys=keys, idx=idx)
+    return out
+
+
+def write_lag_optimised(df: DataFrame, target: str, path: str, max_lags: int = 24,
+                        methods: Sequence[str] = METHODS, keys: Sequence[str] = (), idx: str = ROW_IDX) -> list[str]:
+    """A4: one CSV dataset per correlation method under ``path/<method>``; returns the paths written."""
+    from ..sources.io import write_panel
+    paths = []
+    for m, table in lag_optimised_tables(df, target, max_lags, methods, keys, idx).items():
+        p = f"{path.rstrip('/')}/{m}"
+        write_panel(table.drop(idx), p)
+        paths.append(p)
+    return paths

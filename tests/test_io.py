@@ -53,3 +53,18 @@ def test_process_features_golden(spark):
     scaled, _ = process_features(df)
     vals = scaled.select(*[f"`{c}`" for c in cols]).collect()
     assert all(v in (0.0, 1.0) for row_ in vals for v in row_)
+
+
+def test_write_lag_optimised_per_method(spark, tmp_path):
+    import numpy as np
+    import pandas as pd
+    from lagwise.functions.correlation import write_lag_optimised
+    from lagwise.operators.index import with_row_index
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=205)
+    pdf = pd.DataFrame({"t": np.arange(200), "x": x[5:205], "y": x[:200]})  # y(t) = x(t-5)
+    df = with_row_index(spark.createDataFrame(pdf), "t").drop("t")
+    paths = write_lag_optimised(df, "y", str(tmp_path / "opt"), max_lags=8)
+    assert [p.rsplit("/", 1)[1] for p in paths] == ["pearson", "spearman", "kendall"]
+    back = spark.read.option("header", True).csv(paths[0])
+    assert back.columns == ["y", "x_lag5"] and back.count() == 195
