@@ -25,6 +25,20 @@ def _clean(c):
     return F.when(~F.isnan(c), c)
 
 
+def safe_corr(x, y):
+    """Pearson correlation that is NULL (not an error) for a zero-variance side.
+
+    Spark's ``corr`` divides by zero on a constant column, which ANSI mode
+    turns into an error; cov / sqrt(var * var) with ``try_divide`` is the same
+    value and NULL there.
+    """
+    x = F.col(x) if isinstance(x, str) else x
+    y = F.col(y) if isinstance(y, str) else y
+    both = x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)  # pairwise-complete rows only
+    xs, ys = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(xs, ys), F.sqrt(F.var_pop(xs) * F.var_pop(ys)))
+
+
 def _lit(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -55,7 +69,7 @@ def lag_pairs(df: DataFrame, target: str, max_lags: int, features: Sequence[str]
 
 
 def pearson_long(pairs: DataFrame, group: Sequence[str]) -> DataFrame:
-    return pairs.groupBy(*group).agg(_clean(F.corr("x", "y")).alias("corr"))
+    return pairs.groupBy(*group).agg(_clean(safe_corr("x", "y")).alias("corr"))
 
 
 def spearman_long(pairs: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -68,7 +82,7 @@ def spearman_long(pairs: DataFrame, group: Sequence[str]) -> DataFrame:
     rx = ranks.filter(F.col("_side") == 0).select(*group, F.col("_v").alias("x"), F.col("_r").alias("rx"))
     ry = ranks.filter(F.col("_side") == 1).select(*group, F.col("_v").alias("y"), F.col("_r").alias("ry"))
     ranked = pairs.join(rx, [*group, "x"]).join(ry, [*group, "y"])
-    return ranked.groupBy(*group).agg(_clean(F.corr("rx", "ry")).alias("corr"))
+    return ranked.groupBy(*group).agg(_clean(safe_corr("rx", "ry")).alias("corr"))
 
 
 def kendall_long(pairs: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -111,7 +125,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, method:
     cols = list(cols) if cols is not None else numeric_columns(df, exclude=exclude)
     if method == "pearson":
         pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-        one = df.agg(*[F.corr(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")).alias(f"c{i}_{j}")
+        one = df.agg(*[safe_corr(F.col(f"`{cols[i]}`").cast("double"), F.col(f"`{cols[j]}`").cast("double")).alias(f"c{i}_{j}")
                        for i, j in pairs])
         items = []
         for i, j in pairs:

@@ -155,3 +155,35 @@ def test_correlation_matrix_pearson(spark):
     exp = pdf.corr()
     for (a, b), v in got.items():
         assert abs(v - exp.loc[a, b]) < 1e-12
+
+
+def test_constant_column_has_no_best_lag(spark):
+    """A constant column has no correlation at any lag: best lag NULL, left out of the lag-optimised table."""
+    from lagwise.operators.lag import best_lag_table
+    from lagwise.functions.correlation import best_lags_dict
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"t": np.arange(100), "c": 1.0, "x": rng.normal(size=100), "y": rng.normal(size=100)})
+    df = _indexed(spark, pdf).drop("t")
+    best = best_lags_dict(lag_correlation(df, "y", 4, "pearson"))
+    assert best["c"] is None and best["x"] is not None
+    assert "c_lag" not in " ".join(best_lag_table(df, "y", best).columns)
+
+
+def test_multi_target_lag0_is_projection(spark):
+    from lagwise.operators.lag import lag_table_multi_target, single_lag_tables
+    pdf = pd.DataFrame({"t": [0, 1, 2, 3], "a": [1.0, None, 3.0, 4.0], "y": [1.0, 2.0, 3.0, 4.0]})
+    df = _indexed(spark, pdf).drop("t")
+    assert lag_table_multi_target(df, 0, ["a"], ["y"]).count() == 4  # lag 0: projection, no NULL drop
+    assert lag_table_multi_target(df, 1, ["a"], ["y"]).count() == 2
+    long = single_lag_tables(df, "y", [0, 2]).toPandas()
+    assert sorted(long.groupby("lag").size().to_dict().items()) == [(0, 3), (2, 1)]
+
+
+def test_pearson_matrix_pairwise_complete(spark):
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({"a": rng.normal(size=60), "b": rng.normal(size=60)})
+    pdf.loc[::4, "a"] = np.nan
+    pdf.loc[1::5, "b"] = np.nan
+    sdf = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "a double, b double")
+    got = {(r.var1, r.var2): r.corr for r in correlation_matrix(sdf).collect()}
+    assert abs(got[("a", "b")] - pdf.corr().loc["a", "b"]) < 1e-12
