@@ -123,3 +123,22 @@ def test_keyed_anomalies_stay_inside_keys(spark):
     first = got[got["row_idx"] % 40 < 9]
     assert (first["RollingStats"] == 0).all()
     assert got.loc[got["row_idx"] == 70, "Zscore"].item() == 1
+
+
+def test_degenerate_inputs_do_not_fail(spark):
+    """Constant columns, heavy ties and NULLs run through every detector and correlation method."""
+    from lagwise.functions.correlation import lag_correlation
+    rng = np.random.default_rng(12)
+    n = 120
+    pdf = pd.DataFrame({"t": np.arange(n), "const": 2.0, "ties": rng.integers(0, 3, n).astype(float),
+                        "x": rng.normal(size=n), "y": rng.normal(size=n)})
+    pdf.loc[::17, "x"] = None
+    df = with_row_index(spark.createDataFrame(pdf), "t").drop("t")
+    votes = an.detect_anomalies(df, "y", 1, list(an.METHOD_FLAGS))
+    expected = pdf.drop(columns="t").shift(1).assign(y=pdf["y"]).dropna()  # rows lost to the lag or a NULL
+    assert votes.count() == len(expected)
+    flat = with_row_index(spark.createDataFrame(pdf.assign(y=1.0)), "t").drop("t")
+    assert an.detect_anomalies(flat, "y", 0, ["zscore", "rolling", "pca", "lin_reg", "pls"]).count() == pdf["x"].notna().sum()
+    for m in ("pearson", "spearman", "kendall"):
+        got = {(r.variable, r.lag): r.corr for r in lag_correlation(df, "y", 3, m).collect()}
+        assert got[("const", 0)] is None and got[("ties", 1)] is not None
