@@ -142,3 +142,29 @@ def test_degenerate_inputs_do_not_fail(spark):
     for m in ("pearson", "spearman", "kendall"):
         got = {(r.variable, r.lag): r.corr for r in lag_correlation(df, "y", 3, m).collect()}
         assert got[("const", 0)] is None and got[("ties", 1)] is not None
+
+
+def test_column_names_with_spaces(spark):
+    """The reference's columns carry spaces ('top Temperature'); every operator must quote them."""
+    from lagwise.functions.correlation import lag_correlation
+    from lagwise.operators.lag import lag_table, multi_lag_table
+    from lagwise.operators.rolling import rolling_stats
+    from lagwise.operators import optimize as op
+    from lagwise.operators.regression import lag_sweep, builders
+    rng = np.random.default_rng(13)
+    n = 150
+    pdf = pd.DataFrame({"t": np.arange(n), "top Temperature": rng.uniform(0, 1, n),
+                        "reflux flow": rng.uniform(0, 1, n), "C4 content": rng.uniform(0, 1, n)})
+    df = with_row_index(spark.createDataFrame(pdf), "t").drop("t")
+    assert "top Temperature_lag2" in lag_table(df, 2, "C4 content").columns
+    for m in ("pearson", "spearman", "kendall"):
+        assert lag_correlation(df, "C4 content", 3, m).count() == 6
+    assert rolling_stats(df, "C4 content", 5).filter("roll_mean IS NOT NULL").count() == n - 4
+    assert an.detect_anomalies(df, "C4 content", 1, list(an.METHOD_FLAGS)).count() == n - 1
+    assert fit_dmdc(df, ["C4 content", "top Temperature"], ["reflux flow"], "C4 content", 3, 4).one_step().count() == n - 3
+    assert lag_sweep(df, "C4 content", builders.linear, max_lag=2).results.count() == 3
+    t = multi_lag_table(df, ["top Temperature", "reflux flow"], ["C4 content"], 1, 1)
+    preds = [c for c in t.columns if c not in ("row_idx", "C4 content")]
+    model = {"C4 content": op.ExprModel(0.0, {"top Temperature": 1.0, "reflux flow": -1.0})}
+    assert op.optimize_rows(model, t, preds, ["C4 content"], "C4 content", free_vars=["top Temperature"],
+                            budget=8).count() == n - 1
