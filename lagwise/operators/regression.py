@@ -399,9 +399,8 @@ def lag_sweep(df: DataFrame, target: str, builder: Callable[[], ModelSpec], max_
         models, met = _linear_sweep(wide, colsets, target, test_size, seed, idx)
         rows = [(lag, None, met[lag].get("train_r2"), met[lag].get("test_r2"), met[lag].get("train_rmse"),
                  met[lag].get("test_rmse")) for lag in sorted(models)]
-    for lag in ([] if rows else range(int(max_lag) + 1)):
-        cols = list(dict.fromkeys([f"{c}_lag{lag}" for c in preds]
-                                  + [f"{target}_lag{i}" for i in range(1, int(target_lags) + 1)]))
+    def one_lag(lag):
+        cols = colsets[lag]
         t = wide.select(idx, *[q(c) for c in cols], q(target)).dropna()
         t = split(t, test_size, seed, stratify=target if kind == "classifier" else None, key=idx)
         train = t.filter(~F.col("is_test"))
@@ -411,17 +410,26 @@ def lag_sweep(df: DataFrame, target: str, builder: Callable[[], ModelSpec], max_
         else:
             spec = builder()
         fitted = spec.fit(train, cols, target)
-        models[lag] = fitted
         pred = fitted.transform(t)
         if kind == "classifier":
-            tr = pred.filter(~F.col("is_test")).agg(F.avg((F.col(target) == F.col("prediction")).cast("double"))).collect()[0][0]
+            tr = pred.filter(~F.col("is_test")).agg(
+                F.avg((F.col(target) == F.col("prediction")).cast("double"))).collect()[0][0]
             cm = classification_metrics(pred.filter(F.col("is_test")), target).collect()[0]
-            rows.append((lag, str(params) if params else None, float(tr), float(cm["accuracy"]),
-                         float(cm["precision"]), float(cm["recall"]), float(cm["f1"])))
+            row = (lag, str(params) if params else None, float(tr), float(cm["accuracy"]),
+                   float(cm["precision"]), float(cm["recall"]), float(cm["f1"]))
         else:
             m = _metrics_by_part(pred, target)
-            rows.append((lag, str(params) if params else None, m.get("train_r2"), m.get("test_r2"),
-                         m.get("train_rmse"), m.get("test_rmse")))
+            row = (lag, str(params) if params else None, m.get("train_r2"), m.get("test_r2"),
+                   m.get("train_rmse"), m.get("test_rmse"))
+        return lag, fitted, row
+
+    if not rows:
+        # lags are independent fits: run them as concurrent Spark jobs (a grid search runs its own pool)
+        workers = 1 if grid else max(1, int(parallelism))
+        with ThreadPoolExecutor(max_workers=workers) as ex:
+            for lag, fitted, row in ex.map(one_lag, range(int(max_lag) + 1)):
+                models[lag] = fitted
+                rows.append(row)
     if kind == "classifier":
         schema = ("lag int, params string, train_accuracy double, test_accuracy double, precision double, "
                   "recall double, f1 double")
@@ -488,6 +496,11 @@ def multi_lag_sweep(df: DataFrame, predictors: Sequence[str], targets: Sequence[
     return df.sparkSession.createDataFrame(rows, "lag int, target string, test_r2 double, test_rmse double")
 
 
+def evaluate_multi_regression(models: Mapping[str, Fitted], table: DataFrame, idx: str = ROW_IDX, bins: int = 20):
+    """I8: ``evaluate_regression`` for every target of a multi-target model."""
+    return {t: evaluate_regression(m, table, t, idx, bins) for t, m in models.items()}
+
+
 def evaluate_regression(fitted: Fitted, table: DataFrame, target: str, idx: str = ROW_IDX, bins: int = 20):
     """Predictions over all rows (F24), residuals (F25), residual histogram (F18), density (F19),
     identity-line range (F20) and importances (I9/I11)."""
