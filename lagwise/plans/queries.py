@@ -7,13 +7,25 @@ matching SQL in ``oracle.py``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import correlation as corr
+from ..functions import metrics as mt
+from ..functions import scale as scl
+from ..functions import split as spl
+from ..functions import stats as st
+from ..operators import anomaly as an
+from ..operators import dmdc as dm
 from ..operators import lag as lagops
+from ..operators import optimize as op
+from ..operators import regression as rg
+from ..operators import rolling as roll
 from ..operators.index import keep_rows, with_row_index
+from ..session import checkpoint_dir
+from ..sources import io as sio
 from ..sources import panels
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,11 +154,6 @@ def q_correlation_matrix_spearman(spark, sf_dir):
 
 # ---------------------------------------------------------------- D7-D10
 
-from ..functions import scale as scl  # noqa: E402
-from ..functions import split as spl  # noqa: E402
-from ..functions import stats as st  # noqa: E402
-from ..operators import rolling as roll  # noqa: E402
-
 
 def _seq(spark, sf_dir):
     return roll.sequence_windows(p1(spark, sf_dir), ["qty", "disc", "tax"], ["revenue"], 4, 2)
@@ -288,8 +295,6 @@ def q_chrono_split(spark, sf_dir):
 
 # ---------------------------------------------------------------- H-1..H-11
 
-from ..operators import anomaly as an  # noqa: E402
-
 
 def _ev_frame(spark, sf_dir):
     return p2(spark, sf_dir).select("row_idx", "value", "hour")
@@ -386,8 +391,6 @@ def q_correlation_matrix_kendall(spark, sf_dir):
 
 # ---------------------------------------------------------------- F13-F17, I1-I20
 
-from ..functions import metrics as mt  # noqa: E402
-from ..operators import regression as rg  # noqa: E402
 
 MODEL_FEATURES = ["qty", "disc", "tax", "n"]  # price nearly determines revenue (FIXTURES.md)
 
@@ -530,8 +533,6 @@ def q_forecast_horizon(spark, sf_dir):
 
 # ---------------------------------------------------------------- I21-I24
 
-from ..operators import dmdc as dm  # noqa: E402
-
 
 def _dmdc(spark, sf_dir):
     return dm.fit_dmdc(p1(spark, sf_dir), ["revenue", "qty", "n"], ["disc", "tax"], "revenue",
@@ -556,7 +557,6 @@ def q_dmdc_metrics(spark, sf_dir):
 
 # ---------------------------------------------------------------- J1-J12
 
-from ..operators import optimize as op  # noqa: E402
 
 OPT_PREDICTORS = ["qty", "disc", "tax"]
 OPT_TARGETS = ["revenue", "n"]
@@ -621,11 +621,6 @@ def q_optimize_rows_model(spark, sf_dir):
 
 # ---------------------------------------------------------------- A1-A6
 
-import uuid  # noqa: E402
-
-from ..session import checkpoint_dir  # noqa: E402
-from ..sources import io as sio  # noqa: E402
-
 
 @register("csv_roundtrip")
 def q_csv_roundtrip(spark, sf_dir):
