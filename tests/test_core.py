@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lagwise.functions import kendall as K
 from lagwise.functions.correlation import correlation_matrix, lag_correlation, best_lags
@@ -187,3 +188,17 @@ def test_pearson_matrix_pairwise_complete(spark):
     sdf = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "a double, b double")
     got = {(r.var1, r.var2): r.corr for r in correlation_matrix(sdf).collect()}
     assert abs(got[("a", "b")] - pdf.corr().loc["a", "b"]) < 1e-12
+
+
+def test_row_index_spreads_a_hot_leading_key(spark):
+    """One leading key value holds a third of all rows: the range cut on the whole order tuple still splits it."""
+    rng = np.random.default_rng(14)
+    n = 30000
+    k = np.where(np.arange(n) < n // 3, 0, rng.integers(1, 50, n))
+    pdf = pd.DataFrame({"k": k, "t": rng.permutation(n), "v": rng.normal(size=n)})
+    df = with_row_index(spark.createDataFrame(pdf), ["k", "t"], partitions=12)
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert max(sizes) < n / 4  # the hot key alone would be n / 3 in one task
+    got = df.toPandas().sort_values("row_idx")
+    exp = pdf.sort_values(["k", "t"])
+    assert got["row_idx"].tolist() == list(range(n)) and got["t"].tolist() == exp["t"].tolist()
