@@ -202,3 +202,19 @@ def test_row_index_spreads_a_hot_leading_key(spark):
     got = df.toPandas().sort_values("row_idx")
     exp = pdf.sort_values(["k", "t"])
     assert got["row_idx"].tolist() == list(range(n)) and got["t"].tolist() == exp["t"].tolist()
+
+
+def test_keyed_lags_with_hot_key_span_buckets(spark):
+    rng = np.random.default_rng(15)
+    n = 3000
+    key = np.where(np.arange(n) < n // 3, 7, rng.integers(0, 20, n))
+    pdf = pd.DataFrame({"k": key, "t": rng.permutation(n), "v": rng.normal(size=n)})
+    df = with_row_index(spark.createDataFrame(pdf), "t", partition_by="k")
+    out = multi_lag_table(df, ["v"], [], input_lags=3, keys=["k"], bucket_rows=64).toPandas()
+    exp = pdf.sort_values(["k", "t"]).reset_index(drop=True)
+    for i in (1, 2, 3):
+        exp[f"v_lag{i}"] = exp.groupby("k")["v"].shift(i)
+    exp = exp.dropna().reset_index()
+    got = out.sort_values("row_idx").reset_index(drop=True)
+    assert got["row_idx"].tolist() == exp["index"].tolist()
+    np.testing.assert_allclose(got[["v_lag1", "v_lag2", "v_lag3"]].values, exp[["v_lag1", "v_lag2", "v_lag3"]].values)
