@@ -463,12 +463,18 @@ def fit_multi_target(df: DataFrame, predictors: Sequence[str], targets: Sequence
     feats = [c for c in t.columns if c not in (idx, *keys, *targets)]
     t = durable(split(t, test_size, seed, key=idx))
     train = t.filter(~F.col("is_test"))
-    models, rows = {}, []
-    for tg in targets:
+    def one_target(tg):
         spec = grid_search(builder, grid, train, feats, tg, folds, seed, parallelism, idx)[1] if grid else builder()
-        models[tg] = spec.fit(train, feats, tg)
-        m = _metrics_by_part(models[tg].transform(t), tg)
-        rows.append((tg, m.get("train_r2"), m.get("test_r2"), m.get("train_rmse"), m.get("test_rmse")))
+        fitted = spec.fit(train, feats, tg)
+        m = _metrics_by_part(fitted.transform(t), tg)
+        return tg, fitted, (tg, m.get("train_r2"), m.get("test_r2"), m.get("train_rmse"), m.get("test_rmse"))
+
+    models, rows = {}, []
+    # targets are independent fits: concurrent Spark jobs (a grid search runs its own pool)
+    with ThreadPoolExecutor(max_workers=1 if grid else max(1, int(parallelism))) as ex:
+        for tg, fitted, row in ex.map(one_target, list(targets)):
+            models[tg] = fitted
+            rows.append(row)
     if rows:
         rows.append(("mean", *[float(np.mean([r[i] for r in rows])) for i in range(1, 5)]))
     res = df.sparkSession.createDataFrame(rows, "target string, train_r2 double, test_r2 double, "
@@ -478,21 +484,27 @@ def fit_multi_target(df: DataFrame, predictors: Sequence[str], targets: Sequence
 
 def multi_lag_sweep(df: DataFrame, predictors: Sequence[str], targets: Sequence[str],
                     builder: Callable[[], ModelSpec], max_lag: int = 23, test_size: float = 0.3, seed: int = 42,
-                    keys: Sequence[str] = (), idx: str = ROW_IDX) -> DataFrame:
+                    keys: Sequence[str] = (), idx: str = ROW_IDX, parallelism: int = 4) -> DataFrame:
     """For each lag, D4 table and one model per target; per-target and mean test metrics."""
-    rows = []
-    for lag in range(int(max_lag) + 1):
+    def one_lag(lag):
         t = lag_table_multi_target(df, lag, predictors, targets, keys, idx).dropna()
         feats = [c for c in t.columns if c not in (idx, *keys, *targets)]
         t = split(t, test_size, seed, key=idx)
         train = t.filter(~F.col("is_test"))
-        per = []
+        out, per = [], []
         for tg in targets:
             m = _metrics_by_part(builder().fit(train, feats, tg).transform(t), tg)
             per.append(m)
-            rows.append((lag, tg, m.get("test_r2"), m.get("test_rmse")))
-        rows.append((lag, "mean", float(np.mean([p["test_r2"] for p in per])),
-                     float(np.mean([p["test_rmse"] for p in per]))))
+            out.append((lag, tg, m.get("test_r2"), m.get("test_rmse")))
+        out.append((lag, "mean", float(np.mean([p["test_r2"] for p in per])),
+                    float(np.mean([p["test_rmse"] for p in per]))))
+        return out
+
+    rows = []
+    # lags are independent: concurrent Spark jobs, results kept in lag order
+    with ThreadPoolExecutor(max_workers=max(1, int(parallelism))) as ex:
+        for out in ex.map(one_lag, range(int(max_lag) + 1)):
+            rows.extend(out)
     return df.sparkSession.createDataFrame(rows, "lag int, target string, test_r2 double, test_rmse double")
 
 
