@@ -582,8 +582,10 @@ def forecast_horizon(df: DataFrame, inputs: Sequence[str], target: str, n_in: in
     lo, hi = params[target]
     span = (hi - lo) if hi is not None and lo is not None and hi != lo else 1.0
     preds = {"train": None, "test": None}
-    for h in range(n_out):
-        fitted = builder().fit(parts["train"], feats, f"_y{h}")
+    # one independent regressor per horizon step: concurrent Spark jobs, kept in step order
+    with ThreadPoolExecutor(max_workers=4) as ex:
+        fits = list(ex.map(lambda h: builder().fit(parts["train"], feats, f"_y{h}"), range(n_out)))
+    for h, fitted in enumerate(fits):
         for name in ("train", "test"):
             p = fitted.transform(parts[name]).select(
                 idx, F.lit(h).alias("step"),
