@@ -168,3 +168,19 @@ def test_column_names_with_spaces(spark):
     model = {"C4 content": op.ExprModel(0.0, {"top Temperature": 1.0, "reflux flow": -1.0})}
     assert op.optimize_rows(model, t, preds, ["C4 content"], "C4 content", free_vars=["top Temperature"],
                             budget=8).count() == n - 1
+
+
+def test_forecast_horizon_on_planted_ar_process(spark):
+    """A strongly autocorrelated series is forecast well a few steps ahead; one row per part."""
+    from lagwise.operators.regression import forecast_horizon, builders
+    rng = np.random.default_rng(16)
+    n = 400
+    y = np.zeros(n)
+    for t in range(1, n):
+        y[t] = 0.95 * y[t - 1] + 0.1 * rng.normal()
+    pdf = pd.DataFrame({"t": np.arange(n), "y": y})
+    df = with_row_index(spark.createDataFrame(pdf), "t").drop("t")
+    metrics, preds = forecast_horizon(df, ["y"], "y", n_in=4, n_out=2, builder=builders.linear, train_ratio=0.7)
+    m = {r["part"]: r for r in metrics.collect()}
+    assert set(m) == {"train", "test"} and m["test"]["r2"] > 0.5
+    assert preds.count() == 2 * (n - int(n * 0.7) - 4 - 2 + 1)
