@@ -30,6 +30,7 @@ from ..functions.linalg import moments
 from ..functions.metrics import classification_metrics, r2_expr, rmse_expr
 from ..functions.split import hash_uniform, split
 from ..session import durable
+from ..sources.io import numeric_columns
 from .halo import lag_sql, over_halo, q
 from .index import ROW_IDX, keep_rows
 from .lag import lag_table_multi_target, multi_lag_table
@@ -315,7 +316,7 @@ def all_lags_frame(df: DataFrame, target: str, max_lag: int, drop: Sequence[str]
                    keys: Sequence[str] = (), idx: str = ROW_IDX) -> tuple[DataFrame, list[str]]:
     """Every predictor shifted by 0..max_lag plus target lags 1..target_lags, one window pass, checkpointed."""
     skip = set(drop) | set(keys) | {idx, target}
-    preds = [c for c in df.columns if c not in skip]
+    preds = [c for c in numeric_columns(df) if c not in skip]  # a timestamp or text column is no model input
     span = max(int(max_lag), int(target_lags))
 
     def build(fr, _w):

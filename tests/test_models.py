@@ -184,3 +184,14 @@ def test_forecast_horizon_on_planted_ar_process(spark):
     m = {r["part"]: r for r in metrics.collect()}
     assert set(m) == {"train", "test"} and m["test"]["r2"] > 0.5
     assert preds.count() == 2 * (n - int(n * 0.7) - 4 - 2 + 1)
+
+
+def test_lag_sweep_ignores_non_numeric_columns(spark):
+    from pyspark.sql import functions as F
+    from lagwise.operators.regression import lag_sweep, builders
+    rng = np.random.default_rng(17)
+    pdf = pd.DataFrame({"t": np.arange(80), "x": rng.normal(size=80), "y": rng.normal(size=80)})
+    df = with_row_index(spark.createDataFrame(pdf), "t").withColumn("when", F.current_timestamp()) \
+        .withColumn("tag", F.lit("a"))
+    res = lag_sweep(df.drop("t"), "y", builders.linear, max_lag=1)
+    assert res.results.count() == 2 and res.best_model.features[0] == f"x_lag{res.best_lag}"
