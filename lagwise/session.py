@@ -3,8 +3,11 @@ shared checkpoint folder a cluster names in ``spark.checkpoint.dir``."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -62,3 +65,21 @@ def durable(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that Python functions of its modules load there
+    even when the job was started outside the repository and the package is not installed on the workers."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lagwise_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(here):  # not when this module was itself loaded from a shipped archive
+        archive = os.path.join(tempfile.mkdtemp(dir=SparkFiles.getRootDirectory()), "lagwise.zip")
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, names in os.walk(here):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("lagwise", os.path.relpath(path, here)))
+        sc.addPyFile(archive)
+    sc._lagwise_shipped = True
