@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .store import stored
+
 BITS = 22  #: log2 of the bit-set size: 65,536 rows of 64 bits
 PREFIX_CHARS = 64  #: characters hashed in step 2
 
@@ -55,6 +57,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     marked = _flag(rows, "__pre", _bit_set(prefixes, "__pre"), "__maybe").withColumn("__full", F.when(F.col("__maybe"), F.sha2(text, 256)))
     groups = (marked.filter("__maybe").groupBy("__len", "__full")
               .agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"))
+    groups = stored(groups, "exact-groups")  # read from files, so that Spark may split a hot group's rows in the join
     out = marked.join(groups, ["__len", "__full"], "left")
     return (out.withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("keep_id")))
             .withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
