@@ -2,26 +2,29 @@
 
 A document's set holds its distinct word shingles.  Each shingle flips (XORs) one bit of a sketch, so the Hamming
 distance of two sketches is at most the symmetric difference of the sets.  Sets with Jaccard >= t and sizes a, b
-differ in at most ``D = (1-t)/(1+t) * (a+b)`` elements.  The sketch of a size band is cut into ``D + 1 + slack``
+differ in at most ``D = (1-t)/(1+t) * (a+b)`` elements.  The sketch of a size band is cut into ``D + 2 + slack``
 blocks of ``BLOCK_BITS`` bits (held sparsely: a block's key is the XOR of a 64-bit number for each set bit), so two
-sets that link agree in at least ``1 + slack`` blocks:
+sets that link agree in at least ``2 + slack`` blocks:
 
 * bands are so wide that partners lie in the same or the next band; a set is keyed in its own band and, where a
   partner may be in the next one, there too;
-* empty blocks say nothing.  A set with at most ``slack`` of them has a non-empty agreeing block with every partner;
-  only sets with more empty blocks also emit those, so every link still meets in some block.
+* empty blocks say nothing.  A set with at most ``slack`` of them has two non-empty agreeing blocks with every partner;
+  only sets with more empty blocks also emit those, so every link still meets in two keys.  A set with fewer than two
+  repeated keys, and a pair with fewer than two common ones, needs no look at the sets.
 
 Work is bounded by keys, never by pairs of a group.  Keys are counted in Spark by set signature with map-side combine
 (copies count once), those of one set alone fall away, and a Bloom filter of fixed size brings the repeated keys back
 to the documents, which then emit their sets once.  In each block group, members are verified against one centre per
-round, components merge, and only groups that still span several components go on; the last round tests whatever
-pairs are left between different components, after the size bound and the Hamming bound of a compact sketch.
+round (first the member that meets the most others), components merge, and only groups that still span several
+components go on; the last round tests whatever pairs are left between different components, each pair in its first
+common key only, after the size bound and the Hamming bound of a compact sketch.
 Every link is verified on the exact sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +35,10 @@ from .components import connected_components
 from .store import map_arrow, stored
 
 BLOCK_BITS = 4096
-SKETCH_WORDS = 8  #: 64-bit words of the compact sketch of the Hamming bound
+SKETCH_WORDS = 32  #: 64-bit words of the compact sketch of the Hamming bound
 BLOOM_LOG2 = 27  #: bits of the Bloom filter of repeated keys: 16 MB, whatever the input
+FOLD_WORDS = 8
+AGREE = 2  #: blocks that linked sets agree in, at least
 STAR_ROUNDS = 2
 
 _U = np.uint64
@@ -51,7 +56,7 @@ def _blocks(hi: int, percent: int) -> tuple[int, int]:
     """(blocks, slack) of the band whose largest size is ``hi``; no blocks where only equal sets link."""
     most = 2 * hi * (100 - percent) // (100 + percent)
     slack = 1 + most // 20
-    return (most + 1 + slack, slack) if most else (0, 0)
+    return (most + AGREE + slack, slack) if most else (0, 0)
 
 
 def _block_keys(shingles: np.ndarray, band: int, hi: int, percent: int) -> np.ndarray:
@@ -181,7 +186,7 @@ def _hit_sets(texts: DataFrame, size: int, percent: int, bloom) -> DataFrame:
                     hit = np.ones(len(keys), dtype=bool)
                     for at in _bloom_places(keys):
                         hit &= (bits[at >> 6] >> (at & 63).astype(_U)) & _U(1) == 1
-                    if hit.any():
+                    if hit.sum() >= AGREE:
                         rows.append((*sig, len(s), _sketch(s), s.view(np.int64), np.unique(keys[hit]).view(np.int64)))
                 if rows:
                     cols = list(zip(*rows))
@@ -193,9 +198,11 @@ def _hit_sets(texts: DataFrame, size: int, percent: int, bloom) -> DataFrame:
 
 def _may_link(percent: int) -> Column:
     """Bounds that a linked pair of nodes a, b meets: sizes, and the Hamming distance of the compact sketches."""
-    distance = sum(F.bit_count(F.col("a.sketch")[i].bitwiseXOR(F.col("b.sketch")[i])) for i in range(SKETCH_WORDS))
+    folded = sum(F.bit_count(F.col("a.fold")[i].bitwiseXOR(F.col("b.fold")[i])) for i in range(FOLD_WORDS))
+    distance = F.aggregate(F.zip_with("a.sketch", "b.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
     small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-    return (small * 100 >= large * percent) & (distance * (100 + percent) <= (F.col("a.n") + F.col("b.n")) * (100 - percent))
+    most = (F.col("a.n") + F.col("b.n")) * (100 - percent)
+    return (small * 100 >= large * percent) & (folded * (100 + percent) <= most) & (distance * (100 + percent) <= most)
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -239,26 +246,33 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hits = stored(_hit_sets(texts, size, percent, bloom).dropDuplicates(["sig", "sig2"]).join(nodes, ["sig", "sig2"]), "ngram-hits")
     members = stored(hits.select("node", F.explode("keys").alias("key")).join(repeated, "key"), "ngram-members")
     sets = hits.select("node", "shingles")
-    facts = hits.select("node", F.struct("node", "n", "sketch").alias("a"))
+    # the same sketch folded to fewer bits, a cheaper and weaker bound
+    fold = F.array(*[reduce(Column.bitwiseXOR, [F.col("sketch")[j] for j in range(i, SKETCH_WORDS, FOLD_WORDS)]) for i in range(FOLD_WORDS)])
+    facts = hits.select("node", F.struct("node", "n", "sketch", fold.alias("fold"), "keys").alias("a"))
     facts_b = facts.select(F.col("node").alias("other"), F.col("a").alias("b"))
+    # how many others a node meets: the text that a family was copied from meets the most
+    meets = (members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key").groupBy("node").agg(F.sum("size").alias("meets")))
+    members = stored(members.join(meets, "node"), "ngram-met")
     links = None
     labels = None
     for turn in range(STAR_ROUNDS + 1):
         now = members if labels is None else members.join(labels, "node", "left")
-        now = now.withColumn("comp", F.col("node") if labels is None else F.coalesce("component", "node")).select("key", "node", "comp")
+        now = now.withColumn("comp", F.col("node") if labels is None else F.coalesce("component", "node")).select("key", "node", "meets", "comp")
         open_keys = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
         now = stored(now.join(open_keys, "key"), "ngram-open")
         if now.isEmpty():
             break
         if turn < STAR_ROUNDS:  # one centre per key and round
-            rank = F.xxhash64("node", F.lit(turn))
+            rank = F.when(F.lit(turn == 0), -F.col("meets")).otherwise(F.xxhash64("node", F.lit(turn)))
             centre = now.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "node", "comp")).alias("c"))
             pairs = (now.join(centre, "key").filter("comp != c.comp").select("node", F.col("c.node").alias("other")).distinct()
                      .join(facts, "node").join(facts_b, "other").filter(_may_link(percent)))
         else:  # whatever is left between different components
             left = now.join(facts, "node").select("key", "comp", "a")
             right = now.select("key", F.col("node").alias("other"), F.col("comp").alias("comp2")).join(facts_b, "other").select("key", "comp2", "b")
-            pairs = left.join(right, "key").filter((F.col("a.node") < F.col("b.node")) & (F.col("comp") != F.col("comp2")) & _may_link(percent))
+            common = F.array_intersect("a.keys", "b.keys")
+            pairs = left.join(right, "key").filter((F.col("a.node") < F.col("b.node")) & (F.col("comp") != F.col("comp2")) & _may_link(percent)
+                                                   & (F.size(common) >= AGREE) & (F.col("key") == F.array_min(common)))
         pairs = pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
         found = stored(_verify(pairs, sets, percent), "ngram-links")
         links = found if links is None else links.union(found)
