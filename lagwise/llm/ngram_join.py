@@ -16,8 +16,8 @@ Work is bounded by keys, never by pairs of a group.  Keys are counted in Spark b
 (copies count once), those of one set alone fall away, and a Bloom filter of fixed size brings the repeated keys back
 to the documents, which then emit their sets once.  In each block group, members are verified against one centre per
 round (first the member that meets the most others), components merge, and only groups that still span several
-components go on; the last round tests whatever pairs are left between different components, each pair in its first
-common key only, after the size bound and the Hamming bound of a compact sketch.
+components go on; the last round tests whatever pairs are left between different components, pairs with two
+common keys at least, after the size bound and the Hamming bounds of compact sketches.
 Every link is verified on the exact sets.
 """
 
@@ -196,13 +196,14 @@ def _hit_sets(texts: DataFrame, size: int, percent: int, bloom) -> DataFrame:
     return map_arrow(texts, job, "sig long, sig2 long, n long, sketch array<long>, shingles array<long>, keys array<long>")
 
 
-def _may_link(percent: int) -> Column:
-    """Bounds that a linked pair of nodes a, b meets: sizes, and the Hamming distance of the compact sketches."""
-    folded = sum(F.bit_count(F.col("a.fold")[i].bitwiseXOR(F.col("b.fold")[i])) for i in range(FOLD_WORDS))
-    distance = F.aggregate(F.zip_with("a.sketch", "b.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
+def _may_link(percent: int, sketch: str) -> Column:
+    """Bounds that linked nodes a, b meet: their sizes, and the Hamming distance of their sketches."""
+    if sketch == "fold":
+        distance = sum(F.bit_count(F.col("a.fold")[i].bitwiseXOR(F.col("b.fold")[i])) for i in range(FOLD_WORDS))
+    else:
+        distance = F.aggregate(F.zip_with("a.sketch", "b.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
     small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-    most = (F.col("a.n") + F.col("b.n")) * (100 - percent)
-    return (small * 100 >= large * percent) & (folded * (100 + percent) <= most) & (distance * (100 + percent) <= most)
+    return (small * 100 >= large * percent) & (distance * (100 + percent) <= (F.col("a.n") + F.col("b.n")) * (100 - percent))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -248,7 +249,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = hits.select("node", "shingles")
     # the same sketch folded to fewer bits, a cheaper and weaker bound
     fold = F.array(*[reduce(Column.bitwiseXOR, [F.col("sketch")[j] for j in range(i, SKETCH_WORDS, FOLD_WORDS)]) for i in range(FOLD_WORDS)])
-    facts = hits.select("node", F.struct("node", "n", "sketch", fold.alias("fold"), "keys").alias("a"))
+    slim = stored(hits.select("node", F.struct("node", "n", fold.alias("fold")).alias("a")), "ngram-slim")
+    slim_b = slim.select(F.col("node").alias("other"), F.col("a").alias("b"))
+    facts = hits.select("node", F.struct("n", "sketch").alias("a"))
     facts_b = facts.select(F.col("node").alias("other"), F.col("a").alias("b"))
     # how many others a node meets: the text that a family was copied from meets the most
     meets = (members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key").groupBy("node").agg(F.sum("size").alias("meets")))
@@ -265,15 +268,13 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if turn < STAR_ROUNDS:  # one centre per key and round
             rank = F.when(F.lit(turn == 0), -F.col("meets")).otherwise(F.xxhash64("node", F.lit(turn)))
             centre = now.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "node", "comp")).alias("c"))
-            pairs = (now.join(centre, "key").filter("comp != c.comp").select("node", F.col("c.node").alias("other")).distinct()
-                     .join(facts, "node").join(facts_b, "other").filter(_may_link(percent)))
+            pairs = now.join(centre, "key").filter("comp != c.comp").select(F.least("node", "c.node").alias("node"), F.greatest("node", "c.node").alias("other")).distinct()
         else:  # whatever is left between different components
-            left = now.join(facts, "node").select("key", "comp", "a")
-            right = now.select("key", F.col("node").alias("other"), F.col("comp").alias("comp2")).join(facts_b, "other").select("key", "comp2", "b")
-            common = F.array_intersect("a.keys", "b.keys")
-            pairs = left.join(right, "key").filter((F.col("a.node") < F.col("b.node")) & (F.col("comp") != F.col("comp2")) & _may_link(percent)
-                                                   & (F.size(common) >= AGREE) & (F.col("key") == F.array_min(common)))
-        pairs = pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+            left = now.join(slim, "node").select("key", "comp", "a")
+            right = now.select("key", F.col("node").alias("other"), F.col("comp").alias("comp2")).join(slim_b, "other").select("key", "comp2", "b")
+            met = left.join(right, "key").filter((F.col("a.node") < F.col("b.node")) & (F.col("comp") != F.col("comp2")) & _may_link(percent, "fold"))
+            pairs = met.groupBy(F.col("a.node").alias("node"), F.col("b.node").alias("other")).count().filter(F.col("count") >= AGREE)
+        pairs = pairs.join(facts, "node").join(facts_b, "other").filter(_may_link(percent, "sketch")).select(F.col("node").alias("a"), F.col("other").alias("b"))
         found = stored(_verify(pairs, sets, percent), "ngram-links")
         links = found if links is None else links.union(found)
         if turn < STAR_ROUNDS:
