@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .store import map_arrow
 
-CACHE = 400_000  #: words kept per Python worker
+CACHE = 300_000  #: words of a generation of the cache; two generations are kept per Python worker
 #: Fixed value: the one pattern for which cutting before single white space is known to be safe.
 SPACE_SAFE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -48,6 +48,7 @@ class BytePairCoder:
         self.fits: dict[tuple[int, int], bool] = {}
         self.cut = pattern == SPACE_SAFE
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _merge(self, data: bytes) -> list[int]:
         """Plain lowest-rank-first merging; only used on the bytes of one token to find its two halves."""
@@ -172,12 +173,19 @@ class BytePairCoder:
 
     def _remember(self, key: str, stretch: str) -> bytes:
         """Encode a stretch match by match and keep it, if it is short, under ``key``."""
+        known = self.older.get(key)
+        if known is not None:
+            return self._keep(key, known)
         ids: list[int] = []
         for piece in [stretch] if key.isascii() and key.isalpha() else self.pattern.findall(stretch):
             ids += self.encode_piece(piece.encode())
-        made = array("i", ids).tobytes()
+        return self._keep(key, array("i", ids).tobytes())
+
+    def _keep(self, key: str, made: bytes) -> bytes:
+        """Put an encoding into the cache; a full cache becomes the older generation, from which words in use come back."""
         if len(key) <= 64:
             if len(self.cache) >= CACHE:
+                self.older = dict(self.cache)
                 self.cache.clear()
             self.cache[key] = made
         return made
@@ -192,12 +200,8 @@ class BytePairCoder:
         return np.frombuffer(b"".join(out), dtype=np.int32)
 
     def _remember_piece(self, piece: str) -> bytes:
-        made = array("i", self.encode_piece(piece.encode())).tobytes()
-        if len(piece) <= 64:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache["\r" + piece] = made
-        return made
+        key = "\r" + piece
+        return self._keep(key, self.older.get(key) or array("i", self.encode_piece(piece.encode())).tobytes())
 
     def _by_words(self, text: str) -> list[bytes] | None:
         """The text cut before each space or line feed, encoded word by word; None unless each of them, and every other white
@@ -213,6 +217,9 @@ class BytePairCoder:
             for i, made in enumerate(out):
                 if made is None:
                     word = words[i]
+                    if i and (made := self.older.get(word)) is not None:
+                        out[i] = self._keep(word, made)
+                        continue
                     if len(word.split()) != 1 or len(word.strip()) != len(word) - (word[0] == "\n"):
                         return None
                     if i:
