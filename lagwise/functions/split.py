@@ -1,8 +1,7 @@
 """Deterministic train/test splits.
 
-The random split draws a uniform number per row from an arithmetic hash of the
-row index and the seed (two linear-congruential steps modulo 2^31, integer
-arithmetic only, so any SQL engine reproduces it).  A row is in the test part
+The random split draws a uniform number per row from the md5 of a stream name,
+the seed and the row index (any SQL engine reproduces it).  A row is in the test part
 when the number is below ``test_size``.  The stratified split ranks rows of a
 class by that number through ``running_total`` (no per-class window on one
 task) and puts the first ``round(test_size * class_rows)`` into test.  The
@@ -18,18 +17,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..operators.index import ROW_IDX, row_count
 from .rank import running_total
 
-_M = 2147483648  # 2^31
-_A, _C = 1103515245, 12345
 
+def text_uniform(*parts: Column) -> Column:
+    """Uniform number in [0, 1) from the first 48 bits of the md5 of the parts joined by ``:``.
 
-def hash_uniform(key: str = ROW_IDX, seed: int = 42) -> Column:
-    """Uniform number in [0, 1) from the key and seed; the same in SQL as:
-    x1 = (key mod 2^31 * 1103515245 + 12345 + seed) mod 2^31;  x2 = (x1 * 1103515245 + 12345) mod 2^31;  x2 / 2^31
+    Not linear in any part, so numbers of neighbouring rows, seeds or streams are independent.  In SQL:
+    ``('0x' || substr(md5(part || ':' || part), 1, 12))::BIGINT / 2^48``.
     """
-    x0 = F.pmod(F.col(key).cast("long"), F.lit(_M))
-    x1 = F.pmod(x0 * F.lit(_A) + F.lit(_C + int(seed)), F.lit(_M))
-    x2 = F.pmod(x1 * F.lit(_A) + F.lit(_C), F.lit(_M))
-    return x2.cast("double") / F.lit(float(_M))
+    digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+
+
+def hash_uniform(key: str = ROW_IDX, seed: int = 42, stream: str = "split") -> Column:
+    """Uniform number in [0, 1) from the key; one independent stream for each name and seed."""
+    return text_uniform(F.lit(stream), F.lit(int(seed)), F.col(key).cast("long"))
 
 
 def split(df: DataFrame, test_size: float = 0.3, seed: int = 42, stratify: str | None = None,

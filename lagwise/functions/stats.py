@@ -287,7 +287,7 @@ def trend(df: DataFrame, cols: Sequence[str] | None = None, points: int = 500, i
 def hash_sample(df: DataFrame, fraction: float, seed: int = 42, key: str = ROW_IDX) -> DataFrame:
     """Deterministic Bernoulli sample by an arithmetic hash of the row key (same rows on every run)."""
     from .split import hash_uniform
-    return df.filter(hash_uniform(key, seed) < F.lit(float(fraction)))
+    return df.filter(hash_uniform(key, seed, "sample") < F.lit(float(fraction)))
 
 
 def scatter_sample(df: DataFrame, cols: Sequence[str], max_points: int = 5000, seed: int = 42,

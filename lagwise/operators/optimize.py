@@ -18,21 +18,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import stats as st
+from ..functions.split import text_uniform
 from .halo import q
 from .index import ROW_IDX
 
-_M = 2147483648
-_A, _C = 1103515245, 12345
 
-
-def candidate_uniform(row: Column, cand: Column, var: int, seed: int = 42) -> Column:
-    """Uniform [0, 1) for (row, candidate, variable); SQL: key = (row mod 2^31 * 1000003 + cand * 7919
-    + var * 104729 + seed) mod 2^31, then two steps x -> (x * 1103515245 + 12345) mod 2^31, divided by 2^31."""
-    key = F.pmod(F.pmod(row.cast("long"), F.lit(_M)) * F.lit(1000003) + cand.cast("long") * F.lit(7919)
-                 + F.lit(var * 104729 + int(seed)), F.lit(_M))
-    x1 = F.pmod(key * F.lit(_A) + F.lit(_C), F.lit(_M))
-    x2 = F.pmod(x1 * F.lit(_A) + F.lit(_C), F.lit(_M))
-    return x2.cast("double") / F.lit(float(_M))
+def candidate_uniform(row: Column, cand: Column, var: int, seed: int = 42, generation: int = 0) -> Column:
+    """Uniform [0, 1) for (row, candidate, variable); one independent stream for each variable and generation."""
+    return text_uniform(F.lit("search"), F.lit(int(seed)), F.lit(int(generation)), F.lit(int(var)), row.cast("long"), cand.cast("long"))
 
 
 @dataclass
@@ -99,7 +92,7 @@ def optimize_rows(models: Mapping[str, object], lagged: DataFrame, predictors: S
         cand = cand.drop(*[c for c in cand.columns if c.startswith("_p_")])
         for j, f in enumerate(free):
             lo, hi = F.col(f"_lo_{f}"), F.col(f"_hi_{f}")
-            u = candidate_uniform(F.col(idx), F.col("_cand"), j, seed + 7919 * g)
+            u = candidate_uniform(F.col(idx), F.col("_cand"), j, seed, g)
             start = F.col(f"_init_{f}") if best is None else F.col(f"_inc_{f}")
             cand = cand.withColumn(f, F.when(F.col("_cand") == 0, start).otherwise(lo + u * (hi - lo)))
         scored = _score(cand, models, targets, "_p_")
@@ -124,8 +117,9 @@ def optimize_rows(models: Mapping[str, object], lagged: DataFrame, predictors: S
             base = base.drop(*[f"_inc_{f}" for f in free]).join(best.select(idx, *[f"_inc_{f}" for f in free]), idx)
             for f in free:
                 half = (F.col(f"_hi_{f}") - F.col(f"_lo_{f}")) * F.lit(shrink / 2.0)
-                base = (base.withColumn(f"_lo_{f}", F.greatest(F.col(f"_lo_{f}"), F.col(f"_inc_{f}") - half))
-                        .withColumn(f"_hi_{f}", F.least(F.col(f"_hi_{f}"), F.col(f"_inc_{f}") + half)))
+                # both ends from the same old box: in one step
+                base = base.withColumns({f"_lo_{f}": F.greatest(F.col(f"_lo_{f}"), F.col(f"_inc_{f}") - half),
+                                         f"_hi_{f}": F.least(F.col(f"_hi_{f}"), F.col(f"_inc_{f}") + half)})
     init = _score(rows.select(idx, *[q(p) for p in predictors]), models, targets, "init_pred_")
     out = init.join(best, idx).select(
         idx, *[F.col(q(f)).alias(f"init_{f}") for f in free], *[F.col(f"_inc_{f}").alias(f"opt_{f}") for f in free],

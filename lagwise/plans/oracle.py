@@ -275,12 +275,12 @@ SELECT variable, CAST(floor(row_idx / w) AS BIGINT) AS point, CAST(floor(row_idx
        round(min(v), 6) AS min, round(avg(v), 6) AS mean, round(max(v), 6) AS max
 FROM lt JOIN wd ON TRUE GROUP BY variable, point, start_idx"""
 
-HASH_U = ("((((((row_idx % 2147483648) * 1103515245 + 12345 + 42) % 2147483648) * 1103515245 + 12345)"
-          " % 2147483648) / 2147483648.0)")
+HASH_U = "(('0x' || substr(md5('split:42:' || row_idx), 1, 12))::BIGINT / 281474976710656.0)"
+SAMPLE_U = HASH_U.replace("split:", "sample:")  # its own stream
 
 ORACLE["scatter_sample"] = _with(EV) + f"""
 SELECT row_idx, value, hour, user_id FROM ev
-WHERE {HASH_U} < least(1.0, 1000.0 / (SELECT count(*) FROM ev))"""
+WHERE {SAMPLE_U} < least(1.0, 1000.0 / (SELECT count(*) FROM ev))"""
 
 ORACLE["minmax"] = _with(P1) + """
 SELECT least(min(price), min(revenue)) AS lo, greatest(max(price), max(revenue)) AS hi FROM i1"""
@@ -466,8 +466,7 @@ SELECT 'const', round(a, 6), round(sqrt(s2 * (1.0 / cnt + mx * mx / sxx)), 6),
 
 
 def _cand_u(j: int) -> str:
-    key = f"(((row_idx % 2147483648) * 1000003 + cand * 7919 + {j * 104729 + 42}) % 2147483648)"
-    return f"(((((({key}) * 1103515245 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648) / 2147483648.0)"
+    return f"(('0x' || substr(md5('search:42:0:{j}:' || row_idx || ':' || cand), 1, 12))::BIGINT / 281474976710656.0)"
 
 
 def _bounds(v: str) -> str:
@@ -582,7 +581,7 @@ LEFT JOIN (SELECT CAST(least(floor(({c} - w0.lo) / w0.width), 19) AS INTEGER) AS
 ORACLE["pair_plot_hist"] = _pair_hist_sql()
 
 ORACLE["scatter_3d"] = _with(P1) + f"""
-SELECT row_idx, qty, disc, tax, revenue FROM i1 WHERE {HASH_U} < least(1.0, 1000.0 / (SELECT count(*) FROM i1))"""
+SELECT row_idx, qty, disc, tax, revenue FROM i1 WHERE {SAMPLE_U} < least(1.0, 1000.0 / (SELECT count(*) FROM i1))"""
 
 ORACLE["preview"] = _with(P1) + """
 SELECT * FROM (SELECT row_idx, """ + ", ".join(f"{lag(f, 3)} AS {f}_lag3" for f in FEATS) + """, revenue FROM i1)
