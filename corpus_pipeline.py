@@ -46,7 +46,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", toxicity), ("exact dedup", exact), ("n-gram Jaccard join", near), ("mixing", mix), ("byte BPE", tokens)]
-#: No SQL expresses the classifier, the rounding and the tokens; tests/llm compares run() with a brute-force version.
+#: No SQL expresses the classifier, the rounding and the tokens.
 ORACLE_SQL = None
 
 
