@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import text as tx
 from .components import connected_components
-from .store import map_arrow, stored
+from .store import drop_stored, map_arrow, stored
 
 BLOCK_BITS = 4096
 SKETCH_WORDS = 32  #: 64-bit words of the compact sketch of the Hamming bound
@@ -245,7 +245,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = stored(repeated, "ngram-keys")
     bloom = spark.sparkContext.broadcast(_bloom(repeated))
     hits = stored(_hit_sets(texts, size, percent, bloom).dropDuplicates(["sig", "sig2"]).join(nodes, ["sig", "sig2"]), "ngram-hits")
-    members = stored(hits.select("node", F.explode("keys").alias("key")).join(repeated, "key"), "ngram-members")
+    unmet = stored(hits.select("node", F.explode("keys").alias("key")).join(repeated, "key"), "ngram-members")
+    drop_stored(repeated)
     sets = hits.select("node", "shingles")
     # the same sketch folded to fewer bits, a cheaper and weaker bound
     fold = F.array(*[reduce(Column.bitwiseXOR, [F.col("sketch")[j] for j in range(i, SKETCH_WORDS, FOLD_WORDS)]) for i in range(FOLD_WORDS)])
@@ -254,8 +255,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     facts = hits.select("node", F.struct("n", "sketch").alias("a"))
     facts_b = facts.select(F.col("node").alias("other"), F.col("a").alias("b"))
     # how many others a node meets: the text that a family was copied from meets the most
-    meets = (members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key").groupBy("node").agg(F.sum("size").alias("meets")))
-    members = stored(members.join(meets, "node"), "ngram-met")
+    meets = (unmet.join(unmet.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key").groupBy("node").agg(F.sum("size").alias("meets")))
+    members = stored(unmet.join(meets, "node"), "ngram-met")
+    drop_stored(unmet)
     links = None
     labels = None
     for turn in range(STAR_ROUNDS + 1):
@@ -264,6 +266,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         open_keys = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
         now = stored(now.join(open_keys, "key"), "ngram-open")
         if now.isEmpty():
+            drop_stored(now)
             break
         if turn < STAR_ROUNDS:  # one centre per key and round
             rank = F.when(F.lit(turn == 0), -F.col("meets")).otherwise(F.xxhash64("node", F.lit(turn)))
@@ -276,9 +279,11 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             pairs = met.groupBy(F.col("a.node").alias("node"), F.col("b.node").alias("other")).count().filter(F.col("count") >= AGREE)
         pairs = pairs.join(facts, "node").join(facts_b, "other").filter(_may_link(percent, "sketch")).select(F.col("node").alias("a"), F.col("other").alias("b"))
         found = stored(_verify(pairs, sets, percent), "ngram-links")
+        drop_stored(now)
         links = found if links is None else links.union(found)
         if turn < STAR_ROUNDS:
             labels = stored(_nearby(links), "ngram-labels")
+    drop_stored(hits, members, slim)
     named = rows.join(nodes, ["sig", "sig2"], "left")
     if links is not None:
         named = named.join(connected_components(links), "node", "left")

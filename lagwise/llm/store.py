@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_dir, ship_package
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder."""
@@ -27,18 +29,31 @@ def map_groups(grouped, job, schema: str, spark: SparkSession) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet to the shared folder and read back: cuts the lineage, survives lost executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+    """``df`` written once as Parquet to the shared folder and read back: cuts the lineage, survives lost executors.
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete the files of a ``stored`` table that nothing reads any more."""
+    The shuffle files of the write are freed as soon as it ends (a setting of the session, put back afterwards), not when
+    the driver happens to collect its garbage: nothing reads them again."""
     spark = df.sparkSession
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    base = checkpoint_dir(spark).rstrip("/").split(":", 1)[-1].lstrip("/")
-    for folder in folders:
-        if base in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path = shared_path(spark, name)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete the files of ``stored`` tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        base = checkpoint_dir(spark).rstrip("/").split(":", 1)[-1].lstrip("/")
+        for folder in folders:
+            if base in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
