@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import text as tx
-from .store import map_arrow, stored
+from .store import drop_stored, map_arrow, stored
 
 GRAM = 8  #: words of the inner grams whose least hash is a window's anchor
 
@@ -144,6 +144,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_classes"), F.min("lo").alias("a"), F.max("hi").alias("b")).filter("a < b")
     judged = classes.join(shared.select("anchor", "n_classes"), "anchor")
     hits = stored(runs.join(judged, ["anchor", "content"]), "substring-hits")
+    drop_stored(runs)
     # one run of each class, of its smallest document, stands for the class
     reps = (hits.filter("n_classes > 1 and id = lo").dropDuplicates(["anchor", "content"])
             .groupBy("id", "tid").agg(F.collect_list(F.struct("start", "n", "anchor", "content")).alias("runs")))
@@ -157,7 +158,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .select("id", "tid", F.expr("transform(filter(wins, w -> w.least < id), w -> struct(start + w.off as start, 1 as n))").alias("cuts"))
              .filter("size(cuts) > 0"))
     whole = hits.filter("n_classes = 1 and lo < id").select("id", "tid", F.array(F.struct("start", "n")).alias("cuts"))
-    cuts = whole.union(mixed).groupBy("id", "tid").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
+    cuts = stored(whole.union(mixed).groupBy("id", "tid").agg(F.flatten(F.collect_list("cuts")).alias("cuts")), "substring-cuts")
+    drop_stored(hits, windows)
     none = F.lit(None).cast("array<struct<start:int,n:int>>")
     return _cut(base.join(cuts, ["id", "tid"], "left").select("id", "text", "cuts")
                 .union(named.filter("id is null").select("id", "text", none.alias("cuts"))), window).withColumnRenamed("id", id_col)
