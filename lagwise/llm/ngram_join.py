@@ -2,21 +2,23 @@
 
 A document's set holds its distinct word shingles.  Each shingle flips (XORs) one bit of a sketch, so the Hamming
 distance of two sketches is at most the symmetric difference of the sets.  Sets with Jaccard >= t and sizes a, b
-differ in at most ``D = (1-t)/(1+t) * (a+b)`` elements.  The sketch of a size band is cut into ``D + 2 + slack``
+differ in at most ``D = (1-t)/(1+t) * (a+b)`` elements.  The sketch of a size band is cut into ``D + agree + slack``
 blocks of ``BLOCK_BITS`` bits (held sparsely: a block's key is the XOR of a 64-bit number for each set bit), so two
-sets that link agree in at least ``2 + slack`` blocks:
+sets that link agree in at least ``agree + slack`` blocks.  ``agree`` grows with the band (``2 + D / 8``): a passage
+that unlinked texts share fills a few blocks alone, so long texts must agree in more than a few.
+
 
 * bands are so wide that partners lie in the same or the next band; a set is keyed in its own band and, where a
   partner may be in the next one, there too;
-* empty blocks say nothing.  A set with at most ``slack`` of them has two non-empty agreeing blocks with every partner;
-  only sets with more empty blocks also emit those, so every link still meets in two keys.  A set with fewer than two
-  repeated keys, and a pair with fewer than two common ones, needs no look at the sets.
+* empty blocks say nothing.  A set with at most ``slack`` of them has ``agree`` non-empty agreeing blocks with every partner;
+  only sets with more empty blocks also emit those, so every link still meets in ``agree`` keys.  A set with fewer
+  repeated keys in a band, and a pair with fewer common ones, needs no look at the sets.
 
 Work is bounded by keys, never by pairs of a group.  Keys are counted in Spark by set signature with map-side combine
 (copies count once), those of one set alone fall away, and a Bloom filter of fixed size brings the repeated keys back
 to the documents, which then emit their sets once.  In each block group, members are verified against one centre per
 round (first the member that meets the most others), components merge, and only groups that still span several
-components go on; the last round tests whatever pairs are left between different components, pairs with two
+components go on; the last round tests whatever pairs are left between different components, pairs with ``agree``
 common keys at least, after the size bound and the Hamming bounds of compact sketches.
 Every link is verified on the exact sets.
 """
@@ -38,7 +40,8 @@ BLOCK_BITS = 4096
 SKETCH_WORDS = 32  #: 64-bit words of the compact sketch of the Hamming bound
 BLOOM_LOG2 = 27  #: bits of the Bloom filter of repeated keys: 16 MB, whatever the input
 FOLD_WORDS = 8
-AGREE = 2  #: blocks that linked sets agree in, at least
+AGREE = 2  #: blocks that linked sets agree in, at least; one more for every ``AGREE_STEP`` elements they may differ in
+AGREE_STEP = 8
 STAR_ROUNDS = 2
 
 _U = np.uint64
@@ -52,16 +55,17 @@ def size_bands(percent: int, largest: int) -> list[int]:
     return ends
 
 
-def _blocks(hi: int, percent: int) -> tuple[int, int]:
-    """(blocks, slack) of the band whose largest size is ``hi``; no blocks where only equal sets link."""
+def _blocks(hi: int, percent: int) -> tuple[int, int, int]:
+    """(blocks, slack, agree) of the band whose largest size is ``hi``; no blocks where only equal sets link."""
     most = 2 * hi * (100 - percent) // (100 + percent)
     slack = 1 + most // 20
-    return (most + AGREE + slack, slack) if most else (0, 0)
+    agree = AGREE + most // AGREE_STEP
+    return (most + agree + slack, slack, agree) if most else (0, 0, AGREE)
 
 
 def _block_keys(shingles: np.ndarray, band: int, hi: int, percent: int) -> np.ndarray:
     """Keys of a set's sketch in a band."""
-    n, slack = _blocks(hi, percent)
+    n, slack, _ = _blocks(hi, percent)
     if not n:
         return np.zeros(0, dtype=_U)
     h = tx.mix(shingles + _U((band * 0x9E3779B97F4A7C15) % (1 << 64)))
@@ -79,15 +83,16 @@ def _block_keys(shingles: np.ndarray, band: int, hi: int, percent: int) -> np.nd
     return tx.mix(digest[at] + tx.mix(_U(band * 1_000_003) + at.astype(_U)))
 
 
-def _keys(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """All block keys of a set: in its own band, and in the next if a partner may be there."""
+def _keys(shingles: np.ndarray, percent: int) -> list[tuple[np.ndarray, int]]:
+    """The block keys of a set, and in how many of them a partner agrees at least: in its own band, and in the next if a
+    partner may be there."""
     n = len(shingles)
     ends = size_bands(percent, n)
     k = len(ends) - 2
-    keys = [_block_keys(shingles, k, ends[k + 1] - 1, percent)]
+    bands = [(k, ends[k + 1] - 1)]
     if n * 100 // percent >= ends[k + 1]:
-        keys.append(_block_keys(shingles, k + 1, ends[k + 1] * 100 // percent, percent))
-    return np.concatenate(keys)
+        bands.append((k + 1, ends[k + 1] * 100 // percent))
+    return [(_block_keys(shingles, band, hi, percent), _blocks(hi, percent)[2]) for band, hi in bands]
 
 
 def _sketch(shingles: np.ndarray) -> np.ndarray:
@@ -142,7 +147,7 @@ def _key_rows(texts: DataFrame, size: int, percent: int) -> DataFrame:
                 for s in _sets(data, offs, size):
                     if len(s) and (sig := _signature(s)) not in seen:
                         seen.add(sig)
-                        keys.append(_keys(s, percent))
+                        keys.append(np.concatenate([k for k, _ in _keys(s, percent)]))
                         sigs.append(sig[0])
                         counts.append(len(keys[-1]))
                 if keys:
@@ -171,7 +176,14 @@ def _bloom(repeated: DataFrame) -> np.ndarray:
 
 
 def _hit_sets(texts: DataFrame, size: int, percent: int, bloom) -> DataFrame:
-    """(sig, sig2, n, sketch, shingles, keys) for sets with a key in the Bloom filter, with those keys."""
+    """(sig, sig2, n, need, sketch, shingles, keys) for sets with enough keys of a band in the Bloom filter, with those
+    keys; ``need``: in how many keys a partner of at most the own band's sizes agrees."""
+    def met(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        hit = np.ones(len(keys), dtype=bool)
+        for at in _bloom_places(keys):
+            hit &= (bits[at >> 6] >> (at & 63).astype(_U)) & _U(1) == 1
+        return keys[hit]
+
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bloom.value
         for batch in batches:
@@ -182,18 +194,16 @@ def _hit_sets(texts: DataFrame, size: int, percent: int, bloom) -> DataFrame:
                     if not len(s) or (sig := _signature(s)) in seen:
                         continue
                     seen.add(sig)
-                    keys = _keys(s, percent)
-                    hit = np.ones(len(keys), dtype=bool)
-                    for at in _bloom_places(keys):
-                        hit &= (bits[at >> 6] >> (at & 63).astype(_U)) & _U(1) == 1
-                    if hit.sum() >= AGREE:
-                        rows.append((*sig, len(s), _sketch(s), s.view(np.int64), np.unique(keys[hit]).view(np.int64)))
+                    bands = _keys(s, percent)
+                    hits = [hit for keys, agree in bands if len(hit := met(keys, bits)) >= agree]
+                    if hits:
+                        rows.append((*sig, len(s), bands[0][1], _sketch(s), s.view(np.int64), np.unique(np.concatenate(hits)).view(np.int64)))
                 if rows:
                     cols = list(zip(*rows))
-                    lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]), pa.int32()), pa.array(np.concatenate(c))) for c in cols[3:]]
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), *lists],
-                                                     names=["sig", "sig2", "n", "sketch", "shingles", "keys"])
-    return map_arrow(texts, job, "sig long, sig2 long, n long, sketch array<long>, shingles array<long>, keys array<long>")
+                    lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]), pa.int32()), pa.array(np.concatenate(c))) for c in cols[4:]]
+                    yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:4]], *lists],
+                                                     names=["sig", "sig2", "n", "need", "sketch", "shingles", "keys"])
+    return map_arrow(texts, job, "sig long, sig2 long, n long, need long, sketch array<long>, shingles array<long>, keys array<long>")
 
 
 def _may_link(percent: int, sketch: str) -> Column:
@@ -250,7 +260,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = hits.select("node", "shingles")
     # the same sketch folded to fewer bits, a cheaper and weaker bound
     fold = F.array(*[reduce(Column.bitwiseXOR, [F.col("sketch")[j] for j in range(i, SKETCH_WORDS, FOLD_WORDS)]) for i in range(FOLD_WORDS)])
-    slim = stored(hits.select("node", F.struct("node", "n", fold.alias("fold")).alias("a")), "ngram-slim")
+    slim = stored(hits.select("node", F.struct("node", "n", "need", fold.alias("fold")).alias("a")), "ngram-slim")
     slim_b = slim.select(F.col("node").alias("other"), F.col("a").alias("b"))
     facts = hits.select("node", F.struct("n", "sketch").alias("a"))
     facts_b = facts.select(F.col("node").alias("other"), F.col("a").alias("b"))
@@ -276,7 +286,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             left = now.join(slim, "node").select("key", "comp", "a")
             right = now.select("key", F.col("node").alias("other"), F.col("comp").alias("comp2")).join(slim_b, "other").select("key", "comp2", "b")
             met = left.join(right, "key").filter((F.col("a.node") < F.col("b.node")) & (F.col("comp") != F.col("comp2")) & _may_link(percent, "fold"))
-            pairs = met.groupBy(F.col("a.node").alias("node"), F.col("b.node").alias("other")).count().filter(F.col("count") >= AGREE)
+            pairs = (met.groupBy(F.col("a.node").alias("node"), F.col("b.node").alias("other"))
+                     .agg(F.count(F.lit(1)).alias("common"), F.first(F.greatest("a.need", "b.need")).alias("need")).filter("common >= need"))
         pairs = pairs.join(facts, "node").join(facts_b, "other").filter(_may_link(percent, "sketch")).select(F.col("node").alias("a"), F.col("other").alias("b"))
         found = stored(_verify(pairs, sets, percent), "ngram-links")
         drop_stored(now)
