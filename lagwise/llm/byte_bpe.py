@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .store import map_arrow
 
-CACHE = 300_000  #: words of a generation of the cache; two generations are kept per Python worker
+CACHE = 200_000  #: words of a generation of the cache; two generations are kept per Python worker
 #: Fixed value: the one pattern for which cutting before single white space is known to be safe.
 SPACE_SAFE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
