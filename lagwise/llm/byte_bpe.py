@@ -16,11 +16,12 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
@@ -37,10 +38,6 @@ class BytePairCoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.tokens = {i: t for t, i in ranks.items()}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for token, i in ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), i)
-        self.automaton.make_automaton()
         self.sizes = {i: len(t) for t, i in ranks.items()}
         self.most = max(self.sizes.values(), default=0)
         self.beginnings: dict[int, int] = {}
@@ -50,6 +47,20 @@ class BytePairCoder:
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        """Built on first use: a worker that only decodes does not hold it."""
+        made = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for token, i in self.ranks.items():
+            made.add_word(token.decode("latin-1"), i)
+        made.make_automaton()
+        return made
+
+    @cached_property
+    def by_id(self) -> pa.Array:
+        """Token bytes at the position of their id; null where no token has that id."""
+        return pa.array([self.tokens.get(i) for i in range(max(self.tokens, default=-1) + 1)], pa.large_binary())
+
     def _merge(self, data: bytes) -> list[int]:
         """Plain lowest-rank-first merging; only used on the bytes of one token to find its two halves."""
         parts = [data[i:i + 1] for i in range(len(data))]
@@ -232,6 +243,15 @@ class BytePairCoder:
         tokens = self.tokens
         return b"".join([tokens[i] for i in ids])
 
+    def decode_lists(self, ids: pa.ListArray) -> pa.Array:
+        """The bytes of each list of ids at once; a null list gives no bytes, an id without a token raises."""
+        flat = ids.flatten()
+        parts = self.by_id.take(flat)
+        if parts.null_count:
+            raise ValueError("an id has no token in the vocabulary")
+        ends = np.cumsum(np.append(0, np.asarray(ids.value_lengths().fill_null(0))))
+        return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), parts), pa.scalar(b"", pa.large_binary())).cast(pa.binary())
+
 
 @lru_cache(maxsize=2)
 def load_coder(path: str, pattern: str) -> BytePairCoder:
@@ -269,8 +289,7 @@ def decode_bpe(rows: DataFrame, vocabulary: str, pattern: str, ids_col: str = "i
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load_coder(vocabulary, pattern)
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            flat, ends = column.flatten().to_pylist(), np.cumsum(np.append(0, np.asarray(column.value_lengths().fill_null(0)))).tolist()
-            made = [coder.decode(flat[a:b]) for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.binary())], names=[*kept, out])
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], coder.decode_lists(part.column(part.num_columns - 1))], names=[*kept, out])
     return map_arrow(rows.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{ids_col}`").alias("__ids")), job, schema)
