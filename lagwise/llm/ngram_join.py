@@ -16,8 +16,8 @@ that unlinked texts share fills a few blocks alone, so long texts must agree in
 
 Work is bounded by keys, never by pairs of a group.  Keys are counted in Spark by set signature with map-side combine
 (copies count once), those of one set alone fall away, and a Bloom filter of fixed size brings the repeated keys back
-to the documents, which then emit their sets once.  In each block group, members are verified against one centre per
-round (first the member that meets the most others), components merge, and only groups that still span several
+to the documents, which then emit their sets once.  Keys are taken in ``KEY_PASSES`` passes, every key in one of them.  In each block group, members are verified against one centre per
+round (first the member with the most repeated keys), components merge, and only groups that still span several
 components go on; the last round tests whatever pairs are left between different components, pairs with ``agree``
 common keys at least, after the size bound and the Hamming bounds of compact sketches.
 Every link is verified on the exact sets.
@@ -43,6 +43,7 @@ FOLD_WORDS = 8
 AGREE = 2  #: blocks that linked sets agree in, at least; one more for every ``AGREE_STEP`` elements they may differ in
 AGREE_STEP = 8
 STAR_ROUNDS = 2
+KEY_PASSES = 4  #: passes over the keys, each over the same share of them, so that a pass's shuffle takes a share of the disk
 
 _U = np.uint64
 
@@ -158,6 +159,7 @@ def _key_rows(texts: DataFrame, size: int, percent: int) -> DataFrame:
 
 def _bloom_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     m = _U((1 << BLOOM_LOG2) - 1)
+    keys = tx.mix(keys)
     return tuple((h & m).astype(np.int64) for h in (keys, keys >> _U(32), tx.mix(keys)))
 
 
@@ -175,15 +177,17 @@ def _bloom(repeated: DataFrame) -> np.ndarray:
     return out
 
 
+def _in_bloom(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether each key may be in the Bloom filter."""
+    hit = np.ones(len(keys), dtype=bool)
+    for at in _bloom_places(keys):
+        hit &= (bits[at >> 6] >> (at & 63).astype(_U)) & _U(1) == 1
+    return hit
+
+
 def _hit_sets(texts: DataFrame, size: int, percent: int, bloom) -> DataFrame:
     """(sig, sig2, n, need, sketch, shingles, keys) for sets with enough keys of a band in the Bloom filter, with those
     keys; ``need``: in how many keys a partner of at most the own band's sizes agrees."""
-    def met(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        hit = np.ones(len(keys), dtype=bool)
-        for at in _bloom_places(keys):
-            hit &= (bits[at >> 6] >> (at & 63).astype(_U)) & _U(1) == 1
-        return keys[hit]
-
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bloom.value
         for batch in batches:
@@ -195,7 +199,7 @@ def _hit_sets(texts: DataFrame, size: int, percent: int, bloom) -> DataFrame:
                         continue
                     seen.add(sig)
                     bands = _keys(s, percent)
-                    hits = [hit for keys, agree in bands if len(hit := met(keys, bits)) >= agree]
+                    hits = [hit for keys, agree in bands if len(hit := keys[_in_bloom(keys, bits)]) >= agree]
                     if hits:
                         rows.append((*sig, len(s), bands[0][1], _sketch(s), s.view(np.int64), np.unique(np.concatenate(hits)).view(np.int64)))
                 if rows:
@@ -225,6 +229,17 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .filter(common * (100 + percent) >= (F.size("sa") + F.size("sb")) * percent).select("a", "b"))
 
 
+def _sets_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets that occur in pairs, and few others: only these are shuffled with their shingles."""
+    ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key")))
+    bloom = sets.sparkSession.sparkContext.broadcast(_bloom(ends))
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_in_bloom(np.asarray(batch.column(0)).view(_U), bloom.value)))
+    return map_arrow(sets, job, "node long, shingles array<long>")
+
+
 def _nearby(links: DataFrame) -> DataFrame:
     """(node, component): a provisional label, the smallest node within two links.  Nodes with one label are connected;
     the exact components are found once, at the end."""
@@ -252,11 +267,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = stored(rows.filter("n > 0 and id is not null").groupBy("sig", "sig2").agg(F.min("id").alias("node")), "ngram-nodes")
     repeated = (_key_rows(texts, size, percent).groupBy("key").agg(F.min("sig").alias("x"), F.max("sig").alias("y"))
                 .filter("x < y").select("key"))
-    repeated = stored(repeated, "ngram-keys")
     bloom = spark.sparkContext.broadcast(_bloom(repeated))
     hits = stored(_hit_sets(texts, size, percent, bloom).dropDuplicates(["sig", "sig2"]).join(nodes, ["sig", "sig2"]), "ngram-hits")
-    unmet = stored(hits.select("node", F.explode("keys").alias("key")).join(repeated, "key"), "ngram-members")
-    drop_stored(repeated)
     sets = hits.select("node", "shingles")
     # the same sketch folded to fewer bits, a cheaper and weaker bound
     fold = F.array(*[reduce(Column.bitwiseXOR, [F.col("sketch")[j] for j in range(i, SKETCH_WORDS, FOLD_WORDS)]) for i in range(FOLD_WORDS)])
@@ -264,37 +276,43 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slim_b = slim.select(F.col("node").alias("other"), F.col("a").alias("b"))
     facts = hits.select("node", F.struct("n", "sketch").alias("a"))
     facts_b = facts.select(F.col("node").alias("other"), F.col("a").alias("b"))
-    # how many others a node meets: the text that a family was copied from meets the most
-    meets = (unmet.join(unmet.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key").groupBy("node").agg(F.sum("size").alias("meets")))
-    members = stored(unmet.join(meets, "node"), "ngram-met")
-    drop_stored(unmet)
     links = None
     labels = None
     for turn in range(STAR_ROUNDS + 1):
-        now = members if labels is None else members.join(labels, "node", "left")
-        now = now.withColumn("comp", F.col("node") if labels is None else F.coalesce("component", "node")).select("key", "node", "meets", "comp")
-        open_keys = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
-        now = stored(now.join(open_keys, "key"), "ngram-open")
-        if now.isEmpty():
-            drop_stored(now)
-            break
-        if turn < STAR_ROUNDS:  # one centre per key and round
-            rank = F.when(F.lit(turn == 0), -F.col("meets")).otherwise(F.xxhash64("node", F.lit(turn)))
-            centre = now.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "node", "comp")).alias("c"))
-            pairs = now.join(centre, "key").filter("comp != c.comp").select(F.least("node", "c.node").alias("node"), F.greatest("node", "c.node").alias("other")).distinct()
+        # the text that a family was copied from shares the most of its keys, so it is the first centre
+        nodewise = hits.select("node", "keys", (-F.size("keys")).cast("long").alias("rank"))
+        if labels is not None:
+            nodewise = nodewise.join(labels, "node", "left").withColumn("rank", F.xxhash64("node", F.lit(turn)))
+        comp = F.col("node") if labels is None else F.coalesce("component", "node")
+        parts, opened = [], []
+        for part in range(KEY_PASSES):
+            now = nodewise.select("node", "rank", comp.alias("comp"), F.explode(F.filter("keys", lambda k: F.pmod(k, F.lit(KEY_PASSES)) == part)).alias("key"))
+            if turn < STAR_ROUNDS:  # one centre per key and round
+                centre = (now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min_by("node", "rank").alias("c"), F.min_by("comp", "rank").alias("c_comp"))
+                          .filter("x < y").select("key", "c", "c_comp"))
+                met = now.select("key", "node", "comp").join(centre, "key").filter("comp != c_comp and node != c")
+                parts.append(stored(met.select(F.least("node", "c").alias("node"), F.greatest("node", "c").alias("other")).distinct(), "ngram-met"))
+            else:  # the keys that still join different components
+                open_keys = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
+                opened.append(stored(now.select("key", "node", "comp").join(open_keys, "key"), "ngram-open"))
+        if turn < STAR_ROUNDS:
+            pairs = reduce(DataFrame.union, parts).distinct()
         else:  # whatever is left between different components
+            now = reduce(DataFrame.union, opened)
             left = now.join(slim, "node").select("key", "comp", "a")
             right = now.select("key", F.col("node").alias("other"), F.col("comp").alias("comp2")).join(slim_b, "other").select("key", "comp2", "b")
             met = left.join(right, "key").filter((F.col("a.node") < F.col("b.node")) & (F.col("comp") != F.col("comp2")) & _may_link(percent, "fold"))
             pairs = (met.groupBy(F.col("a.node").alias("node"), F.col("b.node").alias("other"))
                      .agg(F.count(F.lit(1)).alias("common"), F.first(F.greatest("a.need", "b.need")).alias("need")).filter("common >= need"))
         pairs = pairs.join(facts, "node").join(facts_b, "other").filter(_may_link(percent, "sketch")).select(F.col("node").alias("a"), F.col("other").alias("b"))
-        found = stored(_verify(pairs, sets, percent), "ngram-links")
-        drop_stored(now)
+        pairs = stored(pairs, "ngram-pairs")
+        drop_stored(*parts, *opened)
+        found = stored(_verify(pairs, _sets_of(pairs, sets), percent), "ngram-links")
+        drop_stored(pairs)
         links = found if links is None else links.union(found)
         if turn < STAR_ROUNDS:
             labels = stored(_nearby(links), "ngram-labels")
-    drop_stored(hits, members, slim)
+    drop_stored(hits, slim)
     named = rows.join(nodes, ["sig", "sig2"], "left")
     if links is not None:
         named = named.join(connected_components(links), "node", "left")
