@@ -8,21 +8,29 @@ an explicitly allowed member allows the class, else an explicitly blocked one bl
 
 from __future__ import annotations
 
+import html
+import re
 import string
 from collections.abc import Sequence
+from html import entities
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .components import connected_components
 from .store import stored
 
 Rule = tuple[str, str, str]  #: host, path prefix, "allow" or "block"
 
-#: Patterns of the tags that name another url of the same page, and of the url in them.
-CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-CANONICAL_URL = r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-REFRESH_URL = r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>;]+)"""
+#: The tags that may name another url of the same page, or the base of its relative references; quoted values may hold ">".
+TAGS = r"""(?is)<(?:link|meta|base)\b(?:(?:[^>"']++|"[^"]*+"|'[^']*+'){0,100}+>|[^>]*+>)"""
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+#: The url in a refresh's content, after the seconds; "url=" may be left out.
+REFRESH_URL = re.compile(r"""\s*(?:[\d.]+\s*[;,\s]\s*|(?=[;,\s]*url\s*=)[;,\s]*)(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|(.+))""", re.I | re.S)
+#: As HTML reads them in attributes: without ";" a name is one only if neither "=" nor a letter or digit follows.
+REFERENCE = re.compile(r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|[A-Za-z][A-Za-z0-9]*(?![A-Za-z0-9=;]))")
+ABSOLUTE = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://")
+SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -49,27 +57,82 @@ def _rule(host: Column, path: Column, rules: Sequence[Rule], value: int | None)
     return out
 
 
-def _absolute(link: Column, url: Column) -> Column:
-    """A link as an absolute url; null for one that is relative to the page's folder."""
-    host, _ = split_url(url)
-    return (F.when(F.instr(link, "://") > 0, link).when(link.startswith("//"), F.concat(F.lit("http:"), link))
-            .when(link.startswith("/"), F.concat(F.lit("http://"), host, link)))
+def decode(text: str) -> str:
+    """An attribute's value with its character references decoded."""
+    return REFERENCE.sub(lambda m: html.unescape(m[0]) if m[1][0] == "#" else entities.html5.get(m[1], m[0]), text)
+
+
+def resolve(base: str | None, link: str) -> str | None:
+    """A reference as an absolute url without dot segments (RFC 3986); null if it has no host, or is relative and ``base`` is not absolute."""
+    link = re.sub(r"[\t\r\n]", "", link.strip())
+    if not ABSOLUTE.match(link):
+        if SCHEME.match(link) or not (base and ABSOLUTE.match(base)):
+            return None
+        scheme, host, path, query = re.match(r"([^:]*:)//([^/?#]*)([^?#]*)(\?[^#]*)?", base).groups("")
+        if link.startswith("//"):
+            link = scheme + link
+        elif link.startswith("/"):
+            link = f"{scheme}//{host}{link}"
+        elif link.startswith("?"):
+            link = f"{scheme}//{host}{path}{link}"
+        elif not link or link.startswith("#"):
+            link = f"{scheme}//{host}{path}{query}{link}"
+        else:
+            link = f"{scheme}//{host}{path[:path.rfind('/') + 1] or '/'}{link}"
+    start, path, rest = re.match(r"([^:]*://[^/?#]*)([^?#]*)(.*)", link, re.S).groups()
+    if "/." not in path:
+        return link
+    kept, parts = [], path[1:].split("/")
+    for part in parts:
+        if part == "..":
+            del kept[-1:]
+        elif part != ".":
+            kept.append(part)
+    return f"{start}/{'/'.join(kept)}{'/' if parts[-1] in ('.', '..') and kept else ''}{rest}"
+
+
+def page_targets(url: str | None, tags: Sequence[str]) -> list[str]:
+    """The urls that a page's canonical links and refreshes name, resolved against its first ``<base href>`` or else its own url."""
+    base, links = None, []
+    for tag in tags:
+        name, found = re.match(r"<(\w+)", tag)[1].lower(), {}
+        for m in ATTRIBUTE.finditer(tag, len(name) + 1):
+            found.setdefault(m[1].lower(), decode(m[2] or m[3] or m[4] or ""))
+        if name == "base" and base is None and "href" in found:
+            base = resolve(url, found["href"])
+        elif name == "link" and "canonical" in found.get("rel", "").lower().split():
+            links.append(found.get("href", ""))
+        elif name == "meta" and found.get("http-equiv", "").strip().lower() == "refresh" and (m := REFRESH_URL.match(found.get("content", ""))):
+            links.append(m[1] or m[2] or m[3] or "")
+    return [t for link in links if link.strip() and (t := resolve(base or url, link))]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _targets(url: pd.Series, tags: pd.Series) -> pd.Series:
+    return pd.Series([page_targets(u, t) for u, t in zip(url, tags)], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def _resolved(url: pd.Series, link: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else resolve(u, x) for u, x in zip(url, link)], dtype=object)
 
 
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(url, target): canonical links and refreshes found in the pages."""
-    html = F.col(html_col)
-    some = pages.filter(html.rlike(r"(?i)rel\s*=\s*[\"']?canonical|http-equiv\s*=\s*[\"']?refresh"))
-    links = F.array(F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), CANONICAL_URL, 1), F.regexp_extract(F.regexp_extract(html, REFRESH, 0), REFRESH_URL, 1))
-    found = some.select(F.col(url_col).alias("url"), F.explode(links).alias("link")).filter("link != ''")
-    return found.select("url", _absolute(F.col("link"), F.col("url")).alias("target")).filter("target is not null")
+    """(url, target): every canonical link and refresh found in the pages, as absolute urls."""
+    page = F.col(f"`{html_col}`")
+    tags = F.regexp_extract_all(page, F.lit(TAGS), F.lit(0))
+    tags = F.filter(tags, lambda t: t.rlike(r"(?i)canonical|refresh|^<base"))
+    some = pages.filter(page.rlike("(?i)canonical|refresh")).select(F.col(f"`{url_col}`").alias("url"), tags.alias("tags"))
+    some = some.filter(F.exists("tags", lambda t: t.rlike("(?i)^<(?:link|meta)")))
+    return some.select("url", F.explode(_targets("url", "tags")).alias("target"))
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | None = None, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` (the longest fitting one, else null) and ``verdict``.
 
     A null url, or one without ``://``, has an empty host and path, fits no rule, is in no class and is allowed.  Urls that
-    differ only in scheme, fragment or host case are one.  ``redirects`` (url, target) adds edges.  Input columns with
+    differ only in scheme, fragment or host case are one.  ``redirects`` (url, target) adds edges; a relative target is
+    resolved against its url.  Input columns with
     the name of a result column are replaced.  An empty table gives an empty result.
     """
     made = ("host", "path", "rule", "verdict")
@@ -77,7 +140,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | N
     url = F.col(f"`{url_col}`")
     edges = alias_edges(pages, url_col, html_col)
     if redirects is not None:
-        edges = edges.unionByName(redirects.select("url", "target"))
+        edges = edges.unionByName(redirects.select("url", _resolved("url", "target").alias("target")).filter("target is not null"))
     edges = stored(edges, "url-edges")
     classes = connected_components(edges.select(_key(F.col("url")).alias("a"), _key(F.col("target")).alias("b")))
     classes = classes.withColumnsRenamed({"node": "__node", "component": "__class"})

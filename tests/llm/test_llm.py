@@ -184,6 +184,35 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(df.limit(0), rules).count() == 0
 
 
+@pytest.mark.parametrize("url, head, verdict", [
+    ("http://a.example.net/de/5", '<link rel="canonical" href="../fr/5">', "block"),  # relative to the folder
+    ("http://a.example.net/fr2/5", '<link rel="canonical" href="post.html">', "allow"),
+    ("http://q.net/page", '<meta http-equiv="refresh" content="0; url=?page=1">', "block"),  # relative to the query
+    ("http://a.org/1", '<link rel="canonical" href="/go?to=http://c.net/es/2">', "allow"),  # "://" in a query is no scheme
+    ("http://a.org/2", '<link rel="canonical" href="http://r.org/x?a=1&amp;b=2">', "block"),  # character references
+    ("http://a.org/3", '<meta http-equiv="refresh" content="0;url=http://r.org/x?a=1&amp;b=2">', "block"),
+    ("http://a.org/4", '<link rel="canonical" href="http://r.org/y?a=1&copy=2">', "block"),  # none without ";" before "="
+    ("http://a.org/5", '<link rel="canonical" href="http://n.org/"><link rel="canonical" href="http://c.net/es/5">', "block"),  # every tag
+    ("http://a.org/6", '<meta http-equiv=refresh content="0;url=http://n.org/"><meta http-equiv=refresh content="0;url=\'http://c.net/es/6\'">', "block"),
+    ("http://a.org/7", '<base href="http://c.net/es/"><link href=7 rel="shortlink canonical">', "block"),
+    ("http://a.org/8", '<link rel="canonical" href="mailto:x@c.net/es/8">', "allow"),
+    ("http://a.org/9", '<link data-href="http://n.org/" title="a>b" rel=canonical href="//c.net/./x/../es/9">', "block"),
+])
+def test_url_references(spark, url, head, verdict):
+    """A reference joins its page to the class of the url that it stands for, and to no other."""
+    rules = (("net", "/es/", "block"), ("net", "/fr/", "block"), ("block.org", "/", "block"))
+    alias = '<link rel="canonical" href="http://block.org/">'
+    pages = [(0, url, f"<head>{head}</head>"), (1, "http://q.net/page?page=1", alias), (2, "http://r.org/x?a=1&b=2", alias), (3, "http://r.org/y?a=1&copy=2", alias)]
+    df = spark.createDataFrame(pages, "page_id int, url string, html string")
+    assert {r.page_id: r.verdict for r in url_filter.judge_urls(df, rules).collect()}[0] == verdict
+
+
+def test_url_relative_redirect(spark):
+    df = spark.createDataFrame([(1, "http://a.net/de/5", "")], "page_id int, url string, html string")
+    redirects = spark.createDataFrame([("http://a.net/de/5", "../fr/5"), ("http://a.net/de/5", None)], "url string, target string")
+    assert url_filter.judge_urls(df, (("net", "/fr/", "block"),), redirects).collect()[0].verdict == "block"
+
+
 def test_html(spark):
     page = ("<html><head><title>T</title><style>p{}</style><script>var a='</p>'</script></head><body><nav><ul><li><a href=/>Home</a><li><a>x</a></ul></nav><div class='ad'>Buy this now.</div>"
             "<article><h1>A head &amp; more</h1><p><b>First  block of\n text here.<br><p>Second &eacute; block of text here.</article><form><p>Sign up for news.</form>"
