@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.ml import regression as mlr, classification as mlc
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.linalg import moments
@@ -36,6 +37,7 @@ from .index import ROW_IDX, keep_rows
 from .lag import lag_table_multi_target, multi_lag_table
 
 _FEATURES = "_features"
+_NUMBER_ARRAYS = {f"array<{t}>" for t in ("tinyint", "smallint", "int", "bigint", "float", "double")}
 MAX_TREE_DEPTH = 15  # "unlimited" depth of the reference's forests, bounded for node memory
 
 
@@ -73,8 +75,7 @@ class Fitted:
             names = [f"_e{i}" for i in range(len(self.expr_features))]
             src = df.selectExpr("*", *[f"{e} AS {n}" for e, n in zip(self.expr_features, names)])
             inputs = names
-        asm = VectorAssembler(inputCols=inputs, outputCol=_FEATURES, handleInvalid="keep")
-        out = self.model.transform(asm.transform(src)).drop(_FEATURES)
+        out = self.model.transform(_assemble(src, inputs)).drop(_FEATURES)
         drop = [c for c in out.columns if c.startswith("_e") and c not in df.columns]
         drop += [c for c in ("rawPrediction", "probability") if c in out.columns and c not in df.columns]
         return out.drop(*drop)
@@ -95,8 +96,27 @@ class ModelSpec:
         raise NotImplementedError
 
 
+def _arrays(df: DataFrame, cols: Sequence[str]) -> list[str]:
+    return [c for c, kind in df.select(*[q(c) for c in cols]).dtypes if kind.startswith("array")]
+
+
 def _assemble(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(cols), outputCol=_FEATURES, handleInvalid="keep").transform(df)
+    """``cols`` as one vector; an array column gives all its values."""
+    cols = list(cols)
+    arrays = set(_arrays(df, cols))
+    if not arrays:
+        return VectorAssembler(inputCols=cols, outputCol=_FEATURES, handleInvalid="keep").transform(df)
+    parts = [F.col(q(c)).cast("array<double>") if c in arrays
+             else F.array(F.coalesce(F.col(q(c)).cast("double"), F.lit(float("nan")))) for c in cols]
+    return df.withColumn(_FEATURES, array_to_vector(F.concat(*parts)))
+
+
+def _importances(df: DataFrame, features: Sequence[str], values: Sequence[float]) -> dict:
+    """Importance by feature; an array's values count one by one, as ``name[i]``."""
+    arrays = _arrays(df, features)
+    widths = df.select(*[F.size(q(c)).alias(c) for c in arrays]).first().asDict() if arrays else {}
+    names = [n for c in features for n in ([f"{c}[{i}]" for i in range(widths[c])] if c in widths else [c])]
+    return dict(zip(names, values))
 
 
 class SparkMLSpec(ModelSpec):
@@ -133,8 +153,8 @@ class SparkMLSpec(ModelSpec):
         model = self.estimator(label).fit(_assemble(df, features))
         fitted = Fitted(features, model, kind=self.kind)
         if hasattr(model, "featureImportances"):
-            fitted.importances = dict(zip(features, model.featureImportances.toArray().tolist()))
-        if hasattr(model, "coefficients"):
+            fitted.importances = _importances(df, features, model.featureImportances.toArray().tolist())
+        if hasattr(model, "coefficients") and not _arrays(df, features):
             fitted.coefficients = dict(zip(features, model.coefficients.toArray().tolist()))
             fitted.intercept = float(model.intercept)
         return fitted
@@ -316,7 +336,9 @@ def all_lags_frame(df: DataFrame, target: str, max_lag: int, drop: Sequence[str]
                    keys: Sequence[str] = (), idx: str = ROW_IDX) -> tuple[DataFrame, list[str]]:
     """Every predictor shifted by 0..max_lag plus target lags 1..target_lags, one window pass, checkpointed."""
     skip = set(drop) | set(keys) | {idx, target}
-    preds = [c for c in numeric_columns(df) if c not in skip]  # a timestamp or text column is no model input
+    # a timestamp or text column is no model input; an array of numbers is one whole
+    inputs = set(numeric_columns(df)) | {c for c, kind in df.dtypes if kind in _NUMBER_ARRAYS}
+    preds = [c for c in df.columns if c in inputs and c not in skip]
     span = max(int(max_lag), int(target_lags))
 
     def build(fr, _w):
@@ -395,7 +417,10 @@ def lag_sweep(df: DataFrame, target: str, builder: Callable[[], ModelSpec], max_
     colsets = {lag: list(dict.fromkeys([f"{c}_lag{lag}" for c in preds]
                                        + [f"{target}_lag{i}" for i in range(1, int(target_lags) + 1)]))
                for lag in range(int(max_lag) + 1)}
-    if isinstance(spec0, SparkMLSpec) and spec0.name == "linear" and not grid:
+    arrays = _arrays(wide, colsets[0])
+    if arrays and not isinstance(spec0, SparkMLSpec):
+        raise ValueError(f"{spec0.name} takes numeric columns, not the arrays {arrays}")
+    if isinstance(spec0, SparkMLSpec) and spec0.name == "linear" and not grid and not arrays:
         # linear case: every lag from the same three aggregate passes
         models, met = _linear_sweep(wide, colsets, target, test_size, seed, idx)
         rows = [(lag, None, met[lag].get("train_r2"), met[lag].get("test_r2"), met[lag].get("train_rmse"),

@@ -469,13 +469,11 @@ def q_grid_search(spark, sf_dir):
 
 @register("lag_sweep_classifier")
 def q_lag_sweep_classifier(spark, sf_dir):
-    """Classifier branch (I2) on the labelled vectors ordered by vec_id."""
+    """Classifier branch (I2) on the whole labelled vectors ordered by vec_id, lags 0..23."""
     _session(spark)
     e = panels.labelled_vectors(spark, sf_dir)
-    wide = e.select("vec_id", "label", *[F.col("embedding")[i].alias(f"e{i}") for i in range(8)])
-    ix = with_row_index(wide, "vec_id")
-    res = rg.lag_sweep(keep_rows(ix, ix.drop("vec_id")), "label", lambda: rg.builders.random_forest_classifier(
-        n_estimators=20, max_depth=6), max_lag=1)
+    ix = with_row_index(e, "vec_id")
+    res = rg.lag_sweep(keep_rows(ix, ix.drop("vec_id")), "label", rg.builders.random_forest_classifier)
     return rounded(res.results)
 
 

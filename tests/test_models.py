@@ -195,3 +195,28 @@ def test_lag_sweep_ignores_non_numeric_columns(spark):
         .withColumn("tag", F.lit("a"))
     res = lag_sweep(df.drop("t"), "y", builders.linear, max_lag=1)
     assert res.results.count() == 2 and res.best_model.features[0] == f"x_lag{res.best_lag}"
+
+
+def test_classifier_sweep_reads_every_value_of_an_array(spark):
+    from lagwise.operators.regression import lag_sweep, builders
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(300, 12))
+    rows = [(i, v[i].tolist(), int(v[i, 11] > 0)) for i in range(300)]  # the class is in the last value alone
+    df = spark.createDataFrame(rows, "row_idx long, embedding array<double>, label int")
+    res = lag_sweep(df, "label", lambda: builders.random_forest_classifier(n_estimators=5, max_depth=3), max_lag=1)
+    best = {r.lag: r.test_accuracy for r in res.results.collect()}
+    assert res.best_lag == 0 and best[0] > 0.9
+    assert max(res.best_model.importances, key=res.best_model.importances.get) == "embedding_lag0[11]"
+
+
+def test_classifier_query_takes_whole_vectors_and_all_lags(spark, monkeypatch):
+    from lagwise.plans import queries
+    seen = {}
+
+    def sweep(df, target, builder, **given):
+        seen.update(width=df.selectExpr("max(size(embedding))").collect()[0][0], params=builder().params, given=given)
+        return queries.rg.SweepResult(spark.range(1), 0, None, {})
+
+    monkeypatch.setattr(queries.rg, "lag_sweep", sweep)
+    queries.REGISTRY["lag_sweep_classifier"](spark, "/root/testdata/sf0.001")
+    assert seen == {"width": 64, "params": {}, "given": {}}
