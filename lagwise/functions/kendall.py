@@ -7,33 +7,34 @@ when rows are sorted by (x, y): for lexicographically ordered rows a pair is
 discordant exactly when the earlier y is larger.  Rows are compressed to
 distinct (x, y) with a weight first, then
 
-* a dense index over (group, x, y) cuts each group into blocks of bounded
-  size; inversions inside a block are counted per block;
-* pairs in different blocks are split by y-bucket (weighted y rank cut into
-  ``Q`` ranges): pairs in different buckets come from the small
-  block x bucket count matrix, pairs in the same bucket from one pass per
-  bucket over (block, y) compressed to distinct values.
-
-Each per-group task counts weighted inversions with a vectorised merge
-(numpy, O(m log^2 m)).
+* a dense index over (group, x, y) cuts the rows into blocks of fixed size;
+  inversions inside a block are counted per block by a vectorised merge
+  (numpy, O(m log^2 m));
+* pairs in different blocks are counted on levels: a node of level 1 holds
+  ``Q`` neighbouring blocks, a node of level L holds ``Q`` nodes of level
+  L - 1, and one node of the last level holds every row.  On each level a
+  distinct y of a node is one row with the weights of the node's ``Q``
+  children, and a distributed running total over y gives what the earlier
+  children hold above it.
+
+No task's share grows with a group: a block and a row of a node have a fixed
+size, and rows of one hot y value meet only as ``Q`` sums a node.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.index import with_row_index
 from ..session import durable
-from .rank import running_total
 
-_Q = 32          # y-buckets per group
-_MAX_BLOCKS = 32  # blocks per group (block rows grow with the largest group)
-_MIN_BLOCK = 4096
+_Q = 32            # children of a node
+_MAX_BLOCKS = None  # a group has as many blocks as it needs
+_MIN_BLOCK = 4096  # rows of a block
 
 
 def weighted_inversions(y: np.ndarray, w: np.ndarray) -> float:
@@ -84,18 +85,6 @@ def kendall_tau_b(pairs: DataFrame, group: Sequence[str]) -> DataFrame:
     tx = wts.groupBy(*group, "x").agg(F.sum("w").alias("t")).groupBy(*group).agg(F.sum(c2(F.col("t"))).alias("n1"))
     ty = wts.groupBy(*group, "y").agg(F.sum("w").alias("t")).groupBy(*group).agg(F.sum(c2(F.col("t"))).alias("n2"))
 
-    # blocks over the (group, x, y) order
-    gsize = wts.groupBy(*group).count().agg(F.max("count").alias("m")).collect()[0]["m"] or 1
-    S = max(_MIN_BLOCK, math.ceil(gsize / _MAX_BLOCKS))
-    blk = ix.withColumn("block", F.floor(F.col("_pos") / F.lit(S)).cast("long"))
-
-    # y buckets: weighted rank of distinct y inside its group, cut into _Q ranges
-    ydist = wts.groupBy(*group, "y").agg(F.sum("w").alias("_yw"))
-    yb = (running_total(ydist, ["y"], "_yw", group).join(tot.select(*group, "N"), group)
-          .select(*group, "y", F.least(F.floor(F.col("_before") * _Q / F.col("N")), F.lit(_Q - 1))
-                  .cast("int").alias("yb")))
-    cells = durable(blk.join(yb, [*group, "y"]).select(*group, "x", "y", "w", "_pos", "block", "yb"))
-
     inv_schema = ", ".join([f"`{g}` {t}" for g, t in _types(pairs, group)] + ["inv double"])
 
     def within_block(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -104,33 +93,12 @@ def kendall_tau_b(pairs: DataFrame, group: Sequence[str]) -> DataFrame:
         out["inv"] = weighted_inversions(pdf["y"].to_numpy(), pdf["w"].to_numpy())
         return out
 
-    def same_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-        comp = pdf.groupby(["block", "y"], as_index=False)["w"].sum().sort_values(["block", "y"])
-        out = pdf[group].iloc[:1].copy()
-        out["inv"] = weighted_inversions(comp["y"].to_numpy(), comp["w"].to_numpy())
-        return out
-
-    inv_a = cells.groupBy(*group, "block").applyInPandas(within_block, inv_schema)
-    inv_b = cells.select(*group, "block", "yb", "y", "w").groupBy(*group, "yb").applyInPandas(same_bucket, inv_schema)
-    # different buckets, different blocks: from the block x bucket matrix (<= blocks * _Q cells per group)
-    mat = cells.groupBy(*group, "block", "yb").agg(F.sum("w").alias("c")).toPandas()
-    rows = []
-    for key, g in (mat.groupby(group) if len(mat) else []):
-        key = tuple(k.item() if hasattr(k, "item") else k for k in (key if isinstance(key, tuple) else (key,)))
-        blocks = sorted(g["block"].unique())
-        bpos = {b: i for i, b in enumerate(blocks)}
-        C = np.zeros((len(blocks), _Q))
-        for b, q, c in zip(g["block"], g["yb"], g["c"]):
-            C[bpos[b], int(q)] += c
-        above = np.cumsum(C[:, ::-1], axis=1)[:, ::-1]  # above[a, q] = sum_{q' >= q} C[a, q']
-        above = np.concatenate([above[:, 1:], np.zeros((len(blocks), 1))], axis=1)  # strictly greater bucket
-        earlier = np.cumsum(above, axis=0) - above  # sum over a < b
-        rows.append((*key, float(np.sum(C * earlier))))
-    inv_c = spark.createDataFrame(rows, inv_schema) if rows else None
-
-    nd = inv_a.unionByName(inv_b)
-    if inv_c is not None:
-        nd = nd.unionByName(inv_c)
+    # blocks over the (group, x, y) order
+    blk = ix.withColumn("block", F.floor(F.col("_pos") / F.lit(_MIN_BLOCK)).cast("long"))
+    nd = blk.select(*group, "block", "_pos", "y", "w").groupBy(*group, "block").applyInPandas(within_block, inv_schema)
+    blocks = (ix.agg(F.max("_pos")).collect()[0][0] or 0) // _MIN_BLOCK + 1
+    if blocks > 1:
+        nd = nd.unionByName(_across_blocks(blk, group, blocks))
     nd = nd.groupBy(*group).agg(F.sum("inv").alias("nd"))
     res = tot.join(tx, group).join(ty, group).join(nd, group, "left").fillna(0.0, subset=["nd"])
     n0 = F.col("N") * (F.col("N") - 1) / 2.0
@@ -139,6 +107,37 @@ def kendall_tau_b(pairs: DataFrame, group: Sequence[str]) -> DataFrame:
     return res.select(*group, F.when(den > 0, num / den).alias("corr"))
 
 
+def _across_blocks(blk: DataFrame, group: list[str], blocks: int) -> DataFrame:
+    """(group..., inv): inversions between rows of different blocks."""
+    levels = 1
+    while _Q ** levels < blocks:
+        levels += 1
+    one = blk.groupBy(*group, "block", "y").agg(F.sum("w").alias("w"))
+    nodes = [F.struct(F.lit(k).alias("level"), F.floor(F.col("block") / F.lit(_Q ** k)).alias("node"),
+                      (F.floor(F.col("block") / F.lit(_Q ** (k - 1))) % _Q).cast("int").alias("child"))
+             for k in range(1, levels + 1)]
+    key = [*group, "level", "node"]
+    rows = (one.select(*group, "y", "w", F.explode(F.array(*nodes)).alias("_s")).select(*group, "y", "w", "_s.*")
+            .groupBy(*key, "y").agg(*[F.sum(F.when(F.col("child") == c, F.col("w")).otherwise(0.0)).alias(f"c{c}")
+                                      for c in range(_Q)]))
+    # running totals over descending y: range partitions spread one large node over many tasks
+    cols = [f"c{c}" for c in range(_Q)]
+    ranged = durable(rows.repartitionByRange(*[F.col(k) for k in key], F.col("y").desc())
+                     .withColumn("_pid", F.spark_partition_id()))
+    before = Window.partitionBy("_pid", *key).orderBy(F.col("y").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    here = ranged.select("_pid", *key, *cols, *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"b{c}") for c in cols])
+    # one row per (partition, node) that a node spans: a node's rows <= partitions
+    totals = ranged.groupBy("_pid", *key).agg(*[F.sum(c).alias(c) for c in cols])
+    earlier = Window.partitionBy(*key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", *key, *[F.coalesce(F.sum(c).over(earlier), F.lit(0.0)).alias(f"o{c}") for c in cols])
+    # a row of child c is below what the children before c hold at a larger y
+    above, inv = F.lit(0.0), F.lit(0.0)
+    for c in range(1, _Q):
+        above = above + F.col(f"bc{c - 1}") + F.col(f"oc{c - 1}")
+        inv = inv + F.col(f"c{c}") * above
+    return here.join(offsets, ["_pid", *key]).select(*group, inv.alias("inv"))
+
+
 def _types(df: DataFrame, cols: Sequence[str]):
     t = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     return [(c, t[c]) for c in cols]

@@ -387,8 +387,10 @@ FROM kp a JOIN kp b ON a.variable = b.variable AND a.lag = b.lag AND a.rid < b.r
 GROUP BY a.variable, a.lag"""
 
 
-def _kendall_matrix_sql() -> str:
-    cols = ["qty", "disc", "n", "revenue"]
+ORACLE["lag_corr_kendall_all"] = ORACLE["lag_corr_kendall"].replace("range(0, 3)", "range(0, 24)")
+
+
+def _kendall_matrix_sql(cols=("qty", "disc", "n", "revenue")) -> str:
     parts = []
     for a in cols:
         for b in cols:
@@ -400,6 +402,7 @@ FROM i1 p JOIN i1 q ON p.row_idx < q.row_idx""")
 
 
 ORACLE["correlation_matrix_kendall"] = _kendall_matrix_sql()
+ORACLE["correlation_matrix_kendall_all"] = _kendall_matrix_sql(("qty", "price", "disc", "tax", "n", "revenue"))
 
 # ---------------------------------------------------------------- F13-F17, I1-I20
 

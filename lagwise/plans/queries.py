@@ -389,6 +389,18 @@ def q_correlation_matrix_kendall(spark, sf_dir):
     return rounded(corr.correlation_matrix(p1(spark, sf_dir), ["qty", "disc", "n", "revenue"], method="kendall"))
 
 
+@register("lag_corr_kendall_all")
+def q_lag_corr_kendall_all(spark, sf_dir):
+    """F6 over the whole range; the SQL of ``lag_corr_kendall`` is for lags 0..2."""
+    return rounded(corr.lag_correlation(p1(spark, sf_dir), P1_TARGET, 24, "kendall"))
+
+
+@register("correlation_matrix_kendall_all")
+def q_correlation_matrix_kendall_all(spark, sf_dir):
+    """F7 over all columns; the SQL of ``correlation_matrix_kendall`` is for four."""
+    return rounded(corr.correlation_matrix(p1(spark, sf_dir), method="kendall"))
+
+
 # ---------------------------------------------------------------- F13-F17, I1-I20
 
 

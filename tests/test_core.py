@@ -128,6 +128,34 @@ def test_kendall_blocks_and_buckets_equal_brute_force(spark, monkeypatch):
         assert abs(out[g] - _tau_b(sub.x.values, sub.y.values)) < 1e-12
 
 
+def test_kendall_tasks_do_not_grow_with_a_group(spark, monkeypatch):
+    """One hot y value with many distinct x: blocks and nodes keep their size, over several levels."""
+    monkeypatch.setattr(K, "_MIN_BLOCK", 5)
+    monkeypatch.setattr(K, "_Q", 3)
+    seen = []
+
+    def recorded(df, group, blocks, across=K._across_blocks):
+        seen.append((blocks, df.groupBy("block").count().agg({"count": "max"}).collect()[0][0]))
+        return across(df, group, blocks)
+
+    monkeypatch.setattr(K, "_across_blocks", recorded)
+    rng = np.random.default_rng(9)
+    x = rng.permutation(240).astype(float)
+    y = np.where(rng.random(240) < 0.6, 3.0, rng.integers(0, 30, 240))
+    pdf = pd.DataFrame({"g": 1, "x": x, "y": y})
+    out = K.kendall_tau_b(spark.createDataFrame(pdf), ["g"]).collect()[0]["corr"]
+    assert abs(out - _tau_b(x, y)) < 1e-12
+    assert seen == [(48, 5)]
+
+
+def test_kendall_queries_run_all_lags_and_columns(spark):
+    from lagwise.plans import queries as Q
+    lags = Q.REGISTRY["lag_corr_kendall_all"](spark, "/root/testdata/sf0.001").collect()
+    assert {(r.variable, r.lag) for r in lags} == {(v, k) for v in Q.P1_FEATURES for k in range(24)}
+    cells = Q.REGISTRY["correlation_matrix_kendall_all"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.var1 for r in cells} == {*Q.P1_FEATURES, Q.P1_TARGET} and len(cells) == 36
+
+
 def test_weighted_inversions():
     rng = np.random.default_rng(5)
     for n in (1, 2, 5, 64, 257):
