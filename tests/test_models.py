@@ -220,3 +220,17 @@ def test_classifier_query_takes_whole_vectors_and_all_lags(spark, monkeypatch):
     monkeypatch.setattr(queries.rg, "lag_sweep", sweep)
     queries.REGISTRY["lag_sweep_classifier"](spark, "/root/testdata/sf0.001")
     assert seen == {"width": 64, "params": {}, "given": {}}
+
+
+def test_dmdc_simulations_cover_the_whole_test_part(spark):
+    from lagwise.plans import queries as Q
+    model = Q._dmdc(spark, "/root/testdata/sf0.001")
+    assert (model.window, model.B.shape) == (50, (150, 2))
+    later = model.n_samples - model.split_idx - 1
+    sim = model.simulate(100, every=100).toPandas()
+    assert sorted(sim.origin + sim.step) == list(range(model.split_idx + 1, model.n_samples))
+    assert len(sim) == later
+    assert len(model.simulate(100, origins=2, every=70).toPandas()) == 200
+    assert Q.REGISTRY["dmdc_simulate"](spark, "/root/testdata/sf0.001").count() == later
+    assert Q.REGISTRY["dmdc_metrics"](spark, "/root/testdata/sf0.001").collect()[0]["n"] == later
+    assert Q.REGISTRY["dmdc_rolling_origin"](spark, "/root/testdata/sf0.001").agg({"steps": "sum"}).collect()[0][0] == later
