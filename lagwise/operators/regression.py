@@ -39,6 +39,7 @@ from .lag import lag_table_multi_target, multi_lag_table
 _FEATURES = "_features"
 _NUMBER_ARRAYS = {f"array<{t}>" for t in ("tinyint", "smallint", "int", "bigint", "float", "double")}
 MAX_TREE_DEPTH = 15  # "unlimited" depth of the reference's forests, bounded for node memory
+SPARK_TREE_DEPTH = 30  # the deepest tree that Spark ML grows
 
 
 def _strip(params: Mapping, prefixes=("svr__", "mlp__", "pca__", "regressor__")) -> dict:
@@ -126,16 +127,18 @@ class SparkMLSpec(ModelSpec):
         p = self.params
         seed = int(p.get("random_state", 42))
         depth = p.get("max_depth", None)
+        if depth and int(depth) > SPARK_TREE_DEPTH:
+            raise ValueError(f"max_depth={depth} is above {SPARK_TREE_DEPTH}, the deepest tree that Spark ML grows")
         if self.name == "random_forest":
             return mlr.RandomForestRegressor(
                 featuresCol=_FEATURES, labelCol=label, numTrees=int(p.get("n_estimators", 100)),
-                maxDepth=min(int(depth), 30) if depth else MAX_TREE_DEPTH, featureSubsetStrategy="all",
+                maxDepth=int(depth) if depth else MAX_TREE_DEPTH, featureSubsetStrategy="all",
                 minInstancesPerNode=max(1, int(p.get("min_samples_split", 2)) // 2), seed=seed, maxBins=64,
                 maxMemoryInMB=1024, cacheNodeIds=True)
         if self.name == "random_forest_classifier":
             return mlc.RandomForestClassifier(
                 featuresCol=_FEATURES, labelCol=label, numTrees=int(p.get("n_estimators", 100)),
-                maxDepth=min(int(depth), 30) if depth else MAX_TREE_DEPTH, featureSubsetStrategy="sqrt", seed=seed)
+                maxDepth=int(depth) if depth else MAX_TREE_DEPTH, featureSubsetStrategy="sqrt", seed=seed)
         if self.name == "gbt":
             return mlr.GBTRegressor(featuresCol=_FEATURES, labelCol=label, maxIter=int(p.get("n_estimators", 100)),
                                     stepSize=float(p.get("learning_rate", 0.1)), maxDepth=int(depth or 3), seed=seed)

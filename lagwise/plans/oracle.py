@@ -445,7 +445,11 @@ FROM mm a JOIN mm b ON a.lag = b.lag AND NOT a.is_test AND b.is_test"""
 
 ORACLE["lag_sweep_linear"] = _sweep_linear_sql(5)
 
-ORACLE["lag_metric_curves"] = _sweep_linear_sql(5).replace(
+ORACLE["lag_sweep_linear_all"] = _sweep_linear_sql(23)
+
+
+def _metric_curves_sql(max_lag: int = 5) -> str:
+    return _sweep_linear_sql(max_lag).replace(
     "SELECT CAST(a.lag AS INTEGER) AS lag, CAST(NULL AS VARCHAR) AS params, round(a.r2, 6) AS train_r2,",
     ", sw AS (SELECT CAST(a.lag AS INTEGER) AS lag, CAST(NULL AS VARCHAR) AS params, a.r2 AS train_r2,").replace(
     """       round(b.r2, 6) AS test_r2, round(a.rmse, 6) AS train_rmse, round(b.rmse, 6) AS test_rmse
@@ -455,6 +459,10 @@ FROM mm a JOIN mm b ON a.lag = b.lag AND NOT a.is_test AND b.is_test)
 SELECT lag, lag = (SELECT arg_max(lag, test_r2) FROM sw) AS best_r2,
        lag = (SELECT arg_min(lag, test_rmse) FROM sw) AS best_rmse FROM sw""")
 
+
+ORACLE["lag_metric_curves"] = _metric_curves_sql(5)
+ORACLE["lag_metric_curves_all"] = _metric_curves_sql(23)
+
 ORACLE["ols_coefficients"] = _with(P1, """s AS (SELECT regr_slope(revenue, price) AS b, regr_intercept(revenue, price) AS a,
               count(*) AS cnt, avg(price) AS mx, var_pop(price) * count(*) AS sxx FROM i1),
 e AS (SELECT sum(pow(i1.revenue - (s.a + s.b * i1.price), 2)) / (s.cnt - 2) AS s2 FROM i1 JOIN s ON TRUE

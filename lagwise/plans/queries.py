@@ -430,7 +430,7 @@ def q_classification_metrics(spark, sf_dir):
     return rounded(mt.classification_metrics(e.withColumn("prediction", pred), "label", "prediction"))
 
 
-def _sweep(spark, sf_dir, builder, max_lag=3, grid=None, target_lags=0):
+def _sweep(spark, sf_dir, builder, max_lag=23, grid=None, target_lags=0):
     res = rg.lag_sweep(_p1_model(spark, sf_dir), P1_TARGET, builder, max_lag=max_lag, grid=grid,
                        target_lags=target_lags)
     return rounded(res.results)
@@ -442,20 +442,26 @@ def q_lag_sweep_linear(spark, sf_dir):
     return rounded(rg.lag_sweep(df, P1_TARGET, rg.builders.linear, max_lag=5).results)
 
 
+@register("lag_sweep_linear_all")
+def q_lag_sweep_linear_all(spark, sf_dir):
+    """I1 over lags 0..23; the SQL of ``lag_sweep_linear`` is for lags 0..5."""
+    df = p1(spark, sf_dir).select("row_idx", "price", P1_TARGET)
+    return rounded(rg.lag_sweep(df, P1_TARGET, rg.builders.linear).results)
+
+
 @register("lag_sweep_rf")
 def q_lag_sweep_rf(spark, sf_dir):
-    return _sweep(spark, sf_dir, lambda: rg.builders.random_forest(n_estimators=50))
+    return _sweep(spark, sf_dir, rg.builders.random_forest)
 
 
 @register("lag_sweep_gbt")
 def q_lag_sweep_gbt(spark, sf_dir):
-    return _sweep(spark, sf_dir, lambda: rg.builders.gbt(n_estimators=50))
+    return _sweep(spark, sf_dir, rg.builders.gbt)
 
 
 @register("lag_sweep_boosted")
 def q_lag_sweep_boosted(spark, sf_dir):
-    return _sweep(spark, sf_dir, lambda: rg.builders.boosted_sampled(n_estimators=50, subsample=0.8,
-                                                                   colsample_bytree=0.8))
+    return _sweep(spark, sf_dir, lambda: rg.builders.boosted_sampled(subsample=0.8, colsample_bytree=0.8))
 
 
 @register("lag_sweep_pcr")
@@ -475,8 +481,8 @@ def q_lag_sweep_hidden(spark, sf_dir):
 
 @register("grid_search")
 def q_grid_search(spark, sf_dir):
-    return _sweep(spark, sf_dir, rg.builders.gbt, max_lag=1,
-                  grid={"n_estimators": [10, 20], "learning_rate": [0.05, 0.1], "max_depth": [2, 3]})
+    return _sweep(spark, sf_dir, rg.builders.gbt,
+                  grid={"n_estimators": [50, 100], "learning_rate": [0.05, 0.1], "max_depth": [3, 5]})
 
 
 @register("lag_sweep_classifier")
@@ -496,6 +502,14 @@ def q_lag_metric_curves(spark, sf_dir):
         .select("lag", "best_r2", "best_rmse")
 
 
+@register("lag_metric_curves_all")
+def q_lag_metric_curves_all(spark, sf_dir):
+    """I12 over lags 0..23; the SQL of ``lag_metric_curves`` is for lags 0..5."""
+    df = p1(spark, sf_dir).select("row_idx", "price", P1_TARGET)
+    return rg.lag_metric_curves(rg.lag_sweep(df, P1_TARGET, rg.builders.linear).results) \
+        .select("lag", "best_r2", "best_rmse")
+
+
 @register("ols_coefficients")
 def q_ols_coefficients(spark, sf_dir):
     df = p1(spark, sf_dir)

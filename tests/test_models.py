@@ -234,3 +234,27 @@ def test_dmdc_simulations_cover_the_whole_test_part(spark):
     assert Q.REGISTRY["dmdc_simulate"](spark, "/root/testdata/sf0.001").count() == later
     assert Q.REGISTRY["dmdc_metrics"](spark, "/root/testdata/sf0.001").collect()[0]["n"] == later
     assert Q.REGISTRY["dmdc_rolling_origin"](spark, "/root/testdata/sf0.001").agg({"steps": "sum"}).collect()[0][0] == later
+
+
+def test_registered_sweeps_run_all_lags_with_default_trees(spark, monkeypatch):
+    from lagwise.plans import queries as Q
+    seen = {}
+
+    def sweep(df, target, builder, max_lag=23, grid=None, **given):
+        seen[name] = (max_lag, builder().params.get("n_estimators", 100), grid)
+        return Q.rg.SweepResult(spark.createDataFrame([], "lag int, test_r2 double, test_rmse double"), 0, None, {})
+
+    monkeypatch.setattr(Q.rg, "lag_sweep", sweep)
+    monkeypatch.setattr(Q.rg, "lag_metric_curves", lambda results: results.selectExpr("lag", "true best_r2", "true best_rmse"))
+    names = [f"lag_sweep_{k}" for k in ("rf", "gbt", "boosted", "pcr", "rff", "hidden", "linear_all")] + ["grid_search", "lag_metric_curves_all"]
+    for name in names:
+        Q.REGISTRY[name](spark, "/root/testdata/sf0.001")
+    grid = {"n_estimators": [50, 100], "learning_rate": [0.05, 0.1], "max_depth": [3, 5]}
+    assert seen == {name: (23, 100, grid if name == "grid_search" else None) for name in names}
+
+
+def test_too_deep_trees_are_refused():
+    from lagwise.operators.regression import builders
+    for build in (builders.random_forest, builders.random_forest_classifier, builders.gbt):
+        with pytest.raises(ValueError, match="max_depth=31"):
+            build(max_depth=31).estimator("y")
