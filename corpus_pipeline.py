@@ -23,8 +23,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return exact_dedup(docs).filter("kept").select(*docs.columns)
+    """One row of each group of equal texts, also where the kept id repeats or all ids are null."""
+    rows = exact_dedup(docs).filter("kept")
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    same = rows.filter("group_size > 1").groupBy("doc_id", digest).agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return rows.filter("group_size = 1").select(*docs.columns).unionByName(same)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,3 +89,14 @@ def test_pipeline_stages(spark, tmp_path):
         want.append((r.doc_id, len(ids), digest(",".join(map(str, ids)).encode()), digest((r.text or "").encode())))
     assert sorted(tuple(r) for r in tokens) == sorted(want)
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_exact_stage_keeps_one_row_of_repeats(spark):
+    """Wholly repeated rows, equal texts without ids, and a kept id shared by two texts."""
+    rows = [(7, "a b", "en", "x", 3)] * 5 + [(6, "a b", "en", "x", 3)] + [(None, "c d", "en", s, 3) for s in ("y", "x")] + [(None, "e", "en", "x", 1)]
+    rows += [(8, None, "en", "x", 0), (8, "", "en", "x", 0), (7, "f", "en", "x", 1), (7, "f", "en", "x", 1)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    out = corpus_pipeline.exact(spark, docs, "")
+    assert out.columns == docs.columns
+    got = Counter((r.doc_id, r.text or "") for r in out.collect())
+    assert got == {(7, "a b"): 1, (None, "c d"): 1, (None, "e"): 1, (8, ""): 1, (7, "f"): 1}
