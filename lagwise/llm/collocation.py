@@ -20,13 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import ship_package
 from .store import drop_stored, map_arrow, stored
 from .text import byte_sums, chunks, prefix_sums, span_hash, spans
 
 SHARDS = 4
-SLICE_BYTES = 2_000_000  #: text counted at once in a task
+SLICE_BYTES = 1_000_000  #: text counted at once in a task
+MERGED = 1_500_000  #: counts that a task adds up before they leave it
+LANG_BITS, SHARD_BITS = 8, 4  #: low bits of a local key: the language's hash, the shard
 MAX_BITS = 27  #: log2 of the largest bit set (16 MB)
-SMALL = 100_000  #: rows of a table that may be broadcast
 GROUP = 100_000  #: phrases ranked by one task, on average
 _U = np.uint64
 _WORD_BASE = 0xD1B54A32D192ED03
@@ -141,19 +143,54 @@ def _words(rows: DataFrame) -> DataFrame:
     return map_arrow(rows, job, "lang string, shard int, phrase string, n long").groupBy("lang", "shard", "phrase").agg(F.sum("n").alias("n"))
 
 
+def _group(lang_hash, shard):
+    """The low bits of a local key."""
+    return lang_hash % (1 << LANG_BITS) << SHARD_BITS | shard
+
+
 def _local(rows: DataFrame, size: int, shorter) -> DataFrame:
-    """(shard, lang, key, n): counts per shard of the phrases of ``size`` words whose two shorter phrases are in the bit set."""
+    """(key, n): counts per shard of the phrases of ``size`` words whose two shorter phrases are in the bit set.
+
+    The low bits of a key are the shard and a hash of the language, the others a hash of the phrase; two phrases with one
+    key can only make a candidate more.
+    """
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, counts = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))[:len(keys)]
+        return pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(np.add.reduceat(counts, first) if len(first) else counts, pa.int64())], names=["key", "n"])
+
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for s in _slices(batches):
             at, keys = s.phrases(size - 1)
             good = np.zeros(len(s.left) + 1, dtype=bool)
             good[at[shorter.value.has(keys)]] = True
             at, keys = s.phrases(size, np.flatnonzero(good[:-1] & good[1:]))
-            first, counts = _grouped(keys, s.shard[at])
-            at = at[first]
-            yield pa.RecordBatch.from_arrays([pa.array(s.shard[at], pa.int32()), s.languages(at),
-                                              pa.array(keys[first].view(np.int64)), pa.array(counts, pa.int64())], names=["shard", "lang", "key", "n"])
-    return map_arrow(rows, job, "shard int, lang string, key long, n long").groupBy("shard", "lang", "key").agg(F.sum("n").alias("n"))
+            low = _group(s.salt[at].astype(np.int64) & (1 << LANG_BITS) - 1, s.shard[at]).astype(_U)
+            keys, counts = np.unique(keys >> _U(LANG_BITS + SHARD_BITS) << _U(LANG_BITS + SHARD_BITS) | low, return_counts=True)
+            parts.append((keys, counts.astype(np.int32)))
+            held += len(keys)
+            if held > MERGED:
+                yield merged(parts)
+                parts, held = [], 0
+        if parts:
+            yield merged(parts)
+    return map_arrow(rows, job, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _needed(held: DataFrame, totals: DataFrame, support: int) -> list[int]:
+    """For each value of a local key's low bits, the least count in its shard that a phrase of the support must reach in one of
+    them; the least of the languages that share the bits."""
+    each = held.join(totals.withColumnRenamed("n", "total"), "lang")
+    least = F.ceil(F.lit(support) * F.col("n").cast("decimal(20,0)") / F.col("total")).cast("long")
+    seed = F.pandas_udf(lambda langs: langs.map(lambda x: _seed(x) & (1 << LANG_BITS) - 1), "long")
+    found = each.select(seed("lang").alias("hash"), "shard", least.alias("least")).groupBy("hash", "shard").agg(F.min("least").alias("least")).collect()
+    out = [1] * (1 << LANG_BITS + SHARD_BITS)  # so many rows at most
+    for r in found:
+        out[_group(r["hash"], r["shard"])] = r["least"]
+    return out
 
 
 def _count(rows: DataFrame, sets) -> DataFrame:
@@ -177,23 +214,23 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     tabs; a phrase lies within a piece and is written with single spaces.  A null text is empty, a null language ``und``.
     Rows that repeat count again; an empty table gives empty results; other columns are ignored.
     """
+    if not 0 < shards <= 1 << SHARD_BITS:
+        raise ValueError(f"shards: 1 to {1 << SHARD_BITS}")
     spark = docs.sparkSession
+    ship_package(spark)
     text, lang = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.coalesce(F.col(f"`{lang_col}`"), F.lit("und"))
     salt = [F.col(f"`{c}`") for c, kind in docs.dtypes if kind in ("bigint", "int")]
     rows = docs.select(text.alias("text"), F.pmod(F.xxhash64(text, *salt), F.lit(shards)).cast("int").alias("shard"), lang.alias("lang"))
     counted = stored(_words(rows).filter((F.col("n") >= support) | F.col("phrase").isNull()), "phrase-words")
     held = counted.filter("phrase is null")
     totals = held.groupBy("lang").agg(F.sum("n").alias("n"))
-    # the least count in a shard that a phrase of the support must reach in one of them
-    needed = held.join(totals.withColumnRenamed("n", "total"), "lang").select("lang", "shard", F.ceil(F.lit(support) * F.col("n").cast("decimal(20,0)") / F.col("total")).cast("long").alias("needed"))
-    if needed.count() <= SMALL:  # one row per language and shard
-        needed = F.broadcast(needed)
+    needed = F.lit(_needed(held, totals, support))
     words = counted.filter("phrase is not null").select("lang", F.lit(1).alias("size"), "phrase", "n")
     shorter, sets = _bit_set(_word_keys(words)), {}
     for size in range(2, longest + 1):
         sent = spark.sparkContext.broadcast(shorter)
-        mined = _local(rows, size, sent).join(needed, ["lang", "shard"]).filter("n >= needed").select("key").distinct()
-        candidates = stored(mined, "phrase-candidates")
+        low = F.col("key").bitwiseAND(F.lit((1 << LANG_BITS + SHARD_BITS) - 1)).cast("int")
+        candidates = stored(_local(rows, size, sent).filter(F.col("n") >= F.get(needed, low)).select("key"), "phrase-candidates")
         shorter = sets[size] = _bit_set(candidates)
         drop_stored(candidates)
     longer = stored(_count(rows, spark.sparkContext.broadcast(sets)).filter(F.col("n") >= support), "phrase-counts")
