@@ -159,6 +159,10 @@ class PieceCoder:
             # of hits in a row every second is taken, from the left
             run = np.maximum.accumulate(np.where(np.append(True, np.diff(hit) > 1), np.arange(len(hit)), 0))
             hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
+            # a merge whose right neighbour merges too makes a pair with that neighbour's first symbol for a moment
+            close = hit[np.flatnonzero(np.diff(hit) == 2)]
+            close = close[word[close] == word[close + 2]]
+            redo.append(word[close][self._pair(made[close], symbols[close + 2])[0] <= own[close]])
             symbols[hit] = made[hit]
             keep = np.ones(len(symbols), dtype=bool)
             keep[hit + 1] = False
@@ -193,19 +197,19 @@ class PieceCoder:
         text, n = symbols.tolist(), len(symbols)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         table = self._table
-        heap = [(*table[pair], i, text[i], text[i + 1]) for i in range(n - 1) if (pair := (text[i], text[i + 1])) in table]
+        heap = [(table[pair][0], i, *pair) for i in range(n - 1) if (pair := (text[i], text[i + 1])) in table]
         heapq.heapify(heap)
         while heap:
-            _, made, i, left, right = heapq.heappop(heap)
+            _, i, left, right = heapq.heappop(heap)
             j = after[i]
             if text[i] != left or j >= n or text[j] != right:
                 continue
-            text[i], text[j], after[i] = made, -1, after[j]
+            text[i], text[j], after[i] = table[left, right][1], -1, after[j]
             if after[j] < n:
                 before[after[j]] = i
             for a in (before[i], i):
                 if a >= 0 and after[a] < n and (pair := (text[a], text[after[a]])) in table:
-                    heapq.heappush(heap, (*table[pair], a, *pair))
+                    heapq.heappush(heap, (table[pair][0], a, *pair))
         return np.array([t for t in text if t >= 0], dtype=np.int32)
 
     @property
