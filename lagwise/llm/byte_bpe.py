@@ -25,9 +25,11 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from .ids import text_slices
 from .store import map_arrow
 
-CACHE = 200_000  #: words of a generation of the cache; two generations are kept per Python worker
+CACHE = 100_000  #: words of a generation of the cache; two generations are kept per Python worker
+FITS = 200_000  #: token pairs whose compatibility is remembered
 #: Fixed value: the one pattern for which cutting before single white space is known to be safe.
 SPACE_SAFE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -118,7 +120,7 @@ class BytePairCoder:
                     a = half[1]
                 else:
                     b = half[0]
-        if len(self.fits) < 4 * CACHE:
+        if len(self.fits) < FITS:
             self.fits[key] = ok
         return ok
 
@@ -196,8 +198,7 @@ class BytePairCoder:
         """Put an encoding into the cache; a full cache becomes the older generation, from which words in use come back."""
         if len(key) <= 64:
             if len(self.cache) >= CACHE:
-                self.older = dict(self.cache)
-                self.cache.clear()
+                self.older, self.cache = self.cache, {}
             self.cache[key] = made
         return made
 
@@ -239,6 +240,11 @@ class BytePairCoder:
                         out[i] = self.cache.get("\r" + word) or self._remember("\r" + word, word)
         return out
 
+    def encode_lists(self, texts: list[str]) -> pa.ListArray:
+        """Token ids of each text."""
+        ids = [self.encode(t) for t in texts]
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
+
     def decode(self, ids) -> bytes:
         tokens = self.tokens
         return b"".join([tokens[i] for i in ids])
@@ -264,7 +270,8 @@ def load_coder(path: str, pattern: str) -> BytePairCoder:
 def encode_bpe(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with ``out``, the token ids (array<int>) of each whole text; a null text is empty and has none.
 
-    ``vocabulary``: path of the file of ranks, readable on every worker.  A column named ``out`` is replaced.
+    ``vocabulary``: path of the file of ranks, readable on every worker.  A column named ``out`` is replaced.  Texts are
+    encoded in slices of bounded size, a longer text by itself; an empty table gives an empty result.
     """
     kept = [c for c in docs.columns if c != out]
     schema = docs.select(*[F.col(f"`{c}`") for c in kept], F.array(F.lit(0)).alias(out)).schema
@@ -272,11 +279,8 @@ def encode_bpe(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load_coder(vocabulary, pattern)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                ids = [coder.encode(t) for t in part.column(part.num_columns - 1).to_pylist()]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=[*kept, out])
+            for part in text_slices(batch, batch.num_columns - 1):
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], coder.encode_lists(part.column(part.num_columns - 1).to_pylist())], names=[*kept, out])
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
     return map_arrow(rows, job, schema)
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .byte_bpe import decode_bpe, encode_bpe
+from .byte_bpe import load_coder
 from .collocation import mine_collocations
 from .conversation import damage, repair_all
 from .exact_dedup import exact_dedup
@@ -96,9 +96,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row: encode, then decode the ids."""
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
-    rows = decode_bpe(encode_bpe(docs, path, pattern).select("doc_id", "ids"), path, pattern)
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-                       F.sha2("decoded", 256).alias("decoded_sha256"))
+    return id_digests(docs, lambda: load_coder(path, pattern))
 
 
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
