@@ -31,9 +31,16 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each component of near-duplicates."""
-    dropped = ngram_join(docs, size=5, percent=80).filter("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One document, the one with the smallest id (nulls last), of each component of near-duplicates.
+
+    Rows are told apart by their place in the stored table, so rows that share an id are judged each by itself."""
+    rows = docs.withColumn("__uid", F.monotonically_increasing_id())
+    found = stored(ngram_join(rows.select("__uid", "text"), id_col="__uid", size=5, percent=80).select(F.col("__uid"), "component_id"), "pipeline-near")
+    several = found.groupBy("component_id").count().filter("count > 1").select("component_id")
+    members = found.join(several, "component_id").join(rows.select("__uid", "doc_id"), "__uid")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__uid")).alias("first"))
+    dropped = members.join(first, "component_id").filter("__uid != first.__uid").select("__uid")
+    return rows.join(dropped, "__uid", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
