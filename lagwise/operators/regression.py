@@ -2,44 +2,45 @@
 
 A model builder is a zero-argument callable returning a ``ModelSpec``; a spec
 fits on a DataFrame of feature columns and returns a fitted model whose
-``transform`` adds ``prediction``.  Tree ensembles and linear regression are
-Spark ML estimators.  Three specs are re-aimed where Spark ML has no
-equivalent: principal component regression (own centred PCA from the moment
-aggregate, then linear regression), an RBF-kernel regressor approximated by
-random Fourier features, and a random-hidden-layer regressor in place of a
-back-propagated MLP; their features are JVM column expressions.
-
-All lags of a sweep come from one halo-window pass, written once to the
-checkpoint folder; every lag then selects its columns from it.
+``transform`` adds ``prediction``.  Tree ensembles are Spark ML estimators;
+linear regression, principal components, random Fourier features and random
+hidden layers are solved from Gram sums (``moment_models``), all lags, folds
+and grid points of a sweep from the same passes.
+
+All lags of a sweep come from one halo-window pass, written once as Parquet to
+the checkpoint folder; every fit then reads its own columns only.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import regression as mlr, classification as mlc
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.linalg import moments
+from ..functions.lagmoments import over_buckets, window_gram
 from ..functions.metrics import classification_metrics, r2_expr, rmse_expr
 from ..functions.split import hash_uniform, split
-from ..session import durable
+from ..session import durable, stored
 from ..sources.io import numeric_columns
 from .halo import lag_sql, over_halo, q
-from .index import ROW_IDX, keep_rows
-from .lag import lag_table_multi_target, multi_lag_table
+from .index import ROW_IDX, keep_rows, row_count
+from .lag import multi_lag_table
+from .moment_models import FLOOR, LinearSpec, MomentSpec, PCRSpec, RandomHiddenSpec, RFFSpec, fit_moments, fold_column, grid_points, search_moments
 
 _FEATURES = "_features"
 _NUMBER_ARRAYS = {f"array<{t}>" for t in ("tinyint", "smallint", "int", "bigint", "float", "double")}
 MAX_TREE_DEPTH = 15  # "unlimited" depth of the reference's forests, bounded for node memory
 SPARK_TREE_DEPTH = 30  # the deepest tree that Spark ML grows
+FIT_ROWS = 50_000  # training rows of a partition, at least
+MAX_FITS = 2_000  # tree fits of one grid search
 
 
 def _strip(params: Mapping, prefixes=("svr__", "mlp__", "pca__", "regressor__")) -> dict:
@@ -58,27 +59,26 @@ def _strip(params: Mapping, prefixes=("svr__", "mlp__", "pca__", "regressor__"))
 class Fitted:
     features: list[str]
     model: object = None            # Spark ML model (trees, linear)
-    expr_features: list[str] | None = None   # SQL expressions feeding ``model`` (re-aimed specs)
+    features_sql: str | None = None     # SQL of the mapped features as one array
     importances: dict | None = None
     coefficients: dict | None = None
     intercept: float | None = None
     kind: str = "regressor"
 
+    weights: np.ndarray | None = None   # of the mapped features of a model solved from Gram sums
+    ranked: bool = True                 # whether its coefficients rank the variables
+
     def transform(self, df: DataFrame) -> DataFrame:
-        if self.model is None:  # a linear model solved from moments: one column expression
+        if self.model is None and self.features_sql:  # weights on mapped features
+            total = F.aggregate(F.zip_with(F.expr(self.features_sql), F.lit([float(w) for w in self.weights]), lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x)
+            return df.withColumn("prediction", total + F.lit(float(self.intercept)))
+        if self.model is None:  # a linear model: one column expression
             e = F.lit(float(self.intercept or 0.0))
             for c in self.features:
                 e = e + F.col(q(c)).cast("double") * F.lit(float(self.coefficients[c]))
             return df.withColumn("prediction", e)
-        src = df
-        inputs = self.features
-        if self.expr_features is not None:
-            names = [f"_e{i}" for i in range(len(self.expr_features))]
-            src = df.selectExpr("*", *[f"{e} AS {n}" for e, n in zip(self.expr_features, names)])
-            inputs = names
-        out = self.model.transform(_assemble(src, inputs)).drop(_FEATURES)
-        drop = [c for c in out.columns if c.startswith("_e") and c not in df.columns]
-        drop += [c for c in ("rawPrediction", "probability") if c in out.columns and c not in df.columns]
+        out = self.model.transform(_assemble(df, self.features)).drop(_FEATURES)
+        drop = [c for c in ("rawPrediction", "probability") if c in out.columns and c not in df.columns]
         return out.drop(*drop)
 
 
@@ -93,6 +93,18 @@ class ModelSpec:
         p.update(_strip(params))
         return type(self)(self.name, p, self.kind)
 
+    KEYS = {
+        "random_forest": ("n_estimators", "max_depth", "min_samples_split", "min_samples_leaf", "random_state", "n_jobs"),
+        "random_forest_classifier": ("n_estimators", "max_depth", "min_samples_split", "min_samples_leaf", "random_state", "n_jobs"),
+        "gbt": ("n_estimators", "learning_rate", "max_depth", "random_state"),
+        "boosted_sampled": ("n_estimators", "learning_rate", "max_depth", "subsample", "colsample_bytree", "random_state", "n_jobs"),
+    }
+
+    def __post_init__(self):
+        unknown = sorted(set(self.params) - set(self.KEYS.get(self.name, ())))
+        if unknown:
+            raise ValueError(f"{self.name} has no parameters {unknown}; it has {list(self.KEYS.get(self.name, ()))}")
+
     def fit(self, df: DataFrame, features: Sequence[str], label: str) -> Fitted:
         raise NotImplementedError
 
@@ -120,8 +132,14 @@ def _importances(df: DataFrame, features: Sequence[str], values: Sequence[float]
     return dict(zip(names, values))
 
 
+def _least_rows(p: Mapping) -> int:
+    """Spark ML bounds a leaf's rows, not a split's: a node of fewer than ``min_samples_split`` rows cannot have two leaves of
+    half as many, so half of it is the nearest bound; ``min_samples_leaf`` is the same bound in both."""
+    return max(1, int(p.get("min_samples_leaf", 1)), int(p.get("min_samples_split", 2)) // 2)
+
+
 class SparkMLSpec(ModelSpec):
-    """Tree ensembles and linear regression from Spark ML, parameters named as in the reference's grids."""
+    """Tree ensembles from Spark ML, parameters named as in the reference's grids."""
 
     def estimator(self, label: str):
         p = self.params
@@ -133,12 +151,13 @@ class SparkMLSpec(ModelSpec):
             return mlr.RandomForestRegressor(
                 featuresCol=_FEATURES, labelCol=label, numTrees=int(p.get("n_estimators", 100)),
                 maxDepth=int(depth) if depth else MAX_TREE_DEPTH, featureSubsetStrategy="all",
-                minInstancesPerNode=max(1, int(p.get("min_samples_split", 2)) // 2), seed=seed, maxBins=64,
+                minInstancesPerNode=_least_rows(p), seed=seed, maxBins=64,
                 maxMemoryInMB=1024, cacheNodeIds=True)
         if self.name == "random_forest_classifier":
             return mlc.RandomForestClassifier(
                 featuresCol=_FEATURES, labelCol=label, numTrees=int(p.get("n_estimators", 100)),
-                maxDepth=int(depth) if depth else MAX_TREE_DEPTH, featureSubsetStrategy="sqrt", seed=seed)
+                maxDepth=int(depth) if depth else MAX_TREE_DEPTH, featureSubsetStrategy="sqrt", seed=seed,
+                minInstancesPerNode=_least_rows(p))
         if self.name == "gbt":
             return mlr.GBTRegressor(featuresCol=_FEATURES, labelCol=label, maxIter=int(p.get("n_estimators", 100)),
                                     stepSize=float(p.get("learning_rate", 0.1)), maxDepth=int(depth or 3), seed=seed)
@@ -147,108 +166,16 @@ class SparkMLSpec(ModelSpec):
                                     stepSize=float(p.get("learning_rate", 0.3)), maxDepth=int(depth or 6),
                                     subsamplingRate=float(p.get("subsample", 1.0)),
                                     featureSubsetStrategy=str(float(p.get("colsample_bytree", 1.0))), seed=seed)
-        if self.name == "linear":
-            return mlr.LinearRegression(featuresCol=_FEATURES, labelCol=label, regParam=0.0, solver="normal")
         raise ValueError(self.name)
 
     def fit(self, df, features, label):
         features = list(features)
         model = self.estimator(label).fit(_assemble(df, features))
         fitted = Fitted(features, model, kind=self.kind)
-        if hasattr(model, "featureImportances"):
-            fitted.importances = _importances(df, features, model.featureImportances.toArray().tolist())
-        if hasattr(model, "coefficients") and not _arrays(df, features):
-            fitted.coefficients = dict(zip(features, model.coefficients.toArray().tolist()))
-            fitted.intercept = float(model.intercept)
+        fitted.importances = _importances(df, features, model.featureImportances.toArray().tolist())
         return fitted
 
 
-def _linear_on(df: DataFrame, exprs: list[str], label: str, reg: float = 0.0) -> object:
-    names = [f"_e{i}" for i in range(len(exprs))]
-    src = df.selectExpr(q(label), *[f"{e} AS {n}" for e, n in zip(exprs, names)])
-    lr = mlr.LinearRegression(featuresCol=_FEATURES, labelCol=label, regParam=float(reg),
-                              solver="normal" if reg == 0 else "auto", elasticNetParam=0.0)
-    return lr.fit(_assemble(src, names))
-
-
-def _standardised(m, features) -> list[str]:
-    std = m.std(ddof=0)
-    std[std == 0] = 1.0
-    return [f"((CAST({q(c)} AS DOUBLE) - ({float(m.mean[i])!r}D)) / ({float(std[i])!r}D))"
-            for i, c in enumerate(features)]
-
-
-class PCRSpec(ModelSpec):
-    """Centred PCA (all components, k, or a variance fraction) then linear regression."""
-
-    def fit(self, df, features, label):
-        features = list(features)
-        m = moments(df, features, fill_null=0.0)
-        evals, evecs = np.linalg.eigh(m.cov(ddof=1))
-        order = np.argsort(evals)[::-1]
-        evals, evecs = np.clip(evals[order], 0, None), evecs[:, order]
-        nc = self.params.get("n_components", None)
-        if nc is None:
-            k = len(features)
-        elif isinstance(nc, float) and 0 < nc < 1:
-            ratio = np.cumsum(evals) / evals.sum() if evals.sum() > 0 else np.ones_like(evals)
-            k = int(np.searchsorted(ratio, nc, side="right") + 1)
-        else:
-            k = int(nc)
-        k = max(1, min(k, len(features)))
-        exprs = [" + ".join(f"((CAST({q(c)} AS DOUBLE) - ({float(m.mean[i])!r}D)) * ({float(evecs[i, j])!r}D))"
-                            for i, c in enumerate(features)) for j in range(k)]
-        return Fitted(features, _linear_on(df, exprs, label), expr_features=exprs)
-
-
-class RFFSpec(ModelSpec):
-    """RBF-kernel regression re-aimed: random Fourier features (Rahimi & Recht) then ridge regression."""
-
-    def fit(self, df, features, label):
-        features = list(features)
-        p = self.params
-        d = len(features)
-        D = int(p.get("n_features", 200))
-        m = moments(df, features, fill_null=0.0)
-        gamma = p.get("gamma", "scale")
-        if gamma == "scale":
-            var = float(np.mean(np.diag(m.cov(ddof=0))))
-            gamma = 1.0 / (d * var) if var > 0 else 1.0
-        elif gamma == "auto":
-            gamma = 1.0 / d
-        rng = np.random.default_rng(int(p.get("random_state", 42)))
-        W = rng.normal(0.0, math.sqrt(2.0 * float(gamma)), size=(d, D))
-        b = rng.uniform(0, 2 * math.pi, size=D)
-        scale = math.sqrt(2.0 / D)
-        xs = [f"coalesce(CAST({q(c)} AS DOUBLE), 0D)" for c in features]
-        exprs = [f"{scale!r}D * cos(" + " + ".join(f"{x} * ({float(W[i, j])!r}D)" for i, x in enumerate(xs))
-                 + f" + {float(b[j])!r}D)" for j in range(D)]
-        reg = 1.0 / max(float(p.get("C", 1.0)), 1e-12) * 1e-3
-        return Fitted(features, _linear_on(df, exprs, label, reg), expr_features=exprs)
-
-
-class RandomHiddenSpec(ModelSpec):
-    """MLP re-aimed: standardised inputs, one or more seeded random hidden layers, ridge output layer."""
-
-    def fit(self, df, features, label):
-        features = list(features)
-        p = self.params
-        sizes = p.get("hidden_layer_sizes", (100,))
-        sizes = (sizes,) if isinstance(sizes, int) else tuple(sizes)
-        act = p.get("activation", "relu")
-        rng = np.random.default_rng(int(p.get("random_state", 42)))
-        m = moments(df, features, fill_null=0.0)
-        layer = _standardised(m, features)
-        for h in sizes:
-            W = rng.normal(0.0, 1.0 / math.sqrt(len(layer)), size=(len(layer), h))
-            b = rng.normal(0.0, 0.1, size=h)
-            pre = ["(" + " + ".join(f"({x}) * ({float(W[i, j])!r}D)" for i, x in enumerate(layer))
-                   + f" + {float(b[j])!r}D)" for j in range(h)]
-            layer = [f"greatest({z}, 0D)" if act == "relu" else f"tanh({z})" for z in pre]
-        reg = float(p.get("alpha", 0.0001))
-        return Fitted(features, _linear_on(df, layer, label, reg), expr_features=layer)
-
-
 class builders:
     """Zero-argument model builders."""
 
@@ -270,7 +197,7 @@ class builders:
 
     @staticmethod
     def linear(**p) -> ModelSpec:
-        return SparkMLSpec("linear", p)
+        return LinearSpec("linear", p)
 
     @staticmethod
     def pcr(**p) -> ModelSpec:
@@ -313,18 +240,36 @@ def cv_score(spec: ModelSpec, train: DataFrame, features, label, folds: int = 3,
     return float(np.mean(scores))
 
 
+def _compact(df: DataFrame, rows: int) -> DataFrame:
+    """No more partitions than the rows ask for: a tree level is one job, and its cost on few rows is that of its tasks."""
+    return df.coalesce(max(1, -(-int(rows) // FIT_ROWS)))
+
+
 def grid_search(builder: Callable[[], ModelSpec], grid: Mapping[str, Sequence], train: DataFrame, features,
-                label: str, folds: int = 3, seed: int = 42, parallelism: int = 4, idx: str = ROW_IDX):
-    """Exhaustive search, ``folds``-fold CV; returns (best params, best spec refitted on train)."""
-    keys = list(grid)
-    combos = [dict(zip(keys, v)) for v in itertools.product(*[grid[k] for k in keys])] or [{}]
+                label: str, folds: int = 3, seed: int = 42, parallelism: int = 8, idx: str = ROW_IDX, max_fits: int = MAX_FITS):
+    """Exhaustive search, ``folds``-fold CV; returns (best params, best spec to refit on train).
+
+    Models solved from Gram sums need one or two passes for the whole grid.  Trees are fitted once per point and fold, on one
+    prepared table with the columns of this search only; more than ``max_fits`` fits are refused before the first one.
+    Unknown parameters are refused."""
     base = builder()
-    train = durable(train)
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        scores = list(ex.map(lambda c: cv_score(base.with_params(**c), train, features, label, folds, seed, idx),
-                             combos))
-    best = combos[int(np.argmax(scores))]
-    return best, base.with_params(**best)
+    points = grid_points(grid)
+    if isinstance(base, MomentSpec):
+        part = F.floor(hash_uniform(idx, seed + 1) * folds).cast("int")
+        best = search_moments(base, grid, [(list(features), label)], train.withColumn("_part", part), folds)[0][0]
+        return best, base.with_params(**best)
+    specs = [base.with_params(**c) for c in points]
+    if len(points) * folds > max_fits:
+        raise ValueError(f"{len(points)} grid points x {folds} folds are more than max_fits={max_fits} fits")
+    train = stored(train, "grid-train")
+    train = _compact(train, train.count()).cache()
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+            scores = list(ex.map(lambda s: cv_score(s, train, features, label, folds, seed, idx), specs))
+    finally:
+        train.unpersist()
+    best = int(np.argmax(scores))
+    return points[best], specs[best]
 
 
 @dataclass
@@ -335,83 +280,51 @@ class SweepResult:
     models: dict
 
 
-def all_lags_frame(df: DataFrame, target: str, max_lag: int, drop: Sequence[str] = (), target_lags: int = 0,
+def all_lags_frame(df: DataFrame, target: str | Sequence[str], max_lag: int, drop: Sequence[str] = (), target_lags: int = 0,
                    keys: Sequence[str] = (), idx: str = ROW_IDX) -> tuple[DataFrame, list[str]]:
     """Every predictor shifted by 0..max_lag plus target lags 1..target_lags, one window pass, checkpointed."""
-    skip = set(drop) | set(keys) | {idx, target}
+    targets = [target] if isinstance(target, str) else list(target)
+    skip = set(drop) | set(keys) | {idx, *targets}
     # a timestamp or text column is no model input; an array of numbers is one whole
     inputs = set(numeric_columns(df)) | {c for c, kind in df.dtypes if kind in _NUMBER_ARRAYS}
     preds = [c for c in df.columns if c in inputs and c not in skip]
     span = max(int(max_lag), int(target_lags))
 
     def build(fr, _w):
-        return fr.selectExpr(q(idx), "_hb", "_hh", q(target),
+        return fr.selectExpr(q(idx), "_hb", "_hh", *[q(t) for t in targets],
                              *[f"{lag_sql(c, k, keys, idx)} AS {q(f'{c}_lag{k}')}"
                                for k in range(int(max_lag) + 1) for c in preds],
-                             *[f"{lag_sql(target, i, keys, idx)} AS {q(f'{target}_lag{i}')}"
-                               for i in range(1, int(target_lags) + 1)])
+                             *[f"{lag_sql(t, i, keys, idx)} AS {q(f'{t}_lag{i}')}"
+                               for t in targets for i in range(1, int(target_lags) + 1)])
 
     out = over_halo(df, build, before=span, idx=idx)
     # predictor lag columns may share a name with a target lag column when the target is also dropped
-    return keep_rows(df, durable(out.select(*dict.fromkeys(out.columns)))), preds
+    return keep_rows(df, stored(out.select(*dict.fromkeys(out.columns)), "lag-sweep")), preds
 
 
-def _linear_sweep(wide: DataFrame, colsets: Mapping[int, list[str]], target: str, test_size: float, seed: int,
-                  idx: str):
-    """OLS for every lag from three passes over a long (lag, x, y) view (H4): train means per lag, centred
-    cross-products per lag, then train/test metrics per lag.  Returns ({lag: Fitted}, {lag: metrics})."""
+def _moment_sweep(wide: DataFrame, colsets: Mapping[int, list[str]], target: str, spec, grid, test_size: float, seed: int, folds: int, idx: str):
+    """Models solved from Gram sums, every lag and grid point from the same passes: ({lag: Fitted}, result rows)."""
+    folds = int(folds) if grid else 1
     lags = sorted(colsets)
-    d = len(colsets[lags[0]])
-    items = [F.struct(F.lit(k).alias("lag"), F.array(*[F.col(q(c)).cast("double") for c in colsets[k]]).alias("x"))
-             for k in lags]
-    long = (wide.select(F.col(q(target)).cast("double").alias("y"),
-                        (hash_uniform(idx, seed) < F.lit(float(test_size))).alias("is_test"),
-                        F.explode(F.array(*items)).alias("_s"))
-            .select("_s.lag", "_s.x", "y", "is_test")
-            .filter(F.col("y").isNotNull() & ~F.exists("x", lambda v: v.isNull())))
-    train = long.filter(~F.col("is_test"))
-    first = train.groupBy("lag").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("my"),
-                                     *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(d)]).collect()
-    mu = {r["lag"]: ([r[f"m{i}"] for i in range(d)], r["my"], r["n"]) for r in first}
-    mx = F.element_at(F.array(*[F.array(*[F.lit(float(v)) for v in mu.get(k, ([0.0] * d, 0, 0))[0]])
-                                for k in lags]), F.col("lag") + 1)
-    my = F.element_at(F.array(*[F.lit(float(mu.get(k, (None, 0.0, 0))[1] or 0.0)) for k in lags]), F.col("lag") + 1)
-    z = [F.col("x")[i] - F.element_at(mx, i + 1) for i in range(d)]
-    zy = F.col("y") - my
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    second = train.groupBy("lag").agg(*[F.sum(z[i] * z[j]).alias(f"c{i}_{j}") for i, j in pairs],
-                                      *[F.sum(z[i] * zy).alias(f"y{i}") for i in range(d)]).collect()
-    fitted = {}
-    for r in second:
-        k = r["lag"]
-        sxx = np.zeros((d, d))
-        for i, j in pairs:
-            sxx[i, j] = sxx[j, i] = r[f"c{i}_{j}"]
-        sxy = np.array([r[f"y{i}"] for i in range(d)])
-        beta = np.linalg.lstsq(sxx, sxy, rcond=None)[0]
-        b0 = float(mu[k][1] - np.array(mu[k][0]) @ beta)
-        fitted[k] = Fitted(list(colsets[k]), None, coefficients=dict(zip(colsets[k], beta.tolist())), intercept=b0)
-    coef = F.element_at(F.array(*[F.array(*[F.lit(float(fitted[k].coefficients[c])) for c in colsets[k]])
-                                  if k in fitted else F.array(*[F.lit(0.0)] * d) for k in lags]), F.col("lag") + 1)
-    icpt = F.element_at(F.array(*[F.lit(float(fitted[k].intercept if k in fitted else 0.0)) for k in lags]),
-                        F.col("lag") + 1)
-    pred = icpt
-    for i in range(d):
-        pred = pred + F.col("x")[i] * F.element_at(coef, i + 1)
-    scored = long.withColumn("prediction", pred)
-    metrics = {}
-    for r in scored.groupBy("lag", "is_test").agg(r2_expr("y").alias("r2"), rmse_expr("y").alias("rmse")).collect():
-        part = "test" if r["is_test"] else "train"
-        metrics.setdefault(r["lag"], {})[f"{part}_r2"] = r["r2"]
-        metrics[r["lag"]][f"{part}_rmse"] = r["rmse"]
-    return fitted, metrics
+    parted = wide.withColumn("_part", fold_column(test_size, seed, folds, idx))
+    if grid:
+        found = search_moments(spec, grid, [(colsets[k], target) for k in lags], parted, folds)
+    else:
+        found = [(None, None, fitted, *errors) for fitted, errors in fit_moments([(spec, colsets[k], target) for k in lags], parted, 2)]
+    models = {k: f[2] for k, f in zip(lags, found)}
+    number = lambda x: None if x is None or math.isnan(x) else float(x)
+    rows = [(k, str(point) if point else None, *(number(e) for e in (train[0], test[0], train[1], test[1])), score) for k, (point, score, _, train, test) in zip(lags, found)]
+    return models, rows
 
 
 def lag_sweep(df: DataFrame, target: str, builder: Callable[[], ModelSpec], max_lag: int = 23,
               test_size: float = 0.3, grid: Mapping | None = None, drop: Sequence[str] = (), target_lags: int = 0,
               seed: int = 42, folds: int = 3, keys: Sequence[str] = (), idx: str = ROW_IDX,
-              parallelism: int = 4) -> SweepResult:
-    """For lag 0..max_lag: lag table -> split -> fit (or grid search) -> train/test metrics."""
+              parallelism: int = 8) -> SweepResult:
+    """For lag 0..max_lag: lag table -> split -> fit (or grid search) -> train/test metrics.
+
+    With a grid the results also hold ``cv_score``, the mean held-out score of the chosen point.  Models solved from Gram
+    sums take all lags together; trees are fitted lag by lag, ``parallelism`` fits at a time."""
     wide, preds = all_lags_frame(df, target, max_lag, drop, target_lags, keys, idx)
     spark = df.sparkSession
     rows, models = [], {}
@@ -421,16 +334,15 @@ def lag_sweep(df: DataFrame, target: str, builder: Callable[[], ModelSpec], max_
                                        + [f"{target}_lag{i}" for i in range(1, int(target_lags) + 1)]))
                for lag in range(int(max_lag) + 1)}
     arrays = _arrays(wide, colsets[0])
-    if arrays and not isinstance(spec0, SparkMLSpec):
+    if arrays and isinstance(spec0, MomentSpec):
         raise ValueError(f"{spec0.name} takes numeric columns, not the arrays {arrays}")
-    if isinstance(spec0, SparkMLSpec) and spec0.name == "linear" and not grid and not arrays:
-        # linear case: every lag from the same three aggregate passes
-        models, met = _linear_sweep(wide, colsets, target, test_size, seed, idx)
-        rows = [(lag, None, met[lag].get("train_r2"), met[lag].get("test_r2"), met[lag].get("train_rmse"),
-                 met[lag].get("test_rmse")) for lag in sorted(models)]
+    if isinstance(spec0, MomentSpec):
+        models, rows = _moment_sweep(wide, colsets, target, spec0, grid, test_size, seed, folds, idx)
+    n_rows = row_count(df, idx)
+
     def one_lag(lag):
         cols = colsets[lag]
-        t = wide.select(idx, *[q(c) for c in cols], q(target)).dropna()
+        t = _compact(wide.select(idx, *[q(c) for c in cols], q(target)).dropna(), n_rows)
         t = split(t, test_size, seed, stratify=target if kind == "classifier" else None, key=idx)
         train = t.filter(~F.col("is_test"))
         params = None
@@ -449,7 +361,7 @@ def lag_sweep(df: DataFrame, target: str, builder: Callable[[], ModelSpec], max_
         else:
             m = _metrics_by_part(pred, target)
             row = (lag, str(params) if params else None, m.get("train_r2"), m.get("test_r2"),
-                   m.get("train_rmse"), m.get("test_rmse"))
+                   m.get("train_rmse"), m.get("test_rmse"), None)
         return lag, fitted, row
 
     if not rows:
@@ -464,10 +376,12 @@ def lag_sweep(df: DataFrame, target: str, builder: Callable[[], ModelSpec], max_
                   "recall double, f1 double")
         key = 3
     else:
-        schema = "lag int, params string, train_r2 double, test_r2 double, train_rmse double, test_rmse double"
+        schema = "lag int, params string, train_r2 double, test_r2 double, train_rmse double, test_rmse double, cv_score double"
         key = 3
     best = max(rows, key=lambda r: (r[key] if r[key] is not None else -math.inf, -r[0]))
     results = spark.createDataFrame(rows, schema).orderBy(F.desc(schema.split(", ")[key].split()[0]))
+    if kind != "classifier" and not (grid and isinstance(spec0, MomentSpec)):
+        results = results.drop("cv_score")
     return SweepResult(results, best[0], models[best[0]], models)
 
 
@@ -490,8 +404,15 @@ def fit_multi_target(df: DataFrame, predictors: Sequence[str], targets: Sequence
     """
     t = multi_lag_table(df, predictors, targets, input_lags, target_lags, keys, idx)
     feats = [c for c in t.columns if c not in (idx, *keys, *targets)]
-    t = durable(split(t, test_size, seed, key=idx))
+    t = stored(split(t, test_size, seed, key=idx), "multi-target")
+    schema = "target string, train_r2 double, test_r2 double, train_rmse double, test_rmse double"
+    if isinstance(builder(), MomentSpec):
+        models, found = _moment_cases(t, [(feats, tg) for tg in targets], builder(), grid, test_size, seed, folds, idx)
+        rows = [(tg, *row[1:]) for tg, row in zip(targets, found)]
+        rows += [("mean", *[float(np.mean([r[i] for r in rows])) for i in range(1, 5)])] if rows else []
+        return df.sparkSession.createDataFrame(rows, schema), dict(zip(targets, models)), feats, t
     train = t.filter(~F.col("is_test"))
+
     def one_target(tg):
         spec = grid_search(builder, grid, train, feats, tg, folds, seed, parallelism, idx)[1] if grid else builder()
         fitted = spec.fit(train, feats, tg)
@@ -506,53 +427,84 @@ def fit_multi_target(df: DataFrame, predictors: Sequence[str], targets: Sequence
             rows.append(row)
     if rows:
         rows.append(("mean", *[float(np.mean([r[i] for r in rows])) for i in range(1, 5)]))
-    res = df.sparkSession.createDataFrame(rows, "target string, train_r2 double, test_r2 double, "
-                                                "train_rmse double, test_rmse double")
-    return res, models, feats, t
+    return df.sparkSession.createDataFrame(rows, schema), models, feats, t
 
 
-def multi_lag_sweep(df: DataFrame, predictors: Sequence[str], targets: Sequence[str],
-                    builder: Callable[[], ModelSpec], max_lag: int = 23, test_size: float = 0.3, seed: int = 42,
-                    keys: Sequence[str] = (), idx: str = ROW_IDX, parallelism: int = 4) -> DataFrame:
-    """For each lag, D4 table and one model per target; per-target and mean test metrics."""
-    def one_lag(lag):
-        t = lag_table_multi_target(df, lag, predictors, targets, keys, idx).dropna()
-        feats = [c for c in t.columns if c not in (idx, *keys, *targets)]
-        t = split(t, test_size, seed, key=idx)
-        train = t.filter(~F.col("is_test"))
-        out, per = [], []
-        for tg in targets:
-            m = _metrics_by_part(builder().fit(train, feats, tg).transform(t), tg)
-            per.append(m)
-            out.append((lag, tg, m.get("test_r2"), m.get("test_rmse")))
-        out.append((lag, "mean", float(np.mean([p["test_r2"] for p in per])),
-                    float(np.mean([p["test_rmse"] for p in per]))))
-        return out
+def _moment_cases(df: DataFrame, cases, spec, grid, test_size: float, seed: int, folds: int, idx: str):
+    """Models solved from Gram sums for (features, label) cases: ([Fitted], [(params, train R2, test R2, train RMSE, test RMSE)])."""
+    folds = int(folds) if grid else 1
+    parted = df.withColumn("_part", fold_column(test_size, seed, folds, idx))
+    if grid:
+        found = search_moments(spec, grid, cases, parted, folds)
+    else:
+        found = [(None, None, fitted, *errors) for fitted, errors in fit_moments([(spec, list(f), y) for f, y in cases], parted, 2)]
+    return [f[2] for f in found], [(str(p) if p else None, train[0], test[0], train[1], test[1]) for p, _, _, train, test in found]
 
-    rows = []
-    # lags are independent: concurrent Spark jobs, results kept in lag order
-    with ThreadPoolExecutor(max_workers=max(1, int(parallelism))) as ex:
-        for out in ex.map(one_lag, range(int(max_lag) + 1)):
-            rows.extend(out)
-    return df.sparkSession.createDataFrame(rows, "lag int, target string, test_r2 double, test_rmse double")
+
+@dataclass
+class MultiSweepResult:
+    results: DataFrame              # lag, target (and ``mean``), params, train and test R^2 and RMSE
+    best_lag: int                   # highest mean test R^2
+    best_models: dict[str, Fitted]  # by target
 
 
-def evaluate_multi_regression(models: Mapping[str, Fitted], table: DataFrame, idx: str = ROW_IDX, bins: int = 20):
+def multi_lag_sweep(df: DataFrame, predictors: Sequence[str], targets: Sequence[str],
+                    builder: Callable[[], ModelSpec], max_lag: int = 23, test_size: float = 0.3, grid: Mapping | None = None,
+                    drop: Sequence[str] = (), seed: int = 42, folds: int = 3, keys: Sequence[str] = (), idx: str = ROW_IDX,
+                    parallelism: int = 8) -> MultiSweepResult:
+    """For each lag, D4 table and one model per target; per-target and mean metrics, the best lag and its models.
+
+    All lags come from one window pass; models solved from Gram sums take all lags and targets together."""
+    predictors, targets = [c for c in predictors if c not in set(drop)], list(targets)
+    wide, _ = all_lags_frame(df.select(idx, *dict.fromkeys([*keys, *predictors, *targets])), targets, max_lag, (), 0, keys, idx)
+    cases = [(lag, [f"{c}_lag{lag}" for c in predictors], tg) for lag in range(int(max_lag) + 1) for tg in targets]
+    if isinstance(builder(), MomentSpec):
+        models, rows = _moment_cases(wide, [(f, tg) for _, f, tg in cases], builder(), grid, test_size, seed, folds, idx)
+    else:
+        n_rows = row_count(df, idx)
+
+        def one(case):
+            _, feats, tg = case
+            t = split(_compact(wide.select(idx, *[q(c) for c in feats], q(tg)).dropna(), n_rows), test_size, seed, key=idx)
+            train = t.filter(~F.col("is_test"))
+            params, spec = grid_search(builder, grid, train, feats, tg, folds, seed, parallelism, idx) if grid else (None, builder())
+            fitted = spec.fit(train, feats, tg)
+            m = _metrics_by_part(fitted.transform(t), tg)
+            return fitted, (str(params) if params else None, m.get("train_r2"), m.get("test_r2"), m.get("train_rmse"), m.get("test_rmse"))
+        with ThreadPoolExecutor(max_workers=1 if grid else max(1, int(parallelism))) as ex:
+            models, rows = zip(*ex.map(one, cases))
+    out, best = [], (-math.inf, 0)
+    for lag in range(int(max_lag) + 1):
+        mine = rows[lag * len(targets):(lag + 1) * len(targets)]
+        out += [(lag, tg, *row) for tg, row in zip(targets, mine)]
+        mean = [float(np.mean([row[i] for row in mine])) for i in range(1, 5)]
+        out.append((lag, "mean", None, *mean))
+        best = max(best, (mean[1], -lag))
+    best_lag = -best[1]
+    results = df.sparkSession.createDataFrame(out, "lag int, target string, params string, train_r2 double, test_r2 double, train_rmse double, test_rmse double")
+    return MultiSweepResult(results, best_lag, dict(zip(targets, models[best_lag * len(targets):(best_lag + 1) * len(targets)])))
+
+
+def evaluate_multi_regression(models: Mapping[str, Fitted], table: DataFrame, idx: str = ROW_IDX, bins: int = 20,
+                              test_size: float = 0.3, seed: int = 42):
     """I8: ``evaluate_regression`` for every target of a multi-target model."""
-    return {t: evaluate_regression(m, table, t, idx, bins) for t, m in models.items()}
+    return {t: evaluate_regression(m, table, t, idx, bins, test_size, seed) for t, m in models.items()}
 
 
-def evaluate_regression(fitted: Fitted, table: DataFrame, target: str, idx: str = ROW_IDX, bins: int = 20):
-    """Predictions over all rows (F24), residuals (F25), residual histogram (F18), density (F19),
-    identity-line range (F20) and importances (I9/I11)."""
+def evaluate_regression(fitted: Fitted, table: DataFrame, target: str, idx: str = ROW_IDX, bins: int = 20,
+                        test_size: float = 0.3, seed: int = 42):
+    """Predictions over all rows (F24, ``series``, with the split flag); over the test rows alone residuals (F25), residual
+    histogram (F18), density (F19) and identity-line range (F20); importances (I9/I11)."""
     from ..functions import stats as st
     pred = fitted.transform(table).withColumn("residual", F.col(target) - F.col("prediction"))
-    series = pred.select(idx, F.col(target).alias("actual"), "prediction", "residual")
+    series = pred.select(idx, F.col(target).alias("actual"), "prediction", "residual", (hash_uniform(idx, seed) < F.lit(float(test_size))).alias("is_test"))
+    held = series.filter("is_test")
     return {
         "series": series,
-        "histogram": st.histogram(series, "residual", bins),
-        "density": st.kde(series, "residual"),
-        "range": st.minmax(series, ["actual", "prediction"]),
+        "residuals": held.select(idx, "prediction", "residual"),
+        "histogram": st.histogram(held, "residual", bins),
+        "density": st.kde(held, "residual"),
+        "range": st.minmax(held, ["actual", "prediction"]),
         "importance": importance(fitted, table.sparkSession),
     }
 
@@ -562,7 +514,7 @@ def importance(fitted: Fitted, spark) -> DataFrame | None:
     if fitted.importances is not None:
         rows = sorted(fitted.importances.items(), key=lambda kv: -kv[1])
         return spark.createDataFrame(rows, "variable string, importance double")
-    if fitted.coefficients is not None:
+    if fitted.coefficients is not None and fitted.ranked:
         rows = sorted(fitted.coefficients.items(), key=lambda kv: -abs(kv[1]))
         return spark.createDataFrame(rows, "variable string, coefficient double")
     return None
@@ -589,18 +541,23 @@ def forecast_horizon(df: DataFrame, inputs: Sequence[str], target: str, n_in: in
     """I20 (re-aimed sequence models): n_in past rows of the inputs -> the next n_out target values.
 
     Min-max scaling on all rows, chronological split, windows inside each part,
-    one regressor per horizon step; R^2 / RMSE over samples x steps on the
+    one regressor per horizon step (linear ones all from one Gram matrix of lagged moments); R^2 / RMSE over samples x steps on the
     original scale.  Returns (metrics DataFrame, test predictions long form).
     """
     from ..functions.scale import min_max_params, min_max_expr
-    from .index import row_count
     from .rolling import sequence_windows
     inputs = list(inputs)
     cols = list(dict.fromkeys(inputs + [target]))
     params = min_max_params(df, cols)
-    scaled = keep_rows(df, df.select(idx, *[min_max_expr(c, *params[c]).alias(c) for c in cols]))
-    n = row_count(scaled, idx)
+    n = row_count(df, idx)
     cut = math.floor(n * float(train_ratio))
+    lo, hi = params[target]
+    span = (hi - lo) if hi is not None and lo is not None and hi != lo else 1.0
+    if isinstance(builder(), LinearSpec):
+        scaled = keep_rows(df, stored(df.select(idx, *[min_max_expr(c, *params[c]).alias(f"_s{i}") for i, c in enumerate(cols)]), "forecast-series"))
+        preds = _forecast_linear(scaled, [cols.index(c) for c in inputs], cols.index(target), len(cols), n, cut, n_in, n_out, lo or 0.0, span, idx)
+        return _forecast_metrics(df, preds), preds["test"]
+    scaled = keep_rows(df, df.select(idx, *[min_max_expr(c, *params[c]).alias(c) for c in cols]))
     parts = {}
     for name, cond in (("train", F.col(idx) < cut), ("test", F.col(idx) >= cut)):
         seq = sequence_windows(scaled.filter(cond), inputs, [target], n_in, n_out, idx=idx)
@@ -608,8 +565,6 @@ def forecast_horizon(df: DataFrame, inputs: Sequence[str], target: str, n_in: in
                               *[f"y[{h}][0] AS _y{h}" for h in range(n_out)])
         parts[name] = durable(flat)
     feats = [f"_x{s}_{j}" for s in range(n_in) for j in range(len(inputs))]
-    lo, hi = params[target]
-    span = (hi - lo) if hi is not None and lo is not None and hi != lo else 1.0
     preds = {"train": None, "test": None}
     # one independent regressor per horizon step: concurrent Spark jobs, kept in step order
     with ThreadPoolExecutor(max_workers=4) as ex:
@@ -621,9 +576,41 @@ def forecast_horizon(df: DataFrame, inputs: Sequence[str], target: str, n_in: in
                 (F.col(f"_y{h}") * F.lit(span) + F.lit(lo or 0.0)).alias("actual"),
                 (F.col("prediction") * F.lit(span) + F.lit(lo or 0.0)).alias("prediction"))
             preds[name] = p if preds[name] is None else preds[name].unionByName(p)
+    return _forecast_metrics(df, preds), preds["test"]
+
+
+def _forecast_metrics(df: DataFrame, preds: Mapping[str, DataFrame]) -> DataFrame:
     rows = []
     for name in ("train", "test"):
         r = preds[name].agg(r2_expr("actual"), rmse_expr("actual")).collect()[0]
         rows.append((name, r[0], r[1]))
-    metrics = df.sparkSession.createDataFrame(rows, "part string, r2 double, rmse double")
-    return metrics, preds["test"]
+    return df.sparkSession.createDataFrame(rows, "part string, r2 double, rmse double")
+
+
+def _forecast_linear(scaled: DataFrame, inputs: list[int], target: int, width: int, n: int, cut: int, n_in: int, n_out: int, lo: float, span: float, idx: str) -> dict[str, DataFrame]:
+    """Least squares for all horizon steps from the Gram matrix of the training windows (no window is stored), one factorisation
+    for all steps; the predictions slide the weights over buckets of the series."""
+    names, rows = [f"_s{i}" for i in range(width)], n_in + n_out
+    gram, sums, windows = window_gram(scaled, names, rows, 0, max(cut - rows + 1, 0), idx)
+    x = [i * width + a for i in range(n_in) for a in inputs]
+    y = [(n_in + h) * width + target for h in range(n_out)]
+    mean = sums / max(windows, 1)
+    cross = gram - np.outer(sums, sums) / max(windows, 1)
+    values, vectors = np.linalg.eigh(cross[np.ix_(x, x)])
+    inverse = np.where(values > FLOOR * max(values[-1], 0.0), 1.0 / np.maximum(values, 1e-300), 0.0)
+    weights = vectors @ (inverse[:, None] * (vectors.T @ cross[np.ix_(x, y)]))  # features x steps
+    intercepts = mean[y] - mean[x] @ weights
+
+    def predictions(first: int, last: int) -> DataFrame:
+        def job(at: np.ndarray, values: np.ndarray, home: int) -> pd.DataFrame:
+            m = max(int(np.searchsorted(at[:home], last - rows + 1)), 0)
+            pred = np.zeros((m, n_out)) + intercepts
+            for i in range(n_in):
+                pred += values[i:i + m][:, inputs] @ weights[i * len(inputs):(i + 1) * len(inputs)]
+            true = np.column_stack([values[n_in + h:n_in + h + m, target] for h in range(n_out)])
+            return pd.DataFrame({idx: np.repeat(at[:m], n_out), "step": np.tile(np.arange(n_out, dtype="int32"), m),
+                                 "actual": true.ravel() * span + lo, "prediction": pred.ravel() * span + lo})
+        part = keep_rows(scaled, scaled.filter((F.col(idx) >= first) & (F.col(idx) < last)))
+        return over_buckets(part, names, rows, job, f"{idx} long, step int, actual double, prediction double", idx)
+
+    return {"train": predictions(0, cut), "test": predictions(cut, n)}

@@ -443,8 +443,78 @@ SELECT CAST(a.lag AS INTEGER) AS lag, CAST(NULL AS VARCHAR) AS params, round(a.r
 FROM mm a JOIN mm b ON a.lag = b.lag AND NOT a.is_test AND b.is_test"""
 
 
+def _grid_pcr_sql(max_lag: int = 23, folds: int = 3) -> str:
+    """One predictor has one component, so every point of the grid is the same model: the first wins."""
+    parts = []
+    for k in range(max_lag + 1):
+        x = f"lag(price, {k}) OVER (ORDER BY row_idx)" if k else "price"
+        parts.append(f"""SELECT {k} AS lag, is_test, fold, x, y FROM (
+  SELECT row_idx, {x} AS x, revenue AS y, {HASH_U} < CAST(0.3 AS DOUBLE) AS is_test, CAST(floor({HASH_U.replace("'split:42:'", "'split:43:'")} * {folds}) AS INTEGER) AS fold FROM i1)
+  WHERE x IS NOT NULL AND y IS NOT NULL""")
+    body = "\nUNION ALL\n".join(parts)
+    return _with(P1, f"t AS ({body})", f"""cf AS (SELECT lag, f.range AS held, regr_slope(y, x) AS b, regr_intercept(y, x) AS a
+       FROM t, range({folds} + 1) AS f WHERE NOT is_test AND fold <> f.range GROUP BY ALL),
+cv AS (SELECT lag, avg(r2) AS score FROM (
+       SELECT t.lag, t.fold, 1 - sum(pow(y - a - b * x, 2)) / (count(y) * var_pop(y)) AS r2
+       FROM t JOIN cf ON cf.lag = t.lag AND cf.held = t.fold WHERE NOT is_test GROUP BY ALL) GROUP BY lag),
+mm AS (SELECT t.lag, is_test, 1 - sum(pow(y - a - b * x, 2)) / (count(y) * var_pop(y)) AS r2, sqrt(avg(pow(y - a - b * x, 2))) AS rmse
+       FROM t JOIN cf ON cf.lag = t.lag AND cf.held = {folds} GROUP BY ALL)""") + """
+SELECT CAST(p.lag AS INTEGER) AS lag, '{''pca__n_components'': 0.95}' AS params, round(p.r2, 6) AS train_r2, round(q.r2, 6) AS test_r2,
+       round(p.rmse, 6) AS train_rmse, round(q.rmse, 6) AS test_rmse, round(cv.score, 6) AS cv_score
+FROM mm p JOIN mm q ON p.lag = q.lag AND NOT p.is_test AND q.is_test JOIN cv ON cv.lag = p.lag"""
+
+
+def _multi_lag_price_sql(max_lag: int = 23) -> str:
+    parts = []
+    for k in range(max_lag + 1):
+        x = f"lag(price, {k}) OVER (ORDER BY row_idx)" if k else "price"
+        parts += [f"""SELECT {k} AS lag, '{y}' AS target, is_test, x, y FROM (
+  SELECT row_idx, {x} AS x, CAST({y} AS DOUBLE) AS y, {HASH_U} < CAST(0.3 AS DOUBLE) AS is_test FROM i1) WHERE x IS NOT NULL""" for y in ("revenue", "n")]
+    body = "\nUNION ALL\n".join(parts)
+    return _with(P1, f"t AS ({body})", """cf AS (SELECT lag, target, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM t WHERE NOT is_test GROUP BY ALL),
+mm AS (SELECT t.lag, t.target, is_test, 1 - sum(pow(y - a - b * x, 2)) / (count(y) * var_pop(y)) AS r2, sqrt(avg(pow(y - a - b * x, 2))) AS rmse
+       FROM t JOIN cf ON cf.lag = t.lag AND cf.target = t.target GROUP BY ALL),
+w AS (SELECT p.lag, p.target, p.r2 AS a, q.r2 AS b, p.rmse AS c, q.rmse AS d FROM mm p JOIN mm q ON p.lag = q.lag AND p.target = q.target AND NOT p.is_test AND q.is_test),
+e AS (SELECT * FROM w UNION ALL SELECT lag, 'mean', avg(a), avg(b), avg(c), avg(d) FROM w GROUP BY lag)""") + """
+SELECT CAST(lag AS INTEGER) AS lag, target, round(a, 6) AS train_r2, round(b, 6) AS test_r2, round(c, 6) AS train_rmse, round(d, 6) AS test_rmse FROM e"""
+
+
+ORACLE["multi_lag_sweep_price"] = _multi_lag_price_sql()
+
+_BEST_LAG = f"""best AS (SELECT arg_max(lag, test_r2) AS lag FROM ({_sweep_linear_sql(23)}))"""
+
+
+def _evaluated_sql() -> str:
+    """The best lag's line, fitted on the training rows, on every row of the lag table."""
+    return _with(P1, _BEST_LAG, f"""t AS (SELECT i1.row_idx, z.price AS x, i1.revenue AS y, {HASH_U.replace("row_idx", "i1.row_idx")} < CAST(0.3 AS DOUBLE) AS is_test
+      FROM i1 JOIN best ON TRUE JOIN i1 z ON z.row_idx = i1.row_idx - best.lag),
+cf AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM t WHERE NOT is_test),
+ev AS (SELECT row_idx, y AS actual, a + b * x AS prediction, y - a - b * x AS residual, is_test FROM t JOIN cf ON TRUE)""")
+
+
+ORACLE["evaluate_series"] = _evaluated_sql() + "SELECT row_idx, round(actual, 3) AS actual, round(prediction, 3) AS prediction, round(residual, 3) AS residual, is_test FROM ev"
+ORACLE["evaluate_residuals"] = _evaluated_sql() + "SELECT row_idx, round(prediction, 3) AS prediction, round(residual, 3) AS residual FROM ev WHERE is_test"
+ORACLE["evaluate_range"] = _evaluated_sql() + "SELECT round(min(least(actual, prediction)), 3) AS lo, round(max(greatest(actual, prediction)), 3) AS hi FROM ev WHERE is_test"
+
+_SCALED_PAIR = """m AS (SELECT avg(revenue) AS mr, stddev_pop(revenue) AS sr, avg(qty) AS mq, stddev_pop(qty) AS sq, count(*) AS n FROM i1),
+z AS (SELECT row_idx, (revenue - mr) / sr AS x, (qty - mq) / sq AS u, lead((revenue - mr) / sr) OVER (ORDER BY row_idx) AS nx FROM i1 JOIN m ON TRUE)"""
+
+ORACLE["dmdc_one_step_pair"] = _with(P1, _SCALED_PAIR, """g AS (SELECT sum(x * x) AS xx, sum(x * u) AS xu, sum(u * u) AS uu, sum(nx * x) AS nx, sum(nx * u) AS nu
+      FROM z WHERE row_idx < (SELECT floor((n - 1) * 0.7) FROM m)),
+k AS (SELECT (nx * uu - nu * xu) / (xx * uu - xu * xu) AS a, (nu * xx - nx * xu) / (xx * uu - xu * xu) AS b FROM g)""") + """
+SELECT row_idx, round(nx * sr + mr, 6) AS actual, round((a * x + b * u) * sr + mr, 6) AS prediction FROM z, k, m WHERE nx IS NOT NULL"""
+
+ORACLE["forecast_one_step"] = _with(P1, """m AS (SELECT min(price) AS lp, max(price) - min(price) AS wp, min(revenue) AS lr, max(revenue) - min(revenue) AS wr, floor(count(*) * 0.7) AS cut FROM i1),
+z AS (SELECT row_idx, (price - lp) / wp AS x, (lead(revenue) OVER (ORDER BY row_idx) - lr) / wr AS y, row_idx >= cut AS test, cut FROM i1 JOIN m ON TRUE),
+t AS (SELECT * FROM z WHERE y IS NOT NULL AND row_idx <> cut - 1),
+cf AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM t WHERE NOT test),
+p AS (SELECT test, y * wr + lr AS y, (a + b * x) * wr + lr AS p FROM t, cf, m)""") + """
+SELECT CASE WHEN test THEN 'test' ELSE 'train' END AS part, round(1 - sum(pow(y - p, 2)) / (count(y) * var_pop(y)), 6) AS r2, round(sqrt(avg(pow(y - p, 2))), 6) AS rmse FROM p GROUP BY test"""
+
 ORACLE["lag_sweep_linear"] = _sweep_linear_sql(5)
 
+ORACLE["grid_search_pcr"] = _grid_pcr_sql()
+
 ORACLE["lag_sweep_linear_all"] = _sweep_linear_sql(23)
 
 

@@ -481,8 +481,24 @@ def q_lag_sweep_hidden(spark, sf_dir):
 
 @register("grid_search")
 def q_grid_search(spark, sf_dir):
-    return _sweep(spark, sf_dir, rg.builders.gbt,
-                  grid={"n_estimators": [50, 100], "learning_rate": [0.05, 0.1], "max_depth": [3, 5]})
+    """I5 with the reference's network grid: 12 points, 3 folds, lags 0..23."""
+    return _sweep(spark, sf_dir, rg.builders.random_hidden,
+                  grid={"hidden_layer_sizes": [(50,), (100,), (50, 50)], "activation": ["relu", "tanh"], "alpha": [0.0001, 0.001]})
+
+
+@register("grid_search_svr")
+def q_grid_search_svr(spark, sf_dir):
+    """I5 with the reference's support vector grid: 120 points, 3 folds, lags 0..23."""
+    return _sweep(spark, sf_dir, rg.builders.rff,
+                  grid={"svr__C": [0.1, 1, 10, 20], "svr__gamma": ["scale", "auto", 0.01, 0.1, 1], "svr__kernel": ["rbf"],
+                        "svr__epsilon": [0.01, 0.1, 0.2], "svr__tol": [1e-3, 1e-4]})
+
+
+@register("grid_search_pcr")
+def q_grid_search_pcr(spark, sf_dir):
+    """I5 with the reference's principal component grid, one predictor, lags 0..23."""
+    df = p1(spark, sf_dir).select("row_idx", "price", P1_TARGET)
+    return rounded(rg.lag_sweep(df, P1_TARGET, rg.builders.pcr, grid={"pca__n_components": [0.95, 0.99, 5, 10]}).results)
 
 
 @register("lag_sweep_classifier")
@@ -528,12 +544,35 @@ def q_tree_importance(spark, sf_dir):
     return rounded(rg.importance(res.best_model, spark))
 
 
+def _evaluated(spark, sf_dir):
+    """I7 of the best lag's linear model on price: what the evaluation returns."""
+    df = p1(spark, sf_dir).select("row_idx", "price", P1_TARGET)
+    res = rg.lag_sweep(df, P1_TARGET, rg.builders.linear)
+    return rg.evaluate_regression(res.best_model, lagops.lag_table(df, res.best_lag, P1_TARGET), P1_TARGET)
+
+
 @register("evaluate_regression")
 def q_evaluate_regression(spark, sf_dir):
-    res = rg.lag_sweep(_p1_model(spark, sf_dir), P1_TARGET, rg.builders.linear, max_lag=2)
-    t = lagops.lag_table(_p1_model(spark, sf_dir), res.best_lag, P1_TARGET)
-    out = rg.evaluate_regression(res.best_model, t, P1_TARGET)
-    return rounded(out["histogram"])
+    df = _p1_model(spark, sf_dir)
+    res = rg.lag_sweep(df, P1_TARGET, rg.builders.linear)
+    return rounded(rg.evaluate_regression(res.best_model, lagops.lag_table(df, res.best_lag, P1_TARGET), P1_TARGET)["histogram"])
+
+
+@register("evaluate_series")
+def q_evaluate_series(spark, sf_dir):
+    """actual and predicted value of every row."""
+    return rounded(_evaluated(spark, sf_dir)["series"], 3)
+
+
+@register("evaluate_residuals")
+def q_evaluate_residuals(spark, sf_dir):
+    """F25 over the test rows."""
+    return rounded(_evaluated(spark, sf_dir)["residuals"], 3)
+
+
+@register("evaluate_range")
+def q_evaluate_range(spark, sf_dir):
+    return rounded(_evaluated(spark, sf_dir)["range"], 3)
 
 
 @register("multi_target_metrics")
@@ -545,8 +584,15 @@ def q_multi_target_metrics(spark, sf_dir):
 
 @register("multi_lag_sweep")
 def q_multi_lag_sweep(spark, sf_dir):
-    return rounded(rg.multi_lag_sweep(p1(spark, sf_dir), ["qty", "disc", "tax"], ["revenue", "n"],
-                                      rg.builders.linear, max_lag=3))
+    """I3 over lags 0..23."""
+    return rounded(rg.multi_lag_sweep(p1(spark, sf_dir), ["qty", "disc", "tax"], ["revenue", "n"], rg.builders.linear).results)
+
+
+@register("multi_lag_sweep_price")
+def q_multi_lag_sweep_price(spark, sf_dir):
+    """I3 with one predictor, lags 0..23: the case that SQL can check."""
+    res = rg.multi_lag_sweep(p1(spark, sf_dir), ["price"], ["revenue", "n"], rg.builders.linear)
+    return rounded(res.results.drop("params"))
 
 
 @register("forecast_horizon")
@@ -567,6 +613,19 @@ def q_dmdc_one_step(spark, sf_dir):
     return rounded(_dmdc(spark, sf_dir).one_step())
 
 
+@register("dmdc_one_step_pair")
+def q_dmdc_one_step_pair(spark, sf_dir):
+    """I21/I24 with one measured column, one control and window 1: two unknowns, which SQL can solve."""
+    return rounded(dm.fit_dmdc(p1(spark, sf_dir), ["revenue"], ["qty"], "revenue", window=1, rank=2).one_step())
+
+
+@register("forecast_one_step")
+def q_forecast_one_step(spark, sf_dir):
+    """I20 with one row in and one step out: a straight line, which SQL can fit."""
+    metrics, _ = rg.forecast_horizon(p1(spark, sf_dir), ["price"], "revenue", 1, 1)
+    return rounded(metrics)
+
+
 @register("dmdc_simulate")
 def q_dmdc_simulate(spark, sf_dir):
     """I22 over the whole test part: an origin every 100 snapshots, 100 steps each."""

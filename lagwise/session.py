@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark import SparkFiles
@@ -83,3 +84,29 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(path, os.path.join("lagwise", os.path.relpath(path, here)))
         sc.addPyFile(archive)
     sc._lagwise_shipped = True
+
+
+def map_arrow(df: DataFrame, job, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package on the executors' path."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(job, schema)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet to the shared checkpoint folder and read back: cuts the lineage, survives lost
+    executors, and later readers load only the columns they use."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete the files of ``stored`` tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        base = checkpoint_dir(spark).rstrip("/").split(":", 1)[-1].lstrip("/")
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if base in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

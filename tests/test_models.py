@@ -249,7 +249,7 @@ def test_registered_sweeps_run_all_lags_with_default_trees(spark, monkeypatch):
     names = [f"lag_sweep_{k}" for k in ("rf", "gbt", "boosted", "pcr", "rff", "hidden", "linear_all")] + ["grid_search", "lag_metric_curves_all"]
     for name in names:
         Q.REGISTRY[name](spark, "/root/testdata/sf0.001")
-    grid = {"n_estimators": [50, 100], "learning_rate": [0.05, 0.1], "max_depth": [3, 5]}
+    grid = {"hidden_layer_sizes": [(50,), (100,), (50, 50)], "activation": ["relu", "tanh"], "alpha": [0.0001, 0.001]}
     assert seen == {name: (23, 100, grid if name == "grid_search" else None) for name in names}
 
 
@@ -258,3 +258,113 @@ def test_too_deep_trees_are_refused():
     for build in (builders.random_forest, builders.random_forest_classifier, builders.gbt):
         with pytest.raises(ValueError, match="max_depth=31"):
             build(max_depth=31).estimator("y")
+
+
+def test_window_gram_equals_stored_windows(spark):
+    from lagwise.functions.lagmoments import window_gram
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 3)) + 5
+    df = with_row_index(spark.createDataFrame(pd.DataFrame({"t": range(60), "a b": x[:, 0], "b": x[:, 1], "c": x[:, 2]})), "t").drop("t")
+    for width, start, stop, size in ((1, 0, 60, 7), (4, 0, 50, 5), (4, 3, 57, 64), (6, 10, 11, 9), (5, 0, 0, 8)):
+        gram, sums, n = window_gram(df, ["a b", "b", "c"], width, start, stop, bucket_rows=size)
+        z = np.array([x[t:t + width].ravel() for t in range(start, stop)]).reshape(-1, 3 * width)
+        assert n == len(z)
+        np.testing.assert_allclose(gram, z.T @ z, rtol=1e-9, atol=1e-9)
+        np.testing.assert_allclose(sums, z.sum(axis=0), rtol=1e-9, atol=1e-9)
+    with pytest.raises(ValueError, match="missing"):
+        window_gram(df, ["b"], 4, 0, 60)
+
+
+def test_gram_sums_of_wide_frames(spark):
+    """500 columns in one pass, groups, nulls, and a feature map."""
+    from pyspark.sql import functions as F
+    from lagwise.functions.gram import GramJob, gram_sums
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 501)) + 100
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(501)]).assign(g=np.arange(300) % 4)
+    df = spark.createDataFrame(pdf).repartition(3)
+    out = gram_sums(df, [GramJob([f"c{i}" for i in range(500)], "c500")], "g", 3)[0]
+    for g in range(3):
+        z = x[np.arange(300) % 4 == g]
+        np.testing.assert_allclose(out[g].mean, z.mean(axis=0))
+        np.testing.assert_allclose(out[g].cross, (z - z.mean(axis=0)).T @ (z - z.mean(axis=0)), atol=1e-7)
+    small = df.select("g", "c0", F.when(F.col("c0") > 100, F.col("c1")).alias("c1"))
+    got = gram_sums(small, [GramJob(["c0"], "c1", lambda v: np.column_stack([v, v**2]), 2)])[0][0]
+    keep = x[:, 0] > 100
+    z = np.column_stack([x[keep, 0], x[keep, 0] ** 2, x[keep, 1]])
+    assert got.n == keep.sum()
+    np.testing.assert_allclose(got.cross, (z - z.mean(axis=0)).T @ (z - z.mean(axis=0)), rtol=1e-6)
+
+
+def test_grid_from_fold_sums_equals_separate_fits(spark):
+    """Scores, choice and errors from Gram sums equal fits on each fold's rows; the scored expression equals the sums' errors."""
+    from pyspark.sql import functions as F
+    from lagwise.functions.metrics import r2_expr, rmse_expr
+    from lagwise.operators.moment_models import fold_column, search_moments
+    from lagwise.operators.regression import builders
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(240, 3))
+    y = np.sin(x[:, 0]) + x[:, 1] * 0.5 + rng.normal(size=240) * 0.1
+    df = spark.createDataFrame(pd.DataFrame({"row_idx": range(240), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": y}))
+    parted = df.withColumn("_part", fold_column(0.3, 42, 3))
+    cases = ((builders.pcr(), {"pca__n_components": [1, 2, 0.99, None]}),
+             (builders.rff(n_features=20), {"svr__C": [0.01, 10], "svr__gamma": ["scale", "auto", 0.3], "svr__tol": [1e-3, 1e-4]}),
+             (builders.random_hidden(), {"mlp__hidden_layer_sizes": [(8,), (6, 5)], "mlp__activation": ["relu", "tanh"], "mlp__alpha": [0.01]}))
+    for spec, grid in cases:
+        point, score, fitted, train, test = search_moments(spec, grid, [(["a", "b", "c"], "y")], parted, 3)[0]
+        for part, want in (("_part < 3", train), ("_part = 3", test)):
+            got = fitted.transform(parted.filter(part)).agg(r2_expr("y"), rmse_expr("y")).collect()[0]
+            np.testing.assert_allclose(list(got), want, rtol=1e-7)
+        if spec.name == "pcr":
+            scores = []
+            parts = np.array([r["_part"] for r in parted.orderBy("row_idx").select("_part").collect()])
+            for k in (1, 2, 3, 3):
+                held = []
+                for f in range(3):
+                    tr, te = (parts != f) & (parts < 3), parts == f
+                    mu = x[tr].mean(axis=0)
+                    v = np.linalg.svd(x[tr] - mu, full_matrices=False)[2][:k].T
+                    design = np.column_stack([np.ones(tr.sum()), (x[tr] - mu) @ v])
+                    w = np.linalg.lstsq(design, y[tr], rcond=None)[0]
+                    err = y[te] - np.column_stack([np.ones(te.sum()), (x[te] - mu) @ v]) @ w
+                    held.append(1 - (err**2).sum() / ((y[te] - y[te].mean()) ** 2).sum())
+                scores.append(np.mean(held))
+            assert score == pytest.approx(max(scores)) and point["pca__n_components"] == [1, 2, 0.99, None][int(np.argmax(np.round(scores, 9)))]
+
+
+def test_unknown_parameters_and_large_tree_grids_are_refused(spark):
+    from lagwise.operators.regression import builders, grid_search
+    for build in (builders.pcr, builders.rff, builders.random_hidden, builders.gbt, builders.random_forest, builders.linear):
+        with pytest.raises(ValueError, match="nonsense"):
+            build(nonsense=1)
+        with pytest.raises(ValueError, match="nonsense"):
+            build().with_params(nonsense=1)
+    df = spark.createDataFrame([(i, float(i), float(i)) for i in range(9)], "row_idx long, x double, y double")
+    with pytest.raises(ValueError, match="max_fits"):
+        grid_search(builders.gbt, {"n_estimators": [1, 2], "max_depth": [1, 2]}, df, ["x"], "y", max_fits=11)
+    best, spec = grid_search(lambda: builders.gbt(n_estimators=2), {"max_depth": [1, 2]}, df, ["x"], "y", folds=2)
+    assert best["max_depth"] in (1, 2) and spec.params["max_depth"] == best["max_depth"]
+
+
+def test_multi_lag_sweep_finds_the_planted_lag(spark):
+    from lagwise.operators.regression import builders, multi_lag_sweep
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=200)
+    y = np.roll(x, 2) + 0.01 * rng.normal(size=200)
+    df = with_row_index(spark.createDataFrame(pd.DataFrame({"t": range(200), "x": x, "noise": rng.normal(size=200), "y": y, "z": -y})), "t").drop("t")
+    for build, grid in ((builders.linear, None), (builders.pcr, {"n_components": [1, 2]}), (lambda: builders.gbt(n_estimators=5), None)):
+        res = multi_lag_sweep(df, ["x", "noise"], ["y", "z"], build, max_lag=3, grid=grid, drop=["noise"])
+        assert res.best_lag == 2 and set(res.best_models) == {"y", "z"} and res.best_models["y"].features == ["x_lag2"]
+        assert res.results.count() == 12
+
+
+def test_evaluation_holds_test_rows_only(spark):
+    from pyspark.sql import functions as F
+    from lagwise.functions.split import hash_uniform
+    from lagwise.operators.regression import builders, evaluate_multi_regression
+    df = spark.createDataFrame([(i, float(i % 7), float(i)) for i in range(60)], "row_idx long, x double, y double")
+    models = {"y": builders.linear().fit(df, ["x"], "y")}
+    out = evaluate_multi_regression(models, df)["y"]
+    held = df.filter(hash_uniform("row_idx", 42) < 0.3).count()
+    assert out["series"].count() == 60 and out["residuals"].count() == held
+    assert out["histogram"].agg(F.sum("count")).collect()[0][0] == held
