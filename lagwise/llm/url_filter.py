@@ -17,13 +17,17 @@ from html import entities
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..session import ship_package
 from .components import connected_components
 from .store import stored
 
 Rule = tuple[str, str, str]  #: host, path prefix, "allow" or "block"
 
-#: The tags that may name another url of the same page, or the base of its relative references; quoted values may hold ">".
-TAGS = r"""(?is)<(?:link|meta|base)\b(?:(?:[^>"']++|"[^"]*+"|'[^']*+'){0,100}+>|[^>]*+>)"""
+#: What a page is cut into: comments and elements whose content is text, which hold no tags; and the tags that may name
+#: another url of the page, or the base of its relative references.  Quoted values may hold ">".
+_REST = r"""(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+>)"""
+TOKEN = re.compile(rf"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<raw>script|style|textarea|title|xmp|iframe|noembed|noframes)(?![\w-]){_REST}.*?(?:(?=</(?P=raw)(?![\w-]))|\Z)"""
+                   rf"""|(?P<tag><(?:link|meta|base)(?![\w-]){_REST})""", re.I | re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 #: The url in a refresh's content, after the seconds; "url=" may be left out.
 REFRESH_URL = re.compile(r"""\s*(?:[\d.]+\s*[;,\s]\s*|(?=[;,\s]*url\s*=)[;,\s]*)(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|(.+))""", re.I | re.S)
@@ -91,6 +95,12 @@ def resolve(base: str | None, link: str) -> str | None:
     return f"{start}/{'/'.join(kept)}{'/' if parts[-1] in ('.', '..') and kept else ''}{rest}"
 
 
+def link_tags(page: str) -> list[str]:
+    """The link, meta and base tags of a page, in one pass; those in comments, scripts or text areas are none."""
+    end = page.rfind(">") + 1  # no tag begins in what follows, so no search runs to the end in vain
+    return [m["tag"] for m in TOKEN.finditer(page, 0, end) if m["tag"]]
+
+
 def page_targets(url: str | None, tags: Sequence[str]) -> list[str]:
     """The urls that a page's canonical links and refreshes name, resolved against its first ``<base href>`` or else its own url."""
     base, links = None, []
@@ -108,8 +118,8 @@ def page_targets(url: str | None, tags: Sequence[str]) -> list[str]:
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _targets(url: pd.Series, tags: pd.Series) -> pd.Series:
-    return pd.Series([page_targets(u, t) for u, t in zip(url, tags)], dtype=object)
+def _targets(url: pd.Series, page: pd.Series) -> pd.Series:
+    return pd.Series([page_targets(u, link_tags(p)) for u, p in zip(url, page)], dtype=object)
 
 
 @F.pandas_udf(T.StringType())
@@ -119,12 +129,10 @@ def _resolved(url: pd.Series, link: pd.Series) -> pd.Series:
 
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(url, target): every canonical link and refresh found in the pages, as absolute urls."""
+    ship_package(pages.sparkSession)
     page = F.col(f"`{html_col}`")
-    tags = F.regexp_extract_all(page, F.lit(TAGS), F.lit(0))
-    tags = F.filter(tags, lambda t: t.rlike(r"(?i)canonical|refresh|^<base"))
-    some = pages.filter(page.rlike("(?i)canonical|refresh")).select(F.col(f"`{url_col}`").alias("url"), tags.alias("tags"))
-    some = some.filter(F.exists("tags", lambda t: t.rlike("(?i)^<(?:link|meta)")))
-    return some.select("url", F.explode(_targets("url", "tags")).alias("target"))
+    some = pages.filter(page.rlike("(?i)canonical|refresh")).select(F.col(f"`{url_col}`").alias("url"), page.alias("page"))
+    return some.select("url", F.explode(_targets("url", "page")).alias("target"))
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | None = None, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -135,6 +143,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | N
     resolved against its url.  Input columns with
     the name of a result column are replaced.  An empty table gives an empty result.
     """
+    ship_package(pages.sparkSession)
     made = ("host", "path", "rule", "verdict")
     kept = [c for c in pages.columns if c not in made or c in (url_col, html_col)]
     url = F.col(f"`{url_col}`")

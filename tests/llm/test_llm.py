@@ -197,6 +197,13 @@ def test_url_filter(spark):
     ("http://a.org/7", '<base href="http://c.net/es/"><link href=7 rel="shortlink canonical">', "block"),
     ("http://a.org/8", '<link rel="canonical" href="mailto:x@c.net/es/8">', "allow"),
     ("http://a.org/9", '<link data-href="http://n.org/" title="a>b" rel=canonical href="//c.net/./x/../es/9">', "block"),
+    ("http://a.org/10", '<!-- <link rel="canonical" href="http://c.net/es/1"> -->', "allow"),  # no tags: comments, scripts, text areas, titles
+    ("http://a.org/11", '<script>var x = \'<link rel="canonical" href="http://c.net/es/1">\';</script>', "allow"),
+    ("http://a.org/12", '<textarea><link rel="canonical" href="http://c.net/es/1"></textarea>', "allow"),
+    ("http://a.org/13", '<title><link rel=canonical href=http://c.net/es/1></title><!--><link rel=canonical href=http://c.net/es/1>', "block"),
+    ("http://a.org/14", "<link " + " ".join(f'data-{i}="{i}"' for i in range(400)) + ' rel="canonical" href="http://c.net/es/1">', "block"),
+    ("http://a.org/15", "<link rel=x " * 20_000 + '<script><link rel=canonical href=http://c.net/es/1>', "block"),  # one long tag, then a link
+    ("http://a.org/16", '<textarea>never closed <link rel="canonical" href="http://c.net/es/1">', "allow"),
 ])
 def test_url_references(spark, url, head, verdict):
     """A reference joins its page to the class of the url that it stands for, and to no other."""
