@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.index import with_row_index
-from ..session import durable
+from ..session import durable, ship_package
 
 _Q = 32            # children of a node
 _MAX_BLOCKS = None  # a group has as many blocks as it needs
@@ -71,6 +71,7 @@ def kendall_tau_b(pairs: DataFrame, group: Sequence[str]) -> DataFrame:
     """(group..., corr) from valid pairs (group..., x, y)."""
     group = list(group)
     spark = pairs.sparkSession
+    ship_package(spark)
     # distinct (x, y) with their weight, indexed over (group, x, y); the index step checkpoints it once and
     # every later step (tie sums, y-buckets, blocks) reads that
     counted = pairs.groupBy(*group, "x", "y").agg(F.count(F.lit(1)).cast("double").alias("w"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.linalg import linear_expr, moments
 from ..functions.stats import exact_percentiles
-from ..session import durable
+from ..session import durable, ship_package
 from .index import ROW_IDX, row_count, with_row_index
 from .lag import lag_table
 from .rolling import rolling_stats
@@ -271,6 +271,7 @@ def isolation_forest_scores(lt: DataFrame, cols: Sequence[str], n_trees: int = 1
                             seed: int = 42, idx: str = ROW_IDX, out: str = "iso_score") -> DataFrame:
     """Anomaly score 2^(-E[h(x)] / c(psi)) of every row (higher = more anomalous)."""
     cols = list(cols)
+    ship_package(lt.sparkSession)
     n = lt.count()
     psi = int(min(max_samples, n))
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
@@ -360,6 +361,7 @@ def _topk(dist: np.ndarray, keys: np.ndarray, k: int):
 
 def knn_exact(lt: DataFrame, cols: Sequence[str], k: int, key: str = ROW_IDX, slab_rows: int = 2048) -> DataFrame:
     """Exact k nearest neighbours (Euclidean, self excluded, ties by key): (key, nbr, dist)."""
+    ship_package(lt.sparkSession)
     cols = list(cols)
     # slabs are cut along the widest coordinate: distances do not depend on column order, and a
     # wide axis keeps each row's k-distance bound inside few slabs
