@@ -23,11 +23,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts, also where the kept id repeats or all ids are null."""
-    rows = exact_dedup(docs).filter("kept")
-    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    same = rows.filter("group_size > 1").groupBy("doc_id", digest).agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
-    return rows.filter("group_size = 1").select(*docs.columns).unionByName(same)
+    """One row of each group of equal texts: the one with the largest id (nulls least), of those the last in the stored table.
+
+    Only ids go through the joins of the comparison; the texts stay where they are."""
+    rows = docs.withColumn("__uid", F.monotonically_increasing_id())
+    marked = exact_dedup(rows.select(F.struct("doc_id", "__uid").alias("__id"), "text"), id_col="__id")
+    dropped = marked.filter(~F.col("kept")).select(F.col("__id.__uid").alias("__uid"))
+    return rows.join(dropped, "__uid", "left_anti").select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
