@@ -15,6 +15,8 @@ from lagwise.llm.queries import TOXIC, bpe_digests
 from lagwise.llm.store import stored
 from lagwise.llm.toxicity import labelled_model, score_toxicity
 
+SMALL = 1_000_000  #: dropped rows that may be broadcast (8 MB of numbers)
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below ``TOXIC``; the model learns from the labels of the given documents."""
@@ -22,14 +24,19 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model, out="__score").filter(F.col("__score") < TOXIC).select(*docs.columns)
 
 
+def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``rows`` without those whose ``__uid`` is in ``dropped``, which goes to the texts if it is small, and is joined by key if not."""
+    dropped = stored(dropped, "pipeline-dropped")
+    return rows.join(F.broadcast(dropped) if dropped.count() <= SMALL else dropped, "__uid", "left_anti")
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts: the one with the largest id (nulls least), of those the last in the stored table.
 
     Only ids go through the joins of the comparison; the texts stay where they are."""
     rows = docs.withColumn("__uid", F.monotonically_increasing_id())
     marked = exact_dedup(rows.select(F.struct("doc_id", "__uid").alias("__id"), "text"), id_col="__id")
-    dropped = marked.filter(~F.col("kept")).select(F.col("__id.__uid").alias("__uid"))
-    return rows.join(dropped, "__uid", "left_anti").select(*docs.columns)
+    return _without(rows, marked.filter(~F.col("kept")).select(F.col("__id.__uid").alias("__uid"))).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +48,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     several = found.groupBy("component_id").count().filter("count > 1").select("component_id")
     members = found.join(several, "component_id").join(rows.select("__uid", "doc_id"), "__uid")
     first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__uid")).alias("first"))
-    dropped = members.join(first, "component_id").filter("__uid != first.__uid").select("__uid")
-    return rows.join(dropped, "__uid", "left_anti").select(*docs.columns)
+    return _without(rows, members.join(first, "component_id").filter("__uid != first.__uid").select("__uid")).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

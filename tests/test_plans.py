@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as E
 from lagwise.plans.guards import plan_violations
 
-SLOW = {"lag_sweep_rf", "lag_sweep_gbt", "lag_sweep_boosted", "lag_sweep_rff", "lag_sweep_hidden", "grid_search",
+SLOW = {"lag_sweep_rf", "lag_sweep_gbt", "lag_sweep_boosted", "lag_sweep_rff", "lag_sweep_hidden", "grid_search", "grid_search_svr",
         "tree_importance", "lag_sweep_classifier", "forecast_horizon", "multi_lag_sweep"}
 NAMES = sorted(n for n in E.queries() if n not in SLOW)
 
