@@ -12,7 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20  #: text handled at once; one longer document is still handled whole
+CHUNK_BYTES = 1 << 19  #: text handled at once; one longer document is still handled whole
+KEPT_POWERS = (1 << 20) + 1  #: powers of a base that a worker keeps
 
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -35,17 +36,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(base**i, base**-i) for i < n, modulo 2**64; kept between calls up to twice the usual chunk."""
+    """(base**i, base**-i) for i < n, modulo 2**64; ``KEPT_POWERS`` of them stay between calls."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, 2 * CHUNK_BYTES)
+        size = max(n, KEPT_POWERS)
         made = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(size, b, dtype=_U)
             p[0] = 1
             made.append(np.multiply.accumulate(p))
         have = (made[0], made[1])
-        if size <= 2 * CHUNK_BYTES:
+        if size <= KEPT_POWERS:
             _POWERS[base] = have
     return have[0][:n], have[1][:n]
 
