@@ -1,117 +1,103 @@
 """Descriptive statistics and chart data.
 
 Exact percentiles (linear interpolation between order statistics, the rule of
-``describe`` and of the anomaly thresholds) are found without gathering a
-column in one task: ``percentile_approx`` brackets every needed order
-statistic, the rows below a bracket are counted, and only the distinct values
-inside a bracket (a bounded number) reach the driver.  Wide brackets are
-narrowed again inside their own range.
+``describe`` and of the anomaly thresholds) come from a distributed radix
+selection.  A double becomes a signed 64-bit key of the same order; a pass
+counts the values under each next 16 bits of the key, for all columns and open
+order statistics at once, and at most four passes fix every bit.  One path
+serves every size: the driver sees one row per order statistic and pass, and a
+value repeated by a third of all rows is one bin.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+import struct
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F, types as T
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.index import ROW_IDX
+from ..session import map_arrow
 from ..sources.io import numeric_columns
 
-_ACCURACY = 10_000
-_MAX_COLLECT = 50_000
+_DIGIT = 16  # bits of the key that one pass settles; a group of bins has at most 2**16 rows
 
 
-def _order_stats(df: DataFrame, wanted: Mapping[str, Sequence[int]], counts: Mapping[str, int]):
-    """Values at 0-based ranks of the non-NULL values of several columns: {(col, rank): value}.
+def _sort_keys(values: np.ndarray) -> np.ndarray:
+    """Signed 64-bit keys in the order of the doubles (no NaN; -0.0 counts as 0.0)."""
+    bits = (values + 0.0).view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
 
-    Each (column, rank) keeps an open value interval (lo, hi) known to contain
-    it, its rank inside and the rows / distinct values inside.  An interval is
-    resolved on the driver once it holds few distinct values; otherwise
-    ``percentile_approx`` proposes [a, b], rows equal to a or b are counted
-    (the answer may be a or b itself, so a value repeated by a third of all
-    rows is settled at once) and the new interval is (a, b).  All columns
-    share each pass over a long (variable, value) view.
+
+def _key_value(key: int) -> float:
+    """The double whose key is ``key``."""
+    bits = key ^ 0x7FFFFFFFFFFFFFFF if key < 0 else key
+    return struct.unpack("<d", struct.pack("<q", bits))[0]
+
+
+def _bins(values: DataFrame, heads: Sequence[Sequence[int]], level: int) -> DataFrame:
+    """(c, head, n, lo, hi): values of column ``c`` by the leading bits of their keys up to and with digit ``level``,
+    their number and least and largest key.  ``heads``: per column, the leading bits up to the digit before to look at.
+    """
+    shift = 64 - _DIGIT * (level + 1)
+    open_heads = [np.array(sorted(h), dtype=np.int64) for h in heads]
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for c, mine in enumerate(open_heads):
+                if not len(mine):
+                    continue
+                x = batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+                keys = np.sort(_sort_keys(x[~np.isnan(x)]))
+                if level:
+                    above = keys >> np.int64(shift + _DIGIT)
+                    keys = keys[mine[np.minimum(np.searchsorted(mine, above), len(mine) - 1)] == above]
+                if not len(keys):
+                    continue
+                head = keys >> np.int64(shift)
+                first = np.flatnonzero(np.append(True, head[1:] != head[:-1]))
+                end = np.append(first[1:], len(head))
+                parts.append((np.full(len(first), c, dtype=np.int32), head[first], (end - first).astype(np.int64), keys[first], keys[end - 1]))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(col)) for col in zip(*parts)], names=["c", "head", "n", "lo", "hi"])
+
+    return (map_arrow(values, job, "c int, head long, n long, lo long, hi long").groupBy("c", "head")
+            .agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+
+
+def _order_stats(df: DataFrame, wanted: Mapping[str, Sequence[int]]) -> dict[tuple[str, int], float]:
+    """Values at 0-based ranks of the non-NULL, non-NaN values of several columns: {(col, rank): value}.
+
+    A (column, rank) holds the leading key bits that are settled and its rank among the values with these bits.  A bin is
+    settled at once when it holds one distinct value, or when the rank is its first or last.
     """
     cols = list(wanted)
-    items = [F.struct(F.lit(i).alias("_c"), F.col(f"`{c}`").cast("double").alias("_v")) for i, c in enumerate(cols)]
-    base = (df.select(F.explode(F.array(*items)).alias("_s")).select("_s._c", "_s._v")
-            .filter(F.col("_v").isNotNull() & ~F.isnan("_v")))
-    cid = {c: i for i, c in enumerate(cols)}
-    state = {(c, r): [None, None, r, counts[c], counts[c]] for c in cols for r in wanted[c]}
-    out: dict = {}
-
-    def inside(c, lo, hi):
-        cond = F.col("_c") == F.lit(cid[c])
-        if lo is not None:
-            cond = cond & (F.col("_v") > lo)
-        if hi is not None:
-            cond = cond & (F.col("_v") < hi)
-        return cond
-
-    for _ in range(64):
-        todo = [key for key in state if key not in out]
+    values = df.select(*[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
+    out: dict[tuple[str, int], float] = {}
+    todo = {(i, r): (0, r) for i, c in enumerate(cols) for r in wanted[c]}  # (column, rank) -> (head, rank inside)
+    for level in range(64 // _DIGIT):
         if not todo:
             break
-        small = [key for key in todo if min(state[key][3], state[key][4]) <= _MAX_COLLECT]
-        wide = [key for key in todo if key not in small]
-        if small:
-            cond = F.lit(False)
-            for (c, r) in small:
-                cond = cond | inside(c, state[(c, r)][0], state[(c, r)][1])
-            vals = base.filter(cond).groupBy("_c", "_v").count().collect()
-            for (c, r) in small:
-                lo, hi, k, _m, _d = state[(c, r)]
-                mine = sorted((row["_v"], row["count"]) for row in vals if row["_c"] == cid[c]
-                              and (lo is None or row["_v"] > lo) and (hi is None or row["_v"] < hi))
-                run = 0
-                for v, cnt in mine:
-                    run += cnt
-                    if run > k:
-                        out[(c, r)] = v
-                        break
-        if not wide:
-            continue
-        aggs = []
-        for j, (c, r) in enumerate(wide):
-            lo, hi, k, m, _d = state[(c, r)]
-            e = math.ceil(m / _ACCURACY) + 1
-            pl, ph = max(0.0, (k - e) / max(m - 1, 1)), min(1.0, (k + e) / max(m - 1, 1))
-            aggs.append(F.percentile_approx(F.when(inside(c, lo, hi), F.col("_v")),
-                                            F.array(F.lit(pl), F.lit(ph)), _ACCURACY).alias(f"b{j}"))
-        bounds = base.agg(*aggs).collect()[0]
-        cnts = []
-        for j, (c, r) in enumerate(wide):
-            a, b = bounds[f"b{j}"]
-            lo, hi = state[(c, r)][0], state[(c, r)][1]
-            ins = inside(c, lo, hi)
-            strictly = inside(c, a, b)
-            cnts += [F.count_if(ins & (F.col("_v") < a)).alias(f"lt{j}"),
-                     F.count_if(ins & (F.col("_v") == a)).alias(f"ea{j}"),
-                     F.count_if(ins & (F.col("_v") == b)).alias(f"eb{j}"),
-                     F.count_if(strictly).alias(f"in{j}"),
-                     F.approx_count_distinct(F.when(strictly, F.col("_v"))).alias(f"nd{j}")]
-        cc = base.agg(*cnts).collect()[0]
-        for j, key in enumerate(wide):
-            a, b = bounds[f"b{j}"]
-            lo, hi, k0, m0, _d = state[key]
-            k = k0 - cc[f"lt{j}"]
-            ea, eb, inner = cc[f"ea{j}"], cc[f"eb{j}"], cc[f"in{j}"]
-            if k < 0:  # below the proposed bracket (sketch error beyond its bound): search (lo, a)
-                state[key] = [lo, a, k0, cc[f"lt{j}"], cc[f"lt{j}"]]
-            elif k >= ea + inner + eb:  # above it: search (b, hi)
-                rest = m0 - cc[f"lt{j}"] - ea - inner - eb
-                state[key] = [b, hi, k - ea - inner - eb, rest, rest]
-            elif k < ea:
-                out[key] = a
-            elif k >= ea + inner:
-                out[key] = b
+        heads = [{head for (c, _), (head, _) in todo.items() if c == i} for i in range(len(cols))]
+        above = F.shiftright("head", _DIGIT) if level else F.lit(0).cast("long")
+        bins = _bins(values, heads, level).withColumn("above", above)
+        upto = Window.partitionBy("c", "above").orderBy("head").rowsBetween(Window.unboundedPreceding, 0)  # 2**16 rows at most
+        asked = df.sparkSession.createDataFrame([(c, r, head, k) for (c, r), (head, k) in todo.items()], "c int, r long, above long, k long")
+        found = (bins.withColumn("upto", F.sum("n").over(upto)).join(F.broadcast(asked), ["c", "above"])
+                 .filter((F.col("k") < F.col("upto")) & (F.col("k") >= F.col("upto") - F.col("n")))
+                 .select("c", "r", "head", (F.col("k") - F.col("upto") + F.col("n")).alias("k"), "n", "lo", "hi").collect())
+        todo = {}
+        for row in found:
+            if row["k"] == 0 or row["lo"] == row["hi"]:
+                out[(cols[row["c"]], row["r"])] = _key_value(row["lo"])
+            elif row["k"] == row["n"] - 1:
+                out[(cols[row["c"]], row["r"])] = _key_value(row["hi"])
             else:
-                # the distinct estimate may be a few per cent low; keep a margin before collecting
-                state[key] = [a, b, k - ea, inner, int(cc[f"nd{j}"] * 1.1) + 2]
-    missing = [key for key in state if key not in out]
-    if missing:
-        raise RuntimeError(f"order statistics did not converge for {missing}")
+                todo[(row["c"], row["r"])] = (row["head"], row["k"])
     return out
 
 
@@ -120,8 +106,8 @@ def exact_percentiles_many(df: DataFrame, probs: Mapping[str, Sequence[float]],
     """Percentiles with linear interpolation (numpy's default) of several columns, computed distributively."""
     cols = list(probs)
     if counts is None:
-        one = df.agg(*[F.count(F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.lit(1))).alias(f"n{i}")
-                       for i, c in enumerate(cols)]).collect()[0]
+        xs = [F.col(f"`{c}`").cast("double") for c in cols]
+        one = df.agg(*[F.count(F.when(~F.isnan(x), x)).alias(f"n{i}") for i, x in enumerate(xs)]).collect()[0]
         counts = {c: int(one[f"n{i}"]) for i, c in enumerate(cols)}
     wanted = {}
     for c in cols:
@@ -132,7 +118,7 @@ def exact_percentiles_many(df: DataFrame, probs: Mapping[str, Sequence[float]],
             need |= {math.floor(h), math.ceil(h)}
         if n > 0:
             wanted[c] = sorted(need)
-    vals = _order_stats(df, wanted, counts) if wanted else {}
+    vals = _order_stats(df, wanted) if wanted else {}
     res = {}
     for c in cols:
         n = counts[c]
@@ -166,11 +152,12 @@ def table_info(df: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None, exclude: Sequence[str] = (ROW_IDX,)) -> DataFrame:
-    """count, mean, std (ddof 1), min, 25/50/75 % (linear), max per numeric column."""
+    """count, mean, std (ddof 1), min, 25/50/75 % (linear), max per numeric column; NaN counts as missing."""
     cols = list(cols) if cols is not None else numeric_columns(df, exclude=exclude)
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(f"`{c}`").cast("double")
+        x = F.when(~F.isnan(x), x)
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
     one = df.agg(*aggs).collect()[0]
@@ -199,23 +186,6 @@ def zscore(df: DataFrame, col: str, out: str = "z") -> DataFrame:
     return df.withColumn(out, (x - F.lit(m["mu"])) / F.lit(m["sd"]))
 
 
-def row_mean_sq(cols_a: Sequence[str], cols_b: Sequence[str]):
-    """row-wise mean of squared differences between two column lists."""
-    terms = [(F.col(a) - F.col(b)) ** 2 for a, b in zip(cols_a, cols_b)]
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return total / F.lit(float(len(terms)))
-
-
-def row_sum(cols: Sequence[str]):
-    """row-wise sum of columns."""
-    total = F.col(cols[0])
-    for c in cols[1:]:
-        total = total + F.col(c)
-    return total
-
-
 def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
     """equal-width bins over [min, max], last bin closed; every bin listed."""
     x = F.col(col).cast("double")
@@ -313,11 +283,6 @@ def pair_plot_data(df: DataFrame, cols: Sequence[str] | None = None, max_points:
     return scatter_sample(df, cols, max_points, key=key), hists
 
 
-def to_double(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`").cast(T.DoubleType()).alias(c) if c in cols else F.col(f"`{c}`")
-                       for c in df.columns])
-
-
 def last_row(df: DataFrame, idx: str = ROW_IDX) -> DataFrame:
     """The row with the largest index (one aggregate, no sort)."""
     cols = [c for c in df.columns if c != idx]

@@ -247,6 +247,10 @@ def _describe_sql() -> str:
 
 ORACLE["describe"] = _describe_sql()
 
+ORACLE["describe_lineitem"] = "\nUNION ALL\n".join(f"""SELECT '{c}' AS variable, count(x) AS count, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, round(min(x), 6) AS min,
+       round(quantile_cont(x, 0.25), 6) AS p25, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.75), 6) AS p75, round(max(x), 6) AS max
+FROM (SELECT CAST({c} AS DOUBLE) AS x FROM lineitem)""" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey"))
+
 ORACLE["zscore"] = _with(EV) + """
 SELECT row_idx, round(value, 6) AS value,
        round((value - (SELECT avg(value) FROM ev)) / (SELECT stddev_pop(value) FROM ev), 6) AS z FROM ev"""

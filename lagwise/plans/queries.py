@@ -198,6 +198,9 @@ def q_hankel_snapshots(spark, sf_dir):
 
 # ---------------------------------------------------------------- F1, F2, F9, F18-F23
 
+LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey"]
+
+
 @register("table_info")
 def q_table_info(spark, sf_dir):
     return st.table_info(p1(spark, sf_dir))
@@ -208,6 +211,13 @@ def q_describe(spark, sf_dir):
     return rounded(st.describe(p1(spark, sf_dir)))
 
 
+@register("describe_lineitem")
+def q_describe_lineitem(spark, sf_dir):
+    """F2, F10 on a table of many rows with few distinct values (quantity) and with many (price)."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return rounded(st.describe(li.select(*[F.col(c).cast("double").alias(c) for c in LINE_NUMBERS])))
+
+
 @register("zscore")
 def q_zscore(spark, sf_dir):
     return rounded(st.zscore(p2(spark, sf_dir).select("row_idx", "value"), "value"))

@@ -165,15 +165,28 @@ def test_weighted_inversions():
         assert abs(K.weighted_inversions(y, w) - brute) < 1e-9
 
 
-def test_exact_percentiles_narrowing(spark, monkeypatch):
-    monkeypatch.setattr(ST, "_MAX_COLLECT", 50)
-    monkeypatch.setattr(ST, "_ACCURACY", 20)
+def test_exact_percentiles_radix(spark):
     rng = np.random.default_rng(6)
-    v = np.concatenate([rng.normal(size=3000), np.full(1500, 0.25)])
-    df = spark.createDataFrame(pd.DataFrame({"v": v}))
+    near = 1.0 + np.arange(2000) * np.finfo(float).eps  # differ in the last bits only
+    cols = {"hot": np.concatenate([rng.normal(size=3000), np.full(3000, 0.25)]), "near": rng.permutation(np.tile(near, 3)),
+            "wide": np.concatenate([rng.normal(size=5990) * 10.0 ** rng.integers(-300, 300, 5990), [-np.inf, np.inf, -0.0, 0.0] * 2, [5e-324] * 2]),
+            "flat": np.full(6000, -3.5), "a `b`.c": rng.integers(-4, 4, 6000).astype(float)}
+    df = spark.createDataFrame(pd.DataFrame({c.replace("`", ""): v for c, v in cols.items()})).repartition(9)
+    ranks = [0, 1, 17, 1499, 3000, 3001, 4500, 5997, 5998, 5999]
+    got = ST._order_stats(df, {c.replace("`", ""): ranks for c in cols})
+    for c, v in cols.items():
+        assert [got[(c.replace("`", ""), r)] for r in ranks] == np.sort(v)[ranks].tolist()
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = exact_percentiles(df, "v", probs)
-    np.testing.assert_allclose(got, np.percentile(v, [p * 100 for p in probs]), rtol=0, atol=1e-12)
+    np.testing.assert_array_equal(exact_percentiles(df, "near", probs), [x for x in np.percentile(cols["near"], [p * 100 for p in probs])])
+
+
+def test_exact_percentiles_missing_values(spark):
+    df = spark.createDataFrame([(1.0, None, 3), (float("nan"), None, 1), (None, None, 2), (5.0, None, None)], "x double, y double, n int")
+    assert ST.exact_percentiles_many(df, {"x": [0.5, 1.0], "y": [0.5], "n": [0.25]}) == {"x": [3.0, 5.0], "y": [None], "n": [1.5]}
+    assert ST.exact_percentiles(df.limit(0), "x", [0.5]) == [None]
+    row = {r["variable"]: r for r in ST.describe(df).collect()}
+    assert (row["x"]["count"], row["x"]["mean"], row["x"]["p50"], row["x"]["max"]) == (2, 3.0, 3.0, 5.0)
+    assert (row["y"]["count"], row["y"]["p50"]) == (0, None)
 
 
 def test_correlation_matrix_pearson(spark):
