@@ -259,3 +259,23 @@ def test_keyed_lags_with_hot_key_span_buckets(spark):
     got = out.sort_values("row_idx").reset_index(drop=True)
     assert got["row_idx"].tolist() == exp["index"].tolist()
     np.testing.assert_allclose(got[["v_lag1", "v_lag2", "v_lag3"]].values, exp[["v_lag1", "v_lag2", "v_lag3"]].values)
+
+
+def test_row_index_refuses_ties_by_default(spark):
+    rows = [(float(i % 50), None if i < 2 else i) for i in range(400)]
+    df = spark.createDataFrame(rows, "a double, `b.c` long")
+    assert with_row_index(df, ["a", "b.c"], partitions=5).count() == 400  # (0, NULL) and (1, NULL) differ
+    for bad in (df.union(df.filter("a = 7").limit(1)), df.union(spark.createDataFrame([(0.0, None)], df.schema)),
+                df.union(spark.createDataFrame([(float("nan"), 3), (float("nan"), 3)], df.schema))):
+        with pytest.raises(ValueError, match="not total"):
+            with_row_index(bad, ["a", "b.c"], partitions=5)
+        assert sorted(r[0] for r in with_row_index(bad, ["a", "b.c"], validate=False).select("row_idx").collect()) == list(range(bad.count()))
+    with pytest.raises(ValueError, match="not total"):  # equal rows in different Arrow batches
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+        try:
+            with_row_index(df.union(df.filter("a = 7").limit(1)), ["a", "b.c"])
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert with_row_index(df.limit(0), "a").count() == 0
+    nested = df.select(F.struct("a", "`b.c`").alias("s"))
+    assert with_row_index(nested, "s").count() == 400
