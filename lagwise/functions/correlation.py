@@ -160,11 +160,11 @@ def lag_optimised_tables(df: DataFrame, target: str, max_lags: int = 24, methods
 
 def write_lag_optimised(df: DataFrame, target: str, path: str, max_lags: int = 24,
                         methods: Sequence[str] = METHODS, keys: Sequence[str] = (), idx: str = ROW_IDX) -> list[str]:
-    """A4: one CSV dataset per correlation method under ``path/<method>``; returns the paths written."""
+    """A4: one CSV dataset per correlation method under ``path/<method>``, rows in index order; returns the paths written."""
     from ..sources.io import write_panel
     paths = []
     for m, table in lag_optimised_tables(df, target, max_lags, methods, keys, idx).items():
         p = f"{path.rstrip('/')}/{m}"
-        write_panel(table.drop(idx), p)
+        write_panel(table, p, order_by=idx, leave_out=[idx])
         paths.append(p)
     return paths

@@ -634,6 +634,16 @@ SELECT t.variable, t.dtype, (SELECT count(*) FROM p1) AS non_null, (SELECT count
 FROM (VALUES ('day', 'timestamp'), ('qty', 'double'), ('price', 'double'), ('disc', 'double'), ('tax', 'double'),
              ('n', 'double'), ('revenue', 'double')) t(variable, dtype)"""
 
+ORACLE["csv_position"] = """
+SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, doc_id, md5(chr(34) || chr(10) || ',' || text || ',' || chr(13) || chr(10) || chr(34) || chr(34)) AS text_md5,
+       nullif(lang, '') AS lang, nullif(source, '') AS source
+FROM documents"""
+
+ORACLE["csv_values"] = _with(P1) + """
+SELECT row_number() OVER (ORDER BY day) - 1 AS row_idx, strftime(CAST(day AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS day, round(qty, 6) AS qty, round(price, 6) AS price,
+       round(disc, 6) AS disc, round(tax, 6) AS tax, round(n, 6) AS n, round(revenue, 6) AS revenue
+FROM p1"""
+
 ORACLE["improvement_histogram"] = _OPT + ",\n" + IMP + """,
 w AS (SELECT min(improvement) AS lo, max(improvement) AS hi, least(10, count(*)) AS nb FROM imp),
 w2 AS (SELECT CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS lo, CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS hi, nb

@@ -727,6 +727,31 @@ def q_csv_roundtrip(spark, sf_dir):
     return st.table_info(back).drop("position")
 
 
+@register("csv_position")
+def q_csv_position(spark, sf_dir):
+    """A1 + A3: write the documents in id order as CSV (texts with quotes, commas and line breaks), read them back with
+    their position; an empty text is missing."""
+    _session(spark)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/lagwise-csv-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    quoted = docs.withColumn("text", F.concat(F.lit('"\n,'), "text", F.lit(',\r\n""')))
+    sio.write_panel(quoted, path, order_by="doc_id")
+    back = sio.read_panel(spark, path, row_index="row_idx", coerce_dates=False)
+    return back.select("row_idx", "doc_id", F.md5(F.encode("text", "utf-8")).alias("text_md5"), "lang", "source")
+
+
+@register("csv_values")
+def q_csv_values(spark, sf_dir):
+    """A1-A3: write the daily panel as CSV in index order but without its index, days as month/day/year with a time; read
+    it back: values, row order and timestamps."""
+    _session(spark)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/lagwise-csv-{uuid.uuid4().hex}"
+    daily = with_row_index(panels.daily_panel(spark, sf_dir), "day").withColumn("day", F.date_format("day", "MM/dd/yyyy HH:mm"))
+    sio.write_panel(daily, path, order_by="row_idx", leave_out=["row_idx"])
+    back = sio.read_panel(spark, path, row_index="row_idx")
+    return rounded(back.withColumn("day", F.date_format("day", "yyyy-MM-dd HH:mm:ss")))
+
+
 @register("improvement_histogram")
 def q_improvement_histogram(spark, sf_dir):
     """Histogram of the optimised target's improvements, min(10, rows) bins."""
