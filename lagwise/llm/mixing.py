@@ -25,6 +25,7 @@ from .store import map_groups, stored
 
 BLOCK = 2048  #: documents of a first-level block, on average
 FAN_IN = 256  #: blocks that meet in a block of the next level
+REPEATS = 4096  #: equal rows that one task writes out at once
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -56,7 +57,7 @@ def _duels(group: pd.DataFrame, seed: int, level: int, last: bool) -> pd.DataFra
     """Duel a block's documents in order; ``p`` becomes 0 or 1 for all but at most one, and for that one too if ``last``."""
     group = group.sort_values(["size", "id", "row"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
     p, size = group["p"].tolist(), group["size"].tolist()
-    ids = group["id"].tolist()
+    ids = list(zip(group["id"].tolist(), group["row"].tolist()))
     held = None
     for j in range(len(p)):
         if not 0 < p[j] < 1:
@@ -104,29 +105,47 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (= copies * size) for every row.
 
     Sizes are words of the whole text (a null text has none).  Sources are weighted in code point order, null last;
-    see ``source_targets``.  A document of no words gets no copy beyond its source's whole part.  Rows that repeat an id
-    and size share one rounding, so that reruns agree.  Input columns with the name of a result column are replaced.  An
-    empty table gives an empty result.  The totals per source reach the driver: one number for each name that the
-    mixture weighs.
+    see ``source_targets``.  A document of no words gets no copy beyond its source's whole part.  Rows that share an id, or
+    have none, are rounded each by itself, told apart by a hash of their columns (maps left out).  Of n wholly equal rows,
+    floor(n * fraction) get a copy more for sure and one duels for the rest, so reruns agree.  Input columns with the name
+    of a result column are replaced.  An empty table gives an empty result.  The totals per source reach the driver: one
+    number for each name that the mixture weighs.
     """
     made = ("size", "source_size", "target", "copies", "taken")
     kept = [c for c in docs.columns if c not in made]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("size", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
     key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63)))  # a null id counts as the least one
-    keys = stored(rows.select(F.col(source_col).cast("string").alias("source"), key.alias("id"), "size"), "mixing-sizes")
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name in kept and "map<" not in f.dataType.simpleString()]
+    row = F.xxhash64(*hashed)
+    keys = stored(rows.select(F.col(source_col).cast("string").alias("source"), key.alias("id"), row.alias("row"), "size"), "mixing-sizes")
     totals = {r["source"]: (r["total"], r["n"]) for r in keys.groupBy("source").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("n")).collect()}
     targets = source_targets({s: t for s, (t, _) in totals.items()}, weights, share, most)
     rates = [(s, total, float(targets[s]), int(rate := targets[s] / total if total else 0), float(rate - int(rate)) if total else 0.0) for s, (total, _) in totals.items()]
     plan = docs.sparkSession.createDataFrame(rates, "source string, source_size long, target double, whole long, part double")
-    # rows that repeat an id and size duel as one
-    distinct = keys.filter("size > 0").groupBy("source", "id", "size").agg(F.count(F.lit(1)).alias("n"))
-    duels = (distinct.withColumn("row", F.col("size")).withColumn("size", F.col("size") * F.col("n"))
-             .join(F.broadcast(plan).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-             .filter("part > 0").select("source", "id", "row", "size", F.col("part").alias("p")))
-    up = _rounded(duels, max([n for _, n in totals.values()], default=1), seed)
-    up = up.select(F.col("source").alias("__s"), F.col("id").alias("__id"), F.col("row").alias("__row"), "up")
-    out = (rows.join(F.broadcast(plan.withColumnRenamed("source", "__p")), F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__p")))
-           .join(up, F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__s")) & (key == F.col("__id"))
-                 & (F.col("size") == F.col("__row")), "left")
-           .withColumn("copies", (F.col("whole") + F.coalesce("up", F.lit(0))).cast("int")).withColumn("taken", F.col("copies") * F.col("size")))
-    return out.select(*[F.col(f"`{c}`") for c in kept], *made)
+    distinct = (keys.filter("size > 0").groupBy("source", "id", "row", "size").agg(F.count(F.lit(1)).alias("n"))
+                .join(F.broadcast(plan.select(F.col("source").alias("s"), "part")), F.col("source").eqNullSafe(F.col("s"))).filter("part > 0")
+                .withColumn("sure", F.floor(F.col("n") * F.col("part"))).withColumn("p", F.col("n") * F.col("part") - F.col("sure")).drop("s", "part"))
+    up = _rounded(distinct.filter("p > 0").select("source", "id", "row", "size", "p"), max([n for _, n in totals.values()], default=1), seed)
+    up = up.select(F.col("source").alias("s"), F.col("id").alias("i"), F.col("row").alias("r"), "up")
+    more = (distinct.join(up, F.col("source").eqNullSafe(F.col("s")) & (F.col("id") == F.col("i")) & (F.col("row") == F.col("r")), "left")
+            .select(F.col("source").alias("__s"), F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("n").alias("__n"),
+                    (F.col("sure") + F.coalesce("up", F.lit(0))).alias("__more")))
+    more = stored(more, "mixing-copies")
+    placed = rows.join(F.broadcast(plan.withColumnRenamed("source", "__p")), F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__p")))
+    mine = F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__s")) & (key == F.col("__id")) & (row == F.col("__row"))
+    some = "__more > 0 and __more < __n"  # equal rows of which some get a copy more: written out from one of them
+
+    def counted(frame: DataFrame, extra) -> DataFrame:
+        return (frame.withColumn("copies", (F.col("whole") + extra).cast("int")).withColumn("taken", F.col("copies") * F.col("size"))
+                .select(*[F.col(f"`{c}`") for c in kept], *made))
+
+    out = counted(placed.join(more, mine, "left").filter(f"__n is null or not ({some})"), F.when(F.col("__more") > 0, 1).otherwise(0))
+    mixed = more.filter(some)
+    if mixed.limit(1).collect():
+        width = F.lit(REPEATS)
+        one = placed.join(mixed, mine).groupBy("__s", "__id", "__row").agg(F.max("__n").alias("__n"), F.max("__more").alias("__more"), F.first(F.struct("*")).alias("__of"))
+        parts = one.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / width))).alias("__part")).repartition("__row", "__part")
+        each = parts.select("__more", "__of", F.explode(F.sequence(F.col("__part") * width, F.least((F.col("__part") + 1) * width, "__n") - 1)).alias("__nth"))
+        again = each.select(*[F.col(f"__of.`{c}`").alias(c) for c in (*kept, "size", "source_size", "target", "whole")], (F.col("__nth") < F.col("__more")).cast("int").alias("__extra"))
+        out = out.unionByName(counted(again, F.col("__extra")))
+    return out

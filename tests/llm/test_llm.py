@@ -109,6 +109,19 @@ def test_nnpu_learns_from_positive_and_unlabelled():
     assert (((x @ w + b) > 0)[hidden] == truth[hidden]).mean() > 0.9
 
 
+@pytest.mark.parametrize("ids", ["none", "one", "whole rows"])
+def test_mixing_rows_without_ids_of_their_own(spark, ids):
+    """Null or repeated ids and wholly equal rows leave every source within one document of its target."""
+    made = [(None if ids == "none" else 7, s, " ".join(f"{s}{0 if ids == 'whole rows' else i}w{j}" for j in range(10))) for s in "abc" for i in range(500)]
+    df = spark.createDataFrame(made, "doc_id long, source string, text string")
+    out = mixing.mix_sources(df).collect()
+    assert len(out) == 1500
+    for s in "abc":
+        mine = [r for r in out if r["source"] == s]
+        assert len(mine) == 500 and abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 10 and all(r["taken"] in (0, 10, 20) for r in mine)
+    assert sorted(map(tuple, out), key=str) == sorted(map(tuple, mixing.mix_sources(df.repartition(5)).collect()), key=str)
+
+
 def test_mixing(docs, rows):
     out = mixing.mix_sources(docs.withColumn("taken", F.lit("clash"))).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
     got = out.collect()
