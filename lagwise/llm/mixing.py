@@ -116,8 +116,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("size", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
     key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63)))  # a null id counts as the least one
     hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name in kept and "map<" not in f.dataType.simpleString()]
-    row = F.xxhash64(*hashed)
-    keys = stored(rows.select(F.col(source_col).cast("string").alias("source"), key.alias("id"), row.alias("row"), "size"), "mixing-sizes")
+    # columns, not expressions of the join below, so that texts no result needs are left behind before its shuffle
+    rows = rows.select("*", F.col(f"`{source_col}`").cast("string").alias("__source"), key.alias("__key"), F.xxhash64(*hashed).alias("__hash"))
+    keys = stored(rows.select(F.col("__source").alias("source"), F.col("__key").alias("id"), F.col("__hash").alias("row"), "size"), "mixing-sizes")
     totals = {r["source"]: (r["total"], r["n"]) for r in keys.groupBy("source").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("n")).collect()}
     targets = source_targets({s: t for s, (t, _) in totals.items()}, weights, share, most)
     rates = [(s, total, float(targets[s]), int(rate := targets[s] / total if total else 0), float(rate - int(rate)) if total else 0.0) for s, (total, _) in totals.items()]
@@ -131,8 +132,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .select(F.col("source").alias("__s"), F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("n").alias("__n"),
                     (F.col("sure") + F.coalesce("up", F.lit(0))).alias("__more")))
     more = stored(more, "mixing-copies")
-    placed = rows.join(F.broadcast(plan.withColumnRenamed("source", "__p")), F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__p")))
-    mine = F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__s")) & (key == F.col("__id")) & (row == F.col("__row"))
+    placed = rows.join(F.broadcast(plan.withColumnRenamed("source", "__p")), F.col("__source").eqNullSafe(F.col("__p")))
+    mine = F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__key") == F.col("__id")) & (F.col("__hash") == F.col("__row"))
     some = "__more > 0 and __more < __n"  # equal rows of which some get a copy more: written out from one of them
 
     def counted(frame: DataFrame, extra) -> DataFrame:
