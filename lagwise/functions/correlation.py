@@ -1,20 +1,28 @@
 """Correlation matrices and lag correlation (Pearson, Spearman, Kendall tau-b).
 
-Pearson is one aggregate with a ``corr`` per (variable, lag) or per pair.
-Spearman and Kendall work on a long frame of valid pairs ``(group..., x, y)``
-(rows where both sides are non-NULL, so ranks are recomputed for each lag the
-way a pairwise-complete correlation does it).
+Correlations work on a long frame of valid pairs ``(group..., x, y)`` (rows
+where both sides are non-NULL, so ranks are recomputed for each lag the way a
+pairwise-complete correlation does it).
+
+Spearman at lags of one series without NULLs needs no long frame: lag k drops
+the last k rows of a feature and the first k of the target, so each column is
+ranked once, the ranks at a lag follow by counting the few dropped values below
+and equal, and the products are summed over buckets of consecutive rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.halo import lag_sql, over_halo, q
 from ..operators.index import ROW_IDX
+from ..session import stored
 from ..sources.io import numeric_columns
+from .lagmoments import over_buckets
 from .rank import average_rank
 
 METHODS = ("pearson", "spearman", "kendall")
@@ -85,6 +93,60 @@ def spearman_long(pairs: DataFrame, group: Sequence[str]) -> DataFrame:
     return ranked.groupBy(*group).agg(_clean(safe_corr("rx", "ry")).alias("corr"))
 
 
+def _is_whole_series(df: DataFrame, cols: Sequence[str], idx: str) -> bool:
+    """Whether the index runs from 0 without gaps and no column holds a NULL or NaN."""
+    bad = F.lit(False)
+    for c in cols:
+        x = F.col(q(c)).cast("double")
+        bad = bad | x.isNull() | F.isnan(x)
+    one = df.agg(F.count(F.lit(1)).alias("n"), F.min(idx).alias("lo"), F.max(idx).alias("hi"), F.count_if(bad).alias("bad")).collect()[0]
+    return bool(one["n"]) and one["lo"] == 0 and one["hi"] == one["n"] - 1 and one["bad"] == 0
+
+
+def column_ranks(df: DataFrame, cols: Sequence[str], idx: str = ROW_IDX) -> DataFrame:
+    """(idx, r0, r1, ...): average rank of each column's values over all rows, ranked once per column; stored."""
+    items = F.array(*[F.struct(F.lit(i).alias("c"), F.col(q(c)).cast("double").alias("v")) for i, c in enumerate(cols)])
+    long = df.select(F.col(idx).alias("i"), F.explode(items).alias("s")).select("i", "s.c", "s.v")
+    ranked = long.join(average_rank(long, "v", ["c"], out="r"), ["c", "v"])
+    wide = ranked.groupBy(F.col("i").alias(idx)).agg(*[F.max(F.when(F.col("c") == i, F.col("r"))).alias(f"r{i}") for i in range(len(cols))])
+    return stored(wide, "column-ranks")
+
+
+def spearman_lags(df: DataFrame, target: str, max_lags: int, feats: Sequence[str], idx: str = ROW_IDX, bucket_rows: int | None = None) -> DataFrame:
+    """(variable, lag, corr) of a whole series without NULLs (see ``_is_whole_series``), NULL where a side is constant."""
+    cols, lags = [*feats, target], int(max_lags)
+    ranks = column_ranks(df, cols, idx)
+    names = [f"r{i}" for i in range(len(cols))]
+    n = int(ranks.agg(F.max(idx)).collect()[0][0]) + 1
+    edge = ranks.filter((F.col(idx) < lags - 1) | (F.col(idx) > n - lags)).collect()  # 2 * max_lags rows at most
+    at = {r[idx]: r for r in edge}
+    # the ranks that lag k leaves out, in order: the last k of a feature, the first k of the target
+    cut = {(c, k): np.sort([at[i][name] for i in (range(k) if c == len(feats) else range(n - k, n))])
+           for c, name in enumerate(names) for k in range(min(lags, n))}
+
+    def centred(rank: np.ndarray, c: int, k: int) -> np.ndarray:
+        gone = cut[(c, k)]
+        below = (np.searchsorted(gone, rank, "left") + np.searchsorted(gone, rank, "right")) / 2.0  # an equal value counts half
+        return rank - below - (n - k + 1) / 2.0
+
+    def job(rows: np.ndarray, x: np.ndarray, home: int) -> pd.DataFrame:
+        out = []
+        for k in range(min(lags, n)):
+            m = min(home, len(x) - k)  # home rows with a target k rows on
+            if m <= 0:
+                continue
+            y = centred(x[k:k + m, -1], len(feats), k)
+            for c in range(len(feats)):
+                v = centred(x[:m, c], c, k)
+                out.append((c, k, float(v @ v), float(y @ y), float(v @ y)))
+        return pd.DataFrame(out, columns=["c", "lag", "xx", "yy", "xy"])
+
+    sums = over_buckets(ranks, names, lags, job, "c int, lag int, xx double, yy double, xy double", idx, bucket_rows)
+    name = F.element_at(F.array(*[F.lit(f) for f in feats]), F.col("c") + 1)
+    total = sums.groupBy("c", "lag").agg(*[F.sum(s).alias(s) for s in ("xx", "yy", "xy")])
+    return total.select(name.alias("variable"), "lag", F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))).alias("corr"))
+
+
 def kendall_long(pairs: DataFrame, group: Sequence[str]) -> DataFrame:
     from .kendall import kendall_tau_b
     return kendall_tau_b(pairs, group)
@@ -97,9 +159,12 @@ def lag_correlation(df: DataFrame, target: str, max_lags: int = 24, method: str
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
     feats = _features(df, target, features, keys, idx)
-    pairs = lag_pairs(df, target, max_lags, feats, keys, idx, bucket_rows)
-    fn = {"pearson": pearson_long, "spearman": spearman_long, "kendall": kendall_long}[method]
-    res = fn(pairs, ["variable", "lag"])
+    if method == "spearman" and not keys and feats and int(max_lags) > 0 and _is_whole_series(df, [*feats, target], idx):
+        res = spearman_lags(df, target, max_lags, feats, idx, bucket_rows)
+    else:
+        pairs = lag_pairs(df, target, max_lags, feats, keys, idx, bucket_rows)
+        fn = {"pearson": pearson_long, "spearman": spearman_long, "kendall": kendall_long}[method]
+        res = fn(pairs, ["variable", "lag"])
     # (variable, lag) with no valid pair still gets a row, with NULL corr
     grid = df.sparkSession.createDataFrame([(f, k) for f in feats for k in range(int(max_lags))],
                                            "variable string, lag int")

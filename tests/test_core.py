@@ -279,3 +279,18 @@ def test_row_index_refuses_ties_by_default(spark):
     assert with_row_index(df.limit(0), "a").count() == 0
     nested = df.select(F.struct("a", "`b.c`").alias("s"))
     assert with_row_index(nested, "s").count() == 400
+
+
+@pytest.mark.parametrize("n,lags,bucket", [(900, 24, 64), (40, 30, 32), (3, 6, 8), (1, 2, 8)])
+def test_spearman_ranks_once_equal_pairwise_ranks(spark, n, lags, bucket):
+    """Many ties, a hot value, a constant column and lags beyond the series, against ranking every lag's pairs anew."""
+    rng = np.random.default_rng(n)
+    pdf = pd.DataFrame({"t": np.arange(n), "a b": rng.integers(0, 6, n), "hot": np.where(rng.random(n) < 0.4, 2.5, rng.normal(size=n)), "flat": 1.0, "y": rng.integers(0, 9, n) / 4})
+    df = with_row_index(spark.createDataFrame(pdf), "t").drop("t")
+    got = {(r["variable"], r["lag"]): r["corr"] for r in lag_correlation(df, "y", lags, "spearman", bucket_rows=max(bucket, lags)).collect()}
+    assert len(got) == 3 * lags
+    for c in ("a b", "hot", "flat"):
+        for k in range(lags):
+            pair = pd.DataFrame({"x": pdf[c].shift(k), "y": pdf["y"]}).dropna().rank()
+            want = pair["x"].corr(pair["y"]) if len(pair) > 1 and pair["x"].nunique() > 1 and pair["y"].nunique() > 1 else None
+            assert (got[(c, k)] is None) if want is None else abs(got[(c, k)] - want) < 1e-12, (c, k)
