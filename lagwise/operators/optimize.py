@@ -167,13 +167,24 @@ def success_rate(imp: DataFrame) -> DataFrame:
                    (F.avg((F.col("improvement") > 0).cast("double")) * 100).alias("success_rate"))
 
 
-def state_table(result: DataFrame, targets: Sequence[str], free: Sequence[str], idx: str = ROW_IDX) -> DataFrame:
-    """Initial / Optimized / Actual rows per optimised row, sorted by (row, state)."""
+def state_table(result: DataFrame, targets: Sequence[str], free: Sequence[str], idx: str = ROW_IDX,
+                rows: DataFrame | None = None, fixed: Sequence[str] = ()) -> DataFrame:
+    """Initial / Optimized / Actual rows per optimised row, sorted by (row, state).
+
+    With ``rows`` (the table that was optimised) every state has all its inputs: ``fixed`` ones as they are in the row, and
+    the actual state the initial inputs.  Without it the actual state has no inputs.
+    """
+    whole = rows is not None
+    if whole:
+        result = result.join(rows.select(idx, *[F.col(q(f)).alias(f"_fix_{i}") for i, f in enumerate(fixed)]), idx)
+
     def part(state, tcols, icols):
-        return result.select(idx, F.lit(state).alias("state"),
-                             *[(F.col(c) if c else F.lit(None).cast("double")).alias(t) for t, c in zip(targets, tcols)],
-                             *[(F.col(c) if c else F.lit(None).cast("double")).alias(f) for f, c in zip(free, icols)])
-    ini = part("Initial", [f"init_pred_{t}" for t in targets], [f"init_{f}" for f in free])
-    opt = part("Optimized", [f"opt_pred_{t}" for t in targets], [f"opt_{f}" for f in free])
-    act = part("Actual", [f"actual_{t}" for t in targets], [None for _ in free])
-    return ini.unionByName(opt).unionByName(act).orderBy(idx, "state")
+        return F.struct(F.lit(state).alias("state"),
+                        *[F.col(q(c)).alias(t) for t, c in zip(targets, tcols)],
+                        *[(F.col(q(c)) if c else F.lit(None).cast("double")).alias(f) for f, c in zip(free, icols)],
+                        *([F.col(f"_fix_{i}").alias(f) for i, f in enumerate(fixed)] if whole else []))
+    initial = [f"init_{f}" for f in free]
+    states = F.array(part("Initial", [f"init_pred_{t}" for t in targets], initial),
+                     part("Optimized", [f"opt_pred_{t}" for t in targets], [f"opt_{f}" for f in free]),
+                     part("Actual", [f"actual_{t}" for t in targets], initial if whole else [None for _ in free]))
+    return result.select(idx, F.explode(states).alias("_s")).select(idx, "_s.*").orderBy(idx, "state")

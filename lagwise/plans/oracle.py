@@ -629,6 +629,13 @@ UNION ALL
 SELECT row_idx, 'Actual', round(actual_revenue, 6), round(actual_n, 6), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)
 FROM res"""
 
+_STATE_FIXED = ", ".join(f"round(lt.{c}, 6) AS {c}" for c in ("tax", "qty_lag1", "disc_lag1", "tax_lag1", "revenue_lag1", "n_lag1"))
+ORACLE["state_table_inputs"] = _OPT + "\nUNION ALL\n".join(f"""
+SELECT res.row_idx, '{state}' AS state, round({rev}, 6) AS revenue, round({n}, 6) AS n, round({qty}, 6) AS qty, round({disc}, 6) AS disc, {_STATE_FIXED}
+FROM res JOIN lt ON lt.row_idx = res.row_idx""" for state, rev, n, qty, disc in (
+    ("Initial", "init_pred_revenue", "init_pred_n", "init_qty", "init_disc"), ("Optimized", "opt_pred_revenue", "opt_pred_n", "opt_qty", "opt_disc"),
+    ("Actual", "actual_revenue", "actual_n", "init_qty", "init_disc")))
+
 ORACLE["csv_roundtrip"] = _with(P1) + """
 SELECT t.variable, t.dtype, (SELECT count(*) FROM p1) AS non_null, (SELECT count(*) FROM p1) AS rows
 FROM (VALUES ('day', 'timestamp'), ('qty', 'double'), ('price', 'double'), ('disc', 'double'), ('tax', 'double'),
@@ -692,6 +699,19 @@ lo AS (SELECT c.row_idx, b.variable || '_lag' || CAST(b.best_lag AS VARCHAR) AS
 SELECT a.v AS var1, b.v AS var2, round(corr(a.value, b.value), 6) AS corr
 FROM lo a JOIN lo b ON a.row_idx = b.row_idx GROUP BY a.v, b.v"""
 
+ORACLE["lag_optimised_corr_spearman"] = _with(P1, P1_LONG, LAGCORR_PAIRS, SPEARMAN_RANKED) + """,
+lc AS (SELECT variable, CAST(lag AS INTEGER) AS lag, corr(rx, ry) AS corr FROM ranked GROUP BY variable, lag),
+best AS (SELECT variable, arg_min(lag, (abs(corr) * -1, lag)) AS best_lag FROM lc WHERE corr IS NOT NULL GROUP BY variable),
+mx AS (SELECT max(best_lag) AS m FROM best),
+lo AS (SELECT c.row_idx, b.variable || '_lag' || CAST(b.best_lag AS VARCHAR) AS v, l.x AS value
+       FROM i1 c JOIN best b ON TRUE JOIN l1 l ON l.variable = b.variable AND l.row_idx = c.row_idx - b.best_lag
+       WHERE c.row_idx >= (SELECT m FROM mx)
+       UNION ALL
+       SELECT row_idx, 'revenue', revenue FROM i1 WHERE row_idx >= (SELECT m FROM mx)),
+rk AS (SELECT row_idx, v, rank() OVER (PARTITION BY v ORDER BY value) + (count(*) OVER (PARTITION BY v, value) - 1) / 2.0 AS value FROM lo)
+SELECT a.v AS var1, b.v AS var2, round(corr(a.value, b.value), 6) AS corr
+FROM rk a JOIN rk b ON a.row_idx = b.row_idx GROUP BY a.v, b.v"""
+
 ORACLE["last_row"] = _with(P1) + """
 SELECT * FROM (SELECT row_idx, """ + ", ".join(f"{lag(f, 1)} AS {f}_lag1" for f in FEATS) + """, revenue FROM i1)
 ORDER BY row_idx DESC LIMIT 1"""

@@ -700,6 +700,14 @@ def q_state_table(spark, sf_dir):
     return rounded(op.state_table(_opt_fixed(spark, sf_dir), OPT_TARGETS, OPT_FREE))
 
 
+@register("state_table_inputs")
+def q_state_table_inputs(spark, sf_dir):
+    """J12/C5 with every input, the fixed ones too, in each of the three states."""
+    t = _opt_table(spark, sf_dir)
+    fixed = [c for c in t.columns if c not in ("row_idx", *OPT_TARGETS, *OPT_FREE)]
+    return rounded(op.state_table(_opt_fixed(spark, sf_dir), OPT_TARGETS, OPT_FREE, rows=t, fixed=fixed))
+
+
 @register("optimize_rows_model")
 def q_optimize_rows_model(spark, sf_dir):
     """J4/J5 with fitted multi-target linear models, two generations."""
@@ -793,6 +801,14 @@ def q_lag_optimised_corr(spark, sf_dir):
     return rounded(corr.correlation_matrix(lagops.best_lag_table(df, P1_TARGET, best)))
 
 
+@register("lag_optimised_corr_spearman")
+def q_lag_optimised_corr_spearman(spark, sf_dir):
+    """D5 + F7: the best lags by Spearman, and the Spearman matrix of the table shifted by them."""
+    df = p1(spark, sf_dir)
+    table = corr.lag_optimised_tables(df, P1_TARGET, 24, ["spearman"])["spearman"]
+    return rounded(corr.correlation_matrix(table, method="spearman"))
+
+
 @register("last_row")
 def q_last_row(spark, sf_dir):
     """The last row of the lag table (the optimiser's default initial point)."""

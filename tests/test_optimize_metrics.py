@@ -75,3 +75,12 @@ def test_splits(spark):
         assert g["is_test"].sum() == round(len(g) * 0.3)
     train, test = chrono_split(df, 0.7)
     assert train.agg(F.max("row_idx")).collect()[0][0] == 699 and test.count() == 300
+
+
+def test_state_table_has_all_inputs(spark):
+    res = spark.createDataFrame([(3, 1.0, 2.0, 3.0, 4.0, 5.0)], "row_idx long, init_a double, opt_a double, init_pred_y double, opt_pred_y double, actual_y double")
+    rows = spark.createDataFrame([(3, 1.0, 7.0, 8.0), (4, 0.0, 0.0, 0.0)], "row_idx long, a double, a_lag1 double, `b.c` double")
+    got = op.state_table(res, ["y"], ["a"], rows=rows, fixed=["a_lag1", "b.c"])
+    assert got.columns == ["row_idx", "state", "y", "a", "a_lag1", "b.c"]
+    assert [tuple(r) for r in got.collect()] == [(3, "Actual", 5.0, 1.0, 7.0, 8.0), (3, "Initial", 3.0, 1.0, 7.0, 8.0), (3, "Optimized", 4.0, 2.0, 7.0, 8.0)]
+    assert [tuple(r) for r in op.state_table(res, ["y"], ["a"]).collect()] == [(3, "Actual", 5.0, None), (3, "Initial", 3.0, 1.0), (3, "Optimized", 4.0, 2.0)]
