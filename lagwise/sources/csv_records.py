@@ -9,8 +9,9 @@ their running composition over the splits of a file gives every entry state.
 Lines that are records by themselves stay where they are; only lines of
 records that span several lines are grouped.
 
-A record's position is (file, first byte of its split, line in the split); it
-orders the records of a file as they stand there, however it is split.
+A record's position is (file, first byte of its split, line in the split).  Its
+dense row number follows from it without a sort: the records begun before it in
+its split, plus those begun in earlier splits and files.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..functions.rank import running_total
 from ..session import map_arrow, stored
 
-POSITION = ("_file", "_split", "_line")
+POSITION = ("_file", "_split", "_line", "_row")
 _MAX_BROADCAST_SPLITS = 200_000  # splits (one short row each) sent to every task; beyond it a shuffled join
 
 
@@ -52,7 +54,8 @@ def _inside_after(line: str, inside: bool, sep: str, quote: str) -> bool:
 
 def _scan(sep: str, quote: str):
     """Lines in order with their number in the split and, under both assumptions (suffix 0: the split starts outside
-    quotes, 1: inside), the state before and after the line and the line that its record starts at (-1: an earlier split).
+    quotes, 1: inside), the state before and after the line, the line that its record starts at (-1: an earlier split) and
+    the records that begin in the split before it (blank lines are none).
     """
     def states(lines: pa.Array, carry: list[dict]) -> dict[str, pa.Array]:
         quoted = np.flatnonzero(np.asarray(pc.match_substring(lines, quote)))
@@ -67,13 +70,15 @@ def _scan(sep: str, quote: str):
             outs[1].append(after[1])
         at = np.arange(len(lines))
         number = carry[0]["lines"] + at
+        full = ~np.asarray(pc.is_in(lines, value_set=pa.array(["", "\r"], lines.type)))
         cols = {"_line": pa.array(number, pa.int64())}
         for i in (0, 1):
             seq = np.array([carry[i]["state"], *outs[i]], dtype=bool)
             pre, post = seq[np.searchsorted(quoted, at, "left")], seq[np.searchsorted(quoted, at, "right")]
             start = np.maximum(np.maximum.accumulate(np.where(pre, -1, number)), carry[i]["start"])
-            carry[i] = {"state": bool(post[-1]), "lines": int(number[-1]) + 1, "start": int(start[-1])}
-            cols |= {f"pre{i}": pa.array(pre), f"post{i}": pa.array(post), f"start{i}": pa.array(start, pa.int64())}
+            begun = carry[i]["begun"] + np.cumsum(full & ~pre)
+            carry[i] = {"state": bool(post[-1]), "lines": int(number[-1]) + 1, "start": int(start[-1]), "begun": int(begun[-1])}
+            cols |= {f"pre{i}": pa.array(pre), f"post{i}": pa.array(post), f"start{i}": pa.array(start, pa.int64()), f"begun{i}": pa.array(begun - (full & ~pre), pa.int64())}
         return cols
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +92,7 @@ def _scan(sep: str, quote: str):
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
                 now = (files.dictionary[int(codes[a])].as_py(), int(splits[a]))
                 if now != key:
-                    key, carry = now, [{"state": bool(i), "lines": 0, "start": -1} for i in (0, 1)]
+                    key, carry = now, [{"state": bool(i), "lines": 0, "start": -1, "begun": 0} for i in (0, 1)]
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_pydict({name: part.column(name) for name in part.schema.names} | states(part.column(0), carry))
     return job
@@ -98,8 +103,9 @@ def _splits(scanned: DataFrame) -> DataFrame:
     full = ~F.col("value").isin("", "\r")
     heads = [F.min(F.when(full & ~F.col(f"pre{i}"), F.struct("_line", F.col("value").alias("text"), F.col(f"post{i}").alias("more")))).alias(f"head{i}") for i in (0, 1)]
     last = F.max(F.struct("_line", "post0", "post1", "start0", "start1")).alias("end")
-    ends = (scanned.groupBy("_file", "_split").agg(last, *heads)
-            .select("_file", "_split", "head0", "head1", *[F.col(f"end.post{i}").alias(f"state{i}") for i in (0, 1)], *[F.col(f"end.start{i}").alias(f"start{i}") for i in (0, 1)]))
+    counts = [F.count_if(full & ~F.col(f"pre{i}")).alias(f"count{i}") for i in (0, 1)]
+    ends = (scanned.groupBy("_file", "_split").agg(last, *heads, *counts)
+            .select("_file", "_split", "head0", "head1", "count0", "count1", *[F.col(f"end.post{i}").alias(f"state{i}") for i in (0, 1)], *[F.col(f"end.start{i}").alias(f"start{i}") for i in (0, 1)]))
     order = Window.partitionBy("_file").orderBy("_split")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     flips = (F.col("state0") & ~F.col("state1")).cast("long")  # inside becomes outside and the other way round
@@ -120,7 +126,8 @@ def _splits(scanned: DataFrame) -> DataFrame:
             .withColumn("from", F.last(begun, True).over(earlier))
             .withColumn("header", F.first(head, True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
             .withColumn("final", F.lead("_split").over(order).isNull())
-            .select("_file", "_split", "inside", "open", "from", "header", "final"))
+            .withColumn("own", actual("count") - F.coalesce((F.col("header.split") == F.col("_split")).cast("long"), F.lit(0)))  # without the header
+            .select("_file", "_split", "inside", "open", "from", "header", "final", "own"))
 
 
 def _names(header: str, sep: str, quote: str) -> list[str]:
@@ -137,7 +144,8 @@ def _names(header: str, sep: str, quote: str) -> list[str]:
 
 
 def read_records(spark: SparkSession, path: str, sep: str = ",", quote: str = '"') -> DataFrame:
-    """All data records of the CSV files under ``path`` as text columns, with ``POSITION`` columns.
+    """All data records of the CSV files under ``path`` as text columns, with ``POSITION`` columns; ``_row`` numbers them
+    from 0 without gaps, in the order of the files' paths and of the records in them.
 
     The first record of a file that is not blank is its header; files must agree on it.  Blank lines are skipped.  Missing
     last fields are NULL, fields beyond the header's are left out.  Line breaks inside quotes are kept as they are; a
@@ -150,13 +158,13 @@ def read_records(spark: SparkSession, path: str, sep: str = ",", quote: str = '"
     lines = raw.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), *[F.col(f"`{c}`") for c in extra])
     schema = lines.withColumn("_line", F.lit(0).cast("long"))
     for i in (0, 1):
-        schema = schema.withColumn(f"pre{i}", F.lit(False)).withColumn(f"post{i}", F.lit(False)).withColumn(f"start{i}", F.lit(0).cast("long"))
+        schema = schema.withColumn(f"pre{i}", F.lit(False)).withColumn(f"post{i}", F.lit(False)).withColumn(f"start{i}", F.lit(0).cast("long")).withColumn(f"begun{i}", F.lit(0).cast("long"))
     scanned = stored(map_arrow(lines, _scan(sep, quote), schema.schema), "csv-lines")
-    splits = stored(_splits(scanned), "csv-splits")
+    splits = stored(running_total(stored(_splits(scanned), "csv-splits"), ["_file", "_split"], "own", out="_rows"), "csv-offsets")
     unclosed = splits.filter("final and open").select("_file").limit(1).collect()
     if unclosed:
         raise ValueError(f"a quote is never closed in {unclosed[0]['_file']}")
-    known = splits.select("_file", "_split", "inside", "from", F.struct("header.split", "header.line").alias("header"))
+    known = splits.select("_file", "_split", "inside", "from", "_rows", F.struct("header.split", "header.line").alias("header"))
     if splits.count() <= _MAX_BROADCAST_SPLITS:
         known = F.broadcast(known)
 
@@ -164,13 +172,14 @@ def read_records(spark: SparkSession, path: str, sep: str = ",", quote: str = '"
         return F.when(F.col("inside"), F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
 
     placed = (scanned.join(known, ["_file", "_split"]).withColumn("first", ~actual("pre")).withColumn("ends", ~actual("post"))
-              .withColumn("begin", F.when(actual("start") >= 0, F.struct(F.col("_split").alias("split"), actual("start").alias("line"))).otherwise(F.col("from"))))
+              .withColumn("begin", F.when(actual("start") >= 0, F.struct(F.col("_split").alias("split"), actual("start").alias("line"))).otherwise(F.col("from")))
+              .withColumn("_row", F.col("_rows") + actual("begun") - (F.col("header.split") == F.col("_split")).cast("long")))
     carried = [F.col(f"`{c}`") for c in extra]
     alone = placed.filter("first and ends").select(*POSITION, "value", "header", *carried)
     pieces = F.array_sort(F.collect_list(F.struct("_split", "_line", "value")))
     spanning = (placed.filter("not (first and ends)").groupBy("_file", F.col("begin.split").alias("_s"), F.col("begin.line").alias("_l"))
-                .agg(F.array_join(F.transform(pieces, lambda x: x["value"]), "\n").alias("value"), F.first("header").alias("header"), *[F.first(c).alias(n) for c, n in zip(carried, extra)])
-                .select("_file", F.col("_s").alias("_split"), F.col("_l").alias("_line"), "value", "header", *carried))
+                .agg(F.min_by("_row", F.struct("_split", "_line")).alias("_row"), F.array_join(F.transform(pieces, lambda x: x["value"]), "\n").alias("value"), F.first("header").alias("header"), *[F.first(c).alias(n) for c, n in zip(carried, extra)])
+                .select("_file", F.col("_s").alias("_split"), F.col("_l").alias("_line"), "_row", "value", "header", *carried))
     records = alone.unionByName(spanning).withColumn("value", F.regexp_replace("value", r"\r\z", ""))
     is_header = (F.col("_split") == F.col("header.split")) & (F.col("_line") == F.col("header.line"))
     heads = splits.filter("header is not null").select("header.text", "header.more").distinct().limit(3).collect()

@@ -15,7 +15,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..operators.index import with_row_index
 from .csv_records import POSITION, read_records
 
 # The missing-value tokens a pandas CSV reader treats as NA by default.
@@ -128,7 +127,7 @@ def read_panel(spark: SparkSession, path: str, fmt: str = "csv", null_values: Se
     if row_index:
         if row_index in typed.columns:
             raise ValueError(f"the file has a column {row_index!r} already")
-        typed = with_row_index(typed, list(POSITION), name=row_index)
+        typed = typed.select(F.col("_row").alias(row_index), *[_q(c) for c in typed.columns if c != "_row"])
     return typed.drop(*POSITION)
 
 
