@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.rank import running_total
-from ..session import map_arrow, stored
+from ..session import drop_stored, map_arrow, stored
 
 POSITION = ("_file", "_split", "_line", "_row")
 _MAX_BROADCAST_SPLITS = 200_000  # splits (one short row each) sent to every task; beyond it a shuffled join
@@ -149,8 +149,8 @@ def read_records(spark: SparkSession, path: str, sep: str = ",", quote: str = '"
 
     The first record of a file that is not blank is its header; files must agree on it.  Blank lines are skipped.  Missing
     last fields are NULL, fields beyond the header's are left out.  Line breaks inside quotes are kept as they are; a
-    record may end in LF or CRLF.  The lines are stored once in the shared folder, as another scan could cut the files
-    elsewhere (split sizes follow the cores at hand).  Partition folders (``name=value``) become columns.  A quote that is never closed, files
+    record may end in LF or CRLF.  Lines, then records, are stored in the shared folder, as another scan could cut
+    the files elsewhere (split sizes follow the cores at hand); only the records stay.  Partition folders (``name=value``) become columns.  A quote that is never closed, files
     with different headers and a path without any header raise ValueError.  Texts are UTF-8.
     """
     raw = spark.read.option("lineSep", "\n").text(path)
@@ -192,5 +192,7 @@ def read_records(spark: SparkSession, path: str, sep: str = ",", quote: str = '"
         raise ValueError(f"no header record under {path}" if not texts else f"files under {path} have different headers")
     names = _names(texts[0], sep, quote)
     fields = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(len(names)))), {"sep": sep, "quote": quote, "escape": quote, "maxColumns": str(len(names) + 1024)})
-    data = records.filter((F.col("value") != "") & ~is_header).withColumn("_f", fields)
+    # stored, so that the passes that find the types group the lines of long records only once
+    data = stored(records.filter((F.col("value") != "") & ~is_header).drop("header"), "csv-records").withColumn("_f", fields)
+    drop_stored(scanned, splits)
     return data.select(*POSITION, *[F.col(f"_f.c{i}").alias(n) for i, n in enumerate(names)], *[c for c, n in zip(carried, extra) if n not in names])

@@ -13,8 +13,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession, functions as F, types as T
 
+from ..session import freed_shuffles
 from .csv_records import POSITION, read_records
 
 # The missing-value tokens a pandas CSV reader treats as NA by default.
@@ -144,6 +145,11 @@ def write_panel(df: DataFrame, path: str, fmt: str = "csv", partition_by: str |
     w = df.drop(*leave_out).write.mode(mode)
     if partition_by:
         w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
+    with freed_shuffles(df.sparkSession):
+        _save(w, path, fmt)
+
+
+def _save(w: DataFrameWriter, path: str, fmt: str) -> None:
     if fmt == "csv":
         w.option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     else:
