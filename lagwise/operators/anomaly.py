@@ -53,6 +53,8 @@ DEFAULT_PARAMS = {
     "recon_error_percentile": 99,
 }
 
+BLOCK = 1 << 18  # coordinate differences (2 MB) that the local outlier factor computes at once
+
 
 def _q(c: str) -> str:
     return "`" + c.replace("`", "``") + "`"
@@ -359,6 +361,20 @@ def _topk(dist: np.ndarray, keys: np.ndarray, k: int):
     return d[sel].reshape(n, k), kk[sel].reshape(n, k)
 
 
+def _nearest(keys: np.ndarray, x: np.ndarray, home_keys: np.ndarray, home: np.ndarray, k: int, own: bool = False) -> pd.DataFrame:
+    """The ``k`` nearest home points of each point, ``BLOCK`` coordinate differences at a time; ``own``: the points are the home points."""
+    outs = []
+    step = max(1, BLOCK // max(home.size, 1))
+    for s0 in range(0, len(keys), step):
+        dist = np.sqrt(((x[s0:s0 + step, None, :] - home[None, :, :]) ** 2).sum(axis=2))
+        if own:
+            rows_ = np.arange(dist.shape[0])
+            dist[rows_, s0 + rows_] = np.inf  # not its own neighbour
+        dd, nn = _topk(dist, home_keys, k)
+        outs.append(pd.DataFrame({"_k": np.repeat(keys[s0:s0 + step], k), "nbr": nn.ravel(), "dist": dd.ravel()}))
+    return pd.concat(outs, ignore_index=True)
+
+
 def knn_exact(lt: DataFrame, cols: Sequence[str], k: int, key: str = ROW_IDX, slab_rows: int = 2048) -> DataFrame:
     """Exact k nearest neighbours (Euclidean, self excluded, ties by key): (key, nbr, dist)."""
     ship_package(lt.sparkSession)
@@ -387,16 +403,7 @@ def knn_exact(lt: DataFrame, cols: Sequence[str], k: int, key: str = ROW_IDX, sl
         kk = min(k, len(keys) - 1)
         if kk <= 0:
             return pd.DataFrame({"_k": [], "nbr": [], "dist": []})
-        outs = []
-        step = max(1, 4_000_000 // max(len(keys), 1))  # bound the distance block held in memory
-        for s0 in range(0, len(keys), step):
-            dist = np.sqrt(((x[s0:s0 + step, None, :] - x[None, :, :]) ** 2).sum(axis=2))
-            rows_ = np.arange(dist.shape[0])
-            dist[rows_, s0 + rows_] = np.inf  # not its own neighbour
-            dd, nn = _topk(dist, keys, kk)
-            outs.append(pd.DataFrame({"_k": np.repeat(keys[s0:s0 + step], kk), "nbr": nn.ravel(),
-                                      "dist": dd.ravel()}))
-        return pd.concat(outs, ignore_index=True)
+        return _nearest(keys, x, keys, x, kk, own=True)
 
     own = durable(slabbed.groupBy("slab").applyInPandas(local, nb_schema))
     # bound on the k-distance of each row from its own slab (infinite when the slab is too small)
@@ -435,14 +442,7 @@ def knn_exact(lt: DataFrame, cols: Sequence[str], k: int, key: str = ROW_IDX, sl
         hx = np.stack(home["v"].to_numpy())
         vk = vis["_k"].to_numpy()
         vx = np.stack(vis["v"].to_numpy())
-        kk = min(k, len(hk))
-        outs = []
-        step = max(1, 4_000_000 // max(len(hk), 1))  # bound the distance block held in memory
-        for s0 in range(0, len(vk), step):
-            dist = np.sqrt(((vx[s0:s0 + step, None, :] - hx[None, :, :]) ** 2).sum(axis=2))
-            dd, nn = _topk(dist, hk, kk)
-            outs.append(pd.DataFrame({"_k": np.repeat(vk[s0:s0 + step], kk), "nbr": nn.ravel(), "dist": dd.ravel()}))
-        return pd.concat(outs, ignore_index=True)
+        return _nearest(vk, vx, hk, hx, min(k, len(hk)))
 
     far = homes.unionByName(visitors).groupBy("slab").applyInPandas(remote, nb_schema)
     allnb = own.unionByName(far)
