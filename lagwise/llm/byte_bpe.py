@@ -232,6 +232,9 @@ class BytePairCoder:
                     if i and (made := self.older.get(word)) is not None:
                         out[i] = self._keep(word, made)
                         continue
+                    if i and word.isascii() and word.isalpha():  # letters alone: one match
+                        out[i] = self._keep(word, array("i", self.encode_piece(b" " + word.encode())).tobytes())
+                        continue
                     if len(word.split()) != 1 or len(word.strip()) != len(word) - (word[0] == "\n"):
                         return None
                     if i:

@@ -37,6 +37,22 @@ def ids_digest(ids: np.ndarray) -> str:
     return out.hexdigest()
 
 
+def ids_digests(ids: pa.ListArray) -> list[str]:
+    """``ids_digest`` of each list; the decimals of up to ``JOINED`` ids are made at once."""
+    offsets, flat = np.asarray(ids.offsets), np.asarray(ids.values)
+    out, lo = [], 0
+    while lo < len(ids):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + JOINED, "right")) - 1)
+        if offsets[hi] - offsets[lo] > JOINED:
+            out.append(ids_digest(flat[offsets[lo]:offsets[hi]]))
+        else:
+            part = pa.array(flat[offsets[lo]:offsets[hi]]).cast(pa.string())
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets[lo:hi + 1] - offsets[lo], pa.int32()), part), ",")
+            out += [hashlib.sha256(x.as_buffer()).hexdigest() for x in joined]
+        lo = hi
+    return out
+
+
 def id_digests(docs: DataFrame, load: Callable, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(``keep``, n_tokens, ids_sha256, decoded_sha256) of each row: its text encoded, and the ids decoded, by the coder that ``load()`` gives.
 
@@ -52,8 +68,7 @@ def id_digests(docs: DataFrame, load: Callable, text_col: str = "text", keep: tu
             for part in text_slices(batch, batch.num_columns - 1):
                 ids = coder.encode_lists(part.column(part.num_columns - 1).to_pylist())
                 decoded = coder.decode_lists(ids)
-                offsets, flat = np.asarray(ids.offsets), np.asarray(ids.values)
-                digests = [ids_digest(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+                offsets, digests = np.asarray(ids.offsets), ids_digests(ids)
                 texts = [hashlib.sha256(x.as_buffer()).hexdigest() for x in decoded]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.diff(offsets).astype(np.int64)), pa.array(digests, pa.string()), pa.array(texts, pa.string())],
                                                  names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -31,3 +31,16 @@ def test_nearest_holds_small_blocks():
         assert mine["nbr"].tolist() == keys[best].tolist() and mine["dist"].tolist() == d[best].tolist()
     some, _ = peak_mb(lambda: an._nearest(keys[:3], x[:3] + 0.05, keys, x, 5))
     assert len(some) == 15 and some["_k"].tolist() == np.repeat(keys[:3], 5).tolist()
+
+
+def test_id_digests_of_a_slice_at_once():
+    import hashlib
+
+    import pyarrow as pa
+
+    from lagwise.llm import ids
+    lists = [[], [1], list(range(70_000)), [], [5, 0, 49_999], list(range(200_000)), list(range(300_000)), [7], []]
+    want = [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in lists]
+    made = pa.array([[9], *lists], pa.list_(pa.int32()))
+    assert ids.ids_digests(made.slice(1)) == want
+    assert ids.ids_digests(made.slice(1, 0)) == []
