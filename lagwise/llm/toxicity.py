@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import text as tx
+from .ids import text_slices
 from .store import map_arrow, map_groups
 
 MAX_POSITIVE = 1500  #: toxic texts trained on, the same for each classifier
@@ -70,7 +71,8 @@ def _examples(texts: DataFrame) -> DataFrame:
 
 def train_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, epochs: int = 600, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier by the non-negative PU risk, full-batch Adam steps."""
-    p, u = x[positive], x[~positive]
+    n = int(positive.sum())
+    p, u = (x[:n], x[n:]) if positive[:n].all() else (x[positive], x[~positive])  # no copies if P comes first
     w = np.zeros(x.shape[1] + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
 
@@ -99,6 +101,7 @@ def _values(counts: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 def _fit_group(group: pd.DataFrame, prior: float) -> pd.DataFrame:
     """One classifier: choose features that stand out in P, train, return feature weights (feature -1: the bias)."""
+    group = group.sort_values("positive", ascending=False, kind="stable")
     positive = group["positive"].to_numpy(dtype=bool)
     none = pd.DataFrame({"part": [], "feature": [], "present": [], "rate": []})
     if not positive.any() or positive.all():
@@ -107,10 +110,12 @@ def _fit_group(group: pd.DataFrame, prior: float) -> pd.DataFrame:
     counts = [np.frombuffer(b, dtype=np.int32) for b in group["counts"]]
     share = [np.bincount(np.concatenate([i for i, y in zip(ids, positive) if y == side] or [np.zeros(0, np.int32)]), minlength=1 << HASH_BITS)
              / max(1, (positive == side).sum()) for side in (True, False)]
+    seen = np.flatnonzero(share[0] > share[1])  # no other feature stands out
+    share = [s[seen] for s in share]
     spread = np.sqrt((share[0] * (1 - share[0]) + 1e-3) / positive.sum() + (share[1] * (1 - share[1]) + 1e-3) / (~positive).sum())
     z = (share[0] - share[1]) / spread
     chosen = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
-    chosen = chosen[z[chosen] > 2.5]
+    chosen = seen[chosen[z[chosen] > 2.5]]
     slot = np.full(1 << HASH_BITS, -1, dtype=np.int64)
     slot[chosen] = np.arange(len(chosen))
     x = np.zeros((len(ids), 2 * len(chosen)))
@@ -185,15 +190,20 @@ def score_toxicity(docs: DataFrame, model: PUModel, text_col: str = "text", out:
     """
     kept = [c for c in docs.columns if c != out]
     schema = docs.select(*kept).withColumn(out, F.lit(0.0)).schema
+    # a text that is kept crosses to the workers once, and is lowered there in slices
+    at = kept.index(text_col) if (text_col, "string") in docs.select(*kept).dtypes else len(kept)
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = np.zeros(batch.num_rows)
-            for lo, hi, data, offs in tx.chunks(batch.column(batch.num_columns - 1)):
-                scores[lo:hi] = model.scores(data, offs)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*kept, out])
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("__text"))
-    return map_arrow(rows, job, schema)
+            scores, done = np.zeros(batch.num_rows), 0
+            for part in text_slices(batch, at):
+                lowered = pa.array([(t or "").lower() for t in part.column(at).to_pylist()], pa.large_string())
+                for lo, hi, data, offs in tx.chunks(lowered):
+                    scores[done + lo:done + hi] = model.scores(data, offs)
+                done += part.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], pa.array(scores)], names=[*kept, out])
+    extra = [] if at < len(kept) else [F.col(f"`{text_col}`").cast("string").alias("__text")]
+    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in kept], *extra), job, schema)
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:

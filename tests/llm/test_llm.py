@@ -241,3 +241,19 @@ def test_html(spark):
     df = spark.createDataFrame([(1, page), (2, None), (3, ""), (4, "<p")], "page_id long, html string").withColumn("text", F.lit("clash"))
     got = {r.page_id: r.text for r in html_crf.extract_main(df, model).collect()}
     assert got == {1: "A head & more\nFirst block of text here.\nSecond é block of text here.", 2: "", 3: "", 4: ""}
+
+
+def test_toxicity_sends_a_kept_text_once(spark):
+    """Scores do not depend on whether the text stays in the result or what it is called; nulls, capitals outside ASCII, a replaced column."""
+    texts = ["BAD Word ÉTÉ", "bad word été", None, "", "İSTANBUL ΣΟΦΟΣ", "nice " * 300] * 40
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    model = toxicity.fit_pu(docs, docs.filter("doc_id % 6 < 2").select("doc_id"), 0.3)
+    one = toxicity.score_toxicity(docs, model)
+    assert one._jdf.queryExecution().analyzed().toString().count("lower(") == 0
+    got = {r.doc_id: r for r in one.collect()}
+    assert [got[i].text for i in range(len(texts))] == texts
+    assert got[0].score == got[1].score > got[5].score and got[2].score == got[3].score
+    lowered = docs.withColumn("text", F.lower(F.coalesce("text", F.lit(""))))
+    assert {r.doc_id: r.score for r in toxicity.score_toxicity(lowered, model).collect()} == {i: r.score for i, r in got.items()}
+    replaced = toxicity.score_toxicity(docs.withColumnRenamed("text", "score"), model, text_col="score")
+    assert {r.doc_id: r.score for r in replaced.collect()} == {i: r.score for i, r in got.items()}

@@ -33,6 +33,21 @@ def test_nearest_holds_small_blocks():
     assert len(some) == 15 and some["_k"].tolist() == np.repeat(keys[:3], 5).tolist()
 
 
+def test_toxicity_fit_holds_one_matrix():
+    """2,000 texts of 1,024 chosen features: P and U are parts of one matrix of 33 MB, not copies beside it."""
+    from lagwise.llm import toxicity
+    rng, rows = np.random.default_rng(1), []
+    for i in range(2000):
+        y = i % 3 == 0
+        ids = np.unique(np.concatenate([rng.integers(0, 1 << 20, 100), rng.integers(0, 1500, 200 if y else 2) * 7])).astype(np.int32)
+        rows.append((0, y, 300, ids.tobytes(), np.ones(len(ids), np.int32).tobytes()))
+    group = pd.DataFrame(rows, columns=["part", "positive", "words", "ids", "counts"])
+    out, mb = peak_mb(lambda: toxicity._fit_group(group, 0.1))
+    assert len(out) == 1025 and mb < 60
+    again = toxicity._fit_group(group.sort_values("positive", kind="stable"), 0.1)
+    assert np.allclose(out["present"], again["present"])
+
+
 def test_id_digests_of_a_slice_at_once():
     import hashlib
 
