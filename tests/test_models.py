@@ -368,3 +368,24 @@ def test_evaluation_holds_test_rows_only(spark):
     held = df.filter(hash_uniform("row_idx", 42) < 0.3).count()
     assert out["series"].count() == 60 and out["residuals"].count() == held
     assert out["histogram"].agg(F.sum("count")).collect()[0][0] == held
+
+
+def test_sweep_keeps_large_forests_in_the_shared_folder(spark, monkeypatch):
+    """A sweep leaves no forest of many nodes on the driver; the model read back predicts as the one that was kept."""
+    from lagwise.operators import regression as rg
+    rng = np.random.default_rng(8)
+    df = with_row_index(spark.createDataFrame([(i, rng.normal(size=4).tolist(), int(rng.integers(0, 3))) for i in range(150)], "t long, x array<double>, y int"), "t").drop("t")
+
+    def forest():
+        return rg.builders.random_forest_classifier(n_estimators=3)
+
+    assert forest().estimator("y").getCacheNodeIds()
+    kept = rg.lag_sweep(df, "y", forest, max_lag=1)
+    monkeypatch.setattr(rg, "KEPT_NODES", 10)
+    away = rg.lag_sweep(df, "y", forest, max_lag=1)
+    assert all(m.saved is None and m.model is not None for m in kept.models.values())
+    assert all(m.saved is not None and m.model is None for m in away.models.values())
+    assert away.results.collect() == kept.results.collect() and away.best_lag == kept.best_lag
+    assert away.best_model.importances == kept.best_model.importances
+    rows = df.select("row_idx", "y", *[df.x.alias(f"x_lag{k}") for k in (0, 1)])
+    assert away.best_model.transform(rows).orderBy("row_idx").collect() == kept.best_model.transform(rows).orderBy("row_idx").collect()
