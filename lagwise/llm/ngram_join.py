@@ -14,8 +14,8 @@ that unlinked texts share fills a few blocks alone, so long texts must agree in
   only sets with more empty blocks also emit those, so every link still meets in ``agree`` keys.  A set with fewer
   repeated keys in a band, and a pair with fewer common ones, needs no look at the sets.
 
-Work is bounded by keys, never by pairs of a group.  Keys are counted in Spark by set signature with map-side combine
-(copies count once), those of one set alone fall away, and a Bloom filter of fixed size brings the repeated keys back
+Work is bounded by keys, never by pairs of a group.  Keys are counted in Spark by set signature, combined a slice of
+texts at a time (copies count once), those of one set alone fall away, and a Bloom filter of fixed size brings the repeated keys back
 to the documents, which then emit their sets once.  Keys are taken in ``KEY_PASSES`` passes, every key in one of them.  In each block group, members are verified against one centre per
 round (first the member with the most repeated keys), components merge, and only groups that still span several
 components go on; the last round tests whatever pairs are left between different components, pairs with ``agree``
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import text as tx
 from .components import connected_components
-from .store import drop_stored, map_arrow, stored
+from .store import drop_stored, map_arrow, stored, text_batches
 
 BLOCK_BITS = 4096
 SKETCH_WORDS = 32  #: 64-bit words of the compact sketch of the Hamming bound
@@ -43,6 +43,8 @@ FOLD_WORDS = 8
 AGREE = 2  #: blocks that linked sets agree in, at least; one more for every ``AGREE_STEP`` elements they may differ in
 AGREE_STEP = 8
 STAR_ROUNDS = 2
+COUNTED = 1 << 19  #: shingles of the distinct sets behind a partition of the key count; a set has fewer keys than shingles, but for short ones
+SEEN = 10_000  #: sets that a task remembers, so that copies near each other count once
 KEY_PASSES = 4  #: passes over the keys, each over the same share of them, so that a pass's shuffle takes a share of the disk
 
 _U = np.uint64
@@ -139,22 +141,40 @@ def _signatures(base: DataFrame, size: int) -> DataFrame:
 
 
 def _key_rows(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(key, sig) for every block key of every set; a set that repeats inside a batch counts once."""
+    """(key, x, y): the block keys of every set with the smallest and the largest signature that has the key, combined a
+    slice of texts at a time."""
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            seen = set()
             for _, _, data, offs in tx.chunks(batch.column(0)):
                 keys, sigs, counts = [], [], []
                 for s in _sets(data, offs, size):
                     if len(s) and (sig := _signature(s)) not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
                         seen.add(sig)
                         keys.append(np.concatenate([k for k, _ in _keys(s, percent)]))
                         sigs.append(sig[0])
                         counts.append(len(keys[-1]))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(sigs, dtype=np.int64), counts))],
-                                                     names=["key", "sig"])
-    return map_arrow(texts, job, "key long, sig long")
+                if sum(counts):
+                    key, sig = np.concatenate(keys).view(np.int64), np.repeat(np.array(sigs, dtype=np.int64), counts)
+                    order = np.argsort(key)
+                    key, sig = key[order], sig[order]
+                    lead = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                    yield pa.RecordBatch.from_arrays([pa.array(key[lead]), pa.array(np.minimum.reduceat(sig, lead)), pa.array(np.maximum.reduceat(sig, lead))],
+                                                     names=["key", "x", "y"])
+    return map_arrow(texts, job, "key long, x long, y long")
+
+
+def _repeated(texts: DataFrame, size: int, percent: int, shingles: int) -> DataFrame:
+    """(key) that several sets have; ``shingles``: of all distinct sets together.
+
+    Nearly every key is of one set, so they are dealt out as they are (a slice of texts is combined already) and counted in
+    partitions whose number follows their rows: no task holds more than a small table of keys."""
+    spark = texts.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shingles // COUNTED))
+    return (_key_rows(texts, size, percent).repartition(parts, "key").groupBy("key").agg(F.min("x").alias("x"), F.max("y").alias("y"))
+            .filter("x < y").select("key"))
 
 
 def _bloom_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,14 +209,15 @@ def _hit_sets(texts: DataFrame, size: int, percent: int, bloom) -> DataFrame:
     """(sig, sig2, n, need, sketch, shingles, keys) for sets with enough keys of a band in the Bloom filter, with those
     keys; ``need``: in how many keys a partner of at most the own band's sizes agrees."""
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bloom.value
+        bits, seen = bloom.value, set()
         for batch in batches:
-            seen = set()
             for _, _, data, offs in tx.chunks(batch.column(0)):
                 rows = []
                 for s in _sets(data, offs, size):
                     if not len(s) or (sig := _signature(s)) in seen:
                         continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
                     seen.add(sig)
                     bands = _keys(s, percent)
                     hits = [hit for keys, agree in bands if len(hit := keys[_in_bloom(keys, bits)]) >= agree]
@@ -262,13 +283,15 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = base.filter("id is not null").select("text")
-    rows = stored(_signatures(base, size), "ngram-sets")
+    with text_batches(spark):
+        rows = stored(_signatures(base, size), "ngram-sets")
     # a node is one distinct set, named by its smallest document
-    nodes = stored(rows.filter("n > 0 and id is not null").groupBy("sig", "sig2").agg(F.min("id").alias("node")), "ngram-nodes")
-    repeated = (_key_rows(texts, size, percent).groupBy("key").agg(F.min("sig").alias("x"), F.max("sig").alias("y"))
-                .filter("x < y").select("key"))
-    bloom = spark.sparkContext.broadcast(_bloom(repeated))
-    hits = stored(_hit_sets(texts, size, percent, bloom).dropDuplicates(["sig", "sig2"]).join(nodes, ["sig", "sig2"]), "ngram-hits")
+    nodes = stored(rows.filter("n > 0 and id is not null").groupBy("sig", "sig2").agg(F.min("id").alias("node"), F.first("n").alias("n")), "ngram-nodes")
+    shingles = nodes.agg(F.sum("n")).first()[0] or 0
+    nodes = nodes.select("node", "sig", "sig2")
+    with text_batches(spark):
+        bloom = spark.sparkContext.broadcast(_bloom(_repeated(texts, size, percent, shingles)))
+        hits = stored(_hit_sets(texts, size, percent, bloom).dropDuplicates(["sig", "sig2"]).join(nodes, ["sig", "sig2"]), "ngram-hits")
     sets = hits.select("node", "shingles")
     # the same sketch folded to fewer bits, a cheaper and weaker bound
     fold = F.array(*[reduce(Column.bitwiseXOR, [F.col("sketch")[j] for j in range(i, SKETCH_WORDS, FOLD_WORDS)]) for i in range(FOLD_WORDS)])

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_dir, ship_package
 
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXT_ROWS = 1000  #: texts that cross to a Python worker at once, at most
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -28,6 +32,26 @@ def map_groups(grouped, job, schema: str, spark: SparkSession) -> DataFrame:
     return grouped.applyInPandas(job, schema)
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for the queries run inside, put back afterwards."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def text_batches(spark: SparkSession):
+    """Queries run inside send whole texts to Python by ``TEXT_ROWS`` at most: a batch is held by the JVM and by its worker."""
+    now = int(spark.conf.get(BATCH_ROWS, "10000"))
+    return setting(spark, BATCH_ROWS, str(min(now, TEXT_ROWS) if now > 0 else TEXT_ROWS))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back: cuts the lineage, survives lost executors.
 
@@ -35,15 +59,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     the driver happens to collect its garbage: nothing reads them again."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    before = spark.conf.get(FREE_SHUFFLES, None)
-    spark.conf.set(FREE_SHUFFLES, "true")
-    try:
+    with setting(spark, FREE_SHUFFLES, "true"):
         df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(FREE_SHUFFLES)
-        else:
-            spark.conf.set(FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -59,3 +59,31 @@ def test_id_digests_of_a_slice_at_once():
     made = pa.array([[9], *lists], pa.list_(pa.int32()))
     assert ids.ids_digests(made.slice(1)) == want
     assert ids.ids_digests(made.slice(1, 0)) == []
+
+
+def test_ngram_keys_are_combined_by_slice_and_counted_in_small_partitions(spark):
+    """Sets that differ in one word: one row per key and slice, the keys of several sets found whole, and texts and keys in small portions."""
+    from collections import defaultdict
+
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from lagwise.llm import ngram_join as nj, store
+    lines = [" ".join(f"w{g}-{j}" if j != 30 else f"x{i}" for j in range(60)) for g in range(3) for i in range(40)] + ["", "one two", "one two"]
+    texts = spark.createDataFrame([(x,) for x in lines], "text string").coalesce(1)
+    keys = [(r.key, r.x, r.y) for r in nj._key_rows(texts, 4, 85).collect()]
+    assert len(keys) == len({k for k, _, _ in keys}) and all(x <= y for _, x, y in keys)
+    sigs = defaultdict(set)
+    raw = [x.encode() for x in dict.fromkeys(lines)]
+    for s in nj._sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 4):
+        for key in np.concatenate([k for k, _ in nj._keys(s, 85)]).view(np.int64) if len(s) else []:
+            sigs[int(key)].add(nj._signature(s)[0])
+    want = {k for k, v in sigs.items() if len(v) > 1}
+    many = nj._repeated(texts, 4, 85, 20 * nj.COUNTED)
+    assert want and {r.key for r in many.collect()} == want
+    assert "hashpartitioning(key" in (plan := many._jdf.queryExecution().toString()) and ", 20)" in plan
+    before = spark.conf.get(store.BATCH_ROWS)
+    with store.text_batches(spark):
+        sizes = spark.range(5000, numPartitions=1).mapInArrow(lambda it: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in it), "n long")
+        assert sizes.agg(F.max("n")).first()[0] <= store.TEXT_ROWS
+    assert spark.conf.get(store.BATCH_ROWS) == before
