@@ -11,13 +11,17 @@ that unlinked texts share fills a few blocks alone, so long texts must agree in
 * bands are so wide that partners lie in the same or the next band; a set is keyed in its own band and, where a
   partner may be in the next one, there too;
 * empty blocks say nothing.  A set with at most ``slack`` of them has ``agree`` non-empty agreeing blocks with every partner;
-  only sets with more empty blocks also emit those, so every link still meets in ``agree`` keys.  A set with fewer
-  repeated keys in a band, and a pair with fewer common ones, needs no look at the sets.
+  only sets with more empty blocks also emit those, so every link still meets in ``agree`` keys.  A pair with fewer
+  common keys needs no look at the sets.
 
-Work is bounded by keys, never by pairs of a group.  Keys are counted in Spark by set signature, combined a slice of
-texts at a time (copies count once), those of one set alone fall away, and a Bloom filter of fixed size brings the repeated keys back
-to the documents, which then emit their sets once.  Keys are taken in ``KEY_PASSES`` passes, every key in one of them.  In each block group, members are verified against one centre per
-round (first the member with the most repeated keys), components merge, and only groups that still span several
+A set of n shingles that links with another lacks at most (1-t) * n of them there.  So one shingle in ``_mark_step`` is a
+mark, and a set with more than (1-t) * n marks that no other set has links with nothing, however many texts share passages.
+Marks are counted in Spark by set signature, combined a slice of texts at a time (copies count once), those of one set alone
+fall away, and a Bloom filter of bounded size brings the repeated ones back to the documents, which then emit their sets and
+keys once.  What a step shuffles is freed when its result is stored.
+
+Work is bounded by keys, never by pairs of a group.  Keys are taken in ``KEY_PASSES`` passes, every key in one of them.  In each block group, members are verified against one centre per
+round (first the member with the most repeated marks), components merge, and only groups that still span several
 components go on; the last round tests whatever pairs are left between different components, pairs with ``agree``
 common keys at least, after the size bound and the Hamming bounds of compact sketches.
 Every link is verified on the exact sets.
@@ -38,7 +42,9 @@ from .store import drop_stored, map_arrow, stored, text_batches
 
 BLOCK_BITS = 4096
 SKETCH_WORDS = 32  #: 64-bit words of the compact sketch of the Hamming bound
-BLOOM_LOG2 = 27  #: bits of the Bloom filter of repeated keys: 16 MB, whatever the input
+MARK_STEP = 4  #: one shingle in so many is a mark, at most
+BLOOM_LOG2, BLOOM_MOST = 27, 29  #: bits of the Bloom filter of repeated marks: 16 MB, 64 MB at most, whatever the input
+BLOOM_BITS = 8  #: bits for each repeated mark, as long as the filter may grow
 FOLD_WORDS = 8
 AGREE = 2  #: blocks that linked sets agree in, at least; one more for every ``AGREE_STEP`` elements they may differ in
 AGREE_STEP = 8
@@ -48,6 +54,8 @@ SEEN = 10_000  #: sets that a task remembers, so that copies near each other cou
 KEY_PASSES = 4  #: passes over the keys, each over the same share of them, so that a pass's shuffle takes a share of the disk
 
 _U = np.uint64
+_SALTS = (_U(0x2545F4914F6CDD1D), _U(0x9FB21C651E98DF25))  #: of the two sums of a signature
+_BITS = tx.mix(np.arange(1, BLOCK_BITS + 1, dtype=_U))  #: the 64-bit number of each bit of a block
 
 
 def size_bands(percent: int, largest: int) -> list[int]:
@@ -66,36 +74,55 @@ def _blocks(hi: int, percent: int) -> tuple[int, int, int]:
     return (most + agree + slack, slack, agree) if most else (0, 0, AGREE)
 
 
-def _block_keys(shingles: np.ndarray, band: int, hi: int, percent: int) -> np.ndarray:
-    """Keys of a set's sketch in a band."""
-    n, slack, _ = _blocks(hi, percent)
-    if not n:
-        return np.zeros(0, dtype=_U)
-    h = tx.mix(shingles + _U((band * 0x9E3779B97F4A7C15) % (1 << 64)))
-    block = (h % _U(n)).astype(np.int64)
-    bit = tx.mix(((h >> _U(40)) % _U(BLOCK_BITS)) + _U(1))
-    order = np.argsort(block, kind="stable")
-    block = block[order]
-    lead = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-    digest = np.zeros(n, dtype=_U)
-    digest[block[lead]] = np.bitwise_xor.reduceat(bit[order], lead)
-    at = np.arange(n, dtype=np.int64)
+def _slice_keys(shingles: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The block keys of the sets that lie one after the other in ``shingles``: in each set's own band, and in the next if a
+    partner may be there.  Returned as (keys, how many of them are of each band of a set, that set, in how many of them a
+    partner agrees at least)."""
+    ends = np.array(size_bands(percent, int(sizes.max(initial=1))), dtype=np.int64)
+    ends = np.append(ends, ends[-1] * 100 // percent + 1)
+    own = np.searchsorted(ends, sizes, "right") - 1
+    some = sizes > 0
+    who = np.repeat(np.arange(len(sizes)), np.where(some, 1 + (sizes * 100 // percent >= ends[own + 1]), 0))
+    band = own[who] + np.append(False, who[1:] == who[:-1])[:len(who)]
+    facts = np.array([_blocks(int(ends[k + 1]) - 1, percent) for k in range(len(ends) - 1)], dtype=np.int64)
+    n, slack, agree = facts[band].T
+    # a set of a band without blocks has no keys there
+    start = np.cumsum(sizes) - sizes
+    length = np.where(n > 0, sizes[who], 0)
+    job = np.repeat(np.arange(len(who)), length)
+    at = np.arange(len(job)) + (start[who] - np.cumsum(length) + length)[job]
+    h = tx.mix(shingles[at] + (band.astype(_U) * _U(0x9E3779B97F4A7C15))[job])
+    base = np.cumsum(n) - n
+    digest = np.zeros(int(n.sum()), dtype=_U)
+    np.bitwise_xor.at(digest, base[job] + (h % n.astype(_U)[job]).astype(np.int64), _BITS[((h >> _U(40)) % _U(BLOCK_BITS)).astype(np.int64)])
+    job = np.repeat(np.arange(len(who)), n)
     empty = digest == 0
-    if empty.sum() <= slack:
-        at = at[~empty]
-    return tx.mix(digest[at] + tx.mix(_U(band * 1_000_003) + at.astype(_U)))
+    keep = ~empty | (np.bincount(job, empty, len(who)) > slack)[job]
+    job, digest, at = job[keep], digest[keep], (np.arange(len(job)) - base[job])[keep]
+    keys = tx.mix(digest + tx.mix((band * 1_000_003)[job].astype(_U) + at.astype(_U)))
+    return keys, np.bincount(job, minlength=len(who)), who, agree
+
+
+def _mark_step(percent: int) -> int:
+    """One shingle in so many is a mark, a share that is well above the share in which a set may differ from a partner."""
+    return max(1, min(MARK_STEP, 3 * 100 // (5 * max(1, 100 - percent))))
+
+
+def _slice_marks(shingles: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The marks of sets, as ``_slice_keys`` has their keys: (marks, how many are of each set, that set, how many of them
+    a set with a partner shares with other sets at least).
+
+    A set of n shingles lacks n * (100 - percent) / 100 of them in a partner at most, wherever they are among its marks."""
+    marked = tx.mix(shingles ^ _U(0xA0761D6478BD642F)) % _U(_mark_step(percent)) == 0
+    who = np.arange(len(sizes))
+    counts = np.bincount(np.repeat(who, sizes)[marked], minlength=len(sizes))
+    return shingles[marked], counts, who, counts - sizes * (100 - percent) // 100
 
 
 def _keys(shingles: np.ndarray, percent: int) -> list[tuple[np.ndarray, int]]:
-    """The block keys of a set, and in how many of them a partner agrees at least: in its own band, and in the next if a
-    partner may be there."""
-    n = len(shingles)
-    ends = size_bands(percent, n)
-    k = len(ends) - 2
-    bands = [(k, ends[k + 1] - 1)]
-    if n * 100 // percent >= ends[k + 1]:
-        bands.append((k + 1, ends[k + 1] * 100 // percent))
-    return [(_block_keys(shingles, band, hi, percent), _blocks(hi, percent)[2]) for band, hi in bands]
+    """The block keys of one set by band, and in how many of them a partner agrees at least."""
+    keys, counts, _, agree = _slice_keys(shingles, np.array([len(shingles)]), percent)
+    return list(zip(np.split(keys, np.cumsum(counts)[:-1]), agree.tolist()))
 
 
 def _sketch(shingles: np.ndarray) -> np.ndarray:
@@ -122,9 +149,32 @@ def _sets(data: np.ndarray, offs: np.ndarray, size: int) -> Iterator[np.ndarray]
 
 def _signature(shingles: np.ndarray) -> tuple[int, int]:
     """Two independent 64-bit sums over the set."""
-    a = int(np.add.reduce(tx.mix(shingles ^ _U(0x2545F4914F6CDD1D))))
-    b = int(np.add.reduce(tx.mix(shingles ^ _U(0x9FB21C651E98DF25))))
-    return a - (1 << 64) if a >= 1 << 63 else a, b - (1 << 64) if b >= 1 << 63 else b
+    return _slice_signatures([shingles])[0]
+
+
+def _slice_signatures(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """``_signature`` of each set."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    out = np.zeros((len(sets), 2), dtype=_U)
+    if sizes.any():
+        flat, lead = np.concatenate(sets), (np.cumsum(sizes) - sizes)[sizes > 0]
+        for i, salt in enumerate(_SALTS):
+            out[sizes > 0, i] = np.add.reduceat(tx.mix(flat ^ salt), lead)
+    return list(map(tuple, out.view(np.int64).tolist()))
+
+
+def _slice_sets(data: np.ndarray, offs: np.ndarray, size: int, seen: set) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
+    """The sets of a slice of texts that are not empty, and their signatures; without those in ``seen``, where they are put."""
+    every = list(_sets(data, offs, size))
+    sets, sigs = [], []
+    for s, sig in zip(every, _slice_signatures(every)):
+        if len(s) and sig not in seen:
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(sig)
+            sets.append(s)
+            sigs.append(sig)
+    return sets, sigs
 
 
 def _signatures(base: DataFrame, size: int) -> DataFrame:
@@ -133,31 +183,27 @@ def _signatures(base: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             out = []
             for _, _, data, offs in tx.chunks(batch.column(1)):
-                out += [(len(s), *_signature(s)) for s in _sets(data, offs, size)]
+                sets = list(_sets(data, offs, size))
+                out += [(len(s), *sig) for s, sig in zip(sets, _slice_signatures(sets))]
             n, a, b = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
                                              names=["id", "n", "sig", "sig2"])
     return map_arrow(base, job, "id long, n long, sig long, sig2 long")
 
 
-def _key_rows(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(key, x, y): the block keys of every set with the smallest and the largest signature that has the key, combined a
+def _key_rows(texts: DataFrame, size: int, percent: int, of=_slice_keys) -> DataFrame:
+    """(key, x, y): the keys (or marks) of every set with the smallest and the largest signature that has the key, combined a
     slice of texts at a time."""
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
             for _, _, data, offs in tx.chunks(batch.column(0)):
-                keys, sigs, counts = [], [], []
-                for s in _sets(data, offs, size):
-                    if len(s) and (sig := _signature(s)) not in seen:
-                        if len(seen) >= SEEN:
-                            seen.clear()
-                        seen.add(sig)
-                        keys.append(np.concatenate([k for k, _ in _keys(s, percent)]))
-                        sigs.append(sig[0])
-                        counts.append(len(keys[-1]))
-                if sum(counts):
-                    key, sig = np.concatenate(keys).view(np.int64), np.repeat(np.array(sigs, dtype=np.int64), counts)
+                sets, sigs = _slice_sets(data, offs, size, seen)
+                if not sets:
+                    continue
+                key, counts, who, _ = of(np.concatenate(sets), np.array([len(s) for s in sets]), percent)
+                if len(key):
+                    key, sig = key.view(np.int64), np.repeat(np.array([a for a, _ in sigs], dtype=np.int64)[who], counts)
                     order = np.argsort(key)
                     key, sig = key[order], sig[order]
                     lead = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -166,69 +212,76 @@ def _key_rows(texts: DataFrame, size: int, percent: int) -> DataFrame:
     return map_arrow(texts, job, "key long, x long, y long")
 
 
-def _repeated(texts: DataFrame, size: int, percent: int, shingles: int) -> DataFrame:
-    """(key) that several sets have; ``shingles``: of all distinct sets together.
+def _repeated(texts: DataFrame, size: int, percent: int, shingles: int, of=_slice_keys) -> DataFrame:
+    """(key) that several sets have; ``shingles``: of all distinct sets together, or how many of them are marks.
 
     Nearly every key is of one set, so they are dealt out as they are (a slice of texts is combined already) and counted in
     partitions whose number follows their rows: no task holds more than a small table of keys."""
     spark = texts.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shingles // COUNTED))
-    return (_key_rows(texts, size, percent).repartition(parts, "key").groupBy("key").agg(F.min("x").alias("x"), F.max("y").alias("y"))
+    return (_key_rows(texts, size, percent, of).repartition(parts, "key").groupBy("key").agg(F.min("x").alias("x"), F.max("y").alias("y"))
             .filter("x < y").select("key"))
 
 
-def _bloom_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    m = _U((1 << BLOOM_LOG2) - 1)
+def _bloom_places(keys: np.ndarray, log2: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    m = _U((1 << log2) - 1)
     keys = tx.mix(keys)
     return tuple((h & m).astype(np.int64) for h in (keys, keys >> _U(32), tx.mix(keys)))
 
 
 def _bloom(repeated: DataFrame) -> np.ndarray:
-    """Bit set of the repeated keys.  At most 2**(BLOOM_LOG2-6) words reach the driver, whatever the input; when it fills
-    up, more documents are looked at again, none is lost."""
+    """Bit set of the (stored) repeated keys, ``BLOOM_BITS`` or more for each up to the largest size.  Its words reach the
+    driver 2**(BLOOM_LOG2-6) at once at most; when it fills up, more documents are looked at again, none is lost."""
+    log2 = min(BLOOM_MOST, max(BLOOM_LOG2, (repeated.count() * BLOOM_BITS).bit_length()))
+
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.concatenate(_bloom_places(np.asarray(batch.column(0)).view(_U)))
+            at = np.concatenate(_bloom_places(np.asarray(batch.column(0)).view(_U), log2))
             yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int32)), pa.array(np.left_shift(_U(1), (at & 63).astype(_U)).view(np.int64))],
                                              names=["word", "bits"])
-    words = map_arrow(repeated.select("key"), job, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << (BLOOM_LOG2 - 6), dtype=_U)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(_U)
+    words = stored(map_arrow(repeated.select("key"), job, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")), "ngram-bloom")
+    out = np.zeros(1 << (log2 - 6), dtype=_U)
+    for lo in range(0, len(out), 1 << (BLOOM_LOG2 - 6)):
+        some = words.filter((F.col("word") >= lo) & (F.col("word") < lo + (1 << (BLOOM_LOG2 - 6)))).toArrow()
+        out[some.column("word").to_numpy()] = some.column("bits").to_numpy().view(_U)
+    drop_stored(words)
     return out
 
 
 def _in_bloom(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Whether each key may be in the Bloom filter."""
     hit = np.ones(len(keys), dtype=bool)
-    for at in _bloom_places(keys):
+    for at in _bloom_places(keys, len(bits).bit_length() + 5):
         hit &= (bits[at >> 6] >> (at & 63).astype(_U)) & _U(1) == 1
     return hit
 
 
 def _hit_sets(texts: DataFrame, size: int, percent: int, bloom) -> DataFrame:
-    """(sig, sig2, n, need, sketch, shingles, keys) for sets with enough keys of a band in the Bloom filter, with those
-    keys; ``need``: in how many keys a partner of at most the own band's sizes agrees."""
+    """(sig, sig2, n, need, shared, sketch, shingles, keys) for sets with enough marks in the Bloom filter; ``need``: in how
+    many keys a partner of at most the own band's sizes agrees; ``shared``: the marks in the filter."""
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = bloom.value, set()
         for batch in batches:
             for _, _, data, offs in tx.chunks(batch.column(0)):
-                rows = []
-                for s in _sets(data, offs, size):
-                    if not len(s) or (sig := _signature(s)) in seen:
-                        continue
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(sig)
-                    bands = _keys(s, percent)
-                    hits = [hit for keys, agree in bands if len(hit := keys[_in_bloom(keys, bits)]) >= agree]
-                    if hits:
-                        rows.append((*sig, len(s), bands[0][1], _sketch(s), s.view(np.int64), np.unique(np.concatenate(hits)).view(np.int64)))
+                sets, sigs = _slice_sets(data, offs, size, seen)
+                if not sets:
+                    continue
+                marks, counts, who, least = _slice_marks(np.concatenate(sets), np.array([len(s) for s in sets]), percent)
+                shared = np.bincount(np.repeat(who, counts)[_in_bloom(marks, bits)], minlength=len(sets))
+                chosen = np.flatnonzero(shared >= least).tolist()
+                if not chosen:
+                    continue
+                keys, counts, who, agree = _slice_keys(np.concatenate([sets[i] for i in chosen]), np.array([len(sets[i]) for i in chosen]), percent)
+                lead = np.searchsorted(who, np.arange(len(chosen) + 1))  # the own band of each set comes first
+                ends = np.append(0, np.cumsum(counts))[lead]
+                rows = [(*sigs[i], len(sets[i]), int(agree[lead[k]]), int(shared[i]), _sketch(sets[i]), sets[i].view(np.int64), np.unique(keys[ends[k]:ends[k + 1]]).view(np.int64))
+                        for k, i in enumerate(chosen) if ends[k] < ends[k + 1]]
                 if rows:
                     cols = list(zip(*rows))
-                    lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]), pa.int32()), pa.array(np.concatenate(c))) for c in cols[4:]]
-                    yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:4]], *lists],
-                                                     names=["sig", "sig2", "n", "need", "sketch", "shingles", "keys"])
-    return map_arrow(texts, job, "sig long, sig2 long, n long, need long, sketch array<long>, shingles array<long>, keys array<long>")
+                    lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]), pa.int32()), pa.array(np.concatenate(c))) for c in cols[5:]]
+                    yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:5]], *lists],
+                                                     names=["sig", "sig2", "n", "need", "shared", "sketch", "shingles", "keys"])
+    return map_arrow(texts, job, "sig long, sig2 long, n long, need long, shared long, sketch array<long>, shingles array<long>, keys array<long>")
 
 
 def _may_link(percent: int, sketch: str) -> Column:
@@ -290,7 +343,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shingles = nodes.agg(F.sum("n")).first()[0] or 0
     nodes = nodes.select("node", "sig", "sig2")
     with text_batches(spark):
-        bloom = spark.sparkContext.broadcast(_bloom(_repeated(texts, size, percent, shingles)))
+        repeated = stored(_repeated(texts, size, percent, shingles // _mark_step(percent), _slice_marks), "ngram-repeated")
+    bloom = spark.sparkContext.broadcast(_bloom(repeated))
+    drop_stored(repeated)
+    with text_batches(spark):
         hits = stored(_hit_sets(texts, size, percent, bloom).dropDuplicates(["sig", "sig2"]).join(nodes, ["sig", "sig2"]), "ngram-hits")
     sets = hits.select("node", "shingles")
     # the same sketch folded to fewer bits, a cheaper and weaker bound
@@ -302,8 +358,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = None
     labels = None
     for turn in range(STAR_ROUNDS + 1):
-        # the text that a family was copied from shares the most of its keys, so it is the first centre
-        nodewise = hits.select("node", "keys", (-F.size("keys")).cast("long").alias("rank"))
+        # the text that a family was copied from shares the most of its marks, so it is the first centre
+        nodewise = hits.select("node", "keys", (-F.col("shared")).alias("rank"))
         if labels is not None:
             nodewise = nodewise.join(labels, "node", "left").withColumn("rank", F.xxhash64("node", F.lit(turn)))
         comp = F.col("node") if labels is None else F.coalesce("component", "node")

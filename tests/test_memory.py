@@ -87,3 +87,41 @@ def test_ngram_keys_are_combined_by_slice_and_counted_in_small_partitions(spark)
         sizes = spark.range(5000, numPartitions=1).mapInArrow(lambda it: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in it), "n long")
         assert sizes.agg(F.max("n")).first()[0] <= store.TEXT_ROWS
     assert spark.conf.get(store.BATCH_ROWS) == before
+
+
+def test_ngram_join_stores_only_sets_that_may_link(spark, monkeypatch):
+    """Texts that begin with the same third share block keys; only those with near-copies are stored with their sets."""
+    from lagwise.llm import ngram_join as nj
+    rng = np.random.default_rng(3)
+    words = [[f"c{j}" for j in range(int(n * 0.3))] + [f"w{i}-{j}" for j in range(n - int(n * 0.3))] for i, n in enumerate(rng.integers(900, 1500, 120).tolist())]
+    for i in (0, 1, 2):
+        words.append(words[i][:-50] + ["other"] + words[i][-49:])
+    sizes, kept = {}, nj.stored
+
+    def stored(df, name):
+        out = kept(df, name)
+        sizes.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(nj, "stored", stored)
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(words)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in nj.ngram_join(docs, size=5, percent=80).collect()}
+    assert got == {i: i - 120 if i >= 120 else i for i in range(123)}
+    assert sizes["ngram-nodes"] == 123 and sizes["ngram-hits"] == 6
+
+
+def test_ngram_keys_and_marks_of_a_slice():
+    """Keys and marks of a slice at once are those of each set alone, and partners miss no more marks than they may."""
+    from lagwise.llm import ngram_join as nj
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in (0, 1, 4, 5, 9, 40, 0, 333, 2000)]
+    for percent in (50, 80, 85, 99, 100):
+        keys, counts, who, agree = nj._slice_keys(np.concatenate(sets), np.array([len(s) for s in sets]), percent)
+        alone = [(i, k, a) for i, s in enumerate(sets) if len(s) for k, a in nj._keys(s, percent)]
+        parts = np.split(keys, np.cumsum(counts)[:-1])
+        assert [(i, k.tolist(), a) for i, k, a in alone] == [(i, k.tolist(), a) for i, k, a in zip(who.tolist(), parts, agree.tolist())]
+        whole = sets[-1]
+        for lacks in (0, 2000 * (100 - percent) // 100):
+            marks, _, _, least = nj._slice_marks(whole, np.array([2000]), percent)
+            assert np.isin(marks, np.delete(whole, rng.permutation(2000)[:lacks])).sum() >= least[0]
+    assert nj._slice_signatures(sets) == [nj._signature(s) for s in sets]
